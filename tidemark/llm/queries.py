@@ -1,16 +1,25 @@
 """Queries of this subpackage, and SQL where it can say the same."""
 
+from tidemark.llm.decontamination import OP8_SQL, op8_decontamination
 from tidemark.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from tidemark.llm.lm_scoring import op9_lm_scoring
 from tidemark.llm.near_dedup import OP4_SQL, op4_near_dedup
+from tidemark.llm.quality import op6_quality
 from tidemark.llm.token_output import op2_token_output
+from tidemark.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op2_token_output": op2_token_output,
+    "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
+    "op6_quality": op6_quality,
+    "op8_decontamination": op8_decontamination,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL = {
     "op4_near_dedup": OP4_SQL,
+    "op8_decontamination": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
