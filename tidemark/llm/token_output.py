@@ -150,8 +150,6 @@ class CachedEncoder:
                     self.pieces[piece] = np.array(part, self.kind).tobytes()
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.chunks) + len(new) > self.LIMIT:
-            self.chunks.clear()
         split, whole = {}, []
         for c in new:
             if _PLAIN.match(c) and b"<|" not in c and self.ends.any():
@@ -160,31 +158,26 @@ class CachedEncoder:
                 whole.append(c)
         for c, ids in zip(whole, self._ids([c.decode() for c in whole]), strict=True):
             self.chunks[c] = np.array(ids, self.kind).tobytes()
-        wanted = {p for pieces in split.values() for p in pieces}
+        wanted = {p for pieces in split.values() for p in pieces}.difference(self.pieces)
         if len(self.pieces) + len(wanted) > self.LIMIT:
             self.pieces.clear()
-        self._learn_pieces(sorted(wanted - self.pieces.keys()))
+            wanted = {p for pieces in split.values() for p in pieces}
+        self._learn_pieces(sorted(wanted))
         for c, pieces in split.items():
             self.chunks[c] = b"".join([self.pieces[p] for p in pieces])
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Packed ids of each text (null: of the empty text), whole."""
-        out = []
-        for text in texts:
-            words = (text or b"").split()
-            try:
-                out.append(b"".join(map(self.chunks.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join(self._with_new(words)))
-        return out
-
-    def _with_new(self, words: list[bytes]):
-        for i in range(0, len(words), self.LIMIT // 4):
-            part = words[i : i + self.LIMIT // 4]
-            new = set(part) - self.chunks.keys()
-            if new:
-                self._learn(new | (set(part) if len(self.chunks) + len(new) > self.LIMIT else set()))
-            yield from map(self.chunks.__getitem__, part)
+        """Packed ids of each text (null: of the empty text), whole. What these texts need stays in the cache meanwhile."""
+        words = [(text or b"").split() for text in texts]
+        new: set[bytes] = set()
+        for w in words:
+            new |= set(w).difference(self.chunks)
+        if new and len(self.chunks) + len(new) > self.LIMIT:
+            self.chunks.clear()
+            new = set().union(*words)
+        if new:
+            self._learn(new)
+        return [b"".join(map(self.chunks.__getitem__, w)) for w in words]
 
 
 # ------------------------------------------------------------------- segments
