@@ -5,6 +5,7 @@ from tidemark.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from tidemark.llm.lm_scoring import op9_lm_scoring
 from tidemark.llm.near_dedup import OP4_SQL, op4_near_dedup
 from tidemark.llm.quality import op6_quality
+from tidemark.llm.secrets import op5_secrets
 from tidemark.llm.token_output import op2_token_output
 from tidemark.llm.toxicity import op3_toxicity
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_token_output": op2_token_output,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
+    "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
     "op8_decontamination": op8_decontamination,
     "op9_lm_scoring": op9_lm_scoring,
