@@ -56,6 +56,15 @@ def test_chains_in_one_bucket(frame):
     assert got == brute(rows)
 
 
+def test_shared_passage_brings_no_pairs(frame):
+    """Many texts of which three quarters are one passage: few are linked, and the rest aren't paired."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"u{r.random()}" for _ in range(r.choice((1, 2, 4, 10, 14)))] + passage)) for i in range(300)]
+    got = sorted((tuple(r) for r in near_groups(frame(rows)).collect()), key=repr)
+    assert got == brute(rows)
+
+
 def test_empty_and_drop(spark, frame, docs_schema):
     assert near_groups(spark.createDataFrame([], docs_schema)).collect() == []
     assert drop_near(spark.createDataFrame([], docs_schema)).collect() == []

@@ -96,6 +96,23 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different roots that can reach the similarity; sets: cls, root, shingles.
+
+    Any order of all shingles that is one for all sets will do; here the rarest come first. Two sets of the
+    similarity share one of their first n - ceil(percent * n / 100) + 1 shingles (Chaudhuri et al. 2006), and the
+    first that they share leaves enough behind it in both (Xiao et al. 2008). So a passage that many texts share
+    brings no pairs, as it comes last in each of them."""
+    often = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("f"))
+    each = sets.select("cls", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(often, "s")
+    ordered = each.groupBy("cls", "root", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("o"))
+    first = F.expr(f"slice(o, 1, cast(n - ceil({percent} * n / 100) + 1 as int))")
+    heads, _ = written(ordered.select("cls", "root", "n", F.posexplode(first).alias("i", "x")).filter("x.f > 1").select("cls", "root", "n", "i", F.col("x.s").alias("s")), "near-heads")
+    other = heads.select("s", *[F.col(c).alias(c + "2") for c in ("cls", "root", "n", "i")])
+    near = f"cls < cls2 AND root <> root2 AND 100 * least(n, n2) >= {percent} * greatest(n, n2) AND least(n - i, n2 - i2) * {100 + percent} >= {percent} * (n + n2)"
+    return heads.join(other, (heads["s"] == other["s"]) & F.expr(near)).select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, keys: int = KEYS, hashes: int = HASHES) -> DataFrame:
     """Groups of near duplicates: doc_id, n_shingles, component_id, kept.
 
@@ -105,8 +122,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        first. The others are combined, one from each collection, into keys^2 table keys - as many tables as
        2 * keys * hashes minhashes would give of plain bands only with the square of that work.
     3. Of each bucket, the least class is paired with the others; pairs are verified on full sets. The links
-       are closed into components, and in buckets that still have several components, classes of different
-       ones are paired and verified too, whatever their number.
+       are closed into components. Classes of buckets that still have several components are paired
+       across components by the prefixes of their sets, an exact filter, and verified too, whatever their number.
     4. Components of classes become components of documents.
 
     No cap: every pair that shares a table key is either verified or already in one component. Documents without
@@ -144,10 +161,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found, _ = written(components(stars), "near-components")
     placed = table.join(small(found), F.col("cls") == F.col("node"), "left").select("key", "low", "cls", F.coalesce("root", "cls").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    still, still_at = written(placed.join(open_keys, "key", "left_semi"), "near-open")
-    other = still.select("key", F.col("cls").alias("b"), F.col("root").alias("root2"))
-    pairs = still.join(other, "key").filter("cls < b and root <> root2 and cls <> low").select(F.col("cls").alias("a"), "b").distinct()
-    links, _ = written(verified(pairs), "near-links")
+    still, still_at = written(placed.join(open_keys, "key", "left_semi").select("cls", "root").distinct(), "near-open")
+    links, _ = written(verified(prefix_pairs(sets.join(small(still), "cls"), percent)), "near-links")
     if not links.isEmpty():
         found, _ = written(components(stars.unionByName(links)), "near-components")
     removed(spark, still_at, table_at)
