@@ -2,19 +2,23 @@
 
 from tidemark.llm.decontamination import OP8_SQL, op8_decontamination
 from tidemark.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from tidemark.llm.html_extraction import op7_html_extraction
 from tidemark.llm.lm_scoring import op9_lm_scoring
 from tidemark.llm.near_dedup import OP4_SQL, op4_near_dedup
 from tidemark.llm.quality import op6_quality
 from tidemark.llm.secrets import op5_secrets
+from tidemark.llm.sentence_pieces import op1_sentence_pieces
 from tidemark.llm.token_output import op2_token_output
 from tidemark.llm.toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_sentence_pieces": op1_sentence_pieces,
     "op2_token_output": op2_token_output,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
+    "op7_html_extraction": op7_html_extraction,
     "op8_decontamination": op8_decontamination,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_exact_dedup": op10_exact_dedup,
