@@ -31,16 +31,30 @@ def encode_blocks(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, n
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     end = np.minimum((np.arange(n) // block + 1) * block, n)
+    left = np.minimum(end - np.arange(n), 240).astype(np.uint8)  # values to the end of the block
     bits = np.zeros(n, np.int8)
+    top = int(v.max()).bit_length()
     for b in (32, 16, 8, 4, 2, 1):
-        bits[(v >> bits.astype(np.uint64)) >= np.uint64(1 << b)] += b
+        if b < top:
+            bits[(v >> bits.astype(np.uint64)) >= np.uint64(1 << b)] += b
     bits += v != 0
+    # widest[p][i]: the width that the 2^p values from i need; two of them that overlap cover any count
+    widest = [bits]
+    while 2 ** len(widest) <= 240:
+        shift, m = 2 ** (len(widest) - 1), widest[-1].copy()
+        np.maximum(m[:-shift], m[shift:], out=m[:-shift])
+        widest.append(m)
     choice = np.full(n, ESCAPE, np.int8)
-    at = np.arange(n)
     for s in range(14, -1, -1):  # the selector of most values that fit, and that end in the block, wins
-        bad = np.concatenate([[0], np.cumsum(bits > WIDTH[s])])
-        last = at + COUNT[s]
-        fits = (last <= end) & (bad[np.minimum(last, n)] == bad[at])
+        c, width = int(COUNT[s]), int(WIDTH[s])
+        p = c.bit_length() - 1
+        rest = c - 2**p
+        fits = widest[p] <= width
+        if not fits.any():
+            break
+        if rest:
+            fits[:-rest] &= fits[rest:].copy()
+        fits &= left >= c
         choice[fits] = s
     step = COUNT[choice]
     starts = np.arange(0, n, block)
@@ -97,19 +111,20 @@ def decode_blocks(words: np.ndarray, block_at: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------ tokenizer
 
-#: Chunks of these characters only are split here just as the tokenizer splits them; others go to it whole.
-_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
+#: Texts of these characters only are split here just as the tokenizer splits them; others go to it by chunks.
+_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+_PIECE = re.compile("[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\\[-`{-~]+")
 _encoders: dict[str, CachedEncoder] = {}
 
 
 class CachedEncoder:
-    """Encodes texts by white-space separated chunks, each of which the tokenizers library encodes once.
+    """Encodes texts by pieces (as the tokenizer itself splits plain texts) or else by chunks between white
+    space, each of which the tokenizers library encodes once.
 
     The tokenizer must never join characters across ASCII white space; that is so where, as in
     word_bpe_49k.json, white space is dropped before the model. Ids are kept as packed bytes."""
 
-    LIMIT = 400_000
+    LIMIT = 800_000
 
     def __init__(self, path: str) -> None:
         import os
@@ -121,11 +136,10 @@ class CachedEncoder:
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.chunks: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        ends = "word_bpe" in path
+        self.splits = "word_bpe" in path  # else every chunk goes to the library whole
         self.ends = np.zeros(1 << 17, bool)
-        if ends:
-            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-                self.ends[i] = token.endswith("</w>")
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if self.splits else ():
+            self.ends[i] = token.endswith("</w>")
 
     @classmethod
     def of(cls, path: str) -> CachedEncoder:
@@ -138,46 +152,56 @@ class CachedEncoder:
 
     def _learn_pieces(self, new: list[str]) -> None:
         """Pieces are encoded many at a time; a token that ends a word ends a piece."""
-        for i in range(0, len(new), 512):
-            some = new[i : i + 512]
+        width = np.dtype(self.kind).itemsize
+        for i in range(0, len(new), 1024):
+            some = new[i : i + 1024]
             ids = np.array(self._ids([" ".join(some)])[0], np.int64)
-            cut = np.flatnonzero(self.ends[ids]) + 1
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
             if len(cut) == len(some):
-                for piece, part in zip(some, np.split(ids, cut[:-1]), strict=True):
-                    self.pieces[piece] = part.astype(self.kind).tobytes()
+                data = ids.astype(self.kind).tobytes()
+                self.pieces.update((piece, data[a:b]) for piece, a, b in zip(some, [0, *cut], cut, strict=False))
             else:
                 for piece, part in zip(some, self._ids(some), strict=True):
                     self.pieces[piece] = np.array(part, self.kind).tobytes()
 
-    def _learn(self, new: set[bytes]) -> None:
-        split, whole = {}, []
-        for c in new:
-            if _PLAIN.match(c) and b"<|" not in c and self.ends.any():
-                split[c] = _PIECE.findall(c.decode().lower())
-            else:
-                whole.append(c)
-        for c, ids in zip(whole, self._ids([c.decode() for c in whole]), strict=True):
+    def _learn_chunks(self, new: list[bytes]) -> None:
+        for c, ids in zip(new, self._ids([c.decode() for c in new]), strict=True):
             self.chunks[c] = np.array(ids, self.kind).tobytes()
-        wanted = {p for pieces in split.values() for p in pieces}.difference(self.pieces)
-        if len(self.pieces) + len(wanted) > self.LIMIT:
-            self.pieces.clear()
-            wanted = {p for pieces in split.values() for p in pieces}
-        self._learn_pieces(sorted(wanted))
-        for c, pieces in split.items():
-            self.chunks[c] = b"".join([self.pieces[p] for p in pieces])
+
+    def _packed(self, split: list[list], table: dict, learn) -> list[bytes]:
+        """Ids of split texts. One look-up for each part; what isn't there is learned for all texts at once."""
+        found, gaps, new = [], [], set()
+        for parts in split:
+            ids = list(map(table.get, parts))
+            at, gap = -1, []
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                gap.append(at)
+            new.update(parts[k] for k in gap)
+            found.append(ids)
+            gaps.append(gap)
+        if new and len(table) + len(new) > self.LIMIT:
+            table.clear()
+            learn(sorted(set().union(*split)))
+        elif new:
+            learn(sorted(new))
+        for parts, ids, gap in zip(split, found, gaps, strict=True):
+            for k in gap:
+                ids[k] = table[parts[k]]
+        return [b"".join(ids) for ids in found]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Packed ids of each text (null: of the empty text), whole. What these texts need stays in the cache meanwhile."""
-        words = [(text or b"").split() for text in texts]
-        new: set[bytes] = set()
-        for w in words:
-            new |= set(w).difference(self.chunks)
-        if new and len(self.chunks) + len(new) > self.LIMIT:
-            self.chunks.clear()
-            new = set().union(*words)
-        if new:
-            self._learn(new)
-        return [b"".join(map(self.chunks.__getitem__, w)) for w in words]
+        """Packed ids of each text (null: of the empty text), whole."""
+        pieces, chunks = {}, {}
+        for k, text in enumerate(texts):
+            s = (text or b"").decode()
+            if self.splits and _PLAIN.fullmatch(s) and "<|" not in s:
+                pieces[k] = _PIECE.findall(s.lower())
+            else:
+                chunks[k] = (text or b"").split()
+        out = dict(zip(pieces, self._packed(list(pieces.values()), self.pieces, self._learn_pieces), strict=True))
+        out |= zip(chunks, self._packed(list(chunks.values()), self.chunks, self._learn_chunks), strict=True)
+        return [out[k] for k in range(len(texts))]
 
 
 # ------------------------------------------------------------------- segments
@@ -210,8 +234,8 @@ def _segments(path: str, end_id: int):
         ids, packed, size = [], [], 0
         for batch in batches:
             column, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for i in range(0, len(texts), 64):
-                for doc, text, p in zip(column[i : i + 64], texts[i : i + 64], encoder.encode(texts[i : i + 64]), strict=True):
+            for i in range(0, len(texts), 256):
+                for doc, text, p in zip(column[i : i + 256], texts[i : i + 256], encoder.encode(texts[i : i + 256]), strict=True):
                     ids.append(doc)
                     packed.append(p + end)
                     size += len(text or b"") + 8
