@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from tidemark.llm.common import ship, small, written
 
 #: Least share of a template's text that its content slot holds, and least pages that share an occurrence vector.
 SHARE, SUPPORT = 0.5, 2
+#: Characters from which a path is told by a digest.
+MAX_PATH = 1000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _LABEL = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -33,7 +37,7 @@ _ENDS = {"p": ({"p"}, {"table", "button", "td", "div", "section", "article"}), "
 
 
 class Page:
-    """A walk over a page. ``paths``: by path of labelled elements, how many there are and characters of kept text in them.
+    """A walk over a page. ``paths``: by path of labelled elements, how many there are, characters of kept text in them, and depth.
     ``blocks``: texts of the blocks under ``root`` (all, if None), in page order."""
 
     def __init__(self, page: str, root: str | None = None) -> None:
@@ -41,6 +45,7 @@ class Page:
         self.blocks: list[str] = []
         self._root, self._buffer = root, []
         self._stack: list[list] = []  # tag, path, dropped, in root, in a link, characters
+        self._open_tags: Counter[str] = Counter()
         self._inside = self._dropped = self._link = False
         at, size = 0, len(page)
         while at < size:
@@ -84,7 +89,7 @@ class Page:
     def _open(self, tag: str, rest: str) -> None:
         if tag in _ENDS or tag in _BLOCK:
             targets, stops = _ENDS["p"] if tag in _BLOCK and tag not in _ENDS else _ENDS[tag]
-            for k in range(len(self._stack) - 1, -1, -1):
+            for k in range(len(self._stack) - 1 if any(self._open_tags[t] for t in targets) else -1, -1, -1):
                 name = self._stack[k][0]
                 if name in targets:
                     while len(self._stack) > k:
@@ -112,15 +117,19 @@ class Page:
         if tag == "header":
             drop = drop or not any(x[0] in ("article", "main") for x in self._stack)
         path = f"{self._stack[-1][1]}>{label}" if self._stack else label
+        if len(path) > MAX_PATH:  # of very deep nesting, or of very long labels
+            path = "#" + hashlib.blake2b(path.encode(), digest_size=12).hexdigest()
+        self._open_tags[tag] += 1
         self._dropped, self._link = self._dropped or drop, self._link or tag == "a"
         self._inside = self._inside or path == self._root
         self._stack.append([tag, path, self._dropped, self._inside, self._link, 0])
 
     def _pop(self) -> None:
-        tag, path, dropped, _, _, size = self._stack.pop()
+        tag, path, _, _, _, size = self._stack.pop()
+        self._open_tags[tag] -= 1
         if tag in _BLOCK:
             self._flush()
-        seen = self.paths.setdefault(path, [0, 0])
+        seen = self.paths.setdefault(path, [0, 0, len(self._stack)])
         seen[0] += 1
         seen[1] += size
         if self._stack:
@@ -132,7 +141,7 @@ class Page:
     def _close(self, tag: str) -> None:
         if tag in _BLOCK:
             self._flush()
-        for k in range(len(self._stack) - 1, -1, -1):
+        for k in range(len(self._stack) - 1 if self._open_tags[tag] else -1, -1, -1):
             if self._stack[k][0] == tag:
                 while len(self._stack) > k:
                     self._pop()
@@ -147,7 +156,7 @@ def _tokens(batches):
     for batch in batches:
         rows = []
         for host, rid, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            rows += [(host, rid, path, n, size, path.count(">")) for path, (n, size) in Page(page or "").paths.items()]
+            rows += [(host, rid, path, n, size, depth) for path, (n, size, depth) in Page(page or "").paths.items()]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["host", "page", "token", "n", "size", "depth"])
 
@@ -168,10 +177,13 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = seen.groupBy("host", "token", "depth").agg(*vector, F.count(F.lit(1)).alias("support"), F.max("n").alias("most"), F.sum("size").alias("size"))
     tokens, _ = written(tokens, "html-tokens")
     hosts = tokens.groupBy("host").agg(F.max("support").alias("pages"))
-    valid = tokens.filter("most = 1 and size > 0").join(small(hosts), tokens["host"].eqNullSafe(hosts["host"])).filter((F.col("support") >= SUPPORT) | (F.col("pages") < SUPPORT)).select(tokens["host"], "token", "depth", "v1", "v2", "support", "size")
-    classes = valid.groupBy("host", "v1", "v2", "support").agg(F.max("size").alias("whole")).withColumnRenamed("host", "h")
-    same = valid["host"].eqNullSafe(classes["h"]) & (valid["v1"] == classes["v1"]) & (valid["v2"] == classes["v2"]) & (valid["support"] == classes["support"])
-    slots = valid.join(small(classes), same).filter(F.col("size") >= F.col("whole") * SHARE).select(valid["host"], valid["v1"], valid["v2"], "token", "depth", "whole")
+    valid = tokens.filter("most = 1 and size > 0").join(small(hosts), "host").filter((F.col("support") >= SUPPORT) | (F.col("pages") < SUPPORT))
+    classes = valid.groupBy("host", "v1", "v2", "support").agg(F.max("size").alias("whole"))
+    slots = valid.join(small(classes), ["host", "v1", "v2", "support"]).filter(F.col("size") >= F.col("whole") * SHARE)
+    # a slot is a container, and an article is one as a whole
+    container = r"(?:^|>)(?:html|body|article|main|section|div|center|table|tbody|tr|td|dl|ul|ol)(?:[.#][^>]*)?$|^#"
+    article = F.regexp_extract("token", r"^(?:.*?>)?(?:article|main)(?:[.#][^>]*)?(?=>|$)", 0)
+    slots = slots.filter(F.col("token").rlike(container)).withColumn("token", F.when(article == "", F.col("token")).otherwise(article))
     roots = slots.groupBy("host", "v1", "v2").agg(F.max_by("token", F.struct("depth", "token")).alias("root"), F.max("whole").alias("whole"))
     roots = roots.groupBy("host", "root").agg(F.sum("whole").alias("whole"))
     return roots.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("whole")).alias("order"), "root"))).alias("roots")).select("host", F.col("roots.root").alias("roots"))
