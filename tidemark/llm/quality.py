@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import _SPACE, remainder, ship, texts_of, word_hashes
 from tidemark.llm.toxicity import sample
 
-#: Bound on the labelled documents that the field is fitted on, lines of one that are used to fit it, and the score from which a document is good.
-MAX_DOCS, FIT_LINES, GOOD = 4000, 200, 0.7
+#: Bounds on the labelled documents that the field is fitted on and on their bytes, and the score from which a document is good.
+MAX_DOCS, MAX_BYTES, GOOD = 4000, 16 << 20, 0.7
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b".,;:", b"!?", b"|", b"#$%&*~^", b"<>{}[]()=/\\", b"@_-+\"'`"]
 _CLASS = np.full(256, len(_GROUPS), np.int64)  # the last class: bytes of other characters
@@ -115,12 +115,10 @@ class Field:
 def fitted(texts: list[bytes | None], labels: list[int], steps: int = 120) -> Field:
     """A field fitted to labels of documents: each line has its document's, the likelihood of that labelling is
     maximised by Adam, and the aggregate is calibrated by a logistic curve on the same documents."""
-    parts, counts, base = [], [], 0
+    parts, counts = [], []
     for _, _, features, _, at in lines(texts):
-        for d in range(len(at) - 1):
-            k = min(at[d + 1] - at[d], FIT_LINES)
-            parts.append(features[at[d] : at[d] + k])
-            counts.append(k)
+        parts.append(features)
+        counts += np.diff(at).tolist()
     y = np.array(labels, int)
     width = lines_width()
     if not len(y) or y.min() == y.max():
@@ -178,11 +176,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
 
     A linear-chain conditional random field labels each line good or bad from its own and its neighbours' shape;
     a text's score is the mean of its lines' marginals weighted by length, calibrated. It is fitted on the driver
-    on a sample of at most ``max_docs`` labelled documents, of the first FIT_LINES lines each; scoring takes
-    every line of every row, where it is read. A null or empty text is one empty line; labels of one kind only
+    on a sample of at most ``max_docs`` labelled documents and MAX_BYTES; scoring takes every line of
+    every row, where it is read. A null or empty text is one empty line; labels of one kind only
     give every text the same score. Scores depend on the text only."""
     ship(docs.sparkSession)
-    texts, y = sample(docs, labels, "quality", max_docs)
+    texts, y = sample(docs, labels, "quality", max_docs, MAX_BYTES)
     field = fitted(texts, y)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(field), "doc_id long, score double, n_lines int, n_bad_lines int")
     return rows.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_lines", "n_bad_lines")

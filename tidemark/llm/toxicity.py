@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import _BYTE, _power, mixed, remainder, ship, texts_of, without, written
 
-#: Bound on the labelled documents that the model is fitted on, and on its features.
-MAX_DOCS, MAX_FEATURES = 8000, 4096
+#: Bounds on the labelled documents that the model is fitted on, on their bytes, and on its features.
+MAX_DOCS, MAX_BYTES, MAX_FEATURES = 5000, 24 << 20, 4096
 #: A feature must be in so many of those documents, and so many deviations from what chance gives it.
 MIN_DOCS, MIN_DEVIATION = 4, 4.0
 #: Of a sentence without evidence, at most.
@@ -27,7 +27,7 @@ _BITS = 20
 def sentences(texts: list[bytes | None], limit: int = 1 << 20):
     """Over runs of texts: (first, last + 1, joined bytes, where texts start, where sentences end, features, their words' starts).
 
-    Features are hashes of a word, of its first 4 and first 6 bytes and of its last 5, so that stems are met in new words."""
+    Features are hashes of a word, of its first 4, 5 and 6 bytes and of its last 5, so that stems are met in new words."""
     i = 0
     while i < len(texts):
         j, size, part = i, 0, []
@@ -43,7 +43,7 @@ def sentences(texts: list[bytes | None], limit: int = 1 << 20):
         prefix = np.zeros(len(a) + 1, np.uint64)
         np.cumsum(_BYTE[a] * up, out=prefix[1:])
         found = []
-        for seed, (s, e) in enumerate(((start, end), (start, start + 4), (start, start + 6), (end - 5, end)), 1):
+        for seed, (s, e) in enumerate(((start, end), (start, start + 4), (start, start + 5), (start, start + 6), (end - 5, end)), 1):
             ok = np.ones(len(s), bool) if seed == 1 else (s >= start) & (e <= end)
             found.append(np.where(ok, mixed((prefix[np.minimum(e, len(a))] - prefix[np.maximum(s, 0)]) * down[np.maximum(s, 0)] + np.uint64(seed)), np.uint64(0)))
         at = np.cumsum([0] + [len(x) + 1 for x in part])
@@ -51,6 +51,13 @@ def sentences(texts: list[bytes | None], limit: int = 1 << 20):
         i = j
 
 
+def worded(start: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Which stops end a sentence that has a word."""
+    real = np.zeros(len(stops), bool)
+    real[np.searchsorted(stops, start)] = True
+    return real
+
+
 class Model:
     """Evidence of a sentence: bias plus the weights of its distinct features."""
 
@@ -81,10 +88,11 @@ class Model:
         """Per text: noisy-or score, sentences, and the offending ones as (start, end, score) in code points."""
         for i, j, raw, at, stops, found, start in sentences(texts):
             owner = np.searchsorted(at, stops, "right") - 1
-            n = np.bincount(owner, minlength=j - i)
+            real = worded(start, stops)
+            n = np.bincount(owner[real], minlength=j - i)
             sent, feat = self.sentence_hits(found, start, stops)
             evidence = np.bincount(sent, weights=self.weights[feat], minlength=len(stops)) + self.bias
-            log_not = -np.logaddexp(0, evidence)
+            log_not = np.where(real, -np.logaddexp(0, evidence), 0.0)
             score = -np.expm1(np.bincount(owner, weights=log_not, minlength=j - i))
             p = -np.expm1(log_not)
             bad: dict[int, list] = {}
@@ -101,45 +109,53 @@ def fitted(texts: list[bytes | None], labels: list[int], steps: int = 200) -> Mo
     """A model of labelled documents: features whose documents' labels differ from chance, weights by Adam on noisy-or."""
     y = np.array(labels, float)
     rate = y.mean() if len(y) else 0.0
-    hashes, owners = [], []
+    slices: list[list] = [[] for _ in range(16)]
     for i, _, _, at, _, found, start in sentences(texts):
-        d = np.searchsorted(at, start, "right") - 1 + i
-        for h in found:
-            some = h != 0
-            hashes.append(h[some])
-            owners.append(d[some])
-    h, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, owners))
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    u, k = np.unique(h[new], return_inverse=True)
-    df, pos = np.bincount(k, minlength=len(u)), np.bincount(k, weights=y[d[new]], minlength=len(u))
+        h = np.concatenate(found)
+        d = np.tile(np.searchsorted(at, start, "right") - 1 + i, len(found))[h != 0]
+        h = h[h != 0]
+        order = np.lexsort((d, h))
+        h, d = h[order], d[order].astype(np.int32)
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        h, d = h[new], d[new]
+        cut = np.searchsorted(h >> np.uint64(60), np.arange(17))
+        for k in range(16):
+            slices[k].append((h[cut[k] : cut[k + 1]], d[cut[k] : cut[k + 1]]))
+    counted = []
+    for part in slices:  # a document is in one run, so its pairs are distinct already
+        u, k = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in part]]), return_inverse=True)
+        n = np.bincount(k, minlength=len(u))
+        d = np.concatenate([np.zeros(0, np.int32), *[d for _, d in part]])
+        often = n >= MIN_DOCS
+        counted.append((u[often], n[often], np.bincount(k, weights=y[d], minlength=len(u))[often]))
+        part.clear()
+    u, df, pos = (np.concatenate([c[i] for c in counted]) for i in range(3))
     deviation = np.abs(pos - df * rate) / np.sqrt(df * rate * (1 - rate) + 1e-9)
-    deviation[df < MIN_DOCS] = 0
     top = np.argsort(-deviation, kind="stable")[:MAX_FEATURES]
     top = top[deviation[top] >= MIN_DEVIATION]
     model = Model(u[top].astype(np.uint64), np.zeros(len(top)), MOST_BIAS)
     if not len(top):
         return model
-    sents, feats, docs, base = [], [], [], 0
+    sents, feats, docs, reals, base = [], [], [], [], 0
     for i, _, _, at, stops, found, start in sentences(texts):
         s, f = model.sentence_hits(found, start, stops)
         sents.append(s + base)
         feats.append(f)
         docs.append(np.searchsorted(at, stops, "right") - 1 + i)
+        reals.append(worded(start, stops))
         base += len(stops)
-    s, f, owner = np.concatenate(sents), np.concatenate(feats), np.concatenate(docs)
+    s, f, owner, real = np.concatenate(sents), np.concatenate(feats), np.concatenate(docs), np.concatenate(reals)
     w, bias = np.zeros(len(top)), MOST_BIAS
     m = v = np.zeros(len(top))
     for t in range(1, steps + 1):
         z = np.bincount(s, weights=w[f], minlength=base) + bias
-        log_not = -np.logaddexp(0, z)
+        log_not = np.where(real, -np.logaddexp(0, z), 0.0)
         p = -np.expm1(np.bincount(owner, weights=log_not, minlength=len(y)))
         # d loss / d log_not of a document, then through each sentence: d log_not / dz = -sigmoid(z)
         outer = np.where(y > 0, (1 - p) / np.maximum(p, 1e-9), -1.0)
-        slope = np.clip(outer, -1, 50)[owner] * -np.exp(z + log_not)
-        g = np.bincount(f, weights=slope[s], minlength=len(top)) / len(y) + 1e-4 * w
+        slope = outer[owner] * -np.exp(z + log_not)
+        g = np.bincount(f, weights=slope[s], minlength=len(top)) / len(y) + 0.02 / len(y) * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     order = np.argsort(u[top].astype(np.uint64))
@@ -159,16 +175,23 @@ def _scored(model: Model):
     return run
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int) -> tuple[list[bytes | None], list[int]]:
-    """Texts and labels of at most ``max_docs`` labelled documents, in the order of a hash of doc_id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, max_bytes: int = MAX_BYTES) -> tuple[list[bytes | None], list[int]]:
+    """Texts and labels of at most ``max_docs`` labelled documents of at most ``max_bytes`` together, in the order of a hash of doc_id.
 
-    Rows with crc32(doc_id as text) mod 4 = 2, null labels, and ids that are labelled both ways are left out."""
+    Rows with crc32(doc_id as text) mod 4 = 2, null labels, and ids that are labelled both ways are left out; of
+    rows of one id, the largest text is taken."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder("doc_id", 4) != 2)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y1")).filter("y = y1")
-    # two thirds more than the bound, as labels may be of documents that aren't here
-    some = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select("doc_id", "y")
-    some, _ = written(some, "labelled")
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [(r["text"] or "").encode() for r in rows], [int(r["y"]) for r in rows]
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    found = sizes.join(known, "doc_id").groupBy("doc_id").agg(F.max("bytes").alias("bytes"), F.first("y").alias("y")).orderBy(*order).limit(max_docs).collect()
+    labels_of, total = {}, 0
+    for r in found:
+        if total + r["bytes"] <= max_bytes:
+            labels_of[r["doc_id"]], total = int(r["y"]), total + r["bytes"]
+    some = docs.sparkSession.createDataFrame([(i,) for i in labels_of], "doc_id long")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).collect()
+    texts = {r["doc_id"]: r["text"].encode() for r in rows}
+    return [texts[i] for i in labels_of], list(labels_of.values())
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, threshold: float = TOXIC) -> DataFrame:
@@ -176,8 +199,8 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, t
 
     A document is a bag of sentences; the chance that a document is toxic is that of at least one of its
     sentences being so. Weights are learned from labels of documents alone, on a sample of at most ``max_docs``
-    (a bound of the driver's memory and time); every row of ``docs`` is scored, each where it is read. A null
-    or empty text is a sentence without evidence and scores next to 0; without labels of both kinds all do.
+    and MAX_BYTES (a bound of the driver's memory and time); every row of ``docs`` is scored, each where it is read. A text
+    without words (null, empty) has no sentence and scores 0; without labels of both kinds all do.
     Scores depend on the text only."""
     ship(docs.sparkSession)
     texts, y = sample(docs, labels, "toxic", max_docs)
