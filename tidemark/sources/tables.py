@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 _TEXT = "full_text_m string, text_m string"
 #: A post. Field names are those of the records.
-POST = T._parse_datatype_string(
+POST = (
     f"id_str_h string, lang string, created_at string, user struct<id_str_h: string>, in_reply_to_status_id_str_h string, in_reply_to_status_id_h string, quoted_status_id_str_h string, {_TEXT}, "
     f"retweeted_status struct<id_str_h: string, user: struct<id_str_h: string>, full_text_m: string, text_m: string>, quoted_status struct<id_str_h: string, user: struct<id_str_h: string>, full_text_m: string, text_m: string>, "
     "extension struct<google_translation_m: string, supervised_narratives: array<string>, supervised_stance: struct<am: string, pm: string, `?`: string>, sentiment_scores: struct<positive: string, negative: string, neutral: string>, socialsim_topic_vector: array<double>>, "
@@ -28,7 +28,7 @@ SIMULATION = "usr_id string, tweet_id string, parent_id string, root_id string,
 SUBMISSION = "id string, title string, author_id string, created_utc double, permalink string, num_comments long, comments_id array<string>, votable_ups long, votable_downs long, votable_likes boolean, score long, upvote_ratio double, is_self boolean, selftext string, url string"
 
 
-def read_posts(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = POST) -> tuple[DataFrame, DataFrame]:
+def read_posts(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType = POST) -> tuple[DataFrame, DataFrame]:
     """JSON-lines posts, and the lines that don't parse. The schema is given, never inferred."""
     raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(paths)
     return raw.filter(F.col("_corrupt").isNull()).drop("_corrupt"), raw.filter(F.col("_corrupt").isNotNull()).select("_corrupt")
