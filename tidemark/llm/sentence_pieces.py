@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import removed, ship, texts_of, written
+from tidemark.llm.common import mixed, removed, ship, texts_of, written
 
 #: Units (word parts that no piece reaches across) that are sent to the executors as one packed dictionary;
 #: rarer ones reach the documents that have them by a join.
 DICTIONARY_UNITS = 4_000_000
 #: Code points of the longest unit that is folded by Spark; the boundaries of one are bits of a long.
-FOLDED = 62
+FOLDED = 60
+#: Units of a partition of the lattice, whose groups are kept in a hash table.
+LATTICE_UNITS = 40_000
 
-_CHUNK = re.compile(rb" *[^ ]+| +\Z")
 _MARK = "▁"
 
 
@@ -28,7 +27,6 @@ class Pieces:
     """The piece table of a model file, and what else an encoder needs of it."""
 
     def __init__(self, path: str) -> None:
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -49,17 +47,16 @@ class Pieces:
         self.unk_score = min(s for _, _, s in self.rows) - 10
         self.surface = [b"" if p.type == kinds.CONTROL else b" \xe2\x81\x87 " if p.type == kinds.UNKNOWN else bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(_MARK, " ").encode() for p in proto.pieces]
         self.kind = "<u2" if len(proto.pieces) <= 1 << 16 else "<u4"
-        assert sentencepiece
 
-    def units(self, chunk: bytes) -> list[str]:
-        """A chunk of a text (spaces and what follows them), cut where no piece has the two characters side by side."""
-        s = chunk.decode().replace(" ", _MARK)
-        cut = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in self.bridges]
-        return [s[a:b] for a, b in zip([0, *cut], [*cut, len(s)], strict=True)] if cut else [s]
+    def marked(self, text: bytes | None) -> str:
+        """A text as the model sees it."""
+        s = (text or b"").decode().replace(" ", _MARK)
+        return _MARK + s if s and self.prefix else s
 
-    def chunks(self, text: bytes) -> list[bytes]:
-        text = text.replace(_MARK.encode(), b" ")
-        return _CHUNK.findall(b" " + text if self.prefix else text) if text else []
+    def units(self, text: str) -> list[str]:
+        """A marked text, cut where no piece has the two characters side by side."""
+        cut = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.bridges]
+        return [text[a:b] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)] if text else []
 
     def unknown(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unk]
@@ -68,17 +65,18 @@ class Pieces:
 # -------------------------------------------------------------------- lattice
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """Edges of each unit: unit, edges array<struct<i,k,id,score>>: the piece id covers k code points from i (1-based).
+def lattice(units: DataFrame, pieces: Pieces, table: DataFrame) -> DataFrame:
+    """Edges of each unit: unit, n, edges; an edge is a piece that covers k code points from i (1-based).
 
     Substrings of bounded length are exploded and joined by equality with the piece table, whose size the
-    vocabulary fixes; ``units`` comes partitioned by unit, so the group by unit moves nothing."""
-    spans = F.expr(f"explode(flatten(transform(sequence(1, char_length(unit)), i -> transform(sequence(1, least({longest}, char_length(unit) - i + 1)), k -> struct(i, k, substring(unit, i, k) AS piece))))) AS s")
-    cut = units.select("unit", spans).select("unit", "s.*")
-    found = cut.join(F.broadcast(pieces), "piece")
-    edges = found.groupBy("unit").agg(F.collect_list(F.struct("i", "k", "id", "score")).alias("e"))
-    # a unit without any edge has one unknown character
-    return units.select("unit").join(edges, "unit", "left").select("unit", F.coalesce("e", F.expr("cast(array() as array<struct<i:int,k:int,id:int,score:double>>)")).alias("edges"))
+    vocabulary fixes; ``units`` comes partitioned by unit, so the group by unit moves nothing. For Viterbi an edge is
+    a struct<i,k,id,score>; for merges it is packed into one long, of the piece's rank, i, k and id, in that order."""
+    spans = f"flatten(transform(sequence(1, char_length(unit)), i -> transform(sequence(1, least({pieces.longest}, char_length(unit) - i + 1)), k -> struct(i, k, substring(unit, i, k) AS piece))))"
+    # one more, empty substring keeps units of which no substring is a piece
+    cut = units.select("unit", "n", F.expr(f"explode(array_append({spans}, struct(0 AS i, 0 AS k, '' AS piece))) AS s")).select("unit", "n", "s.*")
+    found = cut.join(F.broadcast(table), "piece")
+    edge = F.expr("shiftleft(rank, 34) | shiftleft(cast(i AS bigint), 28) | shiftleft(cast(k AS bigint), 20) | id") if pieces.bpe else F.struct("i", "k", "id", "score")
+    return found.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(F.when(F.col("k") > 0, edge)).alias("edges"))
 
 
 def _viterbi(unk_score: float) -> Column:
@@ -93,27 +91,28 @@ def _viterbi(unk_score: float) -> Column:
     return step, back
 
 
+#: Of an edge: both ends as bits of the boundary set, and the boundaries inside.
+_FITS = "(m & x.ends) = x.ends AND bit_count(m & x.inner) = 1"
+#: Set on a boundary set where one pass over the edges may differ from merging best first.
+_DOUBT = "shiftleft(1L, 62)"
+
+
 def _merges() -> tuple[str, str]:
-    """Merges by score: a fold whose state is the set of boundaries between symbols, one bit for each. Each step
-    takes the best edge (then the leftmost) that joins two neighbouring symbols, until there is none."""
-    fits = "bit_get(m, x.i - 1) = 1 AND bit_get(m, x.i + x.k - 1) = 1 AND bit_count(shiftright(m, x.i) & (shiftleft(1L, x.k - 1) - 1)) = 1"
-    step = f"""aggregate(sequence(1, char_length(unit)), shiftleft(1L, char_length(unit) + 1) - 1, (m, n) ->
-        if(bit_count(m) = 2, m, coalesce(get(transform(slice(filter(ranked, x -> {fits}), 1, 1), x -> m & ~shiftleft(shiftright(m, x.i) & (shiftleft(1L, x.k - 1) - 1), x.i)), 0), m)))"""
-    back = """transform(filter(sequence(1, char_length(unit)), i -> bit_get(best, i - 1) = 1), i -> struct(i AS i, array_min(filter(sequence(1, char_length(unit) - i + 1), k -> bit_get(best, i + k - 1) = 1)) AS k))"""
-    return step, back
+    """Merges by score: folds whose state is the set of boundaries between symbols, one bit for each.
+
+    The first fold passes over the edges once, best score first (then leftmost), and merges two neighbouring symbols
+    wherever an edge joins just them. That is merging best first unless a merge makes room for a better edge that has
+    been passed; the fold looks for one at each merge, and marks the unit. For marked units, the second fold takes the
+    best edge that fits again and again until there is none."""
+    once = f"""aggregate(ranked, shiftleft(1L, char_length(unit) + 1) - 1, (m, x) -> if({_FITS},
+        if(exists(ranked, z -> z.place < x.place AND (m & ~x.inner & z.ends) = z.ends AND bit_count(m & ~x.inner & z.inner) = 1), (m & ~x.inner) | {_DOUBT}, m & ~x.inner), m))"""
+    slow = f"""aggregate(sequence(1, char_length(unit)), shiftleft(1L, char_length(unit) + 1) - 1, (m, n) ->
+        coalesce(get(transform(slice(filter(ranked, x -> {_FITS}), 1, 1), x -> m & ~x.inner), 0), m))"""
+    return once, slow
 
 
 def folded(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit and ids: the pieces of each unit, by the recurrence of the model's type over the lattice's edges."""
-    if pieces.bpe:
-        step, back = _merges()
-        ranked = edges.withColumn("ranked", F.expr("transform(sort_array(transform(filter(edges, x -> x.k > 1), x -> struct(-x.score AS r, x.i, x.k))), x -> struct(x.i, x.k))"))
-        path = ranked.withColumn("best", F.expr(step)).withColumn("path", F.expr(back))
-        # filter() keeps the order, so this is the id of the one edge there, or none for an unknown character
-        path = path.withColumn("path", F.expr("transform(path, t -> struct(t.i, t.k, coalesce(get(filter(edges, x -> x.i = t.i AND x.k = t.k), 0).id, -1) AS id))"))
-    else:
-        step, back = _viterbi(pieces.unk_score)
-        path = edges.withColumn("best", F.expr(step)).withColumn("path", F.expr(back))
+    """unit, n and ids: the pieces of each unit, by the recurrence of the model's type over the lattice's edges."""
     if pieces.byte:
         first = pieces.byte[0]
         if any(pieces.byte[b] != first + b for b in range(256)):
@@ -121,7 +120,21 @@ def folded(edges: DataFrame, pieces: Pieces) -> DataFrame:
         unknown = f"transform(sequence(1, octet_length(substring(unit, t.i, 1))), b -> {first} + cast(conv(substring(hex(encode(substring(unit, t.i, 1), 'UTF-8')), 2 * b - 1, 2), 16, 10) AS int))"
     else:
         unknown = f"array({pieces.unk})"
-    return path.select("unit", F.expr(f"flatten(transform(path, t -> if(t.id >= 0, array(t.id), {unknown})))").alias("ids"))
+    spelled = f"flatten(transform(path, t -> if(t.id >= 0, array(t.id), {unknown})))"
+    if not pieces.bpe:
+        step, back = _viterbi(pieces.unk_score)
+        return edges.withColumn("best", F.expr(step)).withColumn("path", F.expr(back)).select("unit", "n", F.expr(spelled).alias("ids"))
+    parts = """transform(sort_array(edges), (e, place) -> struct(place AS place, cast(shiftright(e, 28) & 63 AS int) AS i, cast(e & 1048575 AS int) AS id,
+        shiftleft(1L, cast((shiftright(e, 28) & 63) - 1 AS int)) | shiftleft(1L, cast((shiftright(e, 28) & 63) + (shiftright(e, 20) & 255) - 1 AS int)) AS ends,
+        shiftleft(shiftleft(1L, cast((shiftright(e, 20) & 255) - 1 AS int)) - 1, cast(shiftright(e, 28) & 63 AS int)) AS inner))"""
+    once, slow = _merges()
+    path = edges.withColumn("all", F.expr(parts)).withColumn("ranked", F.expr("filter(all, x -> x.inner <> 0)")).withColumn("m", F.expr(once))
+    path = path.withColumn("m", F.expr(f"if((m & {_DOUBT}) = 0, m, {slow})"))
+    # the edges between neighbouring boundaries; a symbol without one is an unknown character
+    path = path.withColumn("path", F.expr("sort_array(transform(filter(all, x -> (m & x.ends) = x.ends AND (m & x.inner) = 0), x -> struct(x.i AS i, x.id AS id)))"))
+    missing = "transform(filter(sequence(1, char_length(unit)), p -> bit_get(m, p - 1) = 1 AND NOT exists(path, t -> t.i = p)), p -> struct(p AS i, -1 AS id))"
+    whole = f"if(size(path) = bit_count(m) - 1, transform(path, t -> t.id), flatten(transform(sort_array(concat(path, {missing})), t -> if(t.id >= 0, array(t.id), {unknown}))))"
+    return path.select("unit", "n", F.expr(whole).alias("ids"))
 
 
 def merged_long(unit: str, pieces: Pieces, ids: dict[str, tuple[int, float]]) -> list[int]:
@@ -170,166 +183,230 @@ def merged_long(unit: str, pieces: Pieces, ids: dict[str, tuple[int, float]]) ->
 
 # ------------------------------------------------------------------ documents
 
-
-def _hash(units: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(u.encode(), 11) for u in units), np.uint64, len(units))
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_P = 0xA0761D6478BD642F | 1
+_powers: list[np.ndarray] = []
+
+
+class _Cutter:
+    """Cuts marked texts into units and hashes them, a run of texts at a time."""
+
+    RUN = 1 << 20
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        alphabet = sorted({c for p, _, _ in pieces.rows for c in p})
+        self.size = len(alphabet) + 1
+        self.of = np.zeros(0x110000, np.int32)
+        self.of[[ord(c) for c in alphabet]] = np.arange(1, self.size)
+        self.bridge = np.zeros(self.size * self.size, bool)
+        self.bridge[[self.of[ord(p[0])] * self.size + self.of[ord(p[1])] for p in pieces.bridges]] = True
+
+    def hashes(self, text: str, starts: np.ndarray | None = None, heads: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Where the units of a text start (or where given, or where texts begin), with the end, and their hashes."""
+        a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if starts is None:
+            cls = self.of[a]
+            cut = np.ones(len(a), bool)
+            cut[1:] = ~self.bridge[cls[:-1].astype(np.int64) * self.size + cls[1:]]
+            cut[heads[heads < len(a)]] = True
+            starts = np.flatnonzero(cut)
+        if not _powers or len(_powers[0]) < len(a) + 1:
+            n = max(len(a) + 1, 1 << 20)
+            _powers.clear()
+            for p in (_P, pow(_P, -1, 1 << 64)):
+                x = np.full(n, p, np.uint64)
+                x[0] = 1
+                _powers.append(np.multiply.accumulate(x))
+        sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum((a.astype(np.uint64) + _C1) * _powers[0][: len(a)], out=sums[1:])
+        at = np.append(starts, len(a))
+        return at, mixed((sums[at[1:]] - sums[at[:-1]]) * _powers[1][at[:-1]] ^ np.diff(at).astype(np.uint64) * _C2)
+
+    def unit_hashes(self, units: list[str]) -> np.ndarray:
+        at = np.cumsum([0] + [len(u) for u in units])
+        return self.hashes("".join(units), at[:-1])[1] if units else np.zeros(0, np.uint64)
+
+    def runs(self, texts: list[bytes | None]):
+        """(first, last + 1, marked text, where texts start in it, where units start, their hashes)."""
+        i = 0
+        while i < len(texts):
+            j, size, part = i, 0, []
+            while j < len(texts) and (j == i or size + len(texts[j] or b"") <= self.RUN):
+                part.append(self.pieces.marked(texts[j]))
+                size += len(texts[j] or b"")
+                j += 1
+            text, head = "".join(part), np.cumsum([0] + [len(x) for x in part])
+            yield i, j, text, head, *self.hashes(text, heads=head[:-1])
+            i = j
 
 
 def _new_units(pieces: Pieces):
-    """Distinct units of a task's texts, with the number of batches that they are in."""
+    """Distinct units of a task's texts that Spark folds; n counts tasks."""
 
     def run(batches):
         import pyarrow as pa
 
-        counts: dict[str, int] = {}
-        known: set[bytes] = set()
+        cutter, seen = _Cutter(pieces), set()
         for batch in batches:
-            chunks: set[bytes] = set()
-            for text in texts_of(batch.column(0)):
-                chunks.update(pieces.chunks(text or b""))
-            seen: set[str] = set()
-            for c in chunks:
-                seen.update(pieces.units(c))
-            for u in seen:
-                if len(u) <= FOLDED:
-                    counts[u] = counts.get(u, 0) + 1
-            if len(counts) > 300_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
-                counts = {}
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
-        known.clear()
+            found = []
+            for _, _, text, _, at, h in cutter.runs(texts_of(batch.column(0))):
+                u, k = np.unique(h, return_index=True)
+                a, b = at[k], at[k + 1]
+                short = b - a <= FOLDED
+                for x, s, e in zip(u[short].tolist(), a[short].tolist(), b[short].tolist(), strict=True):
+                    if x not in seen:
+                        seen.add(x)
+                        found.append(text[s:e])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(np.ones(len(found), np.int64))], names=["unit", "n"])
 
     return run
 
 
-def _packed(kind: str):
+def _packed(pieces: Pieces):
     def run(batches):
         import pyarrow as pa
 
+        cutter = _Cutter(pieces)
         for batch in batches:
             units, ids = batch.column(0).to_pylist(), batch.column(1)
-            yield pa.RecordBatch.from_arrays([pa.array([_hash(units).astype("<u8").tobytes()], pa.binary()), pa.array([np.diff(ids.offsets.to_numpy()).astype("<u4").tobytes()], pa.binary()), pa.array([ids.flatten().to_numpy().astype(kind).tobytes()], pa.binary())], names=["hash", "n", "ids"])
+            data = ids.flatten().to_numpy(zero_copy_only=False).astype(pieces.kind).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([cutter.unit_hashes(units).astype("<u8").tobytes()], pa.binary()), pa.array([np.diff(ids.offsets.to_numpy()).astype("<u2").tobytes()], pa.binary()), pa.array([data], pa.binary())], names=["hash", "n", "ids"])
 
     return run
 
 
 class _Dictionary:
-    def __init__(self, hashes: np.ndarray, at: np.ndarray, data: bytes) -> None:
-        self.hashes, self.at, self.data = hashes, at, data
+    """Ids of units by hash: sorted hashes, and where the ids of each start in a pool, and how many they are."""
+
+    def __init__(self, hashes: np.ndarray, start: np.ndarray, count: np.ndarray, pool: np.ndarray) -> None:
+        self.hashes, self.start, self.count, self.pool = hashes, start, count, pool
 
     @classmethod
-    def of(cls, encoded: DataFrame, kind: str) -> _Dictionary:
-        rows = encoded.mapInArrow(_packed(kind), "hash binary, n binary, ids binary").collect()
+    def of(cls, encoded: DataFrame, pieces: Pieces) -> _Dictionary:
+        rows = encoded.select("unit", "ids").mapInArrow(_packed(pieces), "hash binary, n binary, ids binary").collect()
         h = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["hash"], "<u8") for r in rows]])
-        n = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["n"], "<u4") for r in rows]]).astype(np.int64)
-        width = np.dtype(kind).itemsize
-        data = b"".join(bytes(r["ids"]) for r in rows)
-        end = np.cumsum(n) * width
+        n = np.concatenate([np.zeros(0, np.uint16), *[np.frombuffer(r["n"], "<u2") for r in rows]])
+        pool = np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), pieces.kind)
+        end = np.cumsum(n, dtype=np.int64)
         order = np.argsort(h, kind="stable")
-        h, at = h[order], np.stack([end - n * width, end], 1)[order]
+        h = h[order]
         if (h[1:] == h[:-1]).any():
             raise RuntimeError("two units of the dictionary have one 64-bit hash")
-        return cls(h, at.astype(np.int64), data)
+        return cls(h, (end - n)[order].astype(np.uint32), n[order], pool)
 
-    def find(self, units: list[str]) -> list[bytes | None]:
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes, and which of them are there."""
         if not len(self.hashes):
-            return [None] * len(units)
-        h = _hash(units)
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
         k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = (self.hashes[k] == h).tolist()
-        return [self.data[a:b] if ok else None for ok, (a, b) in zip(hit, self.at[k].tolist(), strict=True)]
-
-
-_LIMIT = 300_000
-_chunk_cache: dict = {}
+        return k, self.hashes[k] == h
 
 
 class _Encoder:
-    def __init__(self, pieces: Pieces, dictionary: _Dictionary, name: str) -> None:
-        self.pieces, self.dictionary = pieces, dictionary
+    def __init__(self, pieces: Pieces, dictionary: _Dictionary) -> None:
+        self.pieces, self.dictionary, self.cutter = pieces, dictionary, _Cutter(pieces)
         self.ids = {p: (i, s) for p, i, s in pieces.rows}
-        if _chunk_cache.get("name") != name:
-            _chunk_cache.clear()
-            _chunk_cache.update(name=name, chunks={})
-        self.cache: dict[bytes, bytes] = _chunk_cache["chunks"]
-
-    def _learn(self, new: set[bytes], more: dict[str, bytes]) -> list[str]:
-        """Fills the cache; returns units that neither the dictionary nor ``more`` has."""
-        split = {c: self.pieces.units(c) for c in new}
-        wanted = sorted({u for us in split.values() for u in us})
-        short = [u for u in wanted if len(u) <= FOLDED]
-        found: dict[str, bytes | None] = dict(zip(short, self.dictionary.find(short), strict=True))
-        for u in wanted:
-            if len(u) > FOLDED:
-                found[u] = np.array(merged_long(u, self.pieces, self.ids), self.pieces.kind).tobytes()
-            elif found[u] is None:
-                found[u] = more.get(u)
-        for c, us in split.items():
-            if all(found[u] is not None for u in us):
-                self.cache[c] = b"".join([found[u] for u in us])
-        return [u for u in wanted if found[u] is None]
-
-    def prepare(self, texts: list[bytes | None], more: dict[str, bytes]) -> tuple[list[list[bytes]], list[str]]:
-        chunks = [self.pieces.chunks(t or b"") for t in texts]
-        new: set[bytes] = set()
-        for c in chunks:
-            new |= set(c).difference(self.cache)
-        if new and len(self.cache) + len(new) > _LIMIT:
-            self.cache.clear()
-            new = set().union(*chunks)
-        return chunks, self._learn(new, more) if new else []
-
-    def encode(self, chunks: list[bytes]) -> np.ndarray:
-        ids = np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), self.pieces.kind)
-        if not self.pieces.byte and len(ids):  # the library gives a run of unknown characters one id
-            ids = ids[np.append(True, (ids[1:] != self.pieces.unk) | (ids[:-1] != self.pieces.unk))]
-        return ids
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        text = b"".join(map(self.pieces.surface.__getitem__, ids.tolist()))
-        return text[1:] if self.pieces.prefix and text[:1] == b" " else text
-
-
-def _missing(model: str, shared, name: str):
+        self.width = np.array([len(x) for x in pieces.surface])
+        self.begin = np.cumsum(self.width) - self.width
+        self.bytes = np.frombuffer(b"".join(pieces.surface), np.uint8)
+
+    def missing(self, texts: list[bytes | None]) -> list[tuple[int, str]]:
+        """(text, unit) of units that Spark folds and the dictionary doesn't have."""
+        out = []
+        for i, _, text, head, at, h in self.cutter.runs(texts):
+            lost = np.flatnonzero(~self.dictionary.find(h)[1] & (np.diff(at) <= FOLDED))
+            out += [(i + int(np.searchsorted(head, at[k], "right")) - 1, text[at[k] : at[k + 1]]) for k in lost.tolist()]
+        return list(dict.fromkeys(out))
+
+    def encode(self, texts: list[bytes | None], more: dict[str, list[int]] | None = None):
+        """Over runs: (first, last + 1, ids of all, offsets of each text's)."""
+        d, kind = self.dictionary, self.pieces.kind
+        for i, j, text, head, at, h in self.cutter.runs(texts):
+            u, first, back = np.unique(h, return_index=True, return_inverse=True)
+            k, hit = d.find(u)
+            start, count = (x[k].astype(np.int64) if len(d.hashes) else np.zeros(len(u), np.int64) for x in (d.start, d.count))
+            pool, size = [d.pool], len(d.pool)
+            for x in np.flatnonzero(~hit).tolist():
+                unit = text[at[first[x]] : at[first[x] + 1]]
+                ids = merged_long(unit, self.pieces, self.ids) if len(unit) > FOLDED else (more or {}).get(unit)
+                if ids is None:
+                    raise RuntimeError(f"a unit without pieces: {unit!r}")
+                start[x], count[x] = size, len(ids)
+                pool.append(np.array(ids, kind))
+                size += len(ids)
+            pool_ = np.concatenate(pool) if len(pool) > 1 else d.pool
+            n, s = count[back], start[back]
+            end = np.cumsum(n)
+            ids = pool_[np.repeat(s - (end - n), n) + np.arange(end[-1] if len(end) else 0)] if len(n) else np.zeros(0, kind)
+            bounds = np.append(0, end)[np.searchsorted(at[:-1], head)]
+            if not self.pieces.byte and len(ids):  # the library gives a run of unknown characters of a text one id
+                keep = np.append(True, (ids[1:] != self.pieces.unk) | (ids[:-1] != self.pieces.unk))
+                keep[bounds[:-1][np.diff(bounds) > 0]] = True
+                ids, bounds = ids[keep], np.append(0, np.cumsum(keep))[bounds]
+            yield i, j, ids, bounds
+
+    def spell(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids, and offsets of each text's."""
+        n = self.width[ids]
+        end = np.cumsum(n)
+        data = self.bytes[np.repeat(self.begin[ids] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        return data, np.append(0, end)[bounds]
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        data, at = self.spell(ids, bounds)
+        texts = [data[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return [x[1:] if self.pieces.prefix and x[:1] == b" " else x for x in texts]
+
+
+_encoders: dict = {}
+
+
+def _encoder(model: str, shared) -> _Encoder:
+    """One encoder a worker and dictionary."""
+    key = (model, shared.value.hashes.ctypes.data if len(shared.value.hashes) else 0, len(shared.value.hashes))
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = _Encoder(Pieces(model), shared.value)
+    return _encoders[key]
+
+
+def _missing(model: str, shared):
     """Units of each text that the dictionary doesn't have."""
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = _Encoder(Pieces(model), shared.value, name)
+        encoder = _encoder(model, shared)
         for batch in batches:
-            keys, out = batch.column(0).to_pylist(), []
-            for key, text in zip(keys, texts_of(batch.column(1)), strict=True):
-                seen = {u for c in set(encoder.pieces.chunks(text or b"")) for u in encoder.pieces.units(c) if len(u) <= FOLDED}
-                units = sorted(seen)
-                out += [(key, u) for u, found in zip(units, encoder.dictionary.find(units), strict=True) if found is None]
+            keys = batch.column(0).to_pylist()
+            out = [(keys[k], unit) for k, unit in encoder.missing(texts_of(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in (0, 1)], names=["key", "unit"])
 
     return run
 
 
-def _encoded(model: str, shared, name: str):
+def _encoded(model: str, shared):
     def run(batches):
         import pyarrow as pa
 
-        encoder = _Encoder(Pieces(model), shared.value, name)
+        encoder = _encoder(model, shared)
+        mark = _MARK.encode()
         for batch in batches:
             docs, texts = batch.column(0), texts_of(batch.column(1))
-            extra = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(texts)
-            for i in range(0, len(texts), 64):
-                some, more = texts[i : i + 64], {}
-                for x in extra[i : i + 64]:
-                    more.update((e["unit"], np.array(e["ids"], encoder.pieces.kind).tobytes()) for e in x or ())
-                chunks, lost = encoder.prepare(some, more)
-                if lost:
-                    raise RuntimeError(f"units without pieces: {lost[:3]}")
-                ids = [encoder.encode(c) for c in chunks]
-                same = [encoder.decode(x) == (t or b"").replace(_MARK.encode(), b" ") for x, t in zip(ids, some, strict=True)]
-                at = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids).astype(np.int32)))
-                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                yield pa.RecordBatch.from_arrays([docs.slice(i, 64), lists, pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "ids", "n_tokens", "ids_crc32", "decodes"])
+            extra = batch.column(2).to_pylist() if batch.num_columns > 2 else []
+            more = {e["unit"]: e["ids"] for x in extra for e in x or ()}
+            for i, j, ids, bounds in encoder.encode(texts, more):
+                data, at = encoder.spell(ids, bounds)
+                want = b"".join((b" " if t and encoder.pieces.prefix else b"") + (t or b"").replace(mark, b" ") for t in texts[i:j])
+                if data.tobytes() == want:
+                    same = [True] * (j - i)
+                else:
+                    same = [x == (t or b"").replace(mark, b" ") for x, t in zip(encoder.decode(ids, bounds), texts[i:j], strict=True)]
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([docs.slice(i, j - i), lists, pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "ids_crc32", "decodes"])
 
     return run
 
@@ -350,33 +427,39 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     ship(spark)
     pieces = Pieces(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = spark.createDataFrame(pieces.rows, T.StructType([T.StructField("piece", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+    best = sorted(pieces.rows, key=lambda p: (-p[2], p[1]))
+    schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType())])
+    table = spark.createDataFrame([("", 0, 0.0, 0)] + [(*p, k) for k, p in enumerate(best)], schema)
     units = rows.select("text").mapInArrow(_new_units(pieces), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     units, units_at = written(units, "sp-units")
-    encoded, encoded_at = written(folded(lattice(units, table, pieces.longest), pieces), "sp-encoded")
-    tail = None
-    if units.count() > dictionary_units:
-        sizes = sorted((tuple(r) for r in units.select(F.least("n", F.lit(1000)).alias("n")).groupBy("n").count().collect()), reverse=True)
-        total, least = 0, 1001
+    total = units.count()
+    spread = units.repartition(max(1, -(-total // LATTICE_UNITS)), "unit")
+    fallback = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"  # groups of such partitions fit into memory
+    before = spark.conf.get(fallback, None)
+    spark.conf.set(fallback, str(4 * LATTICE_UNITS))
+    try:
+        encoded, encoded_at = written(folded(lattice(spread, pieces, table), pieces), "sp-encoded")
+    finally:
+        spark.conf.set(fallback, before) if before is not None else spark.conf.unset(fallback)
+    removed(spark, units_at)
+    tail, hot = None, encoded
+    if total > dictionary_units:
+        sizes = sorted((tuple(r) for r in encoded.select(F.least("n", F.lit(1000)).alias("n")).groupBy("n").count().collect()), reverse=True)
+        held, least = 0, 1001
         for n, count in sizes:
-            if total + count > dictionary_units:
+            if held + count > dictionary_units:
                 break
-            total, least = total + count, n
-        wide = units.filter(F.col("n") >= least).select("unit")
-        tail, _ = written(encoded.join(wide, "unit", "left_anti"), "sp-tail")
-        hot = encoded.join(wide, "unit", "left_semi")
-    else:
-        hot = encoded
-    shared = spark.sparkContext.broadcast(_Dictionary.of(hot, pieces.kind))
-    name = encoded_at
+            held, least = held + count, n
+        hot, tail = encoded.filter(F.col("n") >= least), encoded.filter(F.col("n") < least)
+    shared = spark.sparkContext.broadcast(_Dictionary.of(hot, pieces))
     if tail is None:
-        removed(spark, units_at, encoded_at)
+        removed(spark, encoded_at)
     else:
         keyed = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.xxhash64("text").cast("string"))))
-        lost = keyed.select("key", "text").mapInArrow(_missing(model, shared, name), "key string, unit string").distinct()
+        lost = keyed.select("key", "text").mapInArrow(_missing(model, shared), "key string, unit string").distinct()
         extra = lost.join(tail, "unit").groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
         rows = keyed.join(extra, "key", "left").select("doc_id", "text", "extra")
-    return rows.mapInArrow(_encoded(model, shared, name), "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decodes boolean")
+    return rows.mapInArrow(_encoded(model, shared), "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decodes boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
@@ -386,10 +469,13 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        encoder = _Encoder(Pieces(model), _Dictionary(np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), b""), "decode")
+        none = np.zeros(0, np.int64)
+        encoder = _Encoder(Pieces(model), _Dictionary(none.astype(np.uint64), none, none, none))
         for batch in batches:
-            texts = [encoder.decode(np.array(x or [], np.int64)).decode(errors="replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            lists = [x or [] for x in batch.column(1).to_pylist()]
+            bounds = np.cumsum([0] + [len(x) for x in lists])
+            texts = encoder.decode(np.array([i for x in lists for i in x], np.int64), bounds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode(errors="replace") for t in texts], pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
