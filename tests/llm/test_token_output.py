@@ -32,7 +32,7 @@ def test_packs():
 
 ODD = [
     "", " \t\n", "It's we'LL DON'T 'sx", "a1b22c", "<|endoftext|>x <|startoftext|> <|", "ÀÉÎ straße ÿ × ÷", "é ́a", "漢字 ΑΣ ΟΔΟΣ", "a b c\x1cd\x85e",
-    "###%%% $5,000.00 http://x.y/z?q=1", "x" * 3000, "ªº²¼ İ ſ K", "🙂👍🏽", "'" * 50,
+    "###%%% $5,000.00 http://x.y/z?q=1", "x" * 3000, "ªº²¼ İ ſ K", "🙂👍🏽", "'" * 50, "don't", "no apostrophe 12,34.5 ### À la carte",
 ]
 
 

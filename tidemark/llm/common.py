@@ -114,10 +114,26 @@ def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word[1:-1] = ~_SPACE[a]
     edge = np.diff(word)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return span_hashes(a, start, end), start, end
+
+
+def span_hashes(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes, by the polynomial prefix hash."""
     up, down = _power(len(a))
     prefix = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_BYTE[a] * up, out=prefix[1:])
-    return mixed((prefix[end] - prefix[start]) * down[start]), start, end
+    return mixed((prefix[end] - prefix[start]) * down[start])
+
+
+def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, where one of each is, and the place of each value among them."""
+    order = np.argsort(h)
+    ranked = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], back
 
 
 def hashed(texts: list[bytes | None], limit: int = 1 << 20):

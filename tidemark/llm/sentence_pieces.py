@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import mixed, removed, ship, texts_of, written
+from tidemark.llm.common import grouped, mixed, removed, ship, texts_of, written
 
 #: Units (word parts that no piece reaches across) that are sent to the executors as one packed dictionary;
 #: rarer ones reach the documents that have them by a join.
@@ -251,7 +251,7 @@ def _new_units(pieces: Pieces):
         for batch in batches:
             found = []
             for _, _, text, _, at, h in cutter.runs(texts_of(batch.column(0))):
-                u, k = np.unique(h, return_index=True)
+                u, k, _ = grouped(h)
                 a, b = at[k], at[k + 1]
                 short = b - a <= FOLDED
                 for x, s, e in zip(u[short].tolist(), a[short].tolist(), b[short].tolist(), strict=True):
@@ -323,7 +323,7 @@ class _Encoder:
         """Over runs: (first, last + 1, ids of all, offsets of each text's)."""
         d, kind = self.dictionary, self.pieces.kind
         for i, j, text, head, at, h in self.cutter.runs(texts):
-            u, first, back = np.unique(h, return_index=True, return_inverse=True)
+            u, first, back = grouped(h)
             k, hit = d.find(u)
             start, count = (x[k].astype(np.int64) if len(d.hashes) else np.zeros(len(u), np.int64) for x in (d.start, d.count))
             pool, size = [d.pool], len(d.pool)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, texts_of, written
+from tidemark.llm.common import grouped, ship, span_hashes, texts_of, written
 
 #: Simple-8b (Anh and Moffat 2010): a word is a 4-bit selector over 60 bits of payload.
 #: Selector s holds COUNT[s] values of WIDTH[s] bits; 0 and 1 are runs of zeros.
@@ -20,6 +20,7 @@ ESCAPE = 15
 #: Ids of a block, each of which starts at a word, and bytes of text of a segment.
 BLOCK, SEGMENT_BYTES = 1024, 4 << 20
 END_ID = 1
+_BITS = np.array([x.bit_length() for x in range(1 << 16)], np.int8)
 
 SEGMENTS = "part int, seq int, ids_before long, n_ids long, doc_ids binary, doc_nulls binary, doc_tokens binary, block_at binary, words binary"
 
@@ -33,11 +34,12 @@ def encode_blocks(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, n
     end = np.minimum((np.arange(n) // block + 1) * block, n)
     left = np.minimum(end - np.arange(n), 240).astype(np.uint8)  # values to the end of the block
     bits = np.zeros(n, np.int8)
-    top = int(v.max()).bit_length()
-    for b in (32, 16, 8, 4, 2, 1):
-        if b < top:
+    if v.max() < 1 << 16:
+        bits = _BITS[v.astype(np.uint16)]
+    else:
+        for b in (32, 16, 8, 4, 2, 1):
             bits[(v >> bits.astype(np.uint64)) >= np.uint64(1 << b)] += b
-    bits += v != 0
+        bits += v != 0
     # widest[p][i]: the width that the 2^p values from i need; two of them that overlap cover any count
     widest = [bits]
     while 2 ** len(widest) <= 240:
@@ -63,7 +65,9 @@ def encode_blocks(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, n
         picked.append(cursor[live])
         cursor[live] += step[cursor[live]]
         live = live[cursor[live] < end[starts[live]]]
-    pos = np.sort(np.concatenate(picked))
+    first = np.zeros(n, bool)
+    first[np.concatenate(picked)] = True
+    pos = np.flatnonzero(first)
     sel = choice[pos]
     size = 1 + (sel == ESCAPE)
     where = np.cumsum(size) - size
@@ -111,9 +115,13 @@ def decode_blocks(words: np.ndarray, block_at: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------ tokenizer
 
-#: Texts of these characters only are split here just as the tokenizer splits them; others go to it by chunks.
-_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
-_PIECE = re.compile("[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\\[-`{-~]+")
+#: Texts of these characters only, without an apostrophe (contractions are pieces) or the start of a special token,
+#: are split here just as the tokenizer splits them: runs of letters, runs of marks, single digits.
+_PLAIN = re.compile("[\t-\r -&(-~À-ÖØ-öø-ÿ]*")
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[32, *range(9, 14)]] = 0
+_KIND[[*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 1
+_KIND[48:58] = 2
 _encoders: dict[str, CachedEncoder] = {}
 
 
@@ -122,9 +130,10 @@ class CachedEncoder:
     space, each of which the tokenizers library encodes once.
 
     The tokenizer must never join characters across ASCII white space; that is so where, as in
-    word_bpe_49k.json, white space is dropped before the model. Ids are kept as packed bytes."""
+    word_bpe_49k.json, white space is dropped before the model. Pieces are told by 64-bit hashes."""
 
     LIMIT = 800_000
+    RUN = 1 << 20
 
     def __init__(self, path: str) -> None:
         import os
@@ -135,11 +144,17 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.splits = "word_bpe" in path  # else every chunk goes to the library whole
+        self.splits = "word_bpe" in path  # else every text goes to the library by chunks
         self.ends = np.zeros(1 << 17, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if self.splits else ():
             self.ends[i] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the piece cache: place of a piece by hash, and where its ids start in the pool, and how many they are."""
+        self.place: dict[int, int] = {}
+        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 18, self.kind), 0
 
     @classmethod
     def of(cls, path: str) -> CachedEncoder:
@@ -150,57 +165,84 @@ class CachedEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
         """Pieces are encoded many at a time; a token that ends a word ends a piece."""
-        width = np.dtype(self.kind).itemsize
-        for i in range(0, len(new), 1024):
-            some = new[i : i + 1024]
+        for i in range(0, len(pieces), 1024):
+            some = pieces[i : i + 1024]
             ids = np.array(self._ids([" ".join(some)])[0], np.int64)
-            cut = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
-            if len(cut) == len(some):
-                data = ids.astype(self.kind).tobytes()
-                self.pieces.update((piece, data[a:b]) for piece, a, b in zip(some, [0, *cut], cut, strict=False))
-            else:
-                for piece, part in zip(some, self._ids(some), strict=True):
-                    self.pieces[piece] = np.array(part, self.kind).tobytes()
-
-    def _learn_chunks(self, new: list[bytes]) -> None:
-        for c, ids in zip(new, self._ids([c.decode() for c in new]), strict=True):
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(some):
+                parts = self._ids(some)
+                ids, cut = np.array([x for p in parts for x in p], np.int64), np.cumsum([len(p) for p in parts])
+            k = len(self.place)
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            while k + len(some) > len(self.start):
+                self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+            first = np.append(0, cut[:-1])
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.start[k : k + len(some)], self.count[k : k + len(some)] = first + self.used, cut - first
+            self.place.update(zip(hashes[i : i + 1024], range(k, k + len(some)), strict=True))
+            self.used += len(ids)
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """Texts in Latin-1, lower-cased."""
+        a = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        kind = _KIND[a]
+        edge = np.ones(len(a), bool)
+        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        at = np.append(np.flatnonzero(edge), len(a))
+        real = kind[at[:-1]] != 0
+        start, end = at[:-1][real], at[1:][real]
+        u, first, back = grouped(span_hashes(a, start, end))
+        keys = u.tolist()
+        place = list(map(self.place.get, keys))
+        gaps, k = [], -1
+        for _ in range(place.count(None)):
+            k = place.index(None, k + 1)
+            gaps.append(k)
+        if gaps and len(self.place) + len(gaps) > self.LIMIT:
+            self._forget()
+            gaps = list(range(len(keys)))
+        if gaps:
+            raw, where = a.tobytes().decode("latin-1"), first[gaps]
+            self._learn([keys[g] for g in gaps], [raw[s:e] for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            place = list(map(self.place.__getitem__, keys))
+        p = np.array(place, np.int64)[back]
+        n, s = self.count[p], self.start[p]
+        stop = np.cumsum(n)
+        ids = self.pool[np.repeat(s - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
+        heads = np.cumsum([0] + [len(t) + 1 for t in texts])
+        bounds = (np.append(0, stop)[np.searchsorted(start, heads)] * self.pool.itemsize).tolist()
+        return [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _chunked(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        new = set().union(*words).difference(self.chunks)
+        if new and len(self.chunks) + len(new) > self.LIMIT:
+            self.chunks.clear()
+            new = set().union(*words)
+        some = sorted(new)
+        for c, ids in zip(some, self._ids([c.decode() for c in some]), strict=True):
             self.chunks[c] = np.array(ids, self.kind).tobytes()
-
-    def _packed(self, split: list[list], table: dict, learn) -> list[bytes]:
-        """Ids of split texts. One look-up for each part; what isn't there is learned for all texts at once."""
-        found, gaps, new = [], [], set()
-        for parts in split:
-            ids = list(map(table.get, parts))
-            at, gap = -1, []
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                gap.append(at)
-            new.update(parts[k] for k in gap)
-            found.append(ids)
-            gaps.append(gap)
-        if new and len(table) + len(new) > self.LIMIT:
-            table.clear()
-            learn(sorted(set().union(*split)))
-        elif new:
-            learn(sorted(new))
-        for parts, ids, gap in zip(split, found, gaps, strict=True):
-            for k in gap:
-                ids[k] = table[parts[k]]
-        return [b"".join(ids) for ids in found]
+        return [b"".join(map(self.chunks.__getitem__, w)) for w in words]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Packed ids of each text (null: of the empty text), whole."""
-        pieces, chunks = {}, {}
+        out: dict[int, bytes] = {}
+        plain: dict[int, bytes] = {}
+        size = 0
         for k, text in enumerate(texts):
             s = (text or b"").decode()
             if self.splits and _PLAIN.fullmatch(s) and "<|" not in s:
-                pieces[k] = _PIECE.findall(s.lower())
+                plain[k] = s.lower().encode("latin-1")
+                size += len(s)
             else:
-                chunks[k] = (text or b"").split()
-        out = dict(zip(pieces, self._packed(list(pieces.values()), self.pieces, self._learn_pieces), strict=True))
-        out |= zip(chunks, self._packed(list(chunks.values()), self.chunks, self._learn_chunks), strict=True)
+                out[k] = self._chunked([text or b""])[0]
+            if size > self.RUN:
+                out |= zip(plain, self._plain(list(plain.values())), strict=True)
+                plain, size = {}, 0
+        out |= zip(plain, self._plain(list(plain.values())), strict=True)
         return [out[k] for k in range(len(texts))]
 
 
@@ -234,8 +276,8 @@ def _segments(path: str, end_id: int):
         ids, packed, size = [], [], 0
         for batch in batches:
             column, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for i in range(0, len(texts), 256):
-                for doc, text, p in zip(column[i : i + 256], texts[i : i + 256], encoder.encode(texts[i : i + 256]), strict=True):
+            for i in range(0, len(texts), 1024):
+                for doc, text, p in zip(column[i : i + 1024], texts[i : i + 1024], encoder.encode(texts[i : i + 1024]), strict=True):
                     ids.append(doc)
                     packed.append(p + end)
                     size += len(text or b"") + 8
