@@ -17,7 +17,9 @@ BROADCAST_ROWS = 1_000_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver started."""
+    """Let Python workers import this package, wherever the driver started, and bound the batches that they get."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")

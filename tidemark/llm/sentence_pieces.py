@@ -191,7 +191,7 @@ _powers: list[np.ndarray] = []
 class _Cutter:
     """Cuts marked texts into units and hashes them, a run of texts at a time."""
 
-    RUN = 1 << 20
+    RUN = 1 << 19
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
