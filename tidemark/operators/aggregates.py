@@ -57,7 +57,7 @@ def type_counts(df: DataFrame, keys: Sequence[str], type_col: str, types: Sequen
 
 def activity_lists(posts: DataFrame) -> DataFrame:
     """A3: per user ``src|trg|datetime`` of all posts and by type, in time order."""
-    line = F.concat_ws("|", F.coalesce("tw_src_id", F.lit("")), "tw_id", "tw_datetime")
+    line = F.concat_ws("|", F.coalesce(F.col("tw_src_id").cast("string"), F.lit("")), "tw_id", "tw_datetime")
     part = lambda t: F.array_sort(F.collect_list(F.when(F.col("tw_type") == t, F.struct("tw_datetime", line.alias("x")))))
     out = posts.groupBy("usr_id").agg(F.array_sort(F.collect_list(F.struct("tw_datetime", line.alias("x")))).alias("all"), *[part(t).alias(t) for t in TYPES])
     return out.select("usr_id", *[F.transform(c, lambda s: s["x"]).alias(c) for c in ("all", *TYPES)])

@@ -174,6 +174,21 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def js_long(rows: DataFrame, key: str, item: str, n: str = "n") -> DataFrame:
+    """V6: (i, j, js) of all pairs of a few keys' distributions over any number of items, from long counts.
+
+    With m = (p + q) / 2, the divergence is 1 plus a sum over the items that both have (in units of ln 2), so only shared items are joined."""
+    totals = rows.groupBy(key).agg(F.sum(n).alias("_t"))
+    p = rows.join(bounded(totals), key).select(F.col(key).alias("k"), item, (F.col(n) / F.col("_t")).alias("p"))
+    both = p.select(F.col("k").alias("i"), item, F.col("p").alias("x")).join(p.select(F.col("k").alias("j"), item, F.col("p").alias("y")), item).filter("i < j")
+    x, y = F.col("x"), F.col("y")
+    part = (x * F.ln(x / (x + y)) + y * F.ln(y / (x + y)) + (x + y) * F.ln(F.lit(2.0))) / 2
+    alone = (x + y) / 2 * F.ln(F.lit(2.0))
+    pairs = totals.select(F.col(key).alias("i")).join(totals.select(F.col(key).alias("j")), F.col("i") < F.col("j"))
+    sums = both.groupBy("i", "j").agg(F.sum(part - alone).alias("d"))
+    return pairs.join(sums, ["i", "j"], "left").select("i", "j", F.sqrt(F.greatest(F.lit(0.0), F.ln(F.lit(2.0)) + F.coalesce("d", F.lit(0.0)))).alias("js"))
+
+
 def affinity(pairs: DataFrame, rescale: bool = True, diagonal: float = 0.0) -> DataFrame:
     """A symmetric matrix of pairs (a, b, similarity) in coordinate form, with its diagonal."""
     value = (F.coalesce("similarity", F.lit(0.0)) + 1) / 2 if rescale else F.coalesce("similarity", F.lit(0.0))

@@ -44,9 +44,10 @@ def slots(spark: SparkSession, start: str, end: str, period: str, step: str) ->
 def fixed_windows(df: DataFrame, col: str, start: str, end: str, days: int, closed: str = "right") -> DataFrame:
     """Windows of so many days after ``start``, (s, e] (or [s, e)), the last cut at ``end``; rows after a gap are kept."""
     s, t = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    at = F.unix_micros(F.col(col)) - F.unix_micros(s)
+    c = F.col(col).cast("timestamp")
+    at = F.unix_micros(c) - F.unix_micros(s)
     width = days * 86_400_000_000
-    rows = df.filter((F.col(col) > s) & (F.col(col) <= t) if closed == "right" else (F.col(col) >= s) & (F.col(col) < t))
+    rows = df.filter((c > s) & (c <= t) if closed == "right" else (c >= s) & (c < t))
     idx = F.when(F.lit(closed == "right"), F.ceil(at / width) - 1).otherwise(F.floor(at / width)).cast("int")
     begin = s + F.make_dt_interval(F.col("win_idx") * days)
     return rows.withColumn("win_idx", idx).withColumn("win_start", begin).withColumn("win_end", F.least(begin + F.expr(f"interval {days} days"), t))

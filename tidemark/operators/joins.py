@@ -156,9 +156,9 @@ def with_ids(phrases: DataFrame, known: DataFrame, key: str = "phrase", ident: s
 def numbered(df: DataFrame, order: str, name: str, first: int = 0) -> DataFrame:
     """Rows numbered without gaps in the order of a column: range partitions, a count of each, and a number within."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: both uses see the same partitions
-    spread = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    starts = spread.groupBy("_p").count().withColumn("_base", F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return spread.join(F.broadcast(starts.select("_p", "_base")), "_p").withColumn(name, (F.col("_base") + F.col("_i") + first).cast("long")).drop("_p", "_i", "_base")
+    spread = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    starts = spread.groupBy("__p").count().withColumn("__base", F.coalesce(F.sum("count").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return spread.join(F.broadcast(starts.select("__p", "__base")), "__p").withColumn(name, (F.col("__base") + F.col("__i") + first).cast("long")).drop("__p", "__i", "__base")
 
 
 def phrase_pairs(pairs: DataFrame, phrases: DataFrame, texts: DataFrame) -> DataFrame:

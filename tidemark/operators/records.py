@@ -155,11 +155,9 @@ def stance_counts(df: DataFrame, cols: Sequence[str], threshold: float = 0.5) ->
     return df.agg(*alone, F.count(F.lit(1)).alias("total"))
 
 
-def exact_sample(df: DataFrame, rate: float, key: str, seed: int = 0) -> DataFrame:
-    """exactly ceil(n * rate) rows without replacement, by the order of a seeded hash of the key.
-
-    The cut is found by counting hash prefixes, so no row leaves its partition but for the boundary's."""
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+def exact_sample(df: DataFrame, rate: float, key: str, order: Column | None = None, seed: int = 0) -> DataFrame:
+    """exactly ceil(n * rate) rows without replacement, in the given order, or that of a seeded hash of the key."""
+    hashed = df.withColumn("_h", order if order is not None else F.xxhash64(F.lit(seed), F.col(key)))
     want = math.ceil(df.count() * rate)
     return hashed.orderBy("_h", key).limit(want).drop("_h")
 

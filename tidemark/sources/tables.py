@@ -30,7 +30,9 @@ SUBMISSION = "id string, title string, author_id string, created_utc double, per
 
 def read_posts(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType = POST) -> tuple[DataFrame, DataFrame]:
     """JSON-lines posts, and the lines that don't parse. The schema is given, never inferred."""
-    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(paths)
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    lines = spark.read.text(paths).filter(F.trim("value") != "")
+    raw = lines.select(F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("j")).select("j.*")
     return raw.filter(F.col("_corrupt").isNull()).drop("_corrupt"), raw.filter(F.col("_corrupt").isNotNull()).select("_corrupt")
 
 
