@@ -18,7 +18,7 @@ DICTIONARY_UNITS = 4_000_000
 #: Code points of the longest unit that is folded by Spark; the boundaries of one are bits of a long.
 FOLDED = 60
 #: Units of a partition of the lattice, whose groups are kept in a hash table.
-LATTICE_UNITS = 40_000
+LATTICE_UNITS = 20_000
 
 _MARK = "▁"
 
@@ -70,12 +70,16 @@ def lattice(units: DataFrame, pieces: Pieces, table: DataFrame) -> DataFrame:
 
     Substrings of bounded length are exploded and joined by equality with the piece table, whose size the
     vocabulary fixes; ``units`` comes partitioned by unit, so the group by unit moves nothing. For Viterbi an edge is
-    a struct<i,k,id,score>; for merges it is packed into one long, of the piece's rank, i, k and id, in that order."""
-    spans = f"flatten(transform(sequence(1, char_length(unit)), i -> transform(sequence(1, least({pieces.longest}, char_length(unit) - i + 1)), k -> struct(i, k, substring(unit, i, k) AS piece))))"
+    a struct<i,k,id,score>; for merges a struct<place,ends,inner>: rank, i and id in one long, which orders edges best
+    first, then leftmost; both ends as bits of the boundary set; the boundaries inside."""
+    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(1), F.char_length("unit"))).alias("i"))
     # one more, empty substring keeps units of which no substring is a piece
-    cut = units.select("unit", "n", F.expr(f"explode(array_append({spans}, struct(0 AS i, 0 AS k, '' AS piece))) AS s")).select("unit", "n", "s.*")
-    found = cut.join(F.broadcast(table), "piece")
-    edge = F.expr("shiftleft(rank, 34) | shiftleft(cast(i AS bigint), 28) | shiftleft(cast(k AS bigint), 20) | id") if pieces.bpe else F.struct("i", "k", "id", "score")
+    cut = starts.select("unit", "n", "i", F.explode(F.sequence(F.when(F.col("i") == 1, 0).otherwise(1), F.least(F.lit(pieces.longest), F.char_length("unit") - F.col("i") + 1))).alias("k"))
+    found = cut.withColumn("piece", F.expr("substring(unit, i, k)")).join(F.broadcast(table), "piece")
+    edge = F.struct("i", "k", "id", "score")
+    if pieces.bpe:
+        ends, inner = F.expr("shiftleft(1L, i - 1) | shiftleft(1L, i + k - 1)"), F.expr("shiftleft(shiftleft(1L, k - 1) - 1, i)")
+        edge = F.struct(F.expr("shiftleft(rank, 28) | shiftleft(cast(i AS bigint), 20) | id").alias("place"), ends.alias("ends"), inner.alias("inner"))
     return found.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(F.when(F.col("k") > 0, edge)).alias("edges"))
 
 
@@ -91,7 +95,7 @@ def _viterbi(unk_score: float) -> Column:
     return step, back
 
 
-#: Of an edge: both ends as bits of the boundary set, and the boundaries inside.
+#: An edge joins just two neighbouring symbols.
 _FITS = "(m & x.ends) = x.ends AND bit_count(m & x.inner) = 1"
 #: Set on a boundary set where one pass over the edges may differ from merging best first.
 _DOUBT = "shiftleft(1L, 62)"
@@ -124,14 +128,11 @@ def folded(edges: DataFrame, pieces: Pieces) -> DataFrame:
     if not pieces.bpe:
         step, back = _viterbi(pieces.unk_score)
         return edges.withColumn("best", F.expr(step)).withColumn("path", F.expr(back)).select("unit", "n", F.expr(spelled).alias("ids"))
-    parts = """transform(sort_array(edges), (e, place) -> struct(place AS place, cast(shiftright(e, 28) & 63 AS int) AS i, cast(e & 1048575 AS int) AS id,
-        shiftleft(1L, cast((shiftright(e, 28) & 63) - 1 AS int)) | shiftleft(1L, cast((shiftright(e, 28) & 63) + (shiftright(e, 20) & 255) - 1 AS int)) AS ends,
-        shiftleft(shiftleft(1L, cast((shiftright(e, 20) & 255) - 1 AS int)) - 1, cast(shiftright(e, 28) & 63 AS int)) AS inner))"""
     once, slow = _merges()
-    path = edges.withColumn("all", F.expr(parts)).withColumn("ranked", F.expr("filter(all, x -> x.inner <> 0)")).withColumn("m", F.expr(once))
+    path = edges.withColumn("ranked", F.expr("sort_array(filter(edges, x -> x.inner <> 0))")).withColumn("m", F.expr(once))
     path = path.withColumn("m", F.expr(f"if((m & {_DOUBT}) = 0, m, {slow})"))
     # the edges between neighbouring boundaries; a symbol without one is an unknown character
-    path = path.withColumn("path", F.expr("sort_array(transform(filter(all, x -> (m & x.ends) = x.ends AND (m & x.inner) = 0), x -> struct(x.i AS i, x.id AS id)))"))
+    path = path.withColumn("path", F.expr("sort_array(transform(filter(edges, x -> (m & x.ends) = x.ends AND (m & x.inner) = 0), x -> struct(cast(shiftright(x.place, 20) & 255 AS int) AS i, cast(x.place & 1048575 AS int) AS id)))"))
     missing = "transform(filter(sequence(1, char_length(unit)), p -> bit_get(m, p - 1) = 1 AND NOT exists(path, t -> t.i = p)), p -> struct(p AS i, -1 AS id))"
     whole = f"if(size(path) = bit_count(m) - 1, transform(path, t -> t.id), flatten(transform(sort_array(concat(path, {missing})), t -> if(t.id >= 0, array(t.id), {unknown}))))"
     return path.select("unit", "n", F.expr(whole).alias("ids"))
