@@ -16,8 +16,8 @@ def hopping(spark: SparkSession, start: str, end: str, history: int = 3, future:
     """(idx, key, start, end): days around centres that run from start + history to end by ``stride``."""
     day = lambda s: F.to_date(F.lit(s), "yyyyMMdd")
     first = F.date_add(day(start), history)
-    # a sequence with its stop before its start runs backwards: an empty range has no rows
-    days = spark.range(1).filter(first <= day(end)).select(F.explode(F.sequence(first, day(end), F.expr(f"interval {stride} days"))).alias("mid"))
+    # a sequence whose stop is before its start is an error: an empty range has one day too many
+    days = spark.range(1).select(F.explode(F.sequence(first, F.greatest(first, day(end)), F.expr(f"interval {stride} days"))).alias("mid")).filter(F.col("mid") <= day(end))
     out = days.select(F.date_sub("mid", history).alias("s"), F.date_add("mid", future).alias("e"))
     return out.select((F.datediff("s", day(start)) / stride).cast("int").alias("idx"), F.concat_ws("_", F.date_format("s", "yyyyMMdd"), F.date_format("e", "yyyyMMdd")).alias("key"), F.col("s").cast("timestamp").alias("start"), F.col("e").cast("timestamp").alias("end"))
 
