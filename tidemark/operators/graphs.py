@@ -189,6 +189,19 @@ def js_long(rows: DataFrame, key: str, item: str, n: str = "n") -> DataFrame:
     return pairs.join(sums, ["i", "j"], "left").select("i", "j", F.sqrt(F.greatest(F.lit(0.0), F.ln(F.lit(2.0)) + F.coalesce("d", F.lit(0.0)))).alias("js"))
 
 
+def graph_series(edges: DataFrame, key: str, step: int = 1) -> DataFrame:
+    """Of each interval's graph and the one ``step`` on: (key, edges, edges_next, common, cosine of weights); pairs with a missing interval don't occur.
+
+    Weights of edges that one graph lacks are 0; an equi-join of (interval, edge), whatever the number of intervals."""
+    n = edges.groupBy(key).agg(F.count(F.lit(1)).alias("edges"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_s"))
+    after = lambda df: df.withColumn(key, F.col(key) - step)
+    pairs = n.join(after(n).select(key, F.col("edges").alias("edges_next"), F.col("_s").alias("_t")), key)
+    both = edges.select(key, "src", "trg", "weight").join(after(edges).select(key, "src", "trg", F.col("weight").alias("_w")), [key, "src", "trg"])
+    sums = both.groupBy(key).agg(F.count(F.lit(1)).alias("common"), F.sum(F.col("weight") * F.col("_w")).alias("_p"))
+    out = pairs.join(sums, key, "left")
+    return out.select(key, "edges", "edges_next", F.coalesce("common", F.lit(0)).alias("common"), F.when(F.col("_s") * F.col("_t") > 0, F.coalesce("_p", F.lit(0.0)) / (F.col("_s") * F.col("_t"))).alias("cosine"))
+
+
 def affinity(pairs: DataFrame, rescale: bool = True, diagonal: float = 0.0) -> DataFrame:
     """A symmetric matrix of pairs (a, b, similarity) in coordinate form, with its diagonal."""
     value = (F.coalesce("similarity", F.lit(0.0)) + 1) / 2 if rescale else F.coalesce("similarity", F.lit(0.0))

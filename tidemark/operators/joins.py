@@ -143,6 +143,21 @@ def nearest_centre(rows: DataFrame, centres: DataFrame, vec: str = "vec", least:
     return out.withColumn("cid", F.when(F.col("similarity") >= least, F.col("cid"))) if least is not None else out
 
 
+def centre_products(rows: DataFrame, centres: DataFrame, key: str, vec: str = "vec", threshold: float | None = None) -> DataFrame:
+    """V9: (key, products): products with each centre in the order of cid; below a threshold (none by default) they are 0."""
+    table = centres.agg(F.sort_array(F.collect_list(F.struct("cid", "cvec"))).alias("_centres"))
+    product = lambda c: V.dot(F.col(vec), c["cvec"])
+    value = product if threshold is None else (lambda c: F.when(product(c) >= threshold, product(c)).otherwise(F.lit(0.0)))
+    return rows.join(F.broadcast(table)).select(key, F.transform("_centres", value).alias("products"))
+
+
+def propagated_vectors(posts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """V5: (tw_id, vec): a post's own vector, or, of a retweet without one, its source's."""
+    own = posts.join(vectors.select("tw_id", "vec"), "tw_id", "left")
+    source = vectors.select(F.col("tw_id").alias("tw_src_id"), F.col("vec").alias("_src"))
+    return own.join(source, "tw_src_id", "left").select("tw_id", F.coalesce("vec", F.when(F.col("tw_type") == "t", F.col("_src"))).alias("vec")).filter("vec is not null")
+
+
 def with_ids(phrases: DataFrame, known: DataFrame, key: str = "phrase", ident: str = "phid") -> DataFrame:
     """(phrase, id): known phrases keep theirs, new ones get the next in the order of the phrase.
 

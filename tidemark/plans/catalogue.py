@@ -1039,3 +1039,43 @@ def propagated_texts(spark, sf):
 def event_sentences(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("event_id"), "text")
     return U.event_sentences(b, X.text_clean)
+
+
+@query(f"WITH {NE}, n AS (SELECT yr, count(*) AS edges, sqrt(sum(a::DOUBLE * a)) AS s FROM ne GROUP BY 1) SELECT x.yr, x.edges, y.edges AS edges_next, coalesce(c.common, 0) AS common, round(coalesce(c.p, 0) / (x.s * y.s), 6) AS cosine FROM n x JOIN n y ON y.yr = x.yr + 1 LEFT JOIN (SELECT a.yr, count(*) AS common, sum(a.a::DOUBLE * b.a) AS p FROM ne a JOIN ne b ON b.yr = a.yr + 1 AND a.src = b.src AND a.trg = b.trg GROUP BY 1) c ON c.yr = x.yr")
+def consecutive_graphs(spark, sf):
+    return G.graph_series(nation_edges(spark, sf).withColumn("weight", F.col("a").cast("double")), "yr").withColumn("cosine", r6("cosine"))
+
+
+@query(f"WITH {CENTRES} SELECT vec_id, round(list_sum(list(list_inner_product(embedding::DOUBLE[], v) / sqrt(list_inner_product(v, v)))), 4) AS total FROM embeddings, k GROUP BY 1")
+def centre_products(spark, sf):
+    p = J.centre_products(table(spark, sf, "embeddings"), _centres(spark, sf), "vec_id", "embedding")
+    return p.select("vec_id", r6(V.total(F.col("products")), 4).alias("total"))
+
+
+@query(f"WITH {P} SELECT a.tw_id, CASE WHEN a.k % 3 = 0 THEN a.k ELSE b.k END::DOUBLE AS x FROM p a LEFT JOIN p b ON a.tw_src_id = b.tw_id AND a.tw_type = 't' AND b.k % 3 = 0 WHERE a.k % 3 = 0 OR b.k IS NOT NULL")
+def propagated_vectors(spark, sf):
+    p = post_events(spark, sf)
+    v = p.filter("k % 3 = 0").select("tw_id", F.array(F.col("k").cast("double")).alias("vec"))
+    return J.propagated_vectors(p, v).select("tw_id", F.col("vec")[0].alias("x"))
+
+
+@query("SELECT doc_id, text AS clean_txt FROM documents WHERE text IS NOT NULL AND lang = 'de'")
+def clean_rows(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("clean_txt"), (F.col("lang") != "de").alias("tref"))
+    return R.clean_rows(d).select("doc_id", "clean_txt")
+
+
+@query("SELECT user_id, ts, event_id FROM events")
+def time_order(spark, sf):
+    return A.by_time(table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id"), "ts", "event_id")
+
+
+@query("SELECT l.doc_id, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id)")
+def labelled_documents(spark, sf):
+    return J.labelled(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 400000")
+def threshold_prefix(spark, sf):
+    """The head of a sorted table while a bound is reached."""
+    return A.head(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], least=F.col("o_totalprice") >= 400000)
