@@ -145,27 +145,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table, table_at = written(table.join(low, "key"), "near-table")
     removed(spark, keyed_at, shared_at, live_at)
 
-    wanted, _ = written(table.select("cls").distinct(), "near-wanted")
+    wanted, wanted_at = written(table.select("cls").distinct(), "near-wanted")
     members = rows.join(small(wanted), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    members, _ = written(members, "near-members")
+    members, members_at = written(members, "near-members")
     texts = source.join(small(members.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(_sets(words), "cls binary, shingles array<long>").join(small(wanted), "cls", "left_semi").dropDuplicates(["cls"])
-    sets, _ = written(sets, "near-sets")
+    sets, sets_at = written(sets, "near-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
         same = both.select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("same"))
         return same.filter(F.col("same") * 100 >= (F.col("sum") - F.col("same")) * percent).select("a", "b")
 
-    stars, _ = written(verified(table.filter("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()), "near-links")
+    stars, stars_at = written(verified(table.filter("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()), "near-links")
     found, _ = written(components(stars), "near-components")
     placed = table.join(small(found), F.col("cls") == F.col("node"), "left").select("key", "low", "cls", F.coalesce("root", "cls").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
     still, still_at = written(placed.join(open_keys, "key", "left_semi").select("cls", "root").distinct(), "near-open")
-    links, _ = written(verified(prefix_pairs(sets.join(small(still), "cls"), percent)), "near-links")
+    links, links_at = written(verified(prefix_pairs(sets.join(small(still), "cls"), percent)), "near-links")
     if not links.isEmpty():
         found, _ = written(components(stars.unionByName(links)), "near-components")
-    removed(spark, still_at, table_at)
+    removed(spark, still_at, table_at, wanted_at, members_at, sets_at, stars_at, links_at)
 
     roots = rows.select("doc_id", "n_shingles", "cls").join(small(found), F.col("cls") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"))
     lowest = roots.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "low")

@@ -18,7 +18,7 @@ DICTIONARY_UNITS = 4_000_000
 #: Code points of the longest unit that is folded by Spark; the boundaries of one are bits of a long.
 FOLDED = 60
 #: Units of a partition of the lattice, whose groups are kept in a hash table.
-LATTICE_UNITS = 20_000
+LATTICE_UNITS = 8_000
 
 _MARK = "▁"
 
@@ -242,13 +242,23 @@ class _Cutter:
             i = j
 
 
-def _new_units(pieces: Pieces):
+_cutters: dict[str, _Cutter] = {}
+
+
+def _cutter(model: str) -> _Cutter:
+    """One cutter a worker and model. The model file is read where the work is, as are libraries."""
+    if model not in _cutters:
+        _cutters[model] = _Cutter(Pieces(model))
+    return _cutters[model]
+
+
+def _new_units(model: str):
     """Distinct units of a task's texts that Spark folds; n counts tasks."""
 
     def run(batches):
         import pyarrow as pa
 
-        cutter, seen = _Cutter(pieces), set()
+        cutter, seen = _cutter(model), set()
         for batch in batches:
             found = []
             for _, _, text, _, at, h in cutter.runs(texts_of(batch.column(0))):
@@ -264,14 +274,14 @@ def _new_units(pieces: Pieces):
     return run
 
 
-def _packed(pieces: Pieces):
+def _packed(model: str):
     def run(batches):
         import pyarrow as pa
 
-        cutter = _Cutter(pieces)
+        cutter = _cutter(model)
         for batch in batches:
             units, ids = batch.column(0).to_pylist(), batch.column(1)
-            data = ids.flatten().to_numpy(zero_copy_only=False).astype(pieces.kind).tobytes()
+            data = ids.flatten().to_numpy(zero_copy_only=False).astype(cutter.pieces.kind).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([cutter.unit_hashes(units).astype("<u8").tobytes()], pa.binary()), pa.array([np.diff(ids.offsets.to_numpy()).astype("<u2").tobytes()], pa.binary()), pa.array([data], pa.binary())], names=["hash", "n", "ids"])
 
     return run
@@ -284,11 +294,11 @@ class _Dictionary:
         self.hashes, self.start, self.count, self.pool = hashes, start, count, pool
 
     @classmethod
-    def of(cls, encoded: DataFrame, pieces: Pieces) -> _Dictionary:
-        rows = encoded.select("unit", "ids").mapInArrow(_packed(pieces), "hash binary, n binary, ids binary").collect()
+    def of(cls, encoded: DataFrame, model: str, kind: str) -> _Dictionary:
+        rows = encoded.select("unit", "ids").mapInArrow(_packed(model), "hash binary, n binary, ids binary").collect()
         h = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["hash"], "<u8") for r in rows]])
         n = np.concatenate([np.zeros(0, np.uint16), *[np.frombuffer(r["n"], "<u2") for r in rows]])
-        pool = np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), pieces.kind)
+        pool = np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), kind)
         end = np.cumsum(n, dtype=np.int64)
         order = np.argsort(h, kind="stable")
         h = h[order]
@@ -305,8 +315,9 @@ class _Dictionary:
 
 
 class _Encoder:
-    def __init__(self, pieces: Pieces, dictionary: _Dictionary) -> None:
-        self.pieces, self.dictionary, self.cutter = pieces, dictionary, _Cutter(pieces)
+    def __init__(self, model: str, dictionary: _Dictionary) -> None:
+        self.dictionary, self.cutter = dictionary, _cutter(model)
+        pieces = self.pieces = self.cutter.pieces
         self.ids = {p: (i, s) for p, i, s in pieces.rows}
         self.width = np.array([len(x) for x in pieces.surface])
         self.begin = np.cumsum(self.width) - self.width
@@ -368,7 +379,7 @@ def _encoder(model: str, shared) -> _Encoder:
     key = (model, shared.value.hashes.ctypes.data if len(shared.value.hashes) else 0, len(shared.value.hashes))
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = _Encoder(Pieces(model), shared.value)
+        _encoders[key] = _Encoder(model, shared.value)
     return _encoders[key]
 
 
@@ -431,13 +442,13 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     best = sorted(pieces.rows, key=lambda p: (-p[2], p[1]))
     schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType())])
     table = spark.createDataFrame([("", 0, 0.0, 0)] + [(*p, k) for k, p in enumerate(best)], schema)
-    units = rows.select("text").mapInArrow(_new_units(pieces), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    units = rows.select("text").mapInArrow(_new_units(model), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     units, units_at = written(units, "sp-units")
     total = units.count()
     spread = units.repartition(max(1, -(-total // LATTICE_UNITS)), "unit")
     fallback = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"  # groups of such partitions fit into memory
     before = spark.conf.get(fallback, None)
-    spark.conf.set(fallback, str(4 * LATTICE_UNITS))
+    spark.conf.set(fallback, str(8 * LATTICE_UNITS))
     try:
         encoded, encoded_at = written(folded(lattice(spread, pieces, table), pieces), "sp-encoded")
     finally:
@@ -452,7 +463,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 break
             held, least = held + count, n
         hot, tail = encoded.filter(F.col("n") >= least), encoded.filter(F.col("n") < least)
-    shared = spark.sparkContext.broadcast(_Dictionary.of(hot, pieces))
+    shared = spark.sparkContext.broadcast(_Dictionary.of(hot, model, pieces.kind))
     if tail is None:
         removed(spark, encoded_at)
     else:
@@ -471,7 +482,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
         import pyarrow as pa
 
         none = np.zeros(0, np.int64)
-        encoder = _Encoder(Pieces(model), _Dictionary(none.astype(np.uint64), none, none, none))
+        encoder = _Encoder(model, _Dictionary(none.astype(np.uint64), none, none, none))
         for batch in batches:
             lists = [x or [] for x in batch.column(1).to_pylist()]
             bounds = np.cumsum([0] + [len(x) for x in lists])
