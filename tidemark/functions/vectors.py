@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used (a lambda would compute it for each element)."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
@@ -35,14 +40,12 @@ def rescaled(similarity: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Scaled to length 1; a zero vector stays."""
-    size = norm(v)
-    return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)).otherwise(v.cast("array<double>"))
+    return let(norm(v), lambda size: F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)).otherwise(v.cast("array<double>")))
 
 
 def share(v: Column) -> Column:
     """Scaled to sum 1; null where the sum is 0."""
-    size = total(v)
-    return F.when(size != 0, F.transform(v, lambda x: x.cast("double") / size))
+    return let(total(v), lambda size: F.when(size != 0, F.transform(v, lambda x: x.cast("double") / size)))
 
 
 def zeros(n: int) -> Column:
@@ -60,8 +63,7 @@ def plus(a: Column, b: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v).cast("double")
-    return share(F.transform(v, lambda x: F.exp(x.cast("double") - top)))
+    return share(let(F.array_max(v).cast("double"), lambda top: F.transform(v, lambda x: F.exp(x.cast("double") - top))))
 
 
 def kl(p: Column, q: Column) -> Column:
@@ -72,9 +74,12 @@ def kl(p: Column, q: Column) -> Column:
 def js(p: Column, q: Column, base: float = math.e, sentinel: float | None = None) -> Column:
     """V6: Jensen-Shannon distance, the root of the divergence. Inputs are scaled to sum 1; a zero vector gives
     null, or ``sentinel``."""
-    a, b = share(p), share(q)
-    half = lambda x: total(F.zip_with(x, F.zip_with(a, b, lambda s, t: (s + t) / 2), lambda s, m: F.when(s > 0, s * F.ln(s / m)).otherwise(F.lit(0.0))))
-    out = F.when(a.isNotNull() & b.isNotNull(), F.sqrt(F.greatest((half(a) + half(b)) / 2, F.lit(0.0)) / math.log(base)))
+
+    def distance(a: Column, b: Column) -> Column:
+        half = lambda x: total(F.zip_with(x, F.zip_with(a, b, lambda s, t: (s + t) / 2), lambda s, m: F.when(s > 0, s * F.ln(s / m)).otherwise(F.lit(0.0))))
+        return F.when(a.isNotNull() & b.isNotNull(), F.sqrt(F.greatest((half(a) + half(b)) / 2, F.lit(0.0)) / math.log(base)))
+
+    out = let(share(p), lambda a: let(share(q), lambda b: distance(a, b)))
     return out if sentinel is None else F.coalesce(out, F.lit(float(sentinel)))
 
 

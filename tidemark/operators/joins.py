@@ -138,8 +138,9 @@ def nearest_centre(rows: DataFrame, centres: DataFrame, vec: str = "vec", least:
 
     Centres are a fixed few (a model's parameters): they travel as one array, and each row looks through it."""
     table = centres.agg(F.sort_array(F.collect_list(F.struct("cid", V.unit(F.col("cvec")).alias("cvec")))).alias("_centres"))
-    best = F.array_max(F.transform("_centres", lambda c: F.struct(F.coalesce(V.dot(V.unit(F.col(vec)), c["cvec"]), F.lit(0.0)).alias("similarity"), (-c["cid"]).alias("minus"))))
-    out = rows.join(F.broadcast(table)).withColumn("_best", best).withColumn("similarity", F.col("_best.similarity")).withColumn("cid", -F.col("_best.minus")).drop("_best", "_centres")
+    best = F.array_max(F.transform("_centres", lambda c: F.struct(F.coalesce(V.dot(F.col(vec), c["cvec"]), F.lit(0.0)).alias("product"), (-c["cid"]).alias("minus"))))
+    size = V.norm(F.col(vec))
+    out = rows.join(F.broadcast(table)).withColumn("_best", best).withColumn("similarity", F.when(size > 0, F.col("_best.product") / size).otherwise(F.lit(0.0))).withColumn("cid", -F.col("_best.minus")).drop("_best", "_centres")
     return out.withColumn("cid", F.when(F.col("similarity") >= least, F.col("cid"))) if least is not None else out
 
 
