@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -243,7 +244,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     keep = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     try:
         source = docs.select(*keep, F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("row"))
-    except Exception:  # no file source
+    except AnalysisException:  # no file source
         source = written(docs.select(*keep), "lm-docs")[0].select("doc_id", "text", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("row"))
     fold = remainder("doc_id", folds)
     size = docs.select(F.sum(F.octet_length(text_col)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
