@@ -111,7 +111,7 @@ def json_field_counts(spark, sf):
 @query(f"WITH {P} SELECT CAST(tw_id AS VARCHAR) AS tw_id, tw_type, tw_datetime FROM p")
 def json_lines_scan(spark, sf):
     """Posts written as JSON lines to the shared folder and scanned by schema."""
-    path = f"{G.shared_dir(spark)}/tidemark/json-{G.uuid.uuid4().hex}"
+    path = G.scratch(spark, "json")
     raw_posts(spark, sf).write.json(path)
     good, bad = S.read_posts(spark, path)
     return R.typed(good).select("tw_id", "tw_type", "tw_datetime").unionByName(bad.select(F.lit("bad").alias("tw_id"), F.lit("").alias("tw_type"), F.lit("").alias("tw_datetime")))
@@ -155,7 +155,7 @@ def labelled_vector_choice(spark, sf):
 @query("SELECT event_type, date_trunc('week', ts)::DATE AS week, count(*) AS n FROM events GROUP BY ALL")
 def partitioned_by_interval(spark, sf):
     """S3: events written in a folder for each week and read back."""
-    path = f"{G.shared_dir(spark)}/tidemark/weeks-{G.uuid.uuid4().hex}"
+    path = G.scratch(spark, "weeks")
     e = table(spark, sf, "events").withColumn("time_int", F.date_format(F.date_trunc("week", "ts"), "yyyyMMdd"))
     S.write_by_interval(e, path, order="ts")
     back = spark.read.schema("event_type string, ts timestamp, time_int string").parquet(path)
@@ -165,7 +165,7 @@ def partitioned_by_interval(spark, sf):
 @query("SELECT c_custkey, c_nationkey FROM customer")
 def idempotent_append(spark, sf):
     """The same customers appended twice."""
-    path = f"{G.shared_dir(spark)}/tidemark/append-{G.uuid.uuid4().hex}"
+    path = G.scratch(spark, "append")
     for _ in range(2):
         S.append_new(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), path, "c_custkey")
     return spark.read.parquet(path)
@@ -174,7 +174,7 @@ def idempotent_append(spark, sf):
 @query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 3) AS s FROM embeddings")
 def vector_text_round_trip(spark, sf):
     """Vectors as text lines and back."""
-    path = f"{G.shared_dir(spark)}/tidemark/vec-{G.uuid.uuid4().hex}"
+    path = G.scratch(spark, "vec")
     S.write_vectors(table(spark, sf, "embeddings"), path, "vec_id", "embedding")
     rows = S.read_pipes(spark, path, "vec_id long, v string").withColumn("v", X.float_vector(F.col("v")))
     return rows.select("vec_id", r6(V.total(F.col("v")), 3).alias("s"))
