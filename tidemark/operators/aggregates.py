@@ -215,6 +215,17 @@ def texts_of(df: DataFrame, key: str, text: str, order: Sequence[str], unique: s
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda s: s[text]), "\n").alias("txt"))
 
 
+def text_vectors(tokens: DataFrame, vectors: DataFrame, key: str, mean: bool = False, unit: bool = False) -> DataFrame:
+    """V1, V2: (key, vec): sum (or mean) of the vectors of a key's tokens, scaled to length 1 if asked to; unknown tokens are skipped, and keys without a known one don't occur."""
+    out = long_sum(tokens.join(vectors.select("token", "vec"), "token"), [key], "vec", mean)
+    return out.withColumn("vec", V.unit(F.col("vec"))) if unit else out
+
+
+def np_similarity(pairs: DataFrame) -> DataFrame:
+    """Cosine similarities of noun-phrase pairs as (2 - distance) / 2."""
+    return pairs.withColumn("similarity", V.rescaled(F.col("similarity")))
+
+
 def training_rows(users: DataFrame, codes: DataFrame) -> DataFrame:
     """User rows with codes of their narratives; rows without a community or with an unknown narrative go."""
     rows = users.filter("com_id is not null").withColumn("_n", F.size("names"))

@@ -389,7 +389,7 @@ def cosine_pairs(spark, sf):
 
 @query("SELECT a.label, a.vec_id AS a, b.vec_id AS b, round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 5) AS weight FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def pairs_within_interval(spark, sf):
-    return J.similar_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", within="label").select("label", "a", "b", r6(V.rescaled(F.col("similarity")), 5).alias("weight"))
+    return J.similar_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", within="label").transform(A.np_similarity).select("label", "a", "b", r6("similarity", 5).alias("weight"))
 
 
 CENTRES = "k AS (SELECT label AS cid, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY 1)"
@@ -840,8 +840,8 @@ PHRASE = "w AS (SELECT conv_id, unnest(string_split(lower(role), 's')) AS token
 def phrase_vectors(spark, sf):
     """V1, V2: sums of word vectors; unknown words are skipped."""
     v = spark.createDataFrame([("u", [1.0, 2.0]), ("er", [0.5, 0.0]), ("y", [3.0, 1.0]), ("tem", [-1.0, 0.25])], "token string, vec array<double>")
-    w = table(spark, sf, "conversations").select("conv_id", F.explode(F.split(F.lower("role"), "s")).alias("token")).join(F.broadcast(v), "token")
-    return A.long_sum(w, ["conv_id"], "vec").select("conv_id", F.col("vec")[0].alias("a"), F.col("vec")[1].alias("b"))
+    w = table(spark, sf, "conversations").select("conv_id", F.explode(F.split(F.lower("role"), "s")).alias("token"))
+    return A.text_vectors(w, v, "conv_id").select("conv_id", F.col("vec")[0].alias("a"), F.col("vec")[1].alias("b"))
 
 
 @query("WITH c AS (SELECT label AS a, CAST(vec_id AS INT) % 7 AS b FROM embeddings), n AS (SELECT a, b, count(*)::DOUBLE AS n FROM c GROUP BY ALL), t AS (SELECT sum(n) AS t, sum(n * ln(n)) AS nij FROM n), x AS (SELECT sum(s * ln(s)) AS na FROM (SELECT sum(n) AS s FROM n GROUP BY a)), y AS (SELECT sum(s * ln(s)) AS nb FROM (SELECT sum(n) AS s FROM n GROUP BY b)) SELECT round((ln(t) - na / t + ln(t) - nb / t - (ln(t) - nij / t)) / ((ln(t) - na / t + ln(t) - nb / t) / 2), 6) AS nmi FROM t, x, y")
