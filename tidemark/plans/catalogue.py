@@ -1079,3 +1079,125 @@ def labelled_documents(spark, sf):
 def threshold_prefix(spark, sf):
     """The head of a sorted table while a bound is reached."""
     return A.head(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], least=F.col("o_totalprice") >= 400000)
+
+
+# ------------------------------------------------------------ further sources
+
+
+@query(f"WITH {P} SELECT tw_id FROM p WHERE tw_datetime >= '20240110000000'")
+def stamped_range(spark, sf):
+    return S.between_stamps(post_events(spark, sf), "20240110000000", None).select("tw_id")
+
+
+@query(f"WITH {HOPS} SELECT idx::INT AS idx, key, s AS start, e AS \"end\" FROM h")
+def interval_file(spark, sf):
+    """Intervals written as lines and read."""
+    path = G.scratch(spark, "intervals")
+    I.hopping(spark, "20240101", "20240130").filter("idx < 9").select(F.regexp_replace("key", "_", ":").alias("value")).write.text(path)
+    return S.read_intervals(spark, path).select("idx", "key", "start", "end")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_loader(spark, sf):
+    """A CSV file with a header, cast by schema."""
+    source, out = G.scratch(spark, "csv"), G.scratch(spark, "loaded")
+    S.write_csv(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), source)
+    S.csv_to_table(spark, source, "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string", out)
+    return spark.read.parquet(out)
+
+
+@query("SELECT count(*) AS n, 8 AS tasks FROM orders")
+def task_split(spark, sf):
+    t = S.tasks(table(spark, sf, "orders"), 8, "o_orderkey").groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    return t.agg(F.sum("n").alias("n"), F.count("task").cast("int").alias("tasks"))
+
+
+@query("SELECT 'w' || vec_id AS token, round(embedding[1], 4)::DOUBLE AS x FROM embeddings WHERE vec_id % 5 > 0")
+def word_vector_file(spark, sf):
+    """Word vectors as text lines; lines of another width go."""
+    path = G.scratch(spark, "words")
+    e = table(spark, sf, "embeddings")
+    short = F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 9)).otherwise(F.col("embedding"))
+    e.select(F.concat(F.lit("w"), F.col("vec_id").cast("string"), F.lit(" "), F.array_join(short.cast("array<string>"), " ")).alias("value")).write.text(path)
+    return S.valid_vectors(spark, path, 64).select("token", r6(F.col("vec")[0].cast("double"), 4).alias("x"))
+
+
+@query(f"WITH {CONV} SELECT parent AS src, id AS trg FROM c WHERE parent IS NOT NULL")
+def simulation_graph(spark, sf):
+    """A simulation's CSV to vertices and edges, stored and read back."""
+    path, graph = G.scratch(spark, "sim"), G.scratch(spark, "graph")
+    t = turns(spark, sf)
+    s = lambda c: F.col(c).cast("string")
+    t.select(F.col("role"), s("id"), F.coalesce(s("parent"), s("id")), (F.col("conv_id") * 1000).cast("string"), F.lit("[1,2]"), F.col("turn"), F.lit(0)).write.csv(path)
+    nodes, edges = S.read_simulation(spark, path)
+    S.write_graph(nodes, edges, graph)
+    return S.read_graph(spark, graph)[1].select(F.col("src").cast("long").alias("src"), F.col("trg").cast("long").alias("trg"))
+
+
+@query(f"WITH {P} SELECT tw_id::VARCHAR AS tid, usr_id::VARCHAR AS uid, tw_datetime AS time, CASE WHEN tw_type = 'r' THEN 'n' ELSE tw_type END AS type, CASE WHEN tw_type IN ('t', 'q') THEN tw_src_id::VARCHAR END AS src, CASE WHEN tw_type = 'q' THEN 2 ELSE 1 END AS lines FROM p")
+def interval_records(spark, sf):
+    """P9; these posts have no reply id of the other key."""
+    posts = raw_posts(spark, sf).withColumn("in_reply_to_status_id_h", F.lit(None).cast("string"))
+    return R.interval_records(posts).select("tid", "uid", "time", "type", "src", F.size("raw").alias("lines"))
+
+
+@query("SELECT key, coalesce(s, 0)::DOUBLE AS similarity, coalesce(d, 1)::DOUBLE AS distance, s IS NULL OR d IS NULL AS incomplete FROM (SELECT c_custkey AS key, c_acctbal AS s FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT s_suppkey AS key, s_acctbal AS d FROM supplier) b USING (key)")
+def matched_pairs(spark, sf):
+    a = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("similarity"))
+    b = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("distance"))
+    return J.matched_pairs(a, b, "key")
+
+
+@query(f"WITH {CONV} SELECT s.id AS src, t.id AS trg, s.role || '/' || t.role AS both, length(s.text) + length(t.text) AS chars FROM c t JOIN c s ON t.parent = s.id")
+def phrase_pairs(spark, sf):
+    t = turns(spark, sf)
+    pairs = t.filter("parent is not null").select(F.col("parent").alias("src"), F.col("id").alias("trg"))
+    p = J.phrase_pairs(pairs, t.select(F.col("id").alias("tw_id"), F.array("role").alias("phids")), t.select(F.col("id").alias("tw_id"), F.col("text").alias("raw_txt")))
+    return p.select("src", "trg", F.concat_ws("/", F.col("src_phids")[0], F.col("trg_phids")[0]).alias("both"), (F.length("src_txt") + F.length("trg_txt")).cast("long").alias("chars"))
+
+
+@query("SELECT page_id, nullif(trim(regexp_replace(regexp_replace(url, 'http\\S*', '', 'g'), '\\s+', ' ', 'g')), '') AS txt FROM pages")
+def clean_or_null(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.clean_or_null(F.col("url")).alias("txt"))
+
+
+@query()
+def clause_pairs(spark, sf):
+    """Edges and lone nodes of the clause graphs of turns."""
+    pairs, alone = U.graph_pairs(F.col("cls_json"))
+    return semantic_units(spark, sf).select("tw_id", pairs.alias("pairs"), alone.alias("alone"))
+
+
+@query()
+def clause_vectors(spark, sf):
+    """V3, V4 with a small vector table."""
+    words = {w: [float(len(w)), 1.0, float(i)] for i, w in enumerate(("the", "of", "and", "to", "la", "der"))}
+    return U.clause_vectors(semantic_units(spark, sf), "tw_id", words, 3, "sp_avg_node")
+
+
+@query()
+def transition_baseline(spark, sf):
+    """KL of next-day type mixes from softmax(T * source) with an identity T."""
+    days = _mix(spark, sf, "day").select("day", V.share(F.col("vec")).alias("vec"))
+    pairs = days.select(F.col("vec").alias("src"), F.date_add("day", 1).alias("day")).join(days.select("day", F.col("vec").alias("trg")), "day")
+    matrix = spark.createDataFrame([(i, i, 1.0) for i in range(5)], "i int, j int, p double")
+    return L.transition_baseline(pairs, matrix, "src", "trg", 5)
+
+
+@query("SELECT count(*) AS n, true AS near FROM orders")
+def train_test_split(spark, sf):
+    """Four fifths and the rest."""
+    a, b = L.split(table(spark, sf, "orders"), "o_orderkey")
+    n = a.select(F.lit(1).alias("x")).unionByName(b.select(F.lit(0).alias("x"))).agg(F.count("x").alias("n"), F.avg("x").alias("share"))
+    return n.select("n", F.col("share").between(0.75, 0.85).alias("near"))
+
+
+@query("SELECT label, count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY 1")
+def interval_batches(spark, sf):
+    """A pandas function of each group."""
+    import pandas as pd
+
+    def one(pdf):
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "n": [len(pdf)], "first": [pdf["vec_id"].min()]})
+
+    return U.by_interval(table(spark, sf, "embeddings").select("label", "vec_id"), "label", one, "label int, n long, first long")
