@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; a side beyond it is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text that arrays are made of at a time: a worker's memory, and its caches, hold a few dozen times as much.
+RUN_BYTES = 1 << 18
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,7 +25,7 @@ def ship(spark: SparkSession) -> None:
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     # give memory back, but not after each array
-    env.update({"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(32 << 20), "MALLOC_TRIM_THRESHOLD_": str(64 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"})
+    env.update({"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"})
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
@@ -98,7 +100,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for k, p in (("up", _P), ("down", pow(_P, -1, 1 << 64))):
             a = np.full(size, p, np.uint64)
             a[0] = 1
@@ -140,7 +142,7 @@ def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[new], order[new], back
 
 
-def hashed(texts: list[bytes | None], limit: int = 1 << 20):
+def hashed(texts: list[bytes | None], limit: int = RUN_BYTES):
     """Over runs of texts of about ``limit`` bytes: (first, last + 1, hashes of lower-cased words, offsets of each text's words)."""
     i = 0
     while i < len(texts):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _SPACE, remainder, ship, texts_of, word_hashes
+from tidemark.llm.common import _SPACE, RUN_BYTES, remainder, ship, texts_of, word_hashes
 from tidemark.llm.toxicity import sample
 
 #: Bounds on the labelled documents that the field is fitted on and on their bytes, and the score from which a document is good.
@@ -19,7 +19,7 @@ for _k, _g in enumerate(_GROUPS):
 _KINDS = len(_GROUPS) + 1
 
 
-def lines(texts: list[bytes | None], limit: int = 1 << 19):
+def lines(texts: list[bytes | None], limit: int = RUN_BYTES):
     """Over runs of texts: (first, last + 1, features of lines, lines' lengths in bytes, offsets of texts' lines).
 
     A text has one line more than line feeds; an empty one has one empty line. A line has its own features and those of the lines before and after it (zeros where there is none)."""

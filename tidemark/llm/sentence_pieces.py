@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import grouped, mixed, removed, ship, texts_of, written
+from tidemark.llm.common import RUN_BYTES, grouped, mixed, removed, ship, texts_of, written
 
 #: Units (word parts that no piece reaches across) that are sent to the executors as one packed dictionary;
 #: rarer ones reach the documents that have them by a join.
@@ -192,7 +192,7 @@ _powers: list[np.ndarray] = []
 class _Cutter:
     """Cuts marked texts into units and hashes them, a run of texts at a time."""
 
-    RUN = 1 << 19
+    RUN = RUN_BYTES
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
@@ -213,7 +213,7 @@ class _Cutter:
             cut[heads[heads < len(a)]] = True
             starts = np.flatnonzero(cut)
         if not _powers or len(_powers[0]) < len(a) + 1:
-            n = max(len(a) + 1, 1 << 20)
+            n = max(len(a) + 1, 1 << 19)
             _powers.clear()
             for p in (_P, pow(_P, -1, 1 << 64)):
                 x = np.full(n, p, np.uint64)

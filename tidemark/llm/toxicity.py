@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _BYTE, _power, mixed, remainder, ship, texts_of, without, written
+from tidemark.llm.common import _BYTE, RUN_BYTES, _power, mixed, remainder, ship, texts_of, without, written
 
 #: Bounds on the labelled documents that the model is fitted on, on their bytes, and on its features.
 MAX_DOCS, MAX_BYTES, MAX_FEATURES = 5000, 24 << 20, 4096
@@ -24,7 +24,7 @@ _STOPS[list(b".!?\n")] = True
 _BITS = 20
 
 
-def sentences(texts: list[bytes | None], limit: int = 1 << 20):
+def sentences(texts: list[bytes | None], limit: int = RUN_BYTES):
     """Over runs of texts: (first, last + 1, joined bytes, where texts start, where sentences end, features, their words' starts).
 
     Features are hashes of a word, of its first 4, 5 and 6 bytes and of its last 5, so that stems are met in new words."""
