@@ -42,7 +42,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def r6(c, n: int = 6):
-    return F.round(c, n)
+    """Rounded, without a negative zero."""
+    return F.round(c, n) + F.lit(0.0)
 
 
 def post_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +172,7 @@ def idempotent_append(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 3) AS s FROM embeddings")
+@query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 3) + 0.0::DOUBLE AS s FROM embeddings")
 def vector_text_round_trip(spark, sf):
     """Vectors as text lines and back."""
     path = G.scratch(spark, "vec")
@@ -382,7 +383,7 @@ def interaction_edges(spark, sf):
     return J.interaction_edges(post_events(spark, sf).select("tw_id", "tw_src_id", "usr_id", "tw_type"), users)
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) + 0.0::DOUBLE AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
 def cosine_pairs(spark, sf):
     return J.similar_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding").select("a", "b", r6("similarity", 5).alias("similarity"))
 
@@ -1112,7 +1113,7 @@ def task_split(spark, sf):
     return t.agg(F.sum("n").alias("n"), F.count("task").cast("int").alias("tasks"))
 
 
-@query("SELECT 'w' || vec_id AS token, round(embedding[1], 4)::DOUBLE AS x FROM embeddings WHERE vec_id % 5 > 0")
+@query("SELECT 'w' || vec_id AS token, round(embedding[1]::DOUBLE, 4) + 0.0::DOUBLE AS x FROM embeddings WHERE vec_id % 5 > 0")
 def word_vector_file(spark, sf):
     """Word vectors as text lines; lines of another width go."""
     path = G.scratch(spark, "words")
