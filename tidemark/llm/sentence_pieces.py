@@ -196,7 +196,7 @@ class _Cutter:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        alphabet = sorted({c for p, _, _ in pieces.rows for c in p})
+        alphabet = sorted({c for p in pieces.bridges for c in p})  # others never join
         self.size = len(alphabet) + 1
         self.of = np.zeros(0x110000, np.int32)
         self.of[[ord(c) for c in alphabet]] = np.arange(1, self.size)
