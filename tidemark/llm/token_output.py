@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RUN_BYTES, grouped, ship, span_hashes, texts_of, written
+from tidemark.llm.common import grouped, ship, span_hashes, texts_of, written
 
 #: Simple-8b (Anh and Moffat 2010): a word is a 4-bit selector over 60 bits of payload.
 #: Selector s holds COUNT[s] values of WIDTH[s] bits; 0 and 1 are runs of zeros.
@@ -133,7 +133,7 @@ class CachedEncoder:
     word_bpe_49k.json, white space is dropped before the model. Pieces are told by 64-bit hashes."""
 
     LIMIT = 800_000
-    RUN = RUN_BYTES
+    RUN = 1 << 20
 
     def __init__(self, path: str) -> None:
         import os
