@@ -50,5 +50,17 @@ def test_weak_parts_need_company(frame):
     assert got[1] == "" and "secret" in got[2] and "secret" not in got[3] and got[4] == "" and "endpoint" in got[5] and "secret" in got[5]
 
 
+def test_links_over_block_edges(frame):
+    """Parts that reach over block edges link by distance alone, wherever they are in the text."""
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"
+    endpoint = "https://db.example.org/" + "x" * 577  # 600 code points: over two or three edges
+    parts = f"{endpoint} username: bob_smith {key}"
+    rows = [(o, " " * o + parts) for o in range(0, SCOPE, 7)] + [(1000 + o, " " * o + f"username: {'b' * 50}" + " " * gap + key) for o in range(170, 240, 5) for gap in (SCOPE - 10, SCOPE, SCOPE + 1)]
+    rows += [(5000 + o, " " * o + f"username: bob_smith {endpoint}{' ' * 200}{key}") for o in range(0, SCOPE, 13)]
+    got = sorted((tuple(x) for x in secret_spans(frame(rows)).collect()), key=repr)
+    assert got == sorted((expected(*x) for x in rows), key=repr)
+    assert all(x[6] == 3 for x in got if x[0] < 1000)
+
+
 def test_empty_table(spark, docs_schema):
     assert secret_spans(spark.createDataFrame([], docs_schema)).collect() == []

@@ -97,9 +97,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of 18, a run of 16 hexadecimal digits. Weak candidates (a login, a mixed token without a name, an endpoint)
     are reported only where the parts that complete a credential are in their scope, that is at most ``scope``
     code points away in the same text: a login needs a secret, a token needs an identifier, an endpoint needs
-    both. Parts are linked by an interval join: an equi-join on text and block of ``scope`` code points, each part
-    being listed in its own and the neighbouring blocks, then the distance. It only asks whether there is a
-    partner, so no pairs come out of it.
+    both. Parts are linked by an interval join: an equi-join on text and block of ``scope`` code points, a weak part
+    being listed in all blocks from its start to its end and its partners also in the neighbouring ones, then the
+    distance. It only asks whether there is a partner, so no pairs come out of it.
 
     Null texts are empty: no spans, the sha256 of an empty string, empty ``spans``. Rows are told apart by a row
     number of the written scan, so null and repeated ids each give their own row."""
@@ -109,15 +109,18 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     rows, _ = written(rows.withColumn("rid", F.monotonically_increasing_id()), "secrets")
     parts = rows.filter("size(weak) > 0").select("rid", F.explode(F.concat("base", "weak")).alias("s")).select("rid", "s.*")
-    weak = parts.filter("kind >= 3").withColumn("block", F.floor(F.col("start") / scope))
-    # a part is listed in every block that its scope touches
+    weak = parts.filter("kind >= 3")
+    # a weak part is listed in every block that it touches, its partners in every block that their scope touches
+    own = F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))
     blocks = F.sequence(F.floor(F.greatest(F.col("start") - scope, F.lit(0)) / scope), F.floor((F.col("end") + scope) / scope))
     near = parts.select("rid", F.col("start").alias("s2"), F.col("end").alias("e2"), "kind", F.explode(blocks).alias("block"))
 
     def beside(some: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
         other = near.filter(F.col("kind").isin(*kinds)).drop("kind")
         gap = (F.col("x.start") - F.col("y.e2") <= scope) & (F.col("y.s2") - F.col("x.end") <= scope)
-        return some.alias("x").join(other.alias("y"), (F.col("x.rid") == F.col("y.rid")) & (F.col("x.block") == F.col("y.block")) & gap, "left_semi")
+        listed = some.withColumn("block", F.explode(own)).alias("x")
+        found = listed.join(other.alias("y"), (F.col("x.rid") == F.col("y.rid")) & (F.col("x.block") == F.col("y.block")) & gap, "left_semi")
+        return found.drop("block").distinct()
 
     identifiers, secrets = (1, 3), (0, 2, 4)
     linked = (
