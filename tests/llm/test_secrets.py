@@ -62,5 +62,13 @@ def test_links_over_block_edges(frame):
     assert all(x[6] == 3 for x in got if x[0] < 1000)
 
 
+def test_long_tokens(frame):
+    """A token of any length is a part: it links, and what needs it does."""
+    rows = [(n, f"username: bob_smith https://db.example.org/x {('aB3' * n)[:n]} end") for n in (20, 128, 129, 500, 100_000)]
+    got = {x.doc_id: x for x in secret_spans(frame(rows)).collect()}
+    for n, _ in rows:
+        assert f"secret:45:{45 + n}" in got[n].spans.split(",") and got[n].n_linked == 3
+
+
 def test_empty_table(spark, docs_schema):
     assert secret_spans(spark.createDataFrame([], docs_schema)).collect() == []

@@ -22,7 +22,7 @@ _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 
 #: Weak on their own: a login or client id, a mixed token without a keyword, a place to connect to.
 _IDENT = re.compile(r"""(?ai:\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.=-]{3,})""")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"""(?ai:\b(?:https?|jdbc:[a-z]+|s3|ftp|mongodb|redis|amqp|postgres(?:ql)?)://[^\s"'<>]{3,}|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})""")
 
 _WORD = np.zeros(256, bool)
