@@ -31,6 +31,22 @@ def test_slots_without_article_tags(spark):
     assert all(got[k] == f"{('Long text. ' * (5 + k)).strip()}\n\n{k} more {('words ' * 9).strip()}" for k in range(6))
 
 
+@pytest.mark.parametrize("pages", [1, 2, 7])
+def test_slots_beside_each_other(spark, pages):
+    """Title and all content slots are kept where no article or main holds them, however the text is shared out."""
+    names = "amber birch cedar delta ember frost grove".split()
+    body = lambda k, w, lead: f"<div class='wrap'><div class='content'><h1>On {w} {k}</h1><div class='lead'><p>{f'lead of {w} ' * lead}</p></div><div class='body'><p>{f'body of {w} ' * 20}</p></div></div></div>"
+    rows = [page(k, body(k, w, 8 if k else 60), f"c{pages}.example.org") for k, w in enumerate(names[:pages])]
+    rows = [(i, u, h.replace(f"<div class='ad-box'>Buy {i}</div>", "")) for i, u, h in rows]
+    got = texts(spark, rows)
+    assert got == {k: f"On {w} {k}\n\n{(f'lead of {w} ' * (8 if k else 60)).strip()}\n\n{(f'body of {w} ' * 20).strip()}" for k, w in enumerate(names[:pages])}
+
+
+def test_titles_that_differ_in_digits_or_are_links(spark):
+    rows = [page(k, f"<div class='content'><{'a><h1' if k % 2 else 'h1><a'} href='/{k}'>Part {k}</{'h1></a' if k % 2 else 'a></h1'}><div class='body'><p>{'words ' * (20 + k)}</p></div></div>", "d.example.org") for k in range(4)]
+    assert texts(spark, rows) == {k: f"Part {k}\n\n{('words ' * (20 + k)).strip()}" for k in range(4)}
+
+
 def test_two_templates_on_a_host(spark):
     rows = [page(k, f"<div class='story'><p>{'alpha ' * 20}{k}</p><p>x</p></div>") for k in range(4)] + [page(k, f"<div class='post'><span>s</span><p>{'beta ' * 20}{k}</p><p>y</p></div>") for k in range(10, 14)]
     got = texts(spark, rows)

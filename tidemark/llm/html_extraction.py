@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship, small, written
 
-#: Least share of a template's text that its content slot holds, and least pages that share an occurrence vector.
+#: Least share of a template's text that its content slot holds (beside all that varies), and least pages that share an occurrence vector.
 SHARE, SUPPORT = 0.5, 2
-#: Characters from which a path is told by a digest.
-MAX_PATH = 1000
+#: Characters from which a path is told by a digest, and up to which bare text (a label, a counter) is told without its digits.
+MAX_PATH, MAX_LABEL = 1000, 40
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _LABEL = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -31,22 +31,26 @@ _DROPPED = set("head nav footer aside form script style title textarea noscript
 _HINTS = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal comment comments disqus share sharing social related newsletter subscribe widget".split()
 )
+#: Blocks that are prose: links in them are part of the text, and digits tell it.
+_PROSE = set("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 p pre".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: An open element that a tag ends, unless one of the stops is between them.
 _ENDS = {"p": ({"p"}, {"table", "button", "td", "div", "section", "article"}), "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
 class Page:
-    """A walk over a page. ``paths``: by path of labelled elements, how many there are, characters of kept text in them, and depth.
+    """A walk over a page. ``paths``: by path of labelled elements, how many there are, characters of kept text in them, depth, and
+    a sum of hashes of that text; ``size`` and ``sum``: those of the page, links outside of prose not counted.
     ``blocks``: texts of the blocks under ``root`` (all, if None), in page order."""
 
     def __init__(self, page: str, root: str | None = None) -> None:
         self.paths: dict[str, list[int]] = {}
         self.blocks: list[str] = []
+        self.size = self.sum = 0
         self._root, self._buffer = root, []
-        self._stack: list[list] = []  # tag, path, dropped, in root, in a link, characters
+        self._stack: list[list] = []  # tag, path, dropped, in root, in a link outside of prose, in prose, characters, sum
         self._open_tags: Counter[str] = Counter()
-        self._inside = self._dropped = self._link = False
+        self._inside = self._dropped = self._link = self._prose = False
         at, size = 0, len(page)
         while at < size:
             m = _TOKEN.search(page, at)
@@ -81,8 +85,15 @@ class Page:
             return
         if "&" in text:
             text = html.unescape(text)
-        if self._stack and not self._link:
-            self._stack[-1][5] += len(text.strip())
+        if self._root is None and not self._link and (run := " ".join(text.split())):
+            size = len(run)
+            if not self._prose and size <= MAX_LABEL:
+                run = _DIGITS.sub("0", run)
+            mark = int.from_bytes(hashlib.blake2b(run.encode(errors="replace"), digest_size=8).digest(), "little")
+            self.size, self.sum = self.size + size, self.sum + mark
+            if self._stack:
+                self._stack[-1][6] += size
+                self._stack[-1][7] += mark
         if self._root is None or self._inside:
             self._buffer.append(text)
 
@@ -120,23 +131,26 @@ class Page:
         if len(path) > MAX_PATH:  # of very deep nesting, or of very long labels
             path = "#" + hashlib.blake2b(path.encode(), digest_size=12).hexdigest()
         self._open_tags[tag] += 1
-        self._dropped, self._link = self._dropped or drop, self._link or tag == "a"
+        self._prose = self._prose or tag in _PROSE
+        self._dropped, self._link = self._dropped or drop, (self._link or tag == "a") and not self._prose
         self._inside = self._inside or path == self._root
-        self._stack.append([tag, path, self._dropped, self._inside, self._link, 0])
+        self._stack.append([tag, path, self._dropped, self._inside, self._link, self._prose, 0, 0])
 
     def _pop(self) -> None:
-        tag, path, _, _, _, size = self._stack.pop()
+        tag, path, _, _, _, _, size, mark = self._stack.pop()
         self._open_tags[tag] -= 1
         if tag in _BLOCK:
             self._flush()
-        seen = self.paths.setdefault(path, [0, 0, len(self._stack)])
+        seen = self.paths.setdefault(path, [0, 0, len(self._stack), 0])
         seen[0] += 1
         seen[1] += size
+        seen[3] += mark
         if self._stack:
-            self._stack[-1][5] += size
-            _, _, self._dropped, self._inside, self._link, _ = self._stack[-1]
+            self._stack[-1][6] += size
+            self._stack[-1][7] += mark
+            _, _, self._dropped, self._inside, self._link, self._prose, _, _ = self._stack[-1]
         else:
-            self._dropped = self._inside = self._link = False
+            self._dropped = self._inside = self._link = self._prose = False
 
     def _close(self, tag: str) -> None:
         if tag in _BLOCK:
@@ -150,15 +164,23 @@ class Page:
                 return  # an inline end tag doesn't end a block
 
 
+def _signed(x: int) -> int:
+    """The low 64 bits."""
+    return ((x + (1 << 63)) & ((1 << 64) - 1)) - (1 << 63)
+
+
 def _tokens(batches):
     import pyarrow as pa
 
     for batch in batches:
         rows = []
         for host, rid, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            rows += [(host, rid, path, n, size, depth) for path, (n, size, depth) in Page(page or "").paths.items()]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["host", "page", "token", "n", "size", "depth"])
+            walk = Page(page or "")
+            whole = _signed(walk.sum)
+            rows += [(host, rid, path, n, size, depth, walk.size - size, _signed(walk.sum - mark), whole) for path, (n, size, depth, mark) in walk.paths.items()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["host", "page", "token", "n", "size", "depth", "outside", "rest", "text"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -168,18 +190,25 @@ def templates(pages: DataFrame) -> DataFrame:
     pages are an equivalence class; a class is valid if it spans SUPPORT pages (a host of fewer pages: all) and each of
     its tokens occurs once a page, so that its tokens are nested in one order on all of them. A class is
     a template, and other tokens' classes are nested in the slots between its tokens. A template's content slot is
-    that of its deepest token that holds at least SHARE of the text outside of dropped parts.
+    that of its deepest container outside of which all its pages have the same kept text - so it holds all text that
+    isn't the template's, in as many slots as there are - and that holds at least SHARE of the text. Where the pages of a
+    class don't tell (a single one, or all with the same text), it is the deepest container outside of which there is none.
+    Lists of links outside of prose aren't taken for text here; labels of up to MAX_LABEL characters outside of prose
+    are compared without their digits.
 
     An occurrence vector is summed up in 128 bits of commutative hashes of (page, count), so that neither a host's
     pages nor a vector are ever gathered."""
-    seen = pages.mapInArrow(_tokens, "host string, page long, token string, n int, size long, depth int")
+    seen = pages.mapInArrow(_tokens, "host string, page long, token string, n int, size long, depth int, outside long, rest long, text long")
     vector = [F.bit_xor(F.xxhash64(F.lit(k), "page", "n")).alias(f"v{k}") for k in (1, 2)]
-    tokens = seen.groupBy("host", "token", "depth").agg(*vector, F.count(F.lit(1)).alias("support"), F.max("n").alias("most"), F.sum("size").alias("size"))
+    varied = [(F.min(c) != F.max(c)).alias(f"{c}_varies") for c in ("rest", "text")]
+    sums = [F.count(F.lit(1)).alias("support"), F.max("n").alias("most"), F.sum("size").alias("size"), F.sum("outside").alias("outside")]
+    tokens = seen.groupBy("host", "token", "depth").agg(*vector, *sums, *varied)
     tokens, _ = written(tokens, "html-tokens")
     hosts = tokens.groupBy("host").agg(F.max("support").alias("pages"))
     valid = tokens.filter("most = 1 and size > 0").join(small(hosts), "host").filter((F.col("support") >= SUPPORT) | (F.col("pages") < SUPPORT))
     classes = valid.groupBy("host", "v1", "v2", "support").agg(F.max("size").alias("whole"))
-    slots = valid.join(small(classes), ["host", "v1", "v2", "support"]).filter(F.col("size") >= F.col("whole") * SHARE)
+    holds = F.when(F.col("text_varies"), ~F.col("rest_varies") & (F.col("size") >= F.col("whole") * SHARE)).otherwise(F.col("outside") == 0)
+    slots = valid.join(small(classes), ["host", "v1", "v2", "support"]).filter(holds)
     # a slot is a container, and an article is one as a whole
     container = r"(?:^|>)(?:html|body|article|main|section|div|center|table|tbody|tr|td|dl|ul|ol)(?:[.#][^>]*)?$|^#"
     article = F.regexp_extract("token", r"^(?:.*?>)?(?:article|main)(?:[.#][^>]*)?(?=>|$)", 0)
