@@ -47,6 +47,18 @@ def test_titles_that_differ_in_digits_or_are_links(spark):
     assert texts(spark, rows) == {k: f"Part {k}\n\n{('words ' * (20 + k)).strip()}" for k in range(4)}
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_names_that_only_sound_like_dropped_parts(spark, tag):
+    names = "amber birch cedar delta".split()
+    body = lambda w: (
+        f"<{tag}><div class='entry-header'><h1 class='header'>On {w}</h1></div><p id='notice-of-1912'>Notice of {w}</p><h2 id='related-work'>Related {w}</h2>"
+        f"<section id='navigation-at-sea'><p>Sea of {w}</p></section><section id='comments' class='social-history'><p>Class of {w}</p></section>"
+        f"<div class='share sharing-top'><p>Share {w}</p></div><div class='cookie-notice'><p>Cookies {w}</p></div><section class='comments'><p>Comment {w}</p></section></{tag}>"
+    )
+    got = texts(spark, [page(k, body(w), f"{tag}.example.org") for k, w in enumerate(names)])
+    assert got == {k: f"On {w}\n\nNotice of {w}\n\nRelated {w}\n\nSea of {w}\n\nClass of {w}" for k, w in enumerate(names)}
+
+
 def test_two_templates_on_a_host(spark):
     rows = [page(k, f"<div class='story'><p>{'alpha ' * 20}{k}</p><p>x</p></div>") for k in range(4)] + [page(k, f"<div class='post'><span>s</span><p>{'beta ' * 20}{k}</p><p>y</p></div>") for k in range(10, 14)]
     got = texts(spark, rows)

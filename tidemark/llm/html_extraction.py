@@ -28,16 +28,24 @@ _BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _DROPPED = set("head nav footer aside form script style title textarea noscript template button select iframe object svg canvas audio video map menu dialog xmp noframes".split())
+#: Names of dropped parts, as whole class tokens (or ids of elements that aren't in an article), alone or as compounds of such names only.
 _HINTS = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal comment comments disqus share sharing social related newsletter subscribe widget".split()
 )
 #: Blocks that are prose: links in them are part of the text, and digits tell it.
 _PROSE = set("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 p pre".split())
+#: Elements that no class or id drops; of a section a class does, and its id is the name of what it is about.
+_KEPT = set("html body article main h1 h2 h3 h4 h5 h6 hgroup p blockquote pre figure".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: An open element that a tag ends, unless one of the stops is between them.
 _ENDS = {"p": ({"p"}, {"table", "button", "td", "div", "section", "article"}), "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+def _names_part(token: str) -> bool:
+    names = _NAMES.findall(token)
+    return bool(names) and _HINTS.issuperset(names)
+
+
 class Page:
     """A walk over a page. ``paths``: by path of labelled elements, how many there are, characters of kept text in them, depth, and
     a sum of hashes of that text; ``size`` and ``sum``: those of the page, links outside of prose not counted.
@@ -120,13 +128,13 @@ class Page:
                 value, name = value.strip("\"'").lower(), name.lower()
                 if name in ("class", "id"):
                     label += ("." if name == "class" else "#") + _DIGITS.sub("0", " ".join(sorted(value.split())))
-                    drop = drop or tag not in ("html", "body", "article", "main") and not _HINTS.isdisjoint(_NAMES.findall(value))
+                    drop = drop or tag not in _KEPT and (name == "class" or tag != "section" and not self._in_article()) and any(_names_part(x) for x in value.split())
                 elif name == "role":
                     drop = drop or value in _ROLES
                 else:
                     drop = drop or name == "hidden" or value == "true"
         if tag == "header":
-            drop = drop or not any(x[0] in ("article", "main") for x in self._stack)
+            drop = drop or not self._in_article()
         path = f"{self._stack[-1][1]}>{label}" if self._stack else label
         if len(path) > MAX_PATH:  # of very deep nesting, or of very long labels
             path = "#" + hashlib.blake2b(path.encode(), digest_size=12).hexdigest()
@@ -136,6 +144,9 @@ class Page:
         self._inside = self._inside or path == self._root
         self._stack.append([tag, path, self._dropped, self._inside, self._link, self._prose, 0, 0])
 
+    def _in_article(self) -> bool:
+        return self._open_tags["article"] + self._open_tags["main"] > 0
+
     def _pop(self) -> None:
         tag, path, _, _, _, _, size, mark = self._stack.pop()
         self._open_tags[tag] -= 1
