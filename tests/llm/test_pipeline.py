@@ -86,6 +86,32 @@ def test_planted(spark, frame, seed):
     assert left["exact_dedup"] == [2, 3, 4, 5, 7, 8, 9, 9] and left["near_dedup"] == [2, 4, 5, 7, 8, 9, 9] and left["decontamination"] == [2, 5, 7, 8, 9, 9]
 
 
+def test_rows_not_ids_are_dropped(spark, frame):
+    """Repeated and null ids: a stage drops the rows that it should, and no other row of the same id."""
+    r = random.Random(3)
+    text = lambda n: " ".join(f"v{r.randrange(5000)}" for _ in range(n))
+    a, b, c, d = text(120), text(110), text(100), text(90)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, rows: sorted(((x.doc_id, x.text) for x in stages[name](spark, frame(rows), SF).collect()), key=repr)
+    same = lambda *rows: sorted(rows, key=repr)
+    rows = [(1, a), (1, a), (5, b), (7, b), (5, c), (None, b), (None, d), (None, d), (8, None), (8, "")]
+    got = run("exact_dedup", rows)
+    assert [x for x in got if x[1]] == same((1, a), (7, b), (5, c), (None, d)) and len([x for x in got if not x[1]]) == 1
+    rows = [(1, a), (1, a + " tail"), (5, b), (4, b + " tail"), (5, c), (None, b), (None, d), (None, d)]
+    got = run("near_dedup", rows)
+    assert [x for x in got if x[0] != 1] == same((4, b + " tail"), (5, c), (None, d)) and len([x for x in got if x[0] == 1]) == 1
+    dirty = f"{text(20)} {item} {text(20)}"
+    assert run("decontamination", [(1, a), (1, dirty), (None, dirty), (None, b)]) == same((1, a), (None, b))
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = [(x.doc_id, x.text) for x in docs.collect()]
+    scores = [s for s, _, _ in fitted(*sample(docs, labels, "toxic", 5000)).score([(t or "").encode() for _, t in known])]
+    toxic = max(zip(scores, known, strict=True), key=lambda x: x[0])[1][1]
+    extra = [(None, toxic), (None, a), (900_001, toxic), (900_001, b)]
+    got = run("toxicity", known + extra)
+    assert (None, toxic) not in got and (900_001, toxic) not in got and (None, a) in got and (900_001, b) in got
+
+
 def test_empty(spark, docs_schema):
     df = spark.createDataFrame([], docs_schema)
     for _, stage in corpus_pipeline.STAGES:

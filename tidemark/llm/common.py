@@ -66,9 +66,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id isn't in ``ids`` (a written table of one column). Null ids stay."""
-    return docs.join(small(ids.select(F.col(ids.columns[0]).alias(id_col)).distinct()), id_col, "left_anti").select(*docs.columns)
+#: Column of a row's number, which is never null and never repeated.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written, so that all later plans read the same numbers."""
+    rows, _ = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    return rows
+
+
+def surplus(rows: DataFrame, groups: DataFrame, largest: bool) -> DataFrame:
+    """Row numbers of all rows but one of each group: that of the largest (smallest) id, and of those one.
+
+    ``rows``: numbered; ``groups``: a written table of ROW and grp. A null id is kept only in a group that has none other."""
+    ids = rows.select(ROW, "doc_id").join(small(groups), ROW)
+    order = F.max(F.struct("doc_id", ROW)) if largest else F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))
+    best = ids.groupBy("grp").agg(order.alias("best")).select("grp", F.col("best")[ROW].alias("kept_row"))
+    return ids.join(best, "grp").filter(F.col(ROW) != F.col("kept_row")).select(ROW)
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of a numbered table whose number isn't in ``dropped`` (a written table of one column), without the number."""
+    return rows.join(small(dropped.select(F.col(dropped.columns[0]).alias(ROW)).distinct()), ROW, "left_anti").drop(ROW)
 
 
 def remainder(id_col: str, n: int) -> Column:

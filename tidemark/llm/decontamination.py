@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hashed, ship, shingled, texts_of, without, written
+from tidemark.llm.common import ROW, hashed, numbered, ship, shingled, texts_of, without, written
 
 #: Words of a shingle, least containment, shingles of the items that one pass over the documents searches for.
 WORDS, CONTAINED, BLOCK_SHINGLES = 5, 0.8, 2_000_000
@@ -150,9 +150,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain a test item."""
-    found, _ = written(contaminated(docs, items).select("doc_id").distinct(), "contaminated")
-    return without(docs, found)
+    """``docs`` without the rows that contain a test item."""
+    rows = numbered(docs)
+    found, _ = written(contaminated(rows, items, ROW).select("doc_id").distinct(), "contaminated")
+    return without(rows, found)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

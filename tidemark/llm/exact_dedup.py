@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import removed, small, without, written
+from tidemark.llm.common import ROW, numbered, removed, small, surplus, without, written
 
 #: Bytes of the first digit, how much longer each next one is, and the longest.
 FIRST, GROWTH, LONGEST = 128, 8, 1 << 20
@@ -61,9 +61,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts."""
-    dropped, _ = written(exact_groups(docs).filter("not kept").select("doc_id"), "exact-dropped")
-    return without(docs, dropped)
+    """``docs`` with one row of each group of equal texts, one of those with the largest doc_id."""
+    rows = numbered(docs)
+    groups, _ = written(exact_groups(rows, ROW).filter("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("grp")), "exact-groups")
+    dropped, _ = written(surplus(rows, groups, largest=True), "exact-dropped")
+    return without(rows, dropped)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hashed, mixed, removed, ship, shingled, small, texts_of, without, written
+from tidemark.llm.common import ROW, hashed, mixed, numbered, removed, ship, shingled, small, surplus, texts_of, without, written
 
 #: Words of a shingle, least similarity in hundredths, keys of each of the two collections, minhashes of a key.
 #: Two sets of similarity 0.8 share a key of a collection with probability 1 - (1 - 0.8^3)^14 > 0.99995.
@@ -178,9 +178,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates."""
-    dropped, _ = written(near_groups(docs).filter("not kept").select("doc_id"), "near-dropped")
-    return without(docs, dropped)
+    """``docs`` with one row of each group of near duplicates, one of those with the smallest doc_id."""
+    rows = numbered(docs)
+    placed, _ = written(near_groups(rows, ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("grp")), "near-placed")
+    several = placed.filter(F.col(ROW) != F.col("grp")).select("grp").distinct()
+    groups, _ = written(placed.join(small(several), "grp", "left_semi").select(ROW, "grp"), "near-groups")
+    dropped, _ = written(surplus(rows, groups, largest=False), "near-dropped")
+    return without(rows, dropped)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _BYTE, RUN_BYTES, _power, mixed, remainder, ship, texts_of, without, written
+from tidemark.llm.common import _BYTE, ROW, RUN_BYTES, _power, mixed, numbered, remainder, ship, texts_of, without, written
 
 #: Bounds on the labelled documents that the model is fitted on, on their bytes, and on its features.
 MAX_DOCS, MAX_BYTES, MAX_FEATURES = 5000, 24 << 20, 4096
@@ -194,25 +194,26 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, max_by
     return [texts[i] for i in labels_of], list(labels_of.values())
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, threshold: float = TOXIC) -> DataFrame:
+def toxic_scores(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, threshold: float = TOXIC, id_col: str = "doc_id") -> DataFrame:
     """Scores of all texts: doc_id, held_out, score, predicted, n_sentences, offending (sentences' start, end, score).
 
     A document is a bag of sentences; the chance that a document is toxic is that of at least one of its
     sentences being so. Weights are learned from labels of documents alone, on a sample of at most ``max_docs``
     and MAX_BYTES (a bound of the driver's memory and time); every row of ``docs`` is scored, each where it is read. A text
     without words (null, empty) has no sentence and scores 0; without labels of both kinds all do.
-    Scores depend on the text only."""
+    Scores depend on the text only. ``id_col`` is given as doc_id; labels are always met by doc_id."""
     ship(docs.sparkSession)
     texts, y = sample(docs, labels, "toxic", max_docs)
     model = fitted(texts, y)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), "doc_id long, score double, n_sentences int, offending array<struct<start:int,end:int,score:double>>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), "doc_id long, score double, n_sentences int, offending array<struct<start:int,end:int,score:double>>")
     return rows.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_sentences", "offending")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are predicted to be toxic."""
-    toxic, _ = written(toxic_scores(docs, labels).filter("predicted = 1").select("doc_id"), "toxic")
-    return without(docs, toxic)
+    """``docs`` without the rows that are predicted to be toxic."""
+    rows = numbered(docs)
+    toxic, _ = written(toxic_scores(rows, labels, id_col=ROW).filter("predicted = 1").select("doc_id"), "toxic")
+    return without(rows, toxic)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
