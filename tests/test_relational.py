@@ -228,3 +228,26 @@ def test_streams(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     batch = df.groupBy(F.window("ts", "7 days").start.alias("win_start"), "kind").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("avg_value"))
     assert got.count() >= 6 and got.join(batch, ["win_start", "kind", "n", "avg_value"], "left_anti").count() == 0
+
+
+@pytest.mark.parametrize("parts", [2, 4, 16])
+def test_numbers_and_ranks_of_many_rows(spark, parts):
+    """Each number once, whatever other columns there are and however the plans that read them are pruned."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.range(50_000).select(F.xxhash64("id").alias("k"), (F.col("id") % 7).alias("extra"), F.md5(F.col("id").cast("string")).alias("more"))
+        got = J.numbered(df, "k", "n", 10)
+        assert got.select("n", "extra").agg(F.countDistinct("n"), F.min("n"), F.max("n")).first() == (50_000, 10, 50_009)
+        rows = [r.n for r in got.orderBy("k").select("n").collect()]
+        assert rows == list(range(10, 50_010))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_spearman_of_many_rows(spark):
+    df = spark.range(40_000).select((F.xxhash64("id") % 5000).alias("a"), ((F.xxhash64("id") % 5000) / 100 + F.rand(3) * 40).cast("int").alias("b"))
+    df = df.unionByName(spark.createDataFrame([(None, 1), (2, None)], "a long, b int"))
+    pdf = df.dropna().toPandas()
+    got = G.spearman(df, "a", "b").first()
+    assert got.n == len(pdf) and abs(got.rho - pdf["a"].rank().corr(pdf["b"].rank())) < 1e-9

@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.operators.joins import bounded, numbered
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors share, as the session names it; one of our own only in local mode where none is named."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
+from tidemark.operators.joins import bounded, placed
+from tidemark.sources.scratch import cut, forget
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, so that an iteration's plan doesn't grow."""
-    path = scratch(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Levels after which what a walk has seen is written as one table again.
+MERGE_LEVELS = 6
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,9 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
         step = now.join(near, "id").select("id", "component", F.least("component", "near").alias("new"))
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("_far"))
         new = cut(step.join(jump, "new").select("id", F.least("new", "_far").alias("component"), (F.least("new", "_far") != F.col("component")).alias("moved")))
+        forget(now)
         if new.filter("moved").isEmpty():
+            forget(both)
             return new.select("id", "component")
-        now = new.select("id", "component")
+        now = new
 
 
 def roots_and_leaves(edges: DataFrame) -> DataFrame:
@@ -58,22 +38,41 @@ def roots_and_leaves(edges: DataFrame) -> DataFrame:
     return ids.groupBy("id").agg((F.sum("i") == 0).alias("is_root"), (F.sum("o") == 0).alias("is_leaf"))
 
 
+class _Seen:
+    """Rows of all levels so far: the merged ones, and a few levels on top of them, so that a plan has few branches however deep a walk goes."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.base, self.levels = first, []
+
+    def all(self) -> DataFrame:
+        out = self.base
+        for level in self.levels:
+            out = out.unionByName(level)
+        return out
+
+    def add(self, level: DataFrame) -> None:
+        self.levels.append(level)
+        if len(self.levels) >= MERGE_LEVELS:
+            merged = cut(self.all())
+            forget(self.base, *self.levels[:-1])  # the last one is the next step's front
+            self.base, self.levels = merged, []
+
+
 def _walk(edges: DataFrame, longest: bool) -> DataFrame:
-    e = edges.select("src", "trg").distinct()
-    start = roots_and_leaves(edges).filter("is_root").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    seen = front = cut(start)
-    depth, limit = 0, None
-    while not front.isEmpty():
+    e = cut(edges.select("src", "trg").distinct())
+    front = cut(roots_and_leaves(e).filter("is_root").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
+    seen = _Seen(front)
+    depth, limit = 0, e.select(F.explode(F.array("src", "trg"))).distinct().count() if longest else None
+    while True:
         depth += 1
-        if longest:
-            limit = edges.select(F.explode(F.array("src", "trg"))).distinct().count() if limit is None else limit
-            if depth > limit:
-                raise ValueError("the graph has a cycle")
+        if longest and depth > limit:
+            raise ValueError("the graph has a cycle")
         step = front.join(e, front["id"] == e["src"]).select("root", F.col("trg").alias("id")).distinct()
-        step = step if longest else step.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        step = step if longest else step.join(seen.all().select("root", "id"), ["root", "id"], "left_anti")
         front = cut(step.withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(front)
-    return seen.groupBy("root", "id").agg((F.max("depth") if longest else F.min("depth")).alias("depth"))
+        if front.isEmpty():
+            return seen.all().groupBy("root", "id").agg((F.max("depth") if longest else F.min("depth")).alias("depth"))
+        seen.add(front)
 
 
 def shortest_paths(edges: DataFrame) -> DataFrame:
@@ -95,14 +94,15 @@ def leaf_paths(edges: DataFrame) -> DataFrame:
 
 def expansion(spark: SparkSession, edges: DataFrame, seed) -> DataFrame:
     """(id, depth) of all that a vertex reaches over (src, trg), each once at its least depth; cycles end."""
-    e = edges.select("src", "trg").distinct()
-    seen = front = cut(spark.range(1).select(F.lit(seed).cast(edges.schema["src"].dataType).alias("id"), F.lit(0).alias("depth")))
-    depth = 0
-    while not front.isEmpty():
+    e = cut(edges.select("src", "trg").distinct())
+    front = cut(spark.range(1).select(F.lit(seed).cast(edges.schema["src"].dataType).alias("id"), F.lit(0).alias("depth")))
+    seen, depth = _Seen(front), 0
+    while True:
         depth += 1
-        front = cut(front.join(e, front["id"] == e["src"]).select(F.col("trg").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(front)
-    return seen
+        front = cut(front.join(e, front["id"] == e["src"]).select(F.col("trg").alias("id")).distinct().join(seen.all().select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            return seen.all()
+        seen.add(front)
 
 
 def message_graphs(posts: DataFrame, edges: DataFrame, community: int) -> tuple[DataFrame, DataFrame]:
@@ -124,13 +124,8 @@ def influence_cut(edges: DataFrame, share: float = 0.5) -> DataFrame:
 
     The running sum is over range partitions of degree with an offset for each, not in one sorted task."""
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = cut(degree.repartitionByRange(parts, F.desc("degree"), "id").withColumn("_p", F.spark_partition_id()))
-    starts = spread.groupBy("_p").agg(F.sum("degree").alias("s")).withColumn("_base", F.coalesce(F.sum("s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     total = edges.agg(F.count(F.lit(1)).alias("_edges"))
-    rows = spread.join(F.broadcast(starts.select("_p", "_base")), "_p").join(F.broadcast(total))
-    run = F.sum("degree").over(W.partitionBy("_p").orderBy(F.desc("degree"), "id").rowsBetween(W.unboundedPreceding, 0)) + F.col("_base")
-    rows = rows.withColumn("cumulative", run)
+    rows = placed(degree, [F.desc("degree"), F.asc("id")], "cumulative", "degree").join(F.broadcast(total))
     return rows.select("id", "degree", "cumulative", ((F.col("cumulative") - F.col("degree")) < share * F.col("_edges")).alias("influential"))
 
 
@@ -166,17 +161,17 @@ def label_scores(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def mean_ranks(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Average ranks: of equal values, the mean of their places. From counts of distinct values, numbered by range partition."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    places = numbered(counts, col, "_i")
-    before = places.withColumn("_to", F.sum("_n").over(W.orderBy("_i").rowsBetween(W.unboundedPreceding, 0)))
-    return df.join(before.select(col, (F.col("_to") - (F.col("_n") - 1) / 2).alias(name)), col)
+    """(col, name): average ranks of distinct values: of equal values, the mean of their places. From their counts, whose
+    running sum is by range partition."""
+    counts = placed(df.groupBy(col).agg(F.count(F.lit(1)).alias("_n")), [F.asc(col)], "_to", "_n")
+    return counts.select(col, (F.col("_to") - (F.col("_n") - 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """V8: rank correlation with average ranks: rho and n."""
-    rows = mean_ranks(mean_ranks(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "_ra"), b, "_rb")
-    return rows.agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    rows = cut(df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).filter("_a is not null and _b is not null"))
+    ranked = rows.join(mean_ranks(rows, "_a", "_ra"), "_a").join(mean_ranks(rows, "_b", "_rb"), "_b")
+    return ranked.agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def js_long(rows: DataFrame, key: str, item: str, n: str = "n") -> DataFrame:

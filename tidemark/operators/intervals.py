@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import vectors as V
+from tidemark.operators.joins import bounded, tiled_pairs
 
 
 def hopping(spark: SparkSession, start: str, end: str, history: int = 3, future: int = 3, stride: int = 3) -> DataFrame:
@@ -95,17 +96,14 @@ def subsequences(df: DataFrame, key: str, order: str, vec: str, longest: int, ev
 
 def event_distances(intervals: DataFrame, events: DataFrame, order: str, vec: str, event_day: str, event_vec: str, keys: Sequence[str] = ()) -> DataFrame:
     """Js of every interval with every event (a given few); -0.1 before the event's day and for zero vectors."""
-    rows = intervals.join(F.broadcast(events))
+    rows = intervals.join(bounded(events))
     return rows.select(*keys, order, event_day, F.when(F.col(order) >= F.col(event_day), V.js(F.col(vec), F.col(event_vec), sentinel=-0.1)).otherwise(F.lit(-0.1)).alias("js"))
 
 
 def pair_distances(df: DataFrame, key: str, vec: str, within: str | None = None, base: float = 2.718281828459045) -> DataFrame:
-    """Js of pairs of keys i < j, of one ``within`` value; an equi-join on it."""
-    extra = [within] if within else []
-    one = df.select(*extra, F.col(key).alias("i"), F.col(vec).alias("x"))
-    two = df.select(*extra, F.col(key).alias("j"), F.col(vec).alias("y"))
-    both = one.join(two, [within]).filter("i < j") if within else one.join(two, F.col("i") < F.col("j"))
-    return both.select(*extra, "i", "j", V.js(F.col("x"), F.col("y"), base).alias("js"))
+    """Js of pairs of keys i < j, of one ``within`` value; in tiles of an equi-join."""
+    pairs = tiled_pairs(df, key, F.col(vec), within)
+    return pairs.select(*([F.col("w").alias(within)] if within else []), F.col("a").alias("i"), F.col("b").alias("j"), V.js(F.col("x"), F.col("y"), base).alias("js"))
 
 
 def presence(df: DataFrame, entity: str, interval: str, intervals: Sequence) -> DataFrame:

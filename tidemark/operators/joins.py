@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import vectors as V
+from tidemark.sources.scratch import cut
 from tidemark.sources.tables import first_by
 
 #: Rows up to which a counted side is broadcast.
@@ -102,21 +105,31 @@ def interaction_edges(posts: DataFrame, users: DataFrame, retweets: DataFrame |
     return first_by(edges, "tw_id", "_k", "src", "trg").drop("_k")
 
 
-def similar_pairs(df: DataFrame, key: str, vec: str, within: str | None = None, least: float | None = None, diagonal: bool = False, block: int = 256) -> DataFrame:
-    """Cosine of all pairs of rows (of one ``within`` value): a, b, similarity; a < b, or a <= b.
+def tiled_pairs(df: DataFrame, key: str, value: Column, within: str | None = None, diagonal: bool = False, block: int = 256) -> DataFrame:
+    """Each pair of rows of one ``within`` value once: w, a, b, x, y with a < b (or a <= b).
 
-    All pairs are what is asked for, so the work is dealt out in tiles: rows are numbered into blocks by a hash,
-    and each pair of blocks is one key of an equi-join. A zero or missing vector has similarity 0."""
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    rows = df.select(*([F.col(within).alias("w")] if within else [F.lit(0).alias("w")]), F.col(key).alias("k"), V.unit(F.col(vec)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("i"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")
+    All pairs are what is asked for, so the work is dealt out in tiles: a group's rows are dealt into blocks by a hash,
+    as many as the group's own size asks for, and each pair of blocks is one key of an equi-join."""
+    w = F.col(within) if within else F.lit(0)
+    rows = df.select(w.alias("w"), F.col(key).alias("k"), value.alias("v"))
+    sizes = rows.groupBy("w").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    rows = rows.join(bounded(sizes), "w").withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     left = rows.select("w", F.col("k").alias("a"), F.col("v").alias("x"), F.col("i").alias("p"), F.explode(every).alias("q")).filter("p <= q")
     right = rows.select("w", F.col("k").alias("b"), F.col("v").alias("y"), F.col("i").alias("q"), F.explode(every).alias("p")).filter("p <= q")
     order = F.when(F.col("p") < F.col("q"), F.col("a") != F.col("b")).otherwise(F.col("a") <= F.col("b") if diagonal else F.col("a") < F.col("b"))
     pairs = left.join(right, ["w", "p", "q"]).filter(order)
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    out = pairs.select(*([F.col("w").alias(within)] if within else []), low.alias("a"), high.alias("b"), F.coalesce(V.dot(F.col("x"), F.col("y")), F.lit(0.0)).alias("similarity"))
+    turned = F.col("a") > F.col("b")
+    side = lambda one, two: F.when(turned, F.col(two)).otherwise(F.col(one))
+    return pairs.select("w", side("a", "b").alias("a"), side("b", "a").alias("b"), side("x", "y").alias("x"), side("y", "x").alias("y"))
+
+
+def similar_pairs(df: DataFrame, key: str, vec: str, within: str | None = None, least: float | None = None, diagonal: bool = False, block: int = 256) -> DataFrame:
+    """Cosine of all pairs of rows (of one ``within`` value): a, b, similarity; a < b, or a <= b.
+
+    A zero or missing vector has similarity 0."""
+    pairs = tiled_pairs(df, key, V.unit(F.col(vec)), within, diagonal, block)
+    out = pairs.select(*([F.col("w").alias(within)] if within else []), "a", "b", F.coalesce(V.dot(F.col("x"), F.col("y")), F.lit(0.0)).alias("similarity"))
     return out.filter(F.col("similarity") >= least) if least is not None else out
 
 
@@ -170,11 +183,21 @@ def with_ids(phrases: DataFrame, known: DataFrame, key: str = "phrase", ident: s
 
 
 def numbered(df: DataFrame, order: str, name: str, first: int = 0) -> DataFrame:
-    """Rows numbered without gaps in the order of a column: range partitions, a count of each, and a number within."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: both uses see the same partitions
-    spread = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    starts = spread.groupBy("__p").count().withColumn("__base", F.coalesce(F.sum("count").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return spread.join(F.broadcast(starts.select("__p", "__base")), "__p").withColumn(name, (F.col("__base") + F.col("__i") + first).cast("long")).drop("__p", "__i", "__base")
+    """Rows numbered without gaps in the order of a column."""
+    return placed(df, [F.asc(order)], name).withColumn(name, F.col(name) + (first - 1))
+
+
+def placed(df: DataFrame, order: Sequence[Column], name: str, weight: str | None = None) -> DataFrame:
+    """Rows with the running sum of a weight (or their number, from 1) in an order that no two rows tie in, or whose ties may stand either way.
+
+    Rows are dealt into range partitions and written once, so that both the sums of whole partitions and the sums within
+    them see the same partitions, however the two plans are pruned; none is sorted in one task."""
+    spread = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    each = F.col(weight) if weight else F.lit(1).cast("long")
+    sums = spread.groupBy("__p").agg(F.sum(each).alias("__s"))
+    starts = sums.withColumn("__base", F.coalesce(F.sum("__s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    within = F.sum(each).over(W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return spread.join(F.broadcast(starts.select("__p", "__base")), "__p").withColumn(name, (F.col("__base") + within).cast("long")).drop("__p", "__base")
 
 
 def phrase_pairs(pairs: DataFrame, phrases: DataFrame, texts: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from tidemark.operators import joins as J
 from tidemark.operators import models as L
 from tidemark.operators import records as R
 from tidemark.sources import tables as S
+from tidemark.sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,7 +113,7 @@ def json_field_counts(spark, sf):
 @query(f"WITH {P} SELECT CAST(tw_id AS VARCHAR) AS tw_id, tw_type, tw_datetime FROM p")
 def json_lines_scan(spark, sf):
     """Posts written as JSON lines to the shared folder and scanned by schema."""
-    path = G.scratch(spark, "json")
+    path = scratch(spark, "json")
     raw_posts(spark, sf).write.json(path)
     good, bad = S.read_posts(spark, path)
     return R.typed(good).select("tw_id", "tw_type", "tw_datetime").unionByName(bad.select(F.lit("bad").alias("tw_id"), F.lit("").alias("tw_type"), F.lit("").alias("tw_datetime")))
@@ -156,7 +157,7 @@ def labelled_vector_choice(spark, sf):
 @query("SELECT event_type, date_trunc('week', ts)::DATE AS week, count(*) AS n FROM events GROUP BY ALL")
 def partitioned_by_interval(spark, sf):
     """S3: events written in a folder for each week and read back."""
-    path = G.scratch(spark, "weeks")
+    path = scratch(spark, "weeks")
     e = table(spark, sf, "events").withColumn("time_int", F.date_format(F.date_trunc("week", "ts"), "yyyyMMdd"))
     S.write_by_interval(e, path, order="ts")
     back = spark.read.schema("event_type string, ts timestamp, time_int string").parquet(path)
@@ -166,7 +167,7 @@ def partitioned_by_interval(spark, sf):
 @query("SELECT c_custkey, c_nationkey FROM customer")
 def idempotent_append(spark, sf):
     """The same customers appended twice."""
-    path = G.scratch(spark, "append")
+    path = scratch(spark, "append")
     for _ in range(2):
         S.append_new(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), path, "c_custkey")
     return spark.read.parquet(path)
@@ -175,7 +176,7 @@ def idempotent_append(spark, sf):
 @query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 3) + 0.0::DOUBLE AS s FROM embeddings")
 def vector_text_round_trip(spark, sf):
     """Vectors as text lines and back."""
-    path = G.scratch(spark, "vec")
+    path = scratch(spark, "vec")
     S.write_vectors(table(spark, sf, "embeddings"), path, "vec_id", "embedding")
     rows = S.read_pipes(spark, path, "vec_id long, v string").withColumn("v", X.float_vector(F.col("v")))
     return rows.select("vec_id", r6(V.total(F.col("v")), 3).alias("s"))
@@ -1093,7 +1094,7 @@ def stamped_range(spark, sf):
 @query(f"WITH {HOPS} SELECT idx::INT AS idx, key, s AS start, e AS \"end\" FROM h")
 def interval_file(spark, sf):
     """Intervals written as lines and read."""
-    path = G.scratch(spark, "intervals")
+    path = scratch(spark, "intervals")
     I.hopping(spark, "20240101", "20240130").filter("idx < 9").select(F.regexp_replace("key", "_", ":").alias("value")).write.text(path)
     return S.read_intervals(spark, path).select("idx", "key", "start", "end")
 
@@ -1101,7 +1102,7 @@ def interval_file(spark, sf):
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_loader(spark, sf):
     """A CSV file with a header, cast by schema."""
-    source, out = G.scratch(spark, "csv"), G.scratch(spark, "loaded")
+    source, out = scratch(spark, "csv"), scratch(spark, "loaded")
     S.write_csv(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), source)
     S.csv_to_table(spark, source, "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string", out)
     return spark.read.parquet(out)
@@ -1116,7 +1117,7 @@ def task_split(spark, sf):
 @query("SELECT 'w' || vec_id AS token, round(embedding[1]::DOUBLE, 4) + 0.0::DOUBLE AS x FROM embeddings WHERE vec_id % 5 > 0")
 def word_vector_file(spark, sf):
     """Word vectors as text lines; lines of another width go."""
-    path = G.scratch(spark, "words")
+    path = scratch(spark, "words")
     e = table(spark, sf, "embeddings")
     short = F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 9)).otherwise(F.col("embedding"))
     e.select(F.concat(F.lit("w"), F.col("vec_id").cast("string"), F.lit(" "), F.array_join(short.cast("array<string>"), " ")).alias("value")).write.text(path)
@@ -1126,7 +1127,7 @@ def word_vector_file(spark, sf):
 @query(f"WITH {CONV} SELECT parent AS src, id AS trg FROM c WHERE parent IS NOT NULL")
 def simulation_graph(spark, sf):
     """A simulation's CSV to vertices and edges, stored and read back."""
-    path, graph = G.scratch(spark, "sim"), G.scratch(spark, "graph")
+    path, graph = scratch(spark, "sim"), scratch(spark, "graph")
     t = turns(spark, sf)
     s = lambda c: F.col(c).cast("string")
     t.select(F.col("role"), s("id"), F.coalesce(s("parent"), s("id")), (F.col("conv_id") * 1000).cast("string"), F.lit("[1,2]"), F.col("turn"), F.lit(0)).write.csv(path)
