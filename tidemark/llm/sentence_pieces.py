@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm.common import RUN_BYTES, grouped, mixed, removed, ship, texts_of, written
 
 #: Units (word parts that no piece reaches across) that are sent to the executors as one packed dictionary;
 #: rarer ones reach the documents that have them by a join.
 DICTIONARY_UNITS = 4_000_000
-#: Code points of the longest unit that is folded by Spark; the boundaries of one are bits of a long.
+#: Code points of the longest unit that is folded by Spark.
 FOLDED = 60
 #: Units of a partition of the lattice, whose groups are kept in a hash table.
 LATTICE_UNITS = 8_000
 
 _MARK = "▁"
+#: Above any rank.
+_NEVER = 1 << 30
 
 
 class Pieces:
@@ -61,62 +63,93 @@ class Pieces:
     def unknown(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unk]
 
+    def spines(self) -> dict[str, tuple[int, list[int], list[int]]]:
+        """Of a BPE model, each piece's rank (0 is best, equal scores share one) and its left and right spine.
+
+        When a piece's characters are merged, the symbol at its left edge grows. left[n - 1] is the rank of the merge that
+        ends the symbol of n characters there, _NEVER for the whole piece, -1 if there is no such symbol; right is
+        the same at the right edge. Pieces that their own characters don't merge into are left out: they never occur."""
+        rank = {score: k for k, score in enumerate(sorted({score for _, _, score in self.rows}, reverse=True))}
+        ranks = {p: rank[score] for p, _, score in self.rows}
+        out = {}
+        for piece in ranks:
+            ends, last = list(range(len(piece) + 1)), -1  # boundaries between symbols
+            left, right, at_left, at_right = [-1] * len(piece), [-1] * len(piece), 1, 1
+            while len(ends) > 2:
+                found = [(ranks[piece[a:b]], k) for k, (a, b) in enumerate(zip(ends, ends[2:], strict=False)) if piece[a:b] in ranks]
+                if not found:
+                    break
+                r, k = min(found)
+                if r < last:
+                    raise ValueError("a piece must be merged from pieces of better scores")
+                last = r
+                if k == 0:
+                    left[at_left - 1], at_left = r, ends[2]
+                if k == len(ends) - 3:
+                    right[at_right - 1], at_right = r, len(piece) - ends[k]
+                del ends[k + 1]
+            if len(ends) == 2:
+                left[-1] = right[-1] = _NEVER
+                out[piece] = ranks[piece], left, right
+        return out
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The pieces as rows, and one of the empty text."""
+        if not self.bpe:
+            return spark.createDataFrame([("", 0, 0.0), *self.rows], "piece string, id int, score double")
+        ids = {p: i for p, i, _ in self.rows}
+        rows = [(p, ids[p], *spine) for p, spine in self.spines().items()]
+        return spark.createDataFrame([("", 0, 0, [], []), *rows], "piece string, id int, rank int, left array<int>, right array<int>")
+
 
 # -------------------------------------------------------------------- lattice
 
 
 def lattice(units: DataFrame, pieces: Pieces, table: DataFrame) -> DataFrame:
-    """Edges of each unit: unit, n, edges; an edge is a piece that covers k code points from i (1-based).
+    """Edges of each unit: unit, n, edges; an edge is a piece that covers the code points from i to e (1-based).
 
     Substrings of bounded length are exploded and joined by equality with the piece table, whose size the
-    vocabulary fixes; ``units`` comes partitioned by unit, so the group by unit moves nothing. For Viterbi an edge is
-    a struct<i,k,id,score>; for merges a struct<place,ends,inner>: rank, i and id in one long, which orders edges best
-    first, then leftmost; both ends as bits of the boundary set; the boundaries inside."""
+    vocabulary fixes; ``units`` comes partitioned by unit, so the group by unit moves nothing. An edge of a unigram model
+    has its score, one of a BPE model its rank and spines."""
     starts = units.select("unit", "n", F.explode(F.sequence(F.lit(1), F.char_length("unit"))).alias("i"))
     # one more, empty substring keeps units of which no substring is a piece
     cut = starts.select("unit", "n", "i", F.explode(F.sequence(F.when(F.col("i") == 1, 0).otherwise(1), F.least(F.lit(pieces.longest), F.char_length("unit") - F.col("i") + 1))).alias("k"))
     found = cut.withColumn("piece", F.expr("substring(unit, i, k)")).join(F.broadcast(table), "piece")
-    edge = F.struct("i", "k", "id", "score")
-    if pieces.bpe:
-        ends, inner = F.expr("shiftleft(1L, i - 1) | shiftleft(1L, i + k - 1)"), F.expr("shiftleft(shiftleft(1L, k - 1) - 1, i)")
-        edge = F.struct(F.expr("shiftleft(rank, 28) | shiftleft(cast(i AS bigint), 20) | id").alias("place"), ends.alias("ends"), inner.alias("inner"))
+    edge = F.struct((F.col("i") + F.col("k") - 1).alias("e"), "i", "id", *(("rank", "left", "right") if pieces.bpe else ("score",)))
     return found.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(F.when(F.col("k") > 0, edge)).alias("edges"))
 
 
-def _viterbi(unk_score: float) -> Column:
-    """Best path by sum of scores: a fold over end positions whose state has, for each position, the best score
-    and the start and id of the last edge; then the path is read back from the end. Tokens: struct<i,k,id>, id -1 if unknown."""
-    step = f"""aggregate(sequence(1, char_length(unit)), array(struct(0.0D AS score, 0 AS i, -1 AS id)), (best, e) -> array_append(best,
-        array_max(transform(
-          concat(filter(edges, x -> x.i + x.k - 1 = e), if(exists(edges, x -> x.i = e AND x.k = 1), cast(array() as array<struct<i:int,k:int,id:int,score:double>>), array(struct(e AS i, 1 AS k, -1 AS id, {unk_score!r}D AS score)))),
-          x -> struct(element_at(best, x.i).score + x.score AS score, x.i AS i, x.id AS id)))))"""
-    back = """aggregate(sequence(1, char_length(unit)), struct(char_length(unit) AS at, cast(array() as array<struct<i:int,k:int,id:int>>) AS out), (s, n) ->
-        if(s.at = 0, s, struct(element_at(best, s.at + 1).i - 1 AS at, concat(array(struct(element_at(best, s.at + 1).i AS i, s.at - element_at(best, s.at + 1).i + 1 AS k, element_at(best, s.at + 1).id AS id)), s.out) AS out)), s -> s.out)"""
-    return step, back
+#: Characters that are no piece are edges of id -1.
+_LONE = "filter(sequence(1, char_length(unit)), p -> NOT exists(edges, x -> x.i = p AND x.e = p))"
 
 
-#: An edge joins just two neighbouring symbols.
-_FITS = "(m & x.ends) = x.ends AND bit_count(m & x.inner) = 1"
-#: Set on a boundary set where one pass over the edges may differ from merging best first.
-_DOUBT = "shiftleft(1L, 62)"
+def _viterbi(unk_score: float) -> str:
+    """Viterbi of a unigram model: a fold over end positions whose state has, for each, the best total score, and the
+    start and id of the last edge."""
+    return f"""aggregate(sequence(1, char_length(unit)), array(struct(0.0D AS score, 0 AS i, -1 AS id)), (best, e) -> array_append(best,
+        array_max(transform(
+          concat(filter(edges, x -> x.e = e), if(exists(edges, x -> x.i = e AND x.e = e), cast(array() AS array<struct<e:int,i:int,id:int,score:double>>), array(struct(e AS e, e AS i, -1 AS id, {unk_score!r}D AS score)))),
+          x -> struct(element_at(best, x.i).score + x.score AS score, x.i AS i, x.id AS id)))))"""
 
 
-def _merges() -> tuple[str, str]:
-    """Merges by score: folds whose state is the set of boundaries between symbols, one bit for each.
+def _viterbi_of_pairs() -> str:
+    """Viterbi of a BPE model. Merging best first isn't a best sum of scores, but it is a best path whose transitions
+    score: pieces A and B may stand side by side, at 0, if merging A's and B's characters together gives A and B again, and
+    at minus infinity if not; a text's pieces are the one path of finite score (Berglund and van der Merwe 2023). So of
+    all edges that end at a position just one survives, and the fold takes edges by their ends and keeps it.
 
-    The first fold passes over the edges once, best score first (then leftmost), and merges two neighbouring symbols
-    wherever an edge joins just them. That is merging best first unless a merge makes room for a better edge that has
-    been passed; the fold looks for one at each merge, and marks the unit. For marked units, the second fold takes the
-    best edge that fits again and again until there is none."""
-    once = f"""aggregate(ranked, shiftleft(1L, char_length(unit) + 1) - 1, (m, x) -> if({_FITS},
-        if(exists(ranked, z -> z.place < x.place AND (m & ~x.inner & z.ends) = z.ends AND bit_count(m & ~x.inner & z.inner) = 1), (m & ~x.inner) | {_DOUBT}, m & ~x.inner), m))"""
-    slow = f"""aggregate(sequence(1, char_length(unit)), shiftleft(1L, char_length(unit) + 1) - 1, (m, n) ->
-        coalesce(get(transform(slice(filter(ranked, x -> {_FITS}), 1, 1), x -> m & ~x.inner), 0), m))"""
-    return once, slow
+    A and B meet at a boundary, and are merged across it if some piece c is made of a symbol of A's right spine and one of
+    B's left spine while both are there: its rank is better than those of the merges that end them, or as good as
+    B's, since of equal scores the leftmost goes first. All such c are edges of the lattice themselves."""
+    empty = "cast(array() AS array<int>)"
+    every = f"if(size(filter(edges, x -> x.i = x.e)) = char_length(unit), edges, concat(edges, transform({_LONE}, p -> struct(p AS e, p AS i, -1 AS id, 0 AS rank, {empty} AS left, {empty} AS right))))"
+    across = "exists(long, c -> c.i < x.i AND c.e >= x.i AND coalesce(get(element_at(best, x.i).right, x.i - c.i - 1), -1) > c.rank AND coalesce(get(x.left, c.e - x.i), -1) >= c.rank)"
+    return every, f"""aggregate(ranked, array(struct(0 AS i, -1 AS id, {empty} AS right)), (best, x) ->
+        if(size(best) = x.e AND NOT {across}, array_append(best, struct(x.i AS i, x.id AS id, x.right AS right)), best))"""
 
 
 def folded(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, n and ids: the pieces of each unit, by the recurrence of the model's type over the lattice's edges."""
+    """unit, n and ids: the pieces of each unit, by a Viterbi fold over the lattice's edges, read back from the last position."""
     if pieces.byte:
         first = pieces.byte[0]
         if any(pieces.byte[b] != first + b for b in range(256)):
@@ -124,18 +157,16 @@ def folded(edges: DataFrame, pieces: Pieces) -> DataFrame:
         unknown = f"transform(sequence(1, octet_length(substring(unit, t.i, 1))), b -> {first} + cast(conv(substring(hex(encode(substring(unit, t.i, 1), 'UTF-8')), 2 * b - 1, 2), 16, 10) AS int))"
     else:
         unknown = f"array({pieces.unk})"
-    spelled = f"flatten(transform(path, t -> if(t.id >= 0, array(t.id), {unknown})))"
-    if not pieces.bpe:
-        step, back = _viterbi(pieces.unk_score)
-        return edges.withColumn("best", F.expr(step)).withColumn("path", F.expr(back)).select("unit", "n", F.expr(spelled).alias("ids"))
-    once, slow = _merges()
-    path = edges.withColumn("ranked", F.expr("sort_array(filter(edges, x -> x.inner <> 0))")).withColumn("m", F.expr(once))
-    path = path.withColumn("m", F.expr(f"if((m & {_DOUBT}) = 0, m, {slow})"))
-    # the edges between neighbouring boundaries; a symbol without one is an unknown character
-    path = path.withColumn("path", F.expr("sort_array(transform(filter(edges, x -> (m & x.ends) = x.ends AND (m & x.inner) = 0), x -> struct(cast(shiftright(x.place, 20) & 255 AS int) AS i, cast(x.place & 1048575 AS int) AS id)))"))
-    missing = "transform(filter(sequence(1, char_length(unit)), p -> bit_get(m, p - 1) = 1 AND NOT exists(path, t -> t.i = p)), p -> struct(p AS i, -1 AS id))"
-    whole = f"if(size(path) = bit_count(m) - 1, transform(path, t -> t.id), flatten(transform(sort_array(concat(path, {missing})), t -> if(t.id >= 0, array(t.id), {unknown}))))"
-    return path.select("unit", "n", F.expr(whole).alias("ids"))
+    if pieces.bpe:
+        every, fold = _viterbi_of_pairs()
+        edges = edges.withColumn("ranked", F.expr(f"sort_array({every})")).withColumn("long", F.expr("filter(edges, x -> x.i < x.e)"))
+        edges = edges.withColumn("best", F.expr(fold))
+    else:
+        edges = edges.withColumn("best", F.expr(_viterbi(pieces.unk_score)))
+    back = """aggregate(sequence(1, char_length(unit)), struct(char_length(unit) AS at, cast(array() AS array<struct<i:int,id:int>>) AS out), (s, n) ->
+        if(s.at = 0, s, struct(element_at(best, s.at + 1).i - 1 AS at, array_prepend(s.out, struct(element_at(best, s.at + 1).i AS i, element_at(best, s.at + 1).id AS id)) AS out)), s -> s.out)"""
+    spelled = f"if(exists(path, t -> t.id < 0), flatten(transform(path, t -> if(t.id >= 0, array(t.id), {unknown}))), transform(path, t -> t.id))"
+    return edges.withColumn("path", F.expr(back)).select("unit", "n", F.expr(spelled).alias("ids"))
 
 
 def merged_long(unit: str, pieces: Pieces, ids: dict[str, tuple[int, float]]) -> list[int]:
@@ -275,6 +306,8 @@ def _new_units(model: str):
 
 
 def _packed(model: str):
+    """Hashes, numbers of ids and ids of a batch's units, each as one binary value."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -294,17 +327,16 @@ class _Dictionary:
         self.hashes, self.start, self.count, self.pool = hashes, start, count, pool
 
     @classmethod
-    def of(cls, encoded: DataFrame, model: str, kind: str) -> _Dictionary:
-        rows = encoded.select("unit", "ids").mapInArrow(_packed(model), "hash binary, n binary, ids binary").collect()
-        h = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["hash"], "<u8") for r in rows]])
-        n = np.concatenate([np.zeros(0, np.uint16), *[np.frombuffer(r["n"], "<u2") for r in rows]])
-        pool = np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), kind)
-        end = np.cumsum(n, dtype=np.int64)
+    def of(cls, parts: list[tuple[bytes, bytes, bytes]], kind: str) -> _Dictionary:
+        h = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(p[0], "<u8") for p in parts]])
+        n = np.concatenate([np.zeros(0, np.uint16), *[np.frombuffer(p[1], "<u2") for p in parts]])
+        pool = np.frombuffer(b"".join(p[2] for p in parts), kind)
+        start = (np.cumsum(n, dtype=np.int64) - n).astype(np.uint32)
         order = np.argsort(h, kind="stable")
         h = h[order]
         if (h[1:] == h[:-1]).any():
             raise RuntimeError("two units of the dictionary have one 64-bit hash")
-        return cls(h, (end - n)[order].astype(np.uint32), n[order], pool)
+        return cls(h, start[order], n[order], pool)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of hashes, and which of them are there."""
@@ -375,12 +407,12 @@ _encoders: dict = {}
 
 
 def _encoder(model: str, shared) -> _Encoder:
-    """One encoder a worker and dictionary."""
-    key = (model, shared.value.hashes.ctypes.data if len(shared.value.hashes) else 0, len(shared.value.hashes))
-    if key not in _encoders:
+    """One encoder a worker and dictionary, which is put together here, so that the driver only passes its parts on."""
+    name, parts = shared.value
+    if (model, name) not in _encoders:
         _encoders.clear()
-        _encoders[key] = _Encoder(model, shared.value)
-    return _encoders[key]
+        _encoders[model, name] = _Encoder(model, _Dictionary.of(parts, _cutter(model).pieces.kind))
+    return _encoders[model, name]
 
 
 def _missing(model: str, shared):
@@ -427,8 +459,8 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     """Pieces of every whole text: doc_id, ids, n_tokens, ids_crc32 (of little-endian 32-bit ids), decodes.
 
     1. Distinct units of the corpus: a unit is a stretch of a text that no piece reaches out of, mostly a word part.
-    2. Their lattice (see ``lattice``), folded by Spark's higher-order functions: Viterbi for a unigram model; for
-       a BPE model, whose segmentation is not the path of best total score, its merges over the same edges.
+    2. Their lattice (see ``lattice``), folded by Viterbi with Spark's higher-order functions: by scores of edges for a
+       unigram model, by pairs of edges for a BPE model (see ``_viterbi_of_pairs``).
     3. Ids of units go back to the documents: those of the most widespread ``dictionary_units`` at most as one
        packed dictionary, those of all others by a join with the documents that have them.
     4. Ids are decoded again; ``decodes`` says if that gives the text. It can only differ for control characters
@@ -439,9 +471,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     ship(spark)
     pieces = Pieces(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    best = sorted(pieces.rows, key=lambda p: (-p[2], p[1]))
-    schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType())])
-    table = spark.createDataFrame([("", 0, 0.0, 0)] + [(*p, k) for k, p in enumerate(best)], schema)
+    table = pieces.table(spark)
     units = rows.select("text").mapInArrow(_new_units(model), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     units, units_at = written(units, "sp-units")
     total = units.count()
@@ -463,7 +493,10 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 break
             held, least = held + count, n
         hot, tail = encoded.filter(F.col("n") >= least), encoded.filter(F.col("n") < least)
-    shared = spark.sparkContext.broadcast(_Dictionary.of(hot, model, pieces.kind))
+    packed = hot.select("unit", "ids").mapInArrow(_packed(model), "hash binary, n binary, ids binary")
+    parts = [tuple(bytes(x) for x in r) for r in packed.toLocalIterator()]  # at most ``dictionary_units`` of some 20 bytes each
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, parts))
+    del parts
     if tail is None:
         removed(spark, encoded_at)
     else:
