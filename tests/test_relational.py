@@ -14,6 +14,7 @@ from tidemark.operators import grouped as U
 from tidemark.operators import intervals as I
 from tidemark.operators import joins as J
 from tidemark.operators import models as L
+from tidemark.sources import tables as S
 
 
 def rows(df):
@@ -199,7 +200,7 @@ def test_models(spark):
     w = L.tf_idf(t, "k", "t", 1.0)
     assert all(s == pytest.approx(1.0) for _, s in rows(w.groupBy("k").agg(F.sum(F.col("w") * F.col("w")))))
     x = np.abs(np.random.default_rng(0).normal(size=(12, 3))) @ np.abs(np.random.default_rng(1).normal(size=(3, 9)))
-    a, b = L.factors(x, 3, 500)
+    a, b = L.factors(np.repeat(np.arange(12), 9), np.tile(np.arange(9), 12), x.ravel(), x.shape, 3, 500)
     assert np.abs(a @ b - x).max() < 0.2
     s = {r.k: r.compound for r in L.sentiment(spark.createDataFrame([("a", "great GOOD"), ("b", None), ("c", "bad")], "k string, t string"), "k", "t").collect()}
     assert s["a"] > 0.7 and s["b"] == 0 and s["c"] < 0
@@ -251,3 +252,82 @@ def test_spearman_of_many_rows(spark):
     pdf = df.dropna().toPandas()
     got = G.spearman(df, "a", "b").first()
     assert got.n == len(pdf) and abs(got.rho - pdf["a"].rank().corr(pdf["b"].rank())) < 1e-9
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("VADER is smart, handsome, and funny.", 0.8316), ("VADER is smart, handsome, and funny!", 0.8439), ("VADER is very smart, handsome, and funny.", 0.8545), ("VADER is VERY SMART, handsome, and FUNNY.", 0.9227),
+    ("VADER is VERY SMART, handsome, and FUNNY!!!", 0.9342), ("VADER is VERY SMART, uber handsome, and FRIGGIN FUNNY!!!", 0.9469), ("VADER is not smart, handsome, nor funny.", -0.7424), ("The book was good.", 0.4404),
+    ("At least it isn't a horrible book.", 0.431), ("Today only kinda sux! But I'll get by, lol", 0.5249), ("The book was kind of good.", 0.3832), ("", 0.0), (None, 0.0), ("no value here", 0.0),
+])
+def test_published_sentiment_examples(text, want):
+    lexicon = {"smart": 1.7, "handsome": 2.2, "funny": 1.9, "good": 1.9, "horrible": -2.5, "sux": -1.5, "lol": 1.8}
+    assert round(L.rule_valence(text, lexicon), 4) == want
+
+
+def test_nmf_against_arrays(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((7, 2)) @ rng.random((2, 9))
+    cells = spark.createDataFrame([(int(i), f"t{j}", float(x[i, j])) for i in range(7) for j in range(9)], "key int, term string, w double")
+    w, h = L.nmf(cells, "key", "term", 2, 12)
+    w, h = (np.array([r.vec for r in f.orderBy(f.columns[0]).collect()]) for f in (w, h))
+    assert (w >= 0).all() and np.abs(w @ h.T - x).max() < 0.15 * x.max()
+    a, b = L.factors(np.repeat(np.arange(7), 9), np.tile(np.arange(9), 7), x.ravel(), (7, 9), 2, 400)
+    assert np.abs(a @ b - x).max() < 0.05
+
+
+def test_edit_paths_against_all_mappings():
+    from itertools import permutations
+
+    r = random.Random(2)
+    for _ in range(30):
+        graphs = []
+        for tag in "ab":
+            n = r.randrange(0, 4)
+            nodes = [(f"{tag}{i}", r.choice(("red car", "red", "dog", "car")), r.choice(("NOUN", "VERB"))) for i in range(n)]
+            graphs.append((nodes, [(f"{tag}{i}", f"{tag}{j}") for i in range(n) for j in range(i) if r.random() < 0.5]))
+        (n1, e1), (n2, e2) = graphs
+        found = []
+        slots = list(range(len(n2))) + [None] * len(n1)
+        for way in set(permutations(slots, len(n1))):
+            cost, pos, to = 40.0 * (len(n2) - sum(j is not None for j in way)), 0, {}
+            for a, j in zip(n1, way, strict=True):
+                if j is None:
+                    cost += 40
+                    continue
+                x, y = set(a[1].split()), set(n2[j][1].split())
+                cost += 0 if x == y else 40 if not x & y else 40 * (1 - len(x & y) / len(x | y))
+                pos, to[a[0]] = pos + (a[2] != n2[j][2]), n2[j][0]
+            mapped = {frozenset(to.get(x, x) for x in e) for e in e1}
+            edges = len(mapped ^ {frozenset(e) for e in e2})
+            found.append((round(cost + edges, 6), pos, edges))
+        size = 40 * (len(n1) + len(n2)) + len(e1) + len(e2)
+        got = U.edit_paths(*graphs)
+        best = min(found) if found else (0, 0, 0)
+        assert round(got[0] * size, 6) == best[0] and got[1:] == best[1:]
+
+
+def test_jdbc_ranges(spark):
+    """A table of an in-memory database, in ranges of a column."""
+    url = "jdbc:derby:memory:tidemark;create=true"
+    rows_in = [(i, f"n{i}") for i in range(50)]
+    spark.createDataFrame(rows_in, "id int, name string").write.format("jdbc").options(url=url, dbtable="t", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
+    back = S.read_jdbc(spark, url, "t", "id", 0, 50, 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert back.rdd.getNumPartitions() == 4 and rows(back) == sorted(rows_in, key=repr)
+
+
+def test_a_group_beyond_the_bound_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a")] * 5 + [(2, "b")], "k int, x string")
+    assert U.within_bound(df, "k", 5) is df
+    with pytest.raises(ValueError, match="k 1 has 5 rows"):
+        U.within_bound(df, "k", 4)
+
+
+def test_noun_phrases_of_the_stand_in_parser():
+    sentence = U.rule_parser("The big red car and a dog ran")[0]
+    assert [t["phrase"] for t in sentence if t["phrase"]] == ["big red car", "dog ran"] and [t["text"] for t in sentence if not t["trivial"]] == ["car", "ran"]
+
+
+def test_deep_walk_keeps_few_branches(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(5, 30), (30, 6)], "src int, trg int")
+    got = {r.id: r.depth for r in G.shortest_paths(edges).collect()}
+    assert got == {i: i for i in range(21)} | {30: 6} and {r.id: r.depth for r in G.expansion(spark, edges, 4).collect()} == {i: i - 4 for i in range(4, 21)} | {30: 2}

@@ -105,8 +105,13 @@ def graph_totals(edges: DataFrame, key: str | None = None, kinds: Sequence[str]
 
 
 def responses(posts: DataFrame, favorites: str | None = None) -> DataFrame:
-    """Replies and quotes of each known source, and its salience (favorites and responses); without responses, none. Whatever their order in the file."""
-    by = posts.filter("tw_type in ('r', 'q')").groupBy(F.col("tw_src_id").alias("tw_id")).agg(*[F.array_sort(F.collect_list(F.when(F.col("tw_type") == t, F.col("tw_id")))).alias(t) for t in ("r", "q")])
+    """Replies and quotes of each known source, those with most responses of their own first, and its salience
+    (favorites and responses); without responses, none. Whatever their order in the file."""
+    answers = posts.filter("tw_type in ('r', 'q')").select("tw_id", "tw_type", "tw_src_id")
+    own = answers.groupBy(F.col("tw_src_id").alias("tw_id")).agg(F.count(F.lit(1)).alias("_own"))
+    counted = answers.join(own, "tw_id", "left").withColumn("_at", F.struct((-F.coalesce("_own", F.lit(0))).alias("less"), F.col("tw_id").alias("id")))
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("tw_type") == t, F.col("_at")))), lambda x: x["id"]).alias(t) for t in ("r", "q")]
+    by = counted.groupBy(F.col("tw_src_id").alias("tw_id")).agg(*lists)
     fav = F.coalesce(F.col(favorites), F.lit(0)) if favorites else F.lit(0)
     out = by.join(posts.select("tw_id", fav.alias("fav")), "tw_id")
     return out.withColumn("total_resp", F.size("r") + F.size("q")).withColumn("salience", F.col("fav") + F.col("total_resp")).orderBy(F.desc("total_resp"), "tw_id")
@@ -193,6 +198,16 @@ def over_grid(grid: DataFrame, rows: DataFrame, keys: Sequence[str], fill: dict)
     return grid.join(rows, list(keys), "left").fillna(fill)
 
 
+def community_cells(grid: DataFrame, posts: DataFrame, keys: Sequence[str], size: int, nar_len: int, stance_len: int = 3) -> DataFrame:
+    """Of each cell of a grid, from posts (keys, vec, nars, stance): the summed vectors and the narratives' counts,
+    each scaled to sum 1, and the mean of the stances of the right length; zeros where there is nothing."""
+    hot = posts.withColumn("_hot", V.multi_hot(F.coalesce("nars", F.array().cast("array<int>")), nar_len)).withColumn("_stance", F.when(F.size("stance") == stance_len, F.col("stance")))
+    sums = hot.groupBy(*keys).agg(sum_vector("vec", size, "vec"), sum_vector("_hot", nar_len, "nars"), mean_vector("_stance", stance_len, "stance"))
+    cells = grid.join(sums, list(keys), "left")
+    filled = lambda c, n: F.coalesce(c, V.zeros(n))
+    return cells.select(*keys, filled(V.share(F.col("vec")), size).alias("vec"), filled(V.share(F.col("nars")), nar_len).alias("nars"), F.transform(filled(F.col("stance"), stance_len), lambda x: F.coalesce(x, F.lit(0.0))).alias("stance"))
+
+
 def topic_cluster_weights(weights: DataFrame, members: DataFrame, clusters: DataFrame, intervals: DataFrame) -> DataFrame:
     """Weight of each topic cluster in each interval, 0 for absent ones."""
     sums = weights.join(members, "topic").groupBy("time_int", "tc").agg(F.sum("w").alias("w"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.operators.joins import bounded, placed
+from tidemark.functions import vectors as V
+from tidemark.operators.joins import bounded, placed, tiled_pairs
 from tidemark.sources.scratch import cut, forget
 
 #: Levels after which what a walk has seen is written as one table again.
@@ -92,6 +93,17 @@ def leaf_paths(edges: DataFrame) -> DataFrame:
     return paths.groupBy("root").agg(F.count(F.lit(1)).alias("leaves"), F.avg("depth").alias("mean"), F.stddev_pop("depth").alias("std"))
 
 
+def leaf_profiles(edges: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """Of each cascade's root, from vectors (id, vec): the mean of its leaves' vectors, the distances (js) of root and
+    leaves in order, their mean and population deviation, and how many leaves have one. Zero vectors have none."""
+    leaves = roots_and_leaves(edges).filter("is_leaf").select("id")
+    pairs = shortest_paths(edges).filter("depth > 0").join(leaves, "id").join(vectors.select("id", "vec"), "id")
+    both = pairs.join(vectors.select(F.col("id").alias("root"), F.col("vec").alias("_root")), "root").withColumn("js", V.js(F.col("_root"), F.col("vec")))
+    mean = F.array(*[F.avg(F.get("vec", F.lit(i)).cast("double")) for i in range(size)])
+    out = both.groupBy("root").agg(mean.alias("leaf_vec"), F.array_sort(F.collect_list("js")).alias("js"), F.avg("js").alias("mean"), F.stddev_pop("js").alias("std"))
+    return out.withColumn("leaves", F.size("js"))
+
+
 def expansion(spark: SparkSession, edges: DataFrame, seed) -> DataFrame:
     """(id, depth) of all that a vertex reaches over (src, trg), each once at its least depth; cycles end."""
     e = cut(edges.select("src", "trg").distinct())
@@ -174,6 +186,24 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def cluster_scores(rows: DataFrame, cid: str, vec: str, size: int) -> DataFrame:
+    """calinski_harabasz and davies_bouldin of a clustering by Euclidean distance. Centres are a row a cluster; null with one cluster."""
+    x = F.col(vec)
+    mean = lambda: F.array(*[F.avg(F.get(x, F.lit(i)).cast("double")) for i in range(size)])
+    apart = lambda a, b: F.sqrt(V.total(F.zip_with(a, b, lambda s, t: (s.cast("double") - t) * (s.cast("double") - t))))
+    centres = cut(rows.groupBy(F.col(cid).alias("c")).agg(mean().alias("mu"), F.count(F.lit(1)).alias("n")))
+    far = rows.select(F.col(cid).alias("c"), x.alias("x")).join(bounded(centres.select("c", "mu")), "c").select("c", apart(F.col("x"), F.col("mu")).alias("d"))
+    spread = far.groupBy("c").agg(F.avg("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("w"))
+    each = cut(centres.join(spread, "c"))
+    pairs = tiled_pairs(each, "c", F.struct("mu", "s"))
+    ratio = (F.col("x.s") + F.col("y.s")) / apart(F.col("x.mu"), F.col("y.mu"))
+    worst = pairs.select(F.explode(F.array("a", "b")).alias("c"), ratio.alias("r")).groupBy("c").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    whole = rows.agg(mean().alias("whole"))
+    n, k = F.sum("n"), F.count(F.lit(1))
+    between = each.join(F.broadcast(whole)).agg((F.sum(F.col("n") * apart(F.col("mu"), F.col("whole")) * apart(F.col("mu"), F.col("whole"))) / (k - 1) / (F.sum("w") / (n - k))).alias("calinski_harabasz"))
+    return between.join(F.broadcast(worst))
+
+
 def js_long(rows: DataFrame, key: str, item: str, n: str = "n") -> DataFrame:
     """V6: (i, j, js) of all pairs of a few keys' distributions over any number of items, from long counts.
 

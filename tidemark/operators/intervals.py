@@ -69,9 +69,10 @@ def dense_series(df: DataFrame, key: str, col: str) -> DataFrame:
 
 def consecutive(df: DataFrame, keys: Sequence[str], order: str, vec: str, adjacent: int | None = 1) -> DataFrame:
     """Js and cosine distance of each vector and the next one of its key; with ``adjacent`` only where the next is so many steps on."""
-    w = W.partitionBy(*keys).orderBy(order)
-    rows = df.withColumn("_next", F.lead(vec).over(w)).withColumn("_step", F.lead(order).over(w) - F.col(order)).filter("_next is not null")
-    rows = rows.filter(F.col("_step") == adjacent) if adjacent is not None else rows
+    if adjacent is not None:  # a join of each step with the one after it, whatever the number of keys
+        rows = df.join(df.select(*keys, (F.col(order) - adjacent).alias(order), F.col(vec).alias("_next")), [*keys, order])
+    else:
+        rows = df.withColumn("_next", F.lead(vec).over(W.partitionBy(*keys).orderBy(order))).filter("_next is not null")
     return rows.select(*keys, order, V.js(F.col(vec), F.col("_next")).alias("js"), (1 - V.cosine(F.col(vec), F.col("_next"))).alias("cos_dist"))
 
 

@@ -532,10 +532,11 @@ def graph_totals(spark, sf):
     return A.graph_totals(nation_edges(spark, sf), "yr", ("a",)).withColumn("mean_degree", r6("mean_degree"))
 
 
-@query(f"WITH {P} SELECT a.tw_src_id AS tw_id, count(*) AS total_resp, count(*) FILTER (a.tw_type = 'r') AS n_r, count(*) + b.k AS salience FROM p a JOIN p b ON a.tw_src_id = b.tw_id WHERE a.tw_type IN ('r', 'q') GROUP BY a.tw_src_id, b.k")
+@query(f"""WITH {P} SELECT a.tw_src_id AS tw_id, count(*) AS total_resp, count(*) FILTER (a.tw_type = 'r') AS n_r, count(*) + b.k AS salience, coalesce(string_agg(a.tw_id::VARCHAR, ',' ORDER BY coalesce(o.n, 0) DESC, a.tw_id) FILTER (a.tw_type = 'r'), '') AS r, coalesce(string_agg(a.tw_id::VARCHAR, ',' ORDER BY coalesce(o.n, 0) DESC, a.tw_id) FILTER (a.tw_type = 'q'), '') AS q
+FROM p a JOIN p b ON a.tw_src_id = b.tw_id LEFT JOIN (SELECT tw_src_id, count(*) AS n FROM p WHERE tw_type IN ('r', 'q') GROUP BY 1) o ON o.tw_src_id = a.tw_id WHERE a.tw_type IN ('r', 'q') GROUP BY a.tw_src_id, b.k""")
 def responses_by_source(spark, sf):
     r = A.responses(post_events(spark, sf), "k")
-    return r.select("tw_id", F.col("total_resp").cast("long").alias("total_resp"), F.size("r").cast("long").alias("n_r"), F.col("salience").cast("long").alias("salience"))
+    return r.select("tw_id", F.col("total_resp").cast("long").alias("total_resp"), F.size("r").cast("long").alias("n_r"), F.col("salience").cast("long").alias("salience"), *[F.array_join(F.col(t).cast("array<string>"), ",").alias(t) for t in ("r", "q")])
 
 
 @query("SELECT c_nationkey, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last FROM customer GROUP BY 1")
@@ -673,8 +674,8 @@ def pairwise_js_users(spark, sf):
 
 @query(f"WITH {MIX.format(key='ts::DATE').replace('ts::DATE,', 'ts::DATE AS day,')} SELECT day, round({JS}, 5) AS js, round(1 - list_cosine_similarity(x, y), 5) AS cos_dist FROM (SELECT day, v AS x, lead(v) OVER (ORDER BY day) AS y FROM m) WHERE y IS NOT NULL")
 def consecutive_js(spark, sf):
-    days = _mix(spark, sf, "day").withColumn("n", F.datediff("day", F.lit("2024-01-01"))).withColumn("all", F.lit(0))
-    return I.consecutive(days, ["all"], "n", "vec").select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")).alias("day"), r6("js", 5).alias("js"), r6("cos_dist", 5).alias("cos_dist"))
+    days = _mix(spark, sf, "day").withColumn("n", F.datediff("day", F.lit("2024-01-01")))
+    return I.consecutive(days, [], "n", "vec").select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")).alias("day"), r6("js", 5).alias("js"), r6("cos_dist", 5).alias("cos_dist"))
 
 
 @query(f"""WITH {MIX.format(key='user_id, ts::DATE').replace('ts::DATE,', 'ts::DATE AS day,')}, p AS (SELECT a.user_id AS i, b.user_id AS j, a.v AS x, b.v AS y FROM m a JOIN m b ON a.day = b.day AND a.user_id < b.user_id), s AS (SELECT i, j, {JS} AS js FROM p)
@@ -721,10 +722,10 @@ def event_distances(spark, sf):
 SQL["event_distances"] = SQL["event_distances"].replace("day_of(e.day)", "day(e.day) % 10 = 1")
 
 
-@query("SELECT event_type, " + ", ".join(f"max((floor(epoch(ts - TIMESTAMP '2024-01-01') / 604800) = {i} AND user_id < 3)::INT) AS w{i}" for i in range(5)) + " FROM events WHERE user_id < 3 GROUP BY 1")
+@query("SELECT user_id, " + ", ".join(f"max((floor(epoch(ts - TIMESTAMP '2024-01-01') / 604800) = {i})::INT) AS w{i}" for i in range(5)) + " FROM events GROUP BY 1")
 def presence_matrix(spark, sf):
-    e = table(spark, sf, "events").filter("user_id < 3").withColumn("w", F.concat(F.lit("w"), I.tumbling_index("ts", "2024-01-01 00:00:00").cast("string")))
-    return I.presence(e, "event_type", "w", [f"w{i}" for i in range(5)]).drop("n")
+    e = table(spark, sf, "events").withColumn("w", F.concat(F.lit("w"), I.tumbling_index("ts", "2024-01-01 00:00:00").cast("string")))
+    return I.presence(e, "user_id", "w", [f"w{i}" for i in range(5)]).drop("n")
 
 
 @query(f"""WITH {MIX.format(key='user_id, ts::DATE').replace('ts::DATE,', 'ts::DATE AS day,')}, g AS (SELECT user_id % 2 AS g, day, i, avg(v[i]) AS a FROM m, range(1, 6) t(i) GROUP BY ALL), l AS (SELECT g, day, list(a ORDER BY i) AS v FROM g GROUP BY ALL)
@@ -780,9 +781,9 @@ def light_clean(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.light_clean(F.col("url")).alias("txt"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '[^a-zA-Z0-9_\\s]', ' ', 'g'), '[0-9]+', '', 'g')), '\\s+'), lambda w: length(w) >= 3), ' ') AS words FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '[^a-zA-Z0-9_\\s]', ' ', 'g'), '[0-9]+', '', 'g')), '\\s+'), lambda w: length(w) >= 3), ' ') AS words FROM documents")
 def words_only(spark, sf):
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", X.words_only(F.col("text")).alias("words"))
+    return table(spark, sf, "documents").select("doc_id", X.words_only(F.col("text")).alias("words"))
 
 
 @query("SELECT event_id, strftime(date_trunc('second', ts), '%Y%m%d%H%M%S') AS t, strftime(ts, '%Y%m') AS month FROM events")
@@ -846,10 +847,15 @@ def phrase_vectors(spark, sf):
     return A.text_vectors(w, v, "conv_id").select("conv_id", F.col("vec")[0].alias("a"), F.col("vec")[1].alias("b"))
 
 
-@query("WITH c AS (SELECT label AS a, CAST(vec_id AS INT) % 7 AS b FROM embeddings), n AS (SELECT a, b, count(*)::DOUBLE AS n FROM c GROUP BY ALL), t AS (SELECT sum(n) AS t, sum(n * ln(n)) AS nij FROM n), x AS (SELECT sum(s * ln(s)) AS na FROM (SELECT sum(n) AS s FROM n GROUP BY a)), y AS (SELECT sum(s * ln(s)) AS nb FROM (SELECT sum(n) AS s FROM n GROUP BY b)) SELECT round((ln(t) - na / t + ln(t) - nb / t - (ln(t) - nij / t)) / ((ln(t) - na / t + ln(t) - nb / t) / 2), 6) AS nmi FROM t, x, y")
+@query("""WITH c AS (SELECT label AS a, CAST(vec_id AS INT) % 7 AS b FROM embeddings), n AS (SELECT a, b, count(*)::DOUBLE AS n FROM c GROUP BY ALL), t AS (SELECT sum(n) AS t, sum(n * ln(n)) AS nij, sum(n * (n - 1) / 2) AS pij FROM n),
+x AS (SELECT sum(s * ln(s)) AS na, sum(s * (s - 1) / 2) AS pa FROM (SELECT sum(n) AS s FROM n GROUP BY a)), y AS (SELECT sum(s * ln(s)) AS nb, sum(s * (s - 1) / 2) AS pb FROM (SELECT sum(n) AS s FROM n GROUP BY b)),
+h AS (SELECT ln(t) - na / t AS ha, ln(t) - nb / t AS hb, ln(t) - nij / t AS hab, pa * pb / (t * (t - 1) / 2) AS e, * FROM t, x, y), m AS (SELECT *, ha + hb - hab AS mi FROM h)
+SELECT round(mi / ((ha + hb) / 2), 6) AS nmi, round(mi / ha, 6) AS homogeneity, round(mi / hb, 6) AS completeness, round(2 * (mi / ha) * (mi / hb) / (mi / ha + mi / hb), 6) AS v_measure, round((pij - e) / ((pa + pb) / 2 - e), 6) AS ari, round(pij / sqrt(pa * pb), 6) AS fowlkes_mallows FROM m""")
 def label_nmi(spark, sf):
+    """All six measures of agreement."""
     e = table(spark, sf, "embeddings").withColumn("b", (F.col("vec_id") % 7).cast("int"))
-    return G.label_scores(e, "label", "b").select(r6("nmi").alias("nmi"))
+    names = ("nmi", "homogeneity", "completeness", "v_measure", "ari", "fowlkes_mallows")
+    return G.label_scores(e, "label", "b").select(*[r6(n).alias(n) for n in names])
 
 
 YEARS = f"WITH {NE}, e AS (SELECT coalesce(a.a, 0) AS w1, coalesce(b.a, 0) AS w2 FROM (SELECT * FROM ne WHERE yr = 1996) a FULL JOIN (SELECT * FROM ne WHERE yr = 1997) b USING (src, trg))"
@@ -870,10 +876,12 @@ def edge_spearman(spark, sf):
     return G.spearman(_year_weights(spark, sf), "w1", "w2").select(r6("rho").alias("rho"), "n")
 
 
-@query("SELECT round(sum(tp) / sum(tp + fp), 6) AS precision, round(sum(tp) / sum(tp + fn), 6) AS recall FROM (SELECT (quality = 1 AND s > 0.5)::INT AS tp, (quality = 0 AND s > 0.5)::INT AS fp, (quality = 1 AND s <= 0.5)::INT AS fn FROM (SELECT quality, (doc_id % 10) / 10 AS s FROM labels))")
+@query("""WITH r AS (SELECT unnest([quality, toxic]) AS y, unnest([(doc_id % 10) / 10, (doc_id % 7) / 7]) AS s, doc_id FROM labels), c AS (SELECT sum((y = 1 AND s > 0.5)::INT) AS tp, sum((y = 0 AND s > 0.5)::INT) AS fp, sum((y = 1 AND s <= 0.5)::INT) AS fn FROM r), p AS (SELECT tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM c)
+SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(5 * p * r / (4 * p + r), 6) AS f_beta, (SELECT round(avg(((quality = 1) = ((doc_id % 10) / 10 > 0.5) AND (toxic = 1) = ((doc_id % 7) / 7 > 0.5))::INT), 6) FROM labels) AS exact FROM p""")
 def multilabel_scores(spark, sf):
-    rows = table(spark, sf, "labels").select(F.array("quality").alias("y"), F.array(F.col("doc_id") % 10 / 10).alias("s"))
-    return G.multilabel_scores(rows, "y", "s").select(r6("precision").alias("precision"), r6("recall").alias("recall"))
+    """Of two labels at once."""
+    rows = table(spark, sf, "labels").select(F.array("quality", "toxic").alias("y"), F.array(F.col("doc_id") % 10 / 10, F.col("doc_id") % 7 / 7).alias("s"))
+    return G.multilabel_scores(rows, "y", "s").select(*[r6(c).alias(c) for c in ("precision", "recall", "f_beta", "exact")])
 
 
 @query("SELECT count(*) AS n, round(sum(w), 2) AS total FROM (SELECT (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2 AS w FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id UNION ALL SELECT 0 FROM embeddings)")
@@ -945,7 +953,7 @@ SQL.pop("message_graphs")
 @query()
 def louvain_communities(spark, sf):
     """Communities of each year's interactions of suppliers and nations of customers."""
-    return U.communities(nation_edges(spark, sf).filter("a > 5"), "yr", largest=10)
+    return U.communities(nation_edges(spark, sf), "yr")
 
 
 @query()
@@ -970,16 +978,16 @@ def kmeans_clusters(spark, sf):
 
 @query()
 def lda_topics(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.slice(F.split(F.lower("text"), r"\s+"), 1, 100_000_000).alias("words"))
-    return L.lda_topics(words, "doc_id", "words", k=5, rounds=3)[1]
+    words = table(spark, sf, "documents").select("doc_id", F.split(F.lower("text"), r"\s+").alias("words"))
+    return L.lda_topics(words, "doc_id", "words")[1]
 
 
 @query()
 def interval_topics(spark, sf):
     """L1: topics of each language's sources."""
-    t = table(spark, sf, "documents").select("lang", "source", F.explode(F.split(F.lower("text"), r"\s+")).alias("term")).filter("length(term) between 2 and 6")
+    t = table(spark, sf, "documents").select("lang", "source", F.explode(F.split(F.lower("text"), r"\s+")).alias("term")).filter("term <> ''")
     w = L.tf_idf(t.select(F.concat_ws("/", "lang", "source").alias("doc"), "term"), "doc", "term", min_df=2)
-    return L.topics_by_interval(w.withColumn("lang", F.split("doc", "/")[0]), "lang", "doc", 5, 20)
+    return L.topics_by_interval(w.withColumn("lang", F.split("doc", "/")[0]), "lang", "doc")
 
 
 TF = "t AS (SELECT source AS k, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM documents), f AS (SELECT k, term, count(*) AS n FROM t GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1 HAVING count(*) <= 0.8 * (SELECT count(DISTINCT k) FROM t)), w AS (SELECT k, term, n * (ln(((SELECT count(DISTINCT k) FROM t) + 1) / (df + 1)) + 1) AS w FROM f JOIN d USING (term))"
@@ -1177,13 +1185,14 @@ def clause_vectors(spark, sf):
     return U.clause_vectors(semantic_units(spark, sf), "tw_id", words, 3, "sp_avg_node")
 
 
-@query()
+@query("WITH " + MIX.format(key="ts::DATE").replace("ts::DATE,", "ts::DATE AS day,") + """, p AS (SELECT a.v AS x, b.v AS y FROM m a JOIN m b ON a.day + 1 = b.day), q AS (SELECT y, list_transform(x, lambda z: exp(z) / list_sum(list_transform(x, lambda w: exp(w)))) AS q FROM p)
+SELECT round(avg(list_sum(list_transform(range(1, 6), lambda i: CASE WHEN y[i] > 0 THEN y[i] * ln(y[i] / q[i]) ELSE 0 END))), 6) AS kl FROM q""")
 def transition_baseline(spark, sf):
     """KL of next-day type mixes from softmax(T * source) with an identity T."""
     days = _mix(spark, sf, "day").select("day", V.share(F.col("vec")).alias("vec"))
     pairs = days.select(F.col("vec").alias("src"), F.date_add("day", 1).alias("day")).join(days.select("day", F.col("vec").alias("trg")), "day")
     matrix = spark.createDataFrame([(i, i, 1.0) for i in range(5)], "i int, j int, p double")
-    return L.transition_baseline(pairs, matrix, "src", "trg", 5)
+    return L.transition_baseline(pairs, matrix, "src", "trg", 5).withColumn("kl", r6("kl"))
 
 
 @query("SELECT count(*) AS n, true AS near FROM orders")
@@ -1203,3 +1212,110 @@ def interval_batches(spark, sf):
         return pd.DataFrame({"label": [pdf["label"].iloc[0]], "n": [len(pdf)], "first": [pdf["vec_id"].min()]})
 
     return U.by_interval(table(spark, sf, "embeddings").select("label", "vec_id"), "label", one, "label int, n long, first long")
+
+
+# ----------------------------------------------------- further compositions
+
+
+@query(f"WITH {P} SELECT tw_id::VARCHAR AS tw_id, (k + 0.5)::DOUBLE AS a, (k / 4)::DOUBLE AS b FROM p WHERE k % 3 = 0")
+def topic_vectors(spark, sf):
+    """Posts with a topic vector, as JSON lines and back."""
+    path = scratch(spark, "topics")
+    p = post_events(spark, sf)
+    vec = F.when(F.col("k") % 3 == 0, F.array(F.col("k") + 0.5, F.col("k") / 4))
+    p.select(F.col("tw_id").cast("string").alias("id_str_h"), F.struct(vec.alias("weights")).alias("extension")).write.json(path)
+    posts, _ = S.read_posts(spark, path, S.post_schema("weights"))
+    return S.with_topic_vector(posts, "weights").select("tw_id", F.col("topic_vec")[0].alias("a"), F.col("topic_vec")[1].alias("b"))
+
+
+@query("SELECT event_type AS nar, i::VARCHAR AS period, round(coalesce(avg(value) FILTER (user_id % 3 = i), 0), 6) AS f1 FROM events, range(0, 3) t(i) GROUP BY ALL")
+def scores_by_period(spark, sf):
+    """A CSV file for each period, the score in the eighth column, empty where there is none."""
+    path = scratch(spark, "periods")
+    e = table(spark, sf, "events")
+    for i in range(3):
+        rows = e.groupBy("event_type").agg(F.avg(F.when(F.col("user_id") % 3 == i, F.col("value"))).alias("v"))
+        rows.select("event_type", *[F.lit(k).alias(f"c{k}") for k in range(1, 7)], r6("v").cast("string").alias("f1")).coalesce(1).write.option("header", True).csv(f"{path}/SimPeriod{i}NarrTable.csv")
+    return S.scores_by_period(spark, f"{path}/*").withColumn("f1", r6("f1"))
+
+
+@query("SELECT DISTINCT id FROM (SELECT l_suppkey AS id FROM lineitem UNION ALL SELECT l_partkey FROM lineitem UNION ALL SELECT p_partkey FROM part UNION ALL SELECT s_suppkey FROM supplier)")
+def vertices_with_isolated(spark, sf):
+    """Vertices of the shipments and those that none has."""
+    known = table(spark, sf, "part").select(F.col("p_partkey").alias("id")).unionByName(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")))
+    return A.with_isolated(shipments(spark, sf), known)
+
+
+@query("SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS tf FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1")
+def count_maps(spark, sf):
+    """Counts as one map a key."""
+    n = table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.transform(F.array_sort(F.map_entries("tf")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return A.as_maps(n, "user_id").select("user_id", F.array_join(pairs, ",").alias("tf"))
+
+
+@query("SELECT ts::DATE AS day, " + ", ".join(f"round(sum(value) FILTER (event_type = '{t}'), 4) AS {t}" for t in TYPES) + " FROM events GROUP BY 1")
+def columns_by_community(spark, sf):
+    """A column a community."""
+    rows = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(r6(F.sum("value"), 4).alias("v"))
+    return A.community_columns(rows, "day", "event_type", "v", list(TYPES))
+
+
+@query(f"""WITH {P}, d AS (SELECT c_nationkey % 5 AS com, ts::DATE AS day, tw_type, k FROM p JOIN customer ON c_custkey = usr_id), g AS (SELECT com, day FROM (SELECT DISTINCT c_nationkey % 5 AS com FROM customer) a, (SELECT unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-01-12', INTERVAL 1 DAY))::DATE AS day) b),
+s AS (SELECT com, day, count(*) AS n, count(*) FILTER (tw_type = 'r') AS r, count(*) FILTER (tw_type = 't') AS t, count(*) FILTER (k % 5 > 0 AND k % 8 = 0) AS z, count(*) FILTER (k % 5 > 0 AND k % 8 = 3) AS h, count(*) FILTER (k % 5 > 0) AS m, avg(k / 100) FILTER (k % 4 > 0) AS am FROM d GROUP BY ALL)
+SELECT g.com, g.day, round(coalesce(r / n, 0), 6) AS r, round(coalesce(t / n, 0), 6) AS t, round(coalesce(z / nullif(m, 0), 0), 6) AS n0, round(coalesce(h / nullif(m, 0), 0), 6) AS n3, round(coalesce(am, 0), 6) AS am FROM g LEFT JOIN s USING (com, day)""")
+def community_cells(spark, sf):
+    """Cluster shares, narrative shares and mean stance of each community and day, zeros included."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("usr_id"), (F.col("c_nationkey") % 5).alias("com"))
+    posts = post_events(spark, sf).join(c, "usr_id").withColumn("day", F.to_date("ts"))
+    posts = posts.withColumn("vec", F.array(*[(F.col("tw_type") == t).cast("double") for t in "rtqn"])).withColumn("nars", F.when(F.col("k") % 5 > 0, F.array((F.col("k") % 8).cast("int")))).withColumn("stance", F.when(F.col("k") % 4 > 0, F.array(F.col("k") / 100, F.lit(0.25), F.lit(0.0))).otherwise(F.array(F.lit(1.0))))
+    days = spark.range(1).select(F.explode(F.sequence(F.lit("2023-12-30").cast("date"), F.lit("2024-01-12").cast("date"))).alias("day"))
+    cells = A.community_cells(c.select("com").distinct().join(F.broadcast(days)), posts, ["com", "day"], 4, 8)
+    return cells.select("com", "day", r6(F.col("vec")[0]).alias("r"), r6(F.col("vec")[1]).alias("t"), r6(F.col("nars")[0]).alias("n0"), r6(F.col("nars")[3]).alias("n3"), r6(F.col("stance")[0]).alias("am"))
+
+
+@query(f"""WITH {CONV}, v AS (SELECT conv_id, turn, [(turn + 1)::DOUBLE, (length(text) + 1)::DOUBLE] AS v FROM c), e AS (SELECT conv_id, max(turn) AS t FROM c GROUP BY 1 HAVING max(turn) > 0),
+p AS (SELECT e.conv_id, b.v AS leaf, list_transform(a.v, lambda z: z / list_sum(a.v)) AS x, list_transform(b.v, lambda z: z / list_sum(b.v)) AS y FROM e JOIN v a ON a.conv_id = e.conv_id AND a.turn = 0 JOIN v b ON b.conv_id = e.conv_id AND b.turn = e.t)
+SELECT conv_id * 1000 AS root, leaf[1] AS a, leaf[2] AS b, round({JS.replace('range(1, 6)', 'range(1, 3)')}, 5) AS js, 0.0::DOUBLE AS std, 1 AS leaves FROM p""")
+def cascade_leaf_profiles(spark, sf):
+    """leaves' mean vector, and distances of root and leaves."""
+    v = turns(spark, sf).select("id", F.array((F.col("turn") + 1).cast("double"), (F.length("text") + 1).cast("double")).alias("vec"))
+    p = G.leaf_profiles(chain(spark, sf), v, 2)
+    return p.select("root", F.col("leaf_vec")[0].alias("a"), F.col("leaf_vec")[1].alias("b"), r6("mean", 5).alias("js"), r6("std").alias("std"), "leaves")
+
+
+@query("""WITH m AS (SELECT c, list(v ORDER BY i) AS mu FROM (SELECT label AS c, i, avg(embedding[i]::DOUBLE) AS v FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY 1), o AS (SELECT list(v ORDER BY i) AS mu FROM (SELECT i, avg(embedding[i]::DOUBLE) AS v FROM embeddings, range(1, 65) r(i) GROUP BY 1)),
+d AS (SELECT label AS c, list_distance(embedding::DOUBLE[], mu) AS x FROM embeddings JOIN m ON c = label), s AS (SELECT c, avg(x) AS s, sum(x * x) AS w, count(*) AS n FROM d GROUP BY 1),
+p AS (SELECT a.c, max((x.s + y.s) / list_distance(a.mu, b.mu)) AS r FROM m a JOIN m b ON a.c <> b.c JOIN s x ON x.c = a.c JOIN s y ON y.c = b.c GROUP BY 1), b AS (SELECT sum(n * list_distance(m.mu, o.mu) * list_distance(m.mu, o.mu)) AS between_, count(*) AS k FROM s JOIN m USING (c), o)
+SELECT round(between_ / (k - 1) / ((SELECT sum(w) FROM s) / ((SELECT sum(n) FROM s) - k)), 4) AS calinski_harabasz, round((SELECT avg(r) FROM p), 4) AS davies_bouldin FROM b""")
+def cluster_scores(spark, sf):
+    """Of the embeddings' labels as clusters."""
+    return G.cluster_scores(table(spark, sf, "embeddings"), "label", "embedding", 64).select(r6("calinski_harabasz", 4).alias("calinski_harabasz"), r6("davies_bouldin", 4).alias("davies_bouldin"))
+
+
+@query("SELECT event_type, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, count(value) AS n FROM events GROUP BY 1")
+def consecutive_summary(spark, sf):
+    """Mean, deviation and number by key."""
+    s = I.consecutive_summary(table(spark, sf, "events"), ["event_type"], "value")
+    return s.select("event_type", r6("mean", 4).alias("mean"), r6("std", 4).alias("std"), "n")
+
+
+@query()
+def nmf_topics(spark, sf):
+    """L2: terms' weights in 10 topics of all documents."""
+    t = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("term")).filter("term <> ''")
+    return L.nmf(L.tf_idf(t, "doc_id", "term", 0.7, 2), "doc_id", "term", 10, 4)[1]
+
+
+@query()
+def rule_sentiment(spark, sf):
+    """Lexicon and rules, on the turns of conversations."""
+    return L.rule_sentiment(turns(spark, sf), "id", "text", {"the": 1.5, "and": -0.5, "of": 0.25, "stupid": -2.0} | L.LEXICON)
+
+
+@query()
+def graph_distances(spark, sf):
+    """Of the clause graphs of turns that follow each other."""
+    g = semantic_units(spark, sf).select("tw_id", "cls_json")
+    after = g.select((F.col("tw_id") - 1).alias("tw_id"), F.col("cls_json").alias("next_json"))
+    return U.graph_distances(g.join(after, "tw_id"), ["tw_id"], "cls_json", "next_json")

@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TEXT = "full_text_m string, text_m string"
-#: A post. Field names are those of the records.
-POST = (
+
+
+def post_schema(topic_vector: str = "topic_vector") -> str:
+    """A post. Field names are those of the records; the one of the topic vector is the caller's."""
+    return f"{_POST}, sentiment_scores: struct<positive: string, negative: string, neutral: string>, `{topic_vector}`: array<double>>, favorite_count long, _corrupt string"
+
+
+_POST = (
     f"id_str_h string, lang string, created_at string, user struct<id_str_h: string>, in_reply_to_status_id_str_h string, in_reply_to_status_id_h string, quoted_status_id_str_h string, {_TEXT}, "
     f"retweeted_status struct<id_str_h: string, user: struct<id_str_h: string>, full_text_m: string, text_m: string>, quoted_status struct<id_str_h: string, user: struct<id_str_h: string>, full_text_m: string, text_m: string>, "
-    "extension struct<google_translation_m: string, supervised_narratives: array<string>, supervised_stance: struct<am: string, pm: string, `?`: string>, sentiment_scores: struct<positive: string, negative: string, neutral: string>, socialsim_topic_vector: array<double>>, "
-    "favorite_count long, _corrupt string"
+    "extension struct<google_translation_m: string, supervised_narratives: array<string>, supervised_stance: struct<am: string, pm: string, `?`: string>"
 )
+POST = post_schema()
 #: Node and edge files of communities.
 COMMUNITY_NODES = "pajek_id int, label string, community string, members array<string>, is_member int"
 COMMUNITY_EDGES = "sender int, receiver int, weight double"
@@ -76,9 +82,10 @@ def csv_to_table(spark: SparkSession, path: str, schema: str, out: str) -> None:
     df.select(*[(F.from_json(f.name, f.dataType) if isinstance(f.dataType, T.ArrayType) else F.col(f.name)).alias(f.name) for f in kinds]).write.mode("overwrite").parquet(out)
 
 
-def with_topic_vector(posts: DataFrame) -> DataFrame:
-    """Ids and topic vectors of the posts that have one."""
-    return posts.filter(F.col("extension.socialsim_topic_vector").isNotNull()).select(F.col("id_str_h").alias("tw_id"), F.col("extension.socialsim_topic_vector").alias("topic_vec"))
+def with_topic_vector(posts: DataFrame, field: str = "topic_vector") -> DataFrame:
+    """Ids and topic vectors of the posts that have one, under the field name of the schema that they were read by."""
+    vec = F.col("extension")[field]
+    return posts.filter(vec.isNotNull()).select(F.col("id_str_h").alias("tw_id"), vec.alias("topic_vec"))
 
 
 def read_pipes(spark: SparkSession, path: str, schema: str) -> DataFrame:
