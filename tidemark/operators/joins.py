@@ -12,13 +12,27 @@ from tidemark.functions import vectors as V
 from tidemark.sources.scratch import cut
 from tidemark.sources.tables import first_by
 
-#: Rows up to which a counted side is broadcast.
-BROADCAST_ROWS = 1_000_000
-
-
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for a broadcast if it has few enough rows (only rows + 1 of them are counted); else Spark picks the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Rows, and bytes in memory, up to which a measured side is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+
+
+def _bytes(df: DataFrame) -> Column:
+    """About what a row takes in a hashed relation: 64 bytes, 8 a column, strings' bytes and arrays' elements."""
+    size = F.lit(64 + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "map"):
+            nested = kind == "map" or f.dataType.elementType.typeName() in ("array", "map", "struct", "string")
+            size = size + F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)) * (128 if nested else 8)
+    return size
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for a broadcast if it has few enough rows and bytes (only rows + 1 of them are measured); else Spark picks the join."""
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_bytes(df)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["bytes"] or 0) <= most else df
 
 
 def with_source(targets: DataFrame, sources: DataFrame | None = None, key: str = "tw_id", ref: str = "tw_src_id") -> DataFrame:
