@@ -11,7 +11,8 @@ def brute(rows):
     out = []
     for t, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
-        out += [(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+        stays = ids.index(keep)  # just one row of a group stays, also where several share the id
+        out += [(i, keep, len(ids), k == stays, hashlib.sha256(t.encode()).hexdigest()) for k, i in enumerate(ids)]
     return sorted(out, key=repr)
 
 

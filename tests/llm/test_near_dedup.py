@@ -1,6 +1,10 @@
 import random
 import re
 
+import pytest
+
+from tidemark.llm.common import ROW, numbered
+from tidemark.llm.exact_dedup import drop_exact, exact_groups
 from tidemark.llm.near_dedup import components, drop_near, near_groups
 
 
@@ -48,6 +52,31 @@ def test_against_brute_force(frame):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("middle", [None, 1, 5])
+def test_links_through_rows_without_an_own_id(frame, middle):
+    """a ~ b ~ c, where b has no id, or shares another row's."""
+    w = [f"z{i}" for i in range(60)]
+    a, b, c = " ".join(w), " ".join(w[6:] + [f"y{i}" for i in range(3)]), " ".join(w[12:] + [f"y{i}" for i in range(9)])
+    rows = [(1, a), (middle, b), (5, c), (7, "else where not near any of them"), (None, "also on its own here"), (None, b + " end")]
+    got = sorted((tuple(r) for r in near_groups(frame(rows)).collect()), key=repr)
+    assert got == brute(rows) and sorted(x[2] for x in got if x[2] is not None) == [1, 1, 1, 1, 7]
+    kept = [(r.doc_id, r.text) for r in drop_near(frame(rows)).collect()]
+    assert len(kept) == 3 and {i for i, _ in kept} == {1, 7, None}
+
+
+def test_same_from_files(spark, frame, tmp_path):
+    """Rows of files are numbered where they are; of other plans, in a written copy."""
+    rows = corpus(60) + [(None, "one two"), (3, "one two"), (3, "one two")]
+    frame(rows).repartition(5).write.parquet(str(tmp_path / "d"))
+    files = spark.read.parquet(str(tmp_path / "d"))
+    numbers = [r[0] for r in numbered(files).select(ROW).collect()]
+    assert len(set(numbers)) == len(numbers) == len(rows)
+    twice = spark.read.parquet(str(tmp_path / "d"), str(tmp_path / "d"))
+    assert numbered(twice).select(ROW).distinct().count() == 2 * len(rows)
+    for run in (near_groups, drop_near, exact_groups, drop_exact):
+        assert sorted(map(tuple, run(files).collect()), key=repr) == sorted(map(tuple, run(frame(rows)).collect()), key=repr)
+
+
 def test_chains_in_one_bucket(frame):
     """Members that differ from the bucket's first but not from each other."""
     words = [f"c{i}" for i in range(120)]

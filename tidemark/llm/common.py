@@ -4,7 +4,6 @@ intermediate tables, and the vectorised word-hash kernel."""
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -12,8 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a side may have to be broadcast; a side beyond it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a side may have in memory to be broadcast; a side beyond it is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Bytes of text that arrays are made of at a time: a worker's memory, and its caches, hold a few dozen times as much.
 RUN_BYTES = 1 << 18
 
@@ -32,24 +31,28 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    It is set here only where it is unset and the master is local, as in tests."""
+    Where it is unset and the master is local, as in tests, it is a folder of the session's warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at:
         return at.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    at = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
-def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Cut lineage: write ``df`` to the shared folder, and read it back. Returns the table and its path."""
+#: Rows of a task that writes a table of known size.
+WRITTEN_ROWS = 50_000
+
+
+def written(df: DataFrame, tag: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Cut lineage: write ``df`` to the shared folder, and read it back. Returns the table and its path.
+
+    ``rows``: how many narrow rows it has at most, if that is known; few rows are written by few tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // WRITTEN_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -61,29 +64,50 @@ def removed(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for a broadcast if it is counted to have few enough rows; else Spark shuffles it."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for a broadcast if its rows are measured to take at most so many bytes; else Spark shuffles it.
 
-
-#: Column of a row's number, which is never null and never repeated.
-ROW = "_row"
+    A row counts with what a hashed relation holds of it: 64 bytes, 8 a column, and its strings' own bytes."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    size = F.lit(64 + 8 * len(df.columns)).cast("long")
+    for column in wide:
+        size = size + column
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, written, so that all later plans read the same numbers."""
-    rows, _ = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    return rows
-
-
-def surplus(rows: DataFrame, groups: DataFrame, largest: bool) -> DataFrame:
-    """Row numbers of all rows but one of each group: that of the largest (smallest) id, and of those one.
-
-    ``rows``: numbered; ``groups``: a written table of ROW and grp. A null id is kept only in a group that has none other."""
-    ids = rows.select(ROW, "doc_id").join(small(groups), ROW)
-    order = F.max(F.struct("doc_id", ROW)) if largest else F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))
-    best = ids.groupBy("grp").agg(order.alias("best")).select("grp", F.col("best")[ROW].alias("kept_row"))
-    return ids.join(best, "grp").filter(F.col(ROW) != F.col("kept_row")).select(ROW)
+#: Column of a row's number, which is never null and never repeated.
+ROW = "_tidemark_row"
+#: Bits of a row's place in its file.
+_PLACE_BITS = 38
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether a table is Parquet files as they are, each once."""
+    plan = docs._jdf.queryExecution().analyzed()
+    kind = lambda x: x.getClass().getSimpleName()
+    if "_metadata" in docs.columns or kind(plan) != "LogicalRelation" or kind(plan.relation()) != "HadoopFsRelation" or not kind(plan.relation().fileFormat()).startswith("Parquet"):
+        return False
+    paths = list(plan.relation().location().inputFiles())
+    return len(set(paths)) == len(paths)
+
+
+def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``docs``, or the given columns of it, with a number for each row, the same in all plans that read it.
+
+    Rows of a plain scan of Parquet files are numbered by their file and their place in it, so that nothing is
+    written: the names of the files are all that the driver gets, as it does to plan a scan. Rows of any other plan
+    are numbered and written. A table that has been numbered stays as it is."""
+    kept = columns or [F.col(f"`{c}`") for c in docs.columns if c != ROW]
+    if ROW in docs.columns:
+        return docs.select(*kept, ROW)
+    if not _plain_scan(docs):
+        return written(docs.select(*kept, F.monotonically_increasing_id().alias(ROW)), "rows")[0]
+    spark = docs.sparkSession
+    names = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    files = spark.createDataFrame([(name, k << _PLACE_BITS) for k, name in enumerate(names)], "_tidemark_file string, _tidemark_first long")
+    placed = docs.select(*kept, F.col("_metadata.file_path").alias("_tidemark_file"), F.col("_metadata.row_index").alias("_tidemark_place"))
+    number = (F.col("_tidemark_first") + F.col("_tidemark_place")).alias(ROW)
+    return placed.join(small(files), "_tidemark_file").withColumn(ROW, number).drop("_tidemark_file", "_tidemark_first", "_tidemark_place")
 
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:

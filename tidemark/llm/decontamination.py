@@ -150,7 +150,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows that contain a test item."""
+    """``docs`` without the rows that contain a test item.
+
+    Rows are told apart by a row number: of rows that share an id, or have none, just those whose own text is found go,
+    and rows that are repeated as a whole go or stay together. Null and empty texts stay. Columns of any name pass."""
     rows = numbered(docs)
     found, _ = written(contaminated(rows, items, ROW).select("doc_id").distinct(), "contaminated")
     return without(rows, found)

@@ -6,13 +6,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, hashed, mixed, numbered, removed, ship, shingled, small, surplus, texts_of, without, written
+from tidemark.llm.common import ROW, hashed, mixed, numbered, removed, ship, shingled, small, texts_of, without, written
 
 #: Words of a shingle, least similarity in hundredths, keys of each of the two collections, minhashes of a key.
 #: Two sets of similarity 0.8 share a key of a collection with probability 1 - (1 - 0.8^3)^14 > 0.99995.
 WORDS, PERCENT, KEYS, HASHES = 4, 80, 14, 3
 
-_SIGNATURE = "doc_id long, n_shingles long, cls binary, keys array<long>"
+#: Edges up to which the least neighbours of their nodes are broadcast: at most two nodes an edge, of some 100 bytes.
+FEW_EDGES = 150_000
+
+_SIGNATURE = "row long, doc_id long, n_shingles long, cls binary, keys array<long>"
 
 
 def _odd(n: int) -> np.ndarray:
@@ -33,7 +36,7 @@ def _signatures(words: int, keys: int, hashes: int):
 
         odd = _odd(2 * keys * hashes)
         for batch in batches:
-            ids, texts = batch.column(0), texts_of(batch.column(1))
+            rows, ids, texts = batch.column(0), batch.column(1), texts_of(batch.column(2))
             for i, j, h, ptr in hashed(texts):
                 value, at = shingled(h, ptr, words)
                 n = np.diff(at)
@@ -49,7 +52,7 @@ def _signatures(words: int, keys: int, hashes: int):
                         out[some, k] = key
                 flat = pa.array(out.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 2 * keys), flat)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_class_of(value, at), pa.binary()), lists], names=["doc_id", "n_shingles", "cls", "keys"])
+                yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(_class_of(value, at), pa.binary()), lists], names=["row", "doc_id", "n_shingles", "cls", "keys"])
 
     return run
 
@@ -71,28 +74,35 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): (node, root), root the smallest node reachable; only nodes with edges.
 
     Alternating large and small stars (Kiveris et al. 2014); each round is written to the shared folder, and none
-    gathers a node's neighbours."""
+    gathers a node's neighbours. Nodes' least neighbours are broadcast while they are few; beyond that both sides of
+    their join are read from tables, so that Spark can split a node of many edges."""
     spark = edges.sparkSession
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, few: bool) -> DataFrame:
         """e: (a, b) with b < a. To the least neighbour of each node: its larger neighbours, or itself and its smaller ones."""
         if large:
-            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-            return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        rest = e.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return low.select("a", F.col("m").alias("b")).unionByName(rest).distinct()
+            e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        if few:
+            low = F.broadcast(low)
+        else:
+            low, low_at = written(low, "lowest")
+            spent.append(low_at)
+        met = e.join(low, "a")
+        if large:
+            return met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        return low.select("a", F.col("m").alias("b")).unionByName(met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
 
     now, at = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     while True:
-        inner = now.select("a").intersect(now.select(F.col("b").alias("a")))
-        several = now.groupBy("a").count().filter("count > 1").select("a")
-        if inner.unionByName(several).isEmpty():
+        n = now.count()
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty():
             break
-        new, new_at = written(star(star(now, True), False), "edges")
-        removed(spark, at)
-        now, at = new, new_at
+        few, spent = n <= FEW_EDGES, [at]
+        half, half_at = written(star(now, True, few), "edges", n)  # stars never add edges
+        now, at = written(star(half, False, few), "edges", n)
+        removed(spark, *spent, half_at)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -113,43 +123,28 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return heads.join(other, (heads["s"] == other["s"]) & F.expr(near)).select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, keys: int = KEYS, hashes: int = HASHES) -> DataFrame:
-    """Groups of near duplicates: doc_id, n_shingles, component_id, kept.
-
-    1. Every document gets a class (its whole set of shingles; documents of one set are one class, so copies
-       are never paired) and two collections of ``keys`` keys of ``hashes`` minhashes each.
-    2. A key that a single class has can't bring a pair, so neither can any table key made with it: those go
-       first. The others are combined, one from each collection, into keys^2 table keys - as many tables as
-       2 * keys * hashes minhashes would give of plain bands only with the square of that work.
-    3. Of each bucket, the least class is paired with the others; pairs are verified on full sets. The links
-       are closed into components. Classes of buckets that still have several components are paired
-       across components by the prefixes of their sets, an exact filter, and verified too, whatever their number.
-    4. Components of classes become components of documents.
-
-    No cap: every pair that shares a table key is either verified or already in one component. Documents without
-    words (null, empty) have 0 shingles, are linked with nothing and kept. Rows of one id are one node of the
-    graph: their component_id is computed for each row's own text. A null id is never a component's smallest
-    id; if a component has none other, its component_id is null and it is kept."""
-    spark = docs.sparkSession
+def _near(rows: DataFrame, words: int = WORDS, percent: int = PERCENT, keys: int = KEYS, hashes: int = HASHES) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept_row (null: the row itself) of numbered rows with a doc_id and a text."""
+    spark = rows.sparkSession
     ship(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = rows.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, _ = written(source.mapInArrow(_signatures(words, keys, hashes), _SIGNATURE), "near-signatures")
-    classes = rows.filter("cls is not null").groupBy("cls").agg(F.first("keys").alias("keys"))
-    keyed = classes.select("cls", F.posexplode("keys").alias("k", "v"))
+    classes = rows.filter("cls is not null").groupBy("cls", "n_shingles").agg(F.first("keys").alias("keys"))
+    keyed = classes.select("cls", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("k", "v"))
     keyed, keyed_at = written(keyed, "near-keys")
     shared, shared_at = written(keyed.groupBy("k", "v").count().filter("count > 1").select("k", "v"), "near-shared")
     live, live_at = written(keyed.join(small(shared), ["k", "v"]), "near-live")
     left, right = live.filter(F.col("k") < keys), live.filter(F.col("k") >= keys).select("cls", F.col("k").alias("k2"), F.col("v").alias("v2"))
-    table = left.join(right, "cls").select("cls", F.xxhash64("k", "k2", "v", "v2").alias("key"))
-    low = table.groupBy("key").agg(F.min("cls").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "low")
+    table = left.join(right, "cls").select("cls", "n", F.xxhash64("k", "k2", "v", "v2").alias("key"))
+    low = table.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("low"), F.count(F.lit(1)).alias("several")).filter("several > 1").select("key", F.col("low.cls").alias("low"), F.col("low.n").alias("low_n"))
     table, table_at = written(table.join(low, "key"), "near-table")
     removed(spark, keyed_at, shared_at, live_at)
 
     wanted, wanted_at = written(table.select("cls").distinct(), "near-wanted")
-    members = rows.join(small(wanted), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    members = rows.join(small(wanted), "cls", "left_semi").groupBy("cls").agg(F.min("row").alias("row"))
     members, members_at = written(members, "near-members")
-    texts = source.join(small(members.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(words), "cls binary, shingles array<long>").join(small(wanted), "cls", "left_semi").dropDuplicates(["cls"])
+    texts = source.join(small(members.select("row")), "row", "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(words), "cls binary, shingles array<long>")
     sets, sets_at = written(sets, "near-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -157,7 +152,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         same = both.select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("same"))
         return same.filter(F.col("same") * 100 >= (F.col("sum") - F.col("same")) * percent).select("a", "b")
 
-    stars, stars_at = written(verified(table.filter("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()), "near-links")
+    near_size = f"cls <> low AND 100 * least(n, low_n) >= {percent} * greatest(n, low_n)"
+    stars, stars_at = written(verified(table.filter(near_size).select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()), "near-links")
     found, _ = written(components(stars), "near-components")
     placed = table.join(small(found), F.col("cls") == F.col("node"), "left").select("key", "low", "cls", F.coalesce("root", "cls").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
@@ -167,23 +163,44 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found, _ = written(components(stars.unionByName(links)), "near-components")
     removed(spark, still_at, table_at, wanted_at, members_at, sets_at, stars_at, links_at)
 
-    roots = rows.select("doc_id", "n_shingles", "cls").join(small(found), F.col("cls") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"))
-    lowest = roots.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "low")
-    lowest, _ = written(lowest, "near-lowest")
-    return (
-        roots.join(small(lowest), "root", "left")
-        .select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    roots = rows.select("row", "doc_id", "n_shingles", "cls").join(small(found), F.col("cls") == F.col("node"), "left").select("row", "doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"))
+    lowest = roots.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lowest, _ = written(lowest.select("root", F.col("low.doc_id").alias("low"), F.col("low.row").alias("kept_row")), "near-lowest")
+    several = roots.join(small(lowest), "root", "left")
+    return several.select("row", "doc_id", "n_shingles", F.when(F.col("kept_row").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"), "kept_row")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, keys: int = KEYS, hashes: int = HASHES) -> DataFrame:
+    """Groups of near duplicates: doc_id, n_shingles, component_id, kept.
+
+    1. Every document gets a class (its whole set of shingles; documents of one set are one class, so copies
+       are never paired) and two collections of ``keys`` keys of ``hashes`` minhashes each.
+    2. A key that a single class has can't bring a pair, so neither can any table key made with it: those go
+       first. The others are combined, one from each collection, into keys^2 table keys - as many tables as
+       2 * keys * hashes minhashes would give of plain bands only with the square of that work.
+    3. Of each bucket, the least class is paired with the others; pairs are verified on full sets. The links
+       are closed into components. Classes of buckets that still have several components are paired
+       across components by the prefixes of their sets, an exact filter, and verified too, whatever their number.
+    4. Components of classes become components of documents.
+
+    No cap: every pair that shares a table key is either verified or already in one component. Documents without
+    words (null, empty) have 0 shingles, are linked with nothing and kept. Links are between rows, told apart by a
+    row number, so rows that share an id, and rows without one, link by their own texts like all others. A null id
+    is never a component's smallest id; if a component has none other, its component_id is null. ``kept`` says that
+    the row's id is the component's, so several rows are kept where they share the smallest id, or a null one. Other
+    columns are ignored."""
+    rows = numbered(docs, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _near(rows, words, percent, keys, hashes).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, one of those with the smallest doc_id."""
+    """``docs`` with one row of each group of near duplicates, that of the smallest doc_id.
+
+    Rows are told apart by a row number, so that null and repeated ids, and rows that are repeated as a whole, lose no
+    other row: of rows of one group and one id the first one stays; a null id stays only in a group that has none
+    other. Texts without words are in no group and stay. Columns of any name pass."""
     rows = numbered(docs)
-    placed, _ = written(near_groups(rows, ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("grp")), "near-placed")
-    several = placed.filter(F.col(ROW) != F.col("grp")).select("grp").distinct()
-    groups, _ = written(placed.join(small(several), "grp", "left_semi").select(ROW, "grp"), "near-groups")
-    dropped, _ = written(surplus(rows, groups, largest=False), "near-dropped")
+    dropped, _ = written(_near(rows).filter("row <> kept_row").select("row"), "near-dropped")
     return without(rows, dropped)
 
 
