@@ -44,6 +44,19 @@ def test_encoder_equals_library(spark):
         assert np.frombuffer(g, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text[:50]
 
 
+def test_splitting_is_told_by_the_definition(tmp_path):
+    """Not by the file's name; of a tokenizer that is defined otherwise, every text goes to the library."""
+    same, other = tmp_path / "a.json", tmp_path / "word_bpe.json"
+    text = open(PATH, encoding="utf-8").read()
+    same.write_text(text, encoding="utf-8")
+    other.write_text(text.replace("[\\\\p{N}]|", "[\\\\p{N}]+|"), encoding="utf-8")
+    assert CachedEncoder(str(same)).splits and not CachedEncoder(str(other)).splits and not CachedEncoder(public_tokenizers.path("byte_bpe_50k.json")).splits
+    for at in (same, other):
+        t = Tokenizer.from_file(str(at))
+        for x in ("abc 123,45 x9", "It's 2024!"):
+            assert np.frombuffer(CachedEncoder(str(at)).encode([x.encode()])[0], "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_small_cache(monkeypatch):
     monkeypatch.setattr(CachedEncoder, "LIMIT", 50)
     t = Tokenizer.from_file(PATH)

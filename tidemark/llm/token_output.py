@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -118,6 +119,7 @@ def decode_blocks(words: np.ndarray, block_at: np.ndarray) -> np.ndarray:
 #: Texts of these characters only, without an apostrophe (contractions are pieces) or the start of a special token,
 #: are split here just as the tokenizer splits them: runs of letters, runs of marks, single digits.
 _PLAIN = re.compile("[\t-\r -&(-~À-ÖØ-öø-ÿ]*")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _KIND = np.full(256, 3, np.uint8)
 _KIND[[32, *range(9, 14)]] = 0
 _KIND[[*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 1
@@ -125,6 +127,23 @@ _KIND[48:58] = 2
 _encoders: dict[str, CachedEncoder] = {}
 
 
+def _splits_plainly(path: str) -> bool:
+    """Whether a tokenizer's own definition says that it lower-cases, drops white space, and models runs of letters,
+    single digits and runs of marks on their own, each piece's last token being told by a word end."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    steps = [(x["type"], x.get("pattern"), x.get("content")) for x in (d["normalizer"] or {}).get("normalizers", ())]
+    cuts = (d["pre_tokenizer"] or {}).get("pretokenizers", ())
+    return (
+        steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"] == {"Regex": _SPLIT} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+        and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+        and d["model"]["type"] == "BPE" and d["model"]["end_of_word_suffix"] == "</w>" and not d["model"]["continuing_subword_prefix"] and not d["model"]["dropout"]
+        and not any(t["normalized"] or not t["content"].startswith("<|") for t in d["added_tokens"])
+    )
+
+
 class CachedEncoder:
     """Encodes texts by pieces (as the tokenizer itself splits plain texts) or else by chunks between white
     space, each of which the tokenizers library encodes once.
@@ -132,7 +151,7 @@ class CachedEncoder:
     The tokenizer must never join characters across ASCII white space; that is so where, as in
     word_bpe_49k.json, white space is dropped before the model. Pieces are told by 64-bit hashes."""
 
-    LIMIT = 800_000
+    LIMIT = 400_000
     RUN = 1 << 20
 
     def __init__(self, path: str) -> None:
@@ -144,7 +163,7 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.chunks: dict[bytes, bytes] = {}
-        self.splits = "word_bpe" in path  # else every text goes to the library by chunks
+        self.splits = _splits_plainly(path)  # else every text goes to the library by chunks
         self.ends = np.zeros(1 << 17, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if self.splits else ():
             self.ends[i] = token.endswith("</w>")
