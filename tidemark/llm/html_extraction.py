@@ -17,7 +17,12 @@ SHARE, SUPPORT = 0.5, 2
 #: Characters from which a path is told by a digest, and up to which bare text (a label, a counter) is told without its digits.
 MAX_PATH, MAX_LABEL = 1000, 40
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: What may begin markup; a tag whose quotes are all closed; a tag up to its first ">".
+_BEGIN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_CUT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+#: Tags of a page whose quotes are looked for to the page's end in vain; each costs a pass, so that beyond them a tag ends at its first ">".
+VAIN = 20
 _LABEL = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _DIGITS = re.compile(r"\d+")
 _NAMES = re.compile(r"[a-z]+")
@@ -46,6 +51,38 @@ def _names_part(token: str) -> bool:
     return bool(names) and _HINTS.issuperset(names)
 
 
+def _pieces(page: str):
+    """(text, closes, tag, attributes, whole element) in page order: the text before a piece of markup, and the tag, if it is one.
+
+    An element of raw text is passed over as a whole. An unclosed comment takes the rest of the page, and a tag
+    whose quotes never close ends at its first ">"; "<" that begins nothing is text. Linear in the page's length."""
+    at = begin = vain = 0
+    size, last = len(page), page.rfind(">")
+    while m := _BEGIN.search(page, begin):
+        start = m.start()
+        if m[0] == "<!--":
+            end = page.find("-->", start + 4)
+            yield page[at:start], False, "", "", False
+            at = begin = size if end < 0 else end + 3
+        elif start > last:
+            begin = start + 1
+        elif m[0] in ("<!", "<?"):
+            yield page[at:start], False, "", "", False
+            at = begin = page.find(">", start) + 1
+        else:
+            tag = _TAG.match(page, start) if vain < VAIN else None
+            if tag is None:
+                vain, tag = vain + 1, _CUT_TAG.match(page, start)
+            name, after = tag[2].lower(), tag.end()
+            raw = not tag[1] and name in _RAW and not tag[3].endswith("/")
+            if raw:
+                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, after)
+                after = end.end() if end else size
+            yield page[at:start], bool(tag[1]), name, tag[3], raw
+            at = begin = after
+    yield page[at:], False, "", "", False
+
+
 class Page:
     """A walk over a page. ``paths``: by path of labelled elements, how many there are, characters of kept text in them, depth, and
     a sum of hashes of that text; ``size`` and ``sum``: those of the page, links outside of prose not counted.
@@ -59,23 +96,15 @@ class Page:
         self._stack: list[list] = []  # tag, path, dropped, in root, in a link outside of prose, in prose, characters, sum
         self._open_tags: Counter[str] = Counter()
         self._inside = self._dropped = self._link = self._prose = False
-        at, size = 0, len(page)
-        while at < size:
-            m = _TOKEN.search(page, at)
-            self._text(page[at : m.start() if m else size])
-            if not m:
-                break
-            at = m.end()
-            if not m[2]:
+        for text, closes, tag, rest, after in _pieces(page):
+            self._text(text)
+            if not tag:
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            if closes:
                 self._close(tag)
             else:
-                self._open(tag, m[3])
-                if tag in _RAW and not m[3].endswith("/"):
-                    end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                    at = end.end() if end else size
+                self._open(tag, rest)
+                if after:
                     self._close(tag)
         while self._stack:
             self._pop()
