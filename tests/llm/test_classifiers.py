@@ -112,6 +112,24 @@ def test_lines_and_neighbours():
     assert (x[1, w : 2 * w] == x[0, :w]).all() and (x[0, w : 2 * w] == 0).all() and (x[2, 2 * w :] == 0).all() and (x[0, 2 * w :] == x[1, :w]).all()
 
 
+def test_half_good_page_is_labelled_by_halves():
+    """Lines' labels are hidden in training: documents have lines of both kinds, and a page of two halves gets both labels."""
+    r = random.Random(5)
+    prose = lambda: " ".join(r.choice("the tide came in over flats and grey birds rose from reeds".split()) for _ in range(r.randrange(8, 16))).capitalize() + "."
+    junk = lambda: " | ".join(r.choice(("HOME", "Log in", "$$ 99", "#tag", ">>", "Menu 3")) for _ in range(r.randrange(3, 7)))
+    texts, labels = [], []
+    for k in range(400):
+        good = k % 2
+        texts.append("\n".join(prose() if r.random() < (0.95 if good else 0.25) else junk() for _ in range(r.randrange(6, 20))).encode())
+        labels.append(good)
+    field = quality.fitted(texts, labels)
+    page = "\n".join([prose() for _ in range(10)] + [junk() for _ in range(10)]).encode()
+    _, good, _ = next(field.parts([page]))
+    assert (good[:10] > 0.5).all() and (good[10:] < 0.5).all()
+    score = field.calibrated(np.concatenate([p[2] for p in field.parts(texts)]))
+    assert ((score >= 0.5) == np.array(labels)).mean() > 0.97
+
+
 @pytest.mark.parametrize(("module", "label", "least"), [(toxicity, "toxic", 0.98), (quality, "quality", 0.99)])
 def test_held_out_accuracy(spark, module, label, least):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))

@@ -11,6 +11,8 @@ from tidemark.llm.toxicity import sample
 
 #: Bounds on the labelled documents that the field is fitted on and on their bytes, and the score from which a document is good.
 MAX_DOCS, MAX_BYTES, GOOD = 4000, 16 << 20, 0.7
+#: Shares of a text's length that are good, at least in a good document and at most in a bad one, and how fast a document's bias follows.
+GOOD_SHARE, BAD_SHARE, RATE = 0.9, 0.3, 8.0
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b".,;:", b"!?", b"|", b"#$%&*~^", b"<>{}[]()=/\\", b"@_-+\"'`"]
 _CLASS = np.full(256, len(_GROUPS), np.int64)  # the last class: bytes of other characters
@@ -112,28 +114,44 @@ class Field:
         return 1 / (1 + np.exp(-(self.scale * np.log(x / (1 - x)) + self.shift)))
 
 
-def fitted(texts: list[bytes | None], labels: list[int], steps: int = 120) -> Field:
-    """A field fitted to labels of documents: each line has its document's, the likelihood of that labelling is
-    maximised by Adam, and the aggregate is calibrated by a logistic curve on the same documents."""
-    parts, counts = [], []
-    for _, _, features, _, at in lines(texts):
+def fitted(texts: list[bytes | None], labels: list[int], steps: int = 200, first: int = 20) -> Field:
+    """A field fitted to labels of documents, its lines' labels being hidden.
+
+    A document's label says only what share of its text is good: at least GOOD_SHARE by length in a good one, at most
+    BAD_SHARE in a bad one. Each step takes the distribution over labellings that is nearest to the field's own and
+    keeps to that in expectation (posterior regularisation, Ganchev et al. 2010; its multiplier for a document is a bias
+    of its lines, which rises or falls while the share is missed), and moves the field towards it by Adam, by expected
+    features and transitions. The first steps take a document's label for that of all its lines, as a start. Last, the
+    aggregate is calibrated by a logistic curve on the same documents."""
+    parts, counts, sizes = [], [], []
+    for _, _, features, length, at in lines(texts):
         parts.append(features)
+        sizes.append(length + 1.0)
         counts += np.diff(at).tolist()
     y = np.array(labels, int)
     width = lines_width()
     if not len(y) or y.min() == y.max():
         return Field(np.zeros(width), np.zeros((2, 2)), 0.0, 4.0 if len(y) and y.min() else -4.0 if len(y) else 0.0)
     x, at = np.vstack(parts), np.concatenate([[0], np.cumsum(counts)])
-    truth = np.repeat(y, counts)
-    moves = np.zeros((2, 2))
+    weight = np.concatenate(sizes)
+    weight /= np.repeat(np.add.reduceat(weight, at[:-1]), counts)
+    whole = np.repeat(y, counts).astype(float)
+    kept = np.zeros((2, 2))
     for c in (0, 1):
-        moves[c, c] = sum(k - 1 for k, z in zip(counts, y, strict=True) if z == c)
-    theta = np.zeros(width + 4)
+        kept[c, c] = sum(k - 1 for k, z in zip(counts, y, strict=True) if z == c)
+    theta, bias = np.zeros(width + 4), np.zeros(len(y))
     m = v = np.zeros(width + 4)
     lines_n = len(x)
     for t in range(1, steps + 1):
         w, move = theta[:width], theta[width:].reshape(2, 2)
-        log_p, _, pairs = marginals(np.column_stack([np.zeros(lines_n), x @ w]), move, at)
+        z = x @ w
+        log_p, _, pairs = marginals(np.column_stack([np.zeros(lines_n), z]), move, at)
+        truth, moves = whole, kept
+        if t > first:
+            log_q, _, moves = marginals(np.column_stack([np.zeros(lines_n), z + np.repeat(bias, counts)]), move, at)
+            truth = np.exp(log_q[:, 1])
+            share = np.add.reduceat(truth * weight, at[:-1])
+            bias = np.where(y > 0, np.maximum(0, bias + RATE * (GOOD_SHARE - share)), np.minimum(0, bias + RATE * (BAD_SHARE - share)))
         g = np.concatenate([x.T @ (np.exp(log_p[:, 1]) - truth), (pairs - moves).ravel()]) / lines_n + 1e-4 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -178,7 +196,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
     a text's score is the mean of its lines' marginals weighted by length, calibrated. It is fitted on the driver
     on a sample of at most ``max_docs`` labelled documents and MAX_BYTES; scoring takes every line of
     every row, where it is read. A null or empty text is one empty line; labels of one kind only
-    give every text the same score. Scores depend on the text only."""
+    give every text the same score. Scores depend on the text only, so repeated rows, and rows with null or repeated
+    ids, each get their own text's; a score of just the threshold is good. Other columns are ignored."""
     ship(docs.sparkSession)
     texts, y = sample(docs, labels, "quality", max_docs, MAX_BYTES)
     field = fitted(texts, y)

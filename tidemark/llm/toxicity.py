@@ -201,7 +201,9 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, t
     sentences being so. Weights are learned from labels of documents alone, on a sample of at most ``max_docs``
     and MAX_BYTES (a bound of the driver's memory and time); every row of ``docs`` is scored, each where it is read. A text
     without words (null, empty) has no sentence and scores 0; without labels of both kinds all do.
-    Scores depend on the text only. ``id_col`` is given as doc_id; labels are always met by doc_id."""
+    Scores depend on the text only, so repeated rows, and rows with null or repeated ids, each get their own text's; a
+    score of just the threshold is toxic. ``id_col`` is given as doc_id; labels are always met by doc_id. Other columns
+    are ignored."""
     ship(docs.sparkSession)
     texts, y = sample(docs, labels, "toxic", max_docs)
     model = fitted(texts, y)
@@ -210,7 +212,10 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are predicted to be toxic."""
+    """``docs`` without the rows that are predicted to be toxic.
+
+    Rows are told apart by a row number: of rows that share an id, or have none, just those whose own text is found go,
+    and rows that are repeated as a whole go or stay together. Null and empty texts stay. Columns of any name pass."""
     rows = numbered(docs)
     toxic, _ = written(toxic_scores(rows, labels, id_col=ROW).filter("predicted = 1").select("doc_id"), "toxic")
     return without(rows, toxic)
