@@ -343,10 +343,14 @@ def upsert(spark, sf):
     return J.upserted(old, new, "c_custkey", "c_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey IN (SELECT ps FROM (SELECT l_partkey AS ps, count(*) AS n FROM lineitem GROUP BY 1) WHERE n > 30) AS known FROM lineitem")
 def anti_upsert(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey")
-    return A.split_by_presence(c, table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")[1]
+    """Lines of parts that are ordered often, and the others."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    often = lines.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 30")
+    halves = A.split_by_presence(lines, often, "l_partkey")
+    flagged = [h.select("l_orderkey", "l_linenumber", F.lit(known).alias("known")) for h, known in zip(halves, (True, False), strict=True)]
+    return flagged[0].unionByName(flagged[1])
 
 
 @query("SELECT user_id AS usr_id, count(*) AS n, round(avg(value), 6) AS v FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-04' AND TIMESTAMP '2024-01-20' GROUP BY 1")

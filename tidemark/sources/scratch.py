@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,13 @@ def forget(*tables: DataFrame) -> None:
         if path := getattr(df, "_cut_at", None):
             p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, after the Python workers of its session were told where this package is, wherever the driver started."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = df.sparkSession.sparkContext.environment
+    have = env.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    return df
