@@ -20,40 +20,50 @@ def fold(i, n=7):
     return zlib.crc32(str(i).encode()) % n if i is not None else 0
 
 
-def brute(rows):
-    one, two, held_one, held_two = Counter(), Counter(), Counter(), Counter()
-    starts = held_starts = 0
+def brute(rows, order=2):
+    counts, held = ([Counter() for _ in range(order)] for _ in range(2))  # of n-grams, by n - 1
+    contexts, held_contexts = ([Counter() for _ in range(order)] for _ in range(2))
+    grams = lambda w, n: [tuple((["<s>"] * (n - 1) + w)[i : i + n]) for i in range(len(w))]
     for i, t in rows:
         if fold(i) == 2:
             continue
-        w = tokens(t)
-        one.update(w)
-        two.update(zip(["<s>", *w], w, strict=False))
-        starts += 1
-        if fold(i) == 3:
-            held_one.update(w)
-            held_two.update(zip(["<s>", *w], w, strict=False))
-            held_starts += 1
-    n, v = sum(one.values()), len(one)
-    context = lambda h, c, s: s if h == "<s>" else c[h]
+        for n in range(order):
+            for cs, xs in ((counts, contexts), (held, held_contexts))[: 1 + (fold(i) == 3)]:
+                cs[n].update(grams(tokens(t), n + 1))
+                xs[n].update(g[:-1] for g in grams(tokens(t), n + 1))
+    total, v = sum(counts[0].values()), len(counts[0])
+    left = total - sum(held[0].values())
     bucket = lambda c: min(math.ceil(math.log2(c + 1)), LAST_BUCKET)
-    cells, left = Counter(), n - sum(held_one.values())
-    for (h, w), k in held_two.items():
-        c = context(h, one, starts) - context(h, held_one, held_starts)
-        p2 = (two[h, w] - k) / c if c else 0
-        p1 = (one[w] - held_one[w]) / max(left, 1)
-        cells[bucket(c), *[int(np.round(np.log10(p) * GRID)) if p > 0 else 9999 for p in (p2, p1)]] += k
-    weights = learned_weights([(*c, k) for c, k in cells.items()], v)
+    rounded = lambda p: int(np.round(np.log10(p) * GRID)) if p > 0 else 9999
+    weights = []
+
+    def p_of(g, c, x, n):
+        """Of the last token of n-gram ``g`` by all levels that have weights."""
+        lam = weights[0][bucket(x(1, g[-2:-1]))]
+        ratio = lambda k: c(k, g[-k - 1 :]) / x(k, g[-k - 1 : -1]) if x(k, g[-k - 1 : -1]) else 0
+        p = lam[0] * ratio(1) + lam[1] * c(0, g[-1:]) / max(n, 1) + lam[2] / (v + 1)
+        for k, level in enumerate(weights[1:], 2):
+            lam = level[bucket(x(k, g[-k - 1 : -1]))]
+            p = lam[0] * ratio(k) + lam[1] * p
+        return p
+
+    rest = lambda k, g: counts[k][g] - held[k][g]
+    rest_context = lambda k, g: contexts[k][g] - held_contexts[k][g]
+    for k in range(1, order):
+        cells = Counter()
+        for i, t in rows:
+            if fold(i) == 3:
+                for g in grams(tokens(t), k + 1):
+                    x = rest_context(k, g[:-1])
+                    below = p_of(g, rest, rest_context, left) if weights else rest(0, g[-1:]) / max(left, 1)
+                    cells[bucket(x), rounded(rest(k, g) / x if x else 0), rounded(below)] += 1
+        weights.append(learned_weights([(*c, n) for c, n in cells.items()], v if k == 1 else None))
     out = []
     for i, t in rows:
         w = tokens(t)
-        base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
-        score = 0.0
-        for h, x in zip(["<s>", *w], w, strict=False):
-            c = context(h, one, starts)
-            lam = weights[bucket(c)]
-            score += math.log10(lam[0] * (two[h, x] / c if c else 0) + lam[1] * one[x] / max(n, 1) + lam[2] / (v + 1))
-        out.append((i, fold(i) == 2, len(w), sum(one[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
+        base = sum(math.log10((counts[0][x,] + 1) / (total + v + 1)) for x in w)
+        score = sum(math.log10(p_of(g, lambda k, g: counts[k][g], lambda k, g: contexts[k][g], total)) for g in grams(w, order))
+        out.append((i, fold(i) == 2, len(w), sum(counts[0][x,] > 0 for x in w), total, round(base, 6), round(score, 6)))
     return sorted(out, key=repr)
 
 
@@ -64,12 +74,12 @@ def got(df):
 ODD = [(None, "null id"), (None, None), (3001, ""), (3002, None), (3003, " \n"), (3004, "x " * 30_000), (3005, "Same same SAME"), (3005, "Same same SAME"), (3006, "É é")]
 
 
-@pytest.mark.parametrize(("block", "entries"), [(8 << 20, 2_000_000), (3000, 500)])
-def test_against_brute_force(spark, frame, monkeypatch, block, entries):
+@pytest.mark.parametrize(("block", "entries", "order"), [(8 << 20, 2_000_000, 2), (3000, 500, 2), (3000, 500, 3), (3000, 500, 4)])
+def test_against_brute_force(spark, frame, monkeypatch, block, entries, order):
     monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block)
     monkeypatch.setattr(lm_scoring, "BUCKET_ENTRIES", entries)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()] + ODD
-    assert got(lm_scores(frame(rows))) == brute(rows)
+    assert got(lm_scores(frame(rows), order=order)) == brute(rows, order)
 
 
 def test_file_source_and_model_quality(spark):

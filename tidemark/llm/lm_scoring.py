@@ -13,6 +13,8 @@ from tidemark.llm.common import hashed, mixed, remainder, removed, ship, texts_o
 
 #: Bytes of text of a block of rows, and entries of an owner's bucket.
 BLOCK_BYTES, BUCKET_ENTRIES = 8 << 20, 2_000_000
+#: Tokens of the longest n-gram.
+ORDER = 2
 #: Context-frequency buckets: a context seen c times is in bucket min(ceil(log2(c + 1)), last).
 LAST_BUCKET = 20
 #: Steps of EM, and steps of a decade that probabilities are rounded to while the weights are learned.
@@ -34,8 +36,10 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.frombuffer(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.tobytes(), "<u4").astype(np.int64)
 
 
-def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text's tokens (words and one end): hash of the token, of it with the one before it (first: the start), and offsets."""
+def _grams(texts: list[bytes | None], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each text's tokens (words and one end): hashes of the n-grams that end there, n from 1 to ``order``, and offsets.
+
+    Before a text stand as many starts as an n-gram needs."""
     tokens, sizes = [], []
     for _, _, h, ptr in hashed(texts):
         n = np.diff(ptr)
@@ -49,10 +53,14 @@ def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
     w = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
     ptr = np.concatenate([[0], np.cumsum(n)])
-    before = np.empty_like(w)
-    before[1:] = w[:-1]
-    before[ptr[:-1]] = _START
-    return w, mixed(before * _STEP + w), ptr
+    grams, starts = [w], _START
+    for _ in range(order - 1):
+        before = np.empty_like(w)
+        before[1:] = grams[-1][:-1]
+        before[ptr[:-1]] = starts
+        grams.append(mixed(before * _STEP + w))
+        starts = np.uint64((int(starts) * int(_STEP) + int(_START)) & (1 << 64) - 1)
+    return grams, ptr
 
 
 def _counted(h: np.ndarray, train: np.ndarray, deleted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +68,7 @@ def _counted(h: np.ndarray, train: np.ndarray, deleted: np.ndarray) -> tuple[np.
     return u, np.bincount(at[train], minlength=len(u)), np.bincount(at[deleted], minlength=len(u))
 
 
-def _requests(buckets: int, rows: int):
+def _requests(buckets: list[int], rows: int):
     """Each block's distinct n-grams, with its own counts of them, packed by owner."""
 
     def run(batches):
@@ -74,11 +82,13 @@ def _requests(buckets: int, rows: int):
                 mine = [x for x in items if x[1] == held]
                 if not mine:
                     continue
-                w, two, ptr = _grams([x[0] for x in mine])
-                n = np.diff(ptr)
-                train = np.repeat(np.array([x[2] for x in mine], bool), n)
-                docs = np.full(len(mine), _START)
-                for kind, (h, t) in enumerate(((w, train), (np.concatenate([two, docs]), np.concatenate([train, np.array([x[2] for x in mine], bool)])))):
+                grams, ptr = _grams([x[0] for x in mine], len(buckets))
+                docs = np.array([x[2] for x in mine], bool)
+                train = np.repeat(docs, np.diff(ptr))
+                for kind, h in enumerate(grams):
+                    t = train
+                    if kind == 1:  # the starts of texts are contexts too
+                        h, t = np.append(h, np.full(len(mine), _START)), np.append(train, docs)
                     u, a, d = _counted(h, t, t & bool(held))
                     owner = (u >> np.uint64(32)).astype(np.uint64) * np.uint64(buckets[kind]) >> np.uint64(32)
                     cut = np.searchsorted(owner, np.arange(buckets[kind] + 1))
@@ -122,9 +132,9 @@ def _answer(table):
     return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
 
-def _looked_up(docs, answers):
-    """For each part of a block: its rows' places in ``docs``, offsets of their tokens, and per token the corpus
-    counts (all and deleted) of the pair, of its context and of the token."""
+def _looked_up(docs, answers, order: int):
+    """For each part of a block: its rows' places in ``docs``, offsets of their tokens, and per token the corpus counts
+    (all and deleted) of the n-grams that end there, n from 1 to ``order``, and of the contexts of those from 2 on."""
     texts, index, held = texts_of(docs["text"]), np.array(docs["row"].to_pylist(), np.int64), np.array(docs["held"].to_pylist(), np.int64)
     parts: dict = {}
     for x in answers.to_pylist():
@@ -134,19 +144,24 @@ def _looked_up(docs, answers):
         mine = mine[np.argsort(index[mine], kind="stable")]
         if not len(mine):
             continue
-        w, two, ptr = _grams([texts[i] for i in mine])
-        counts = {k: [np.concatenate([_unpack(x[c]) for x in sorted(v)]) for c in (1, 2)] for k, v in kinds.items()}
-        u1, at1 = np.unique(w, return_inverse=True)
-        u2, at2 = np.unique(np.append(two, _START), return_inverse=True)
-        assert len(u1) == len(counts[0][0]) and len(u2) == len(counts[1][0]), "a block's rows differ from the pass that asked"
-        one, pair = [c[at1] for c in counts[0]], [c[at2[:-1]] for c in counts[1]]
-        context = []
-        for c, whole in zip(one, counts[1], strict=True):
-            before = np.empty_like(c)
-            before[1:] = c[:-1]
-            before[ptr[:-1]] = whole[at2[-1]]
-            context.append(before)
-        yield mine, ptr, pair, context, one
+        grams, ptr = _grams([texts[i] for i in mine], order)
+        counts, starts = [], (0, 0)
+        for k, h in enumerate(grams):
+            u, at = np.unique(np.append(h, _START) if k == 1 else h, return_inverse=True)
+            found = [np.concatenate([_unpack(x[c]) for x in sorted(kinds[k])]) for c in (1, 2)]
+            assert len(u) == len(found[0]), "a block's rows differ from the pass that asked"
+            if k == 1:
+                starts, at = [c[at[-1]] for c in found], at[:-1]
+            counts.append([c[at] for c in found])
+        contexts = []
+        for shorter in counts[:-1]:
+            contexts.append([])
+            for c, texts_begun in zip(shorter, starts, strict=True):
+                before = np.empty_like(c)
+                before[1:] = c[:-1]
+                before[ptr[:-1]] = texts_begun
+                contexts[-1].append(before)
+        yield mine, ptr, counts, contexts
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -157,18 +172,30 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(b > 0, a / np.maximum(b, 1), 0.0)
 
 
-def _grid(left_tokens: int):
-    """Deleted tokens by context bucket and rounded probabilities from the counts that remain without them."""
+def _estimates(weights: list[np.ndarray], counts: list, contexts: list, buckets: list, tokens: int, types: int) -> np.ndarray:
+    """Probabilities of tokens by the levels that have weights: pairs with tokens and uniform, then each longer n-gram with all below."""
+    lam = weights[0][buckets[0]]
+    p = lam[:, 0] * _ratio(counts[1], contexts[0]) + lam[:, 1] * (counts[0] / max(tokens, 1)) + lam[:, 2] / (types + 1)
+    for level, x in enumerate(weights[1:], 1):
+        lam = x[buckets[level]]
+        p = lam[:, 0] * _ratio(counts[level + 1], contexts[level]) + lam[:, 1] * p
+    return p
+
+
+def _grid(order: int, weights: list[np.ndarray], left_tokens: int, types: int):
+    """Deleted tokens by context bucket and rounded probabilities from the counts that remain without them: of the shortest
+    n-grams without weights as yet, and of what is below them."""
 
     def run(docs, answers):
         import pyarrow as pa
 
         sums: dict = {}
-        for _, _, pair, context, one in _looked_up(docs, answers):
-            rest = [p[0] - p[1] for p in (pair, context, one)]
-            p2, p1 = _ratio(rest[0], rest[1]), rest[2] / max(left_tokens, 1)
-            q2, q1 = (np.where(p > 0, np.round(np.log10(np.maximum(p, 1e-300)) * GRID), 9999).astype(np.int64) for p in (p2, p1))
-            cells, n = np.unique(np.stack([_bucket(rest[1]), q2, q1], 1), axis=0, return_counts=True)
+        for _, _, counts, contexts in _looked_up(docs, answers, order):
+            counts, contexts = ([c[0] - c[1] for c in cs] for cs in (counts, contexts))
+            level = len(weights)
+            below = _estimates(weights, counts, contexts, [_bucket(c) for c in contexts], left_tokens, types) if weights else counts[0] / max(left_tokens, 1)
+            q2, q1 = (np.where(p > 0, np.round(np.log10(np.maximum(p, 1e-300)) * GRID), 9999).astype(np.int64) for p in (_ratio(counts[level + 1], contexts[level]), below))
+            cells, n = np.unique(np.stack([_bucket(contexts[level]), q2, q1], 1), axis=0, return_counts=True)
             for cell, k in zip(map(tuple, cells.tolist()), n.tolist(), strict=True):
                 sums[cell] = sums.get(cell, 0) + k
         rows = [(*c, k) for c, k in sums.items()]
@@ -177,13 +204,14 @@ def _grid(left_tokens: int):
     return run
 
 
-def learned_weights(cells: list[tuple[int, int, int, int]], types: int, steps: int = EM_STEPS) -> np.ndarray:
-    """Weights of pair, token and uniform estimates for each context bucket, by EM over (bucket, q2, q1, n).
+def learned_weights(cells: list[tuple[int, int, int, int]], types: int | None, steps: int = EM_STEPS) -> np.ndarray:
+    """Weights for each context bucket, by EM over (bucket, q2, q1, n): of n-grams, of what is below and, if ``types`` is given, uniform.
 
     A bucket without deleted tokens takes the weights of all buckets together."""
     x = np.array(cells, np.int64).reshape(-1, 4)
-    p = np.stack([np.where(x[:, i] == 9999, 0.0, 10.0 ** (x[:, i] / GRID)) for i in (1, 2)] + [np.full(len(x), 1.0 / (types + 1))], 1)
-    out = np.zeros((LAST_BUCKET + 1, 3))
+    p = [np.where(x[:, i] == 9999, 0.0, 10.0 ** (np.where(x[:, i] == 9999, 0, x[:, i]) / GRID)) for i in (1, 2)]
+    p = np.stack(p if types is None else [*p, np.full(len(x), 1.0 / (types + 1))], 1)
+    out = np.zeros((LAST_BUCKET + 1, p.shape[1]))
 
     def em(mine: np.ndarray, weight: np.ndarray) -> np.ndarray:
         for _ in range(steps):
@@ -193,26 +221,26 @@ def learned_weights(cells: list[tuple[int, int, int, int]], types: int, steps: i
             weight /= weight.sum()
         return weight
 
-    third = np.full(3, 1 / 3)
-    common = em(np.arange(len(x)), third) if len(x) else third
+    even = np.full(p.shape[1], 1 / p.shape[1])
+    common = em(np.arange(len(x)), even) if len(x) else even
     for b in range(LAST_BUCKET + 1):
         mine = np.flatnonzero(x[:, 0] == b)
-        out[b] = em(mine, third) if len(mine) else common
+        out[b] = em(mine, even) if len(mine) else common
     return out
 
 
-def _scores(weights: np.ndarray, tokens: int, types: int):
+def _scores(order: int, weights: list[np.ndarray], tokens: int, types: int):
     def run(docs, answers):
         import pyarrow as pa
 
         ids = docs["doc_id"]
         out = []
-        for mine, ptr, pair, context, one in _looked_up(docs, answers):
-            lam = weights[_bucket(context[0])]
-            p = lam[:, 0] * _ratio(pair[0], context[0]) + lam[:, 1] * (one[0] / max(tokens, 1)) + lam[:, 2] / (types + 1)
+        for mine, ptr, counts, contexts in _looked_up(docs, answers, order):
+            counts, contexts = ([c[0] for c in cs] for cs in (counts, contexts))
+            p, one = _estimates(weights, counts, contexts, [_bucket(c) for c in contexts], tokens, types), counts[0]
             first = ptr[:-1]
-            base = np.log10((one[0] + 1) / (tokens + 1 * (types + 1)))
-            out.append((mine, np.diff(ptr), np.add.reduceat((one[0] > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(np.log10(p), first)))
+            base = np.log10((one + 1) / (tokens + 1 * (types + 1)))
+            out.append((mine, np.diff(ptr), np.add.reduceat((one > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(np.log10(p), first)))
         if not out:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["doc_id", "scored", "n_tokens", "n_known", "base_score", "score"])
         at = np.concatenate([x[0] for x in out])
@@ -224,10 +252,11 @@ def _scores(weights: np.ndarray, tokens: int, types: int):
     return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, test_fold: int = 2, deleted_fold: int = 3) -> DataFrame:
-    """Scores of all texts by a pair model: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, test_fold: int = 2, deleted_fold: int = 3, order: int = ORDER) -> DataFrame:
+    """Scores of all texts by an n-gram model of ``order`` 2 or more: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    P(w | h) = a * c(h, w) / c(h) + b * c(w) / N + c / (V + 1), with weights (a, b, c) for each bucket of c(h).
+    P(w | h) = a * c(h, w) / c(h) + b * c(w) / N + c / (V + 1) for the token h before w, with weights (a, b, c) for each bucket of
+    c(h). In a longer model, P(w | g h) = d * c(g h, w) / c(g h) + (1 - d) * P(w | h), with d for each bucket of c(g h), and so on.
     Texts of fold ``test_fold`` aren't learned from. The weights are learned by EM on the counts of fold
     ``deleted_fold`` against estimates from the other learned folds; then all learned folds give the estimates.
 
@@ -250,7 +279,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     size = docs.select(F.sum(F.octet_length(text_col)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     rows = max(1, int(BLOCK_BYTES * size["rows"] / max(size["bytes"] or 0, 1)))
     words = (size["bytes"] or 0) / 6
-    buckets = [1 + int(words * part / BUCKET_ENTRIES) for part in (0.25, 0.75)]
+    buckets = [1 + int(words * part / BUCKET_ENTRIES) for part in (0.25, 0.75, *[1.0] * (order - 2))]
     source = source.select("doc_id", "text", "f", "row", (fold == deleted_fold).cast("int").alias("held"), (fold != test_fold).alias("train"))
 
     asked = source.select("text", "f", "row", "held", "train").mapInArrow(_requests(buckets, rows), _REQUEST)
@@ -259,10 +288,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     answers = answers.drop("tokens", "types", "deleted_tokens")
 
     blocks = source.select("doc_id", "text", "row", "held", (~F.col("train")).alias("scored"), "f", F.floor(F.col("row") / rows).alias("b"))
-    cells = blocks.filter("held = 1").groupBy("f", "b").cogroup(answers.filter("held = 1").groupBy("f", "b")).applyInArrow(_grid(total["tokens"] - total["deleted_tokens"]), "bucket long, q2 long, q1 long, n long")
-    cells = [tuple(r) for r in cells.groupBy("bucket", "q2", "q1").agg(F.sum("n")).collect()]
-    weights = learned_weights(cells, total["types"])
-    scored = blocks.groupBy("f", "b").cogroup(answers.groupBy("f", "b")).applyInArrow(_scores(weights, total["tokens"], total["types"]), "doc_id long, scored boolean, n_tokens long, n_known long, base_score double, score double")
+    held = blocks.filter("held = 1").groupBy("f", "b").cogroup(answers.filter("held = 1").groupBy("f", "b"))
+    weights: list[np.ndarray] = []
+    for level in range(order - 1):
+        cells = held.applyInArrow(_grid(order, list(weights), total["tokens"] - total["deleted_tokens"], total["types"]), "bucket long, q2 long, q1 long, n long")
+        cells = [tuple(r) for r in cells.groupBy("bucket", "q2", "q1").agg(F.sum("n")).collect()]
+        weights.append(learned_weights(cells, None if level else total["types"]))
+    scored = blocks.groupBy("f", "b").cogroup(answers.groupBy("f", "b")).applyInArrow(_scores(order, weights, total["tokens"], total["types"]), "doc_id long, scored boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", F.col("scored").alias("held_out"), "n_tokens", "n_known", F.lit(total["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
