@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 import numpy as np
@@ -284,6 +285,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     asked = source.select("text", "f", "row", "held", "train").mapInArrow(_requests(buckets, rows), _REQUEST)
     answers, answers_at = written(asked.groupBy("kind", "bucket").applyInArrow(_answer, _ANSWER), "lm-answers")
+    del asked
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # so that Spark removes the questions' shuffle files now, not at some later collection
     total = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "deleted_tokens")]).first()
     answers = answers.drop("tokens", "types", "deleted_tokens")
 
