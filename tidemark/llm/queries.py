@@ -4,6 +4,7 @@ from tidemark.llm.decontamination import OP8_SQL, op8_decontamination
 from tidemark.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from tidemark.llm.html_extraction import op7_html_extraction
 from tidemark.llm.lm_scoring import op9_lm_scoring
+from tidemark.llm.merkle import OP11_SQL, op11_merkle_manifest
 from tidemark.llm.near_dedup import OP4_SQL, op4_near_dedup
 from tidemark.llm.quality import op6_quality
 from tidemark.llm.secrets import op5_secrets
@@ -22,10 +23,12 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 SQL = {
     "op4_near_dedup": OP4_SQL,
     "op8_decontamination": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
