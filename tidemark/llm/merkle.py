@@ -218,11 +218,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: crc32 of a short ASCII text bit by bit: DuckDB has no such function.
-_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length({0}) + 1), lambda i: list_transform(range(8), lambda b: (ascii(substr({0}, i::BIGINT, 1)) >> b::INTEGER) & 1)))::BIGINT[]), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+CRC_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length({0}) + 1), lambda i: list_transform(range(8), lambda b: (ascii(substr({0}, i::BIGINT, 1)) >> b::INTEGER) & 1)))::BIGINT[]), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
 
 OP11_SQL = rf"""
 WITH RECURSIVE d AS (
-  SELECT *, source AS s, CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS bad FROM documents),
+  SELECT *, source AS s, CASE WHEN {CRC_SQL.format("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS bad FROM documents),
 e AS (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(s) || ':' || s, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM d),
 l AS (SELECT doc_id, s, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(bad) || ':' || bad, '-')) AS bad FROM e),
 o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS w FROM l),

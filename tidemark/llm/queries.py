@@ -1,5 +1,6 @@
 """Queries of this subpackage, and SQL where it can say the same."""
 
+from tidemark.llm.conversation_repair import OP12_SQL, op12_conversation_repair
 from tidemark.llm.decontamination import OP8_SQL, op8_decontamination
 from tidemark.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from tidemark.llm.html_extraction import op7_html_extraction
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 SQL = {
@@ -31,4 +33,5 @@ SQL = {
     "op8_decontamination": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
