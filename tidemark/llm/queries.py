@@ -10,6 +10,7 @@ from tidemark.llm.near_dedup import OP4_SQL, op4_near_dedup
 from tidemark.llm.quality import op6_quality
 from tidemark.llm.secrets import op5_secrets
 from tidemark.llm.sentence_pieces import op1_sentence_pieces
+from tidemark.llm.substring_dedup import OP13_SQL, op13_substring_dedup
 from tidemark.llm.token_output import op2_token_output
 from tidemark.llm.toxicity import op3_toxicity
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 SQL = {
@@ -34,4 +36,5 @@ SQL = {
     "op10_exact_dedup": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
     "op12_conversation_repair": OP12_SQL,
+    "op13_substring_dedup": OP13_SQL,
 }
