@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import _plain_scan, mixed, ship, word_hashes, written
+from tidemark.llm.common import RUN_BYTES, _plain_scan, mixed, ship, word_hashes, written
 
 #: Words of a window, and of an anchor: any window holds a whole one of the blocks at multiples of the anchor's length.
 WINDOW, ANCHOR = 20, 10
 #: Bytes of text of a unit, which is what asks and is answered at a time; bytes of text for which there is one owner of hashes.
-UNIT_BYTES, OWNER_BYTES = 4 << 20, 24 << 20
+UNIT_BYTES, OWNER_BYTES = 2 << 20, 24 << 20
 _SEQ_BITS = 24
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NULL = -(1 << 63)
@@ -45,12 +45,29 @@ def _starts(ptr: np.ndarray, k: int, total: int) -> np.ndarray:
     return whole
 
 
+def _runs(texts: list[bytes]):
+    """Texts some 256 KB at a time: arrays of bytes take a few dozen times as much."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > RUN_BYTES:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text) + 1
+    if run:
+        yield run
+
+
 class _Unit:
     """Words of a run of documents: their hashes, and where each document's begin."""
 
     def __init__(self, texts: list[bytes]):
-        self.h, start, _ = word_hashes(b" ".join(texts))
-        self.ptr = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts]))
+        parts, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for run in _runs(texts):
+            h, start, _ = word_hashes(b" ".join(run))
+            parts.append(h)
+            counts.append(np.diff(np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in run]))))
+        self.h, self.ptr = np.concatenate(parts), np.cumsum(np.concatenate(counts))
 
     def probes(self, anchor: int):
         """Distinct hashes of all rolling windows of an anchor's length, whether one of each is a block, and whether it's there twice; and the
@@ -125,7 +142,7 @@ def _probing(anchor: int, owners: int):
 
 
 def _anchored(messages):
-    """Of each message, which of its hashes are of a block and are found more than once. (unit, (owner, bits))"""
+    """Of each message, which of its hashes are of a block and are found more than once. (unit, (question, owner, bits))"""
     for owner, group in _by_owner(messages):
         keys = [np.frombuffer(m[1], np.uint32) for m in group]
         joined = np.concatenate(keys)
@@ -137,7 +154,7 @@ def _anchored(messages):
             several = (np.diff(np.append(first, len(ranked))) > 1) | (np.bitwise_or.reduceat(ranked, first) & np.uint32(2)).astype(bool)
             found = several & (np.bitwise_or.reduceat(ranked, first) & np.uint32(1)).astype(bool)
             hit[order] = np.repeat(found, np.diff(np.append(first, len(ranked))))
-        yield from _answers(owner, group, [len(k) for k in keys], hit)
+        yield from _answers(0, owner, group, [len(k) for k in keys], hit)
 
 
 def _by_owner(messages):
@@ -148,16 +165,16 @@ def _by_owner(messages):
         yield groups.popitem()
 
 
-def _answers(owner, group, sizes, bits):
+def _answers(asked, owner, group, sizes, bits):
     at = 0
     for message, n in zip(group, sizes, strict=True):
-        yield message[0], (owner, np.packbits(bits[at : at + n]).tobytes())
+        yield message[0], (asked, owner, np.packbits(bits[at : at + n]).tobytes())
         at += n
 
 
 def _asking(window: int, anchor: int, owners: int):
     def run(pairs):
-        for (unit, ids, texts), answers in pairs:
+        for (unit, ids, texts), (answers, _) in pairs:
             asked = _windows_of(texts, ids, window, anchor, owners, answers)
             _, first, a, b, doc = asked
             extra = (b[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -203,7 +220,7 @@ def _earliest(messages):
         x, y = a[order], b[order]
         later = np.zeros(len(order), bool)
         later[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-        yield from _answers(owner, group, sizes, later)
+        yield from _answers(1, owner, group, sizes, later)
 
 
 def _spans(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -213,7 +230,7 @@ def _spans(covered: np.ndarray) -> list[tuple[int, int]]:
 
 def _removing(window: int, anchor: int, owners: int):
     def run(pairs):
-        for ((_, ids, texts), answers), later in pairs:
+        for (_, ids, texts), (answers, later) in pairs:
             unit, first, a, _, _ = _windows_of(texts, ids, window, anchor, owners, answers)
             repeat = np.ones(len(unit.at), bool)
             repeat[first] = _bits(later, _owner(a[first], owners), owners)
@@ -233,12 +250,12 @@ def _removing(window: int, anchor: int, owners: int):
 
 
 def _back(answers: RDD, parts: int) -> RDD:
-    """For each partition of units, the answers to each of its units, in order."""
+    """For each partition of units, the answers to each of its units, in order; one dictionary for each question."""
 
     def run(rows):
-        units = defaultdict(dict)
-        for unit, (owner, bits) in rows:
-            units[unit][owner] = bits
+        units = defaultdict(lambda: ({}, {}))
+        for unit, (asked, owner, bits) in rows:
+            units[unit][asked][owner] = bits
         for unit in sorted(units):
             yield units[unit]
 
@@ -282,10 +299,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     units = rows.rdd.mapPartitionsWithIndex(_packed(UNIT_BYTES))
     parts = units.getNumPartitions()
     same = lambda k: k
-    hits = _back(units.mapPartitions(_probing(anchor, owners)).partitionBy(owners, same).mapPartitions(_anchored), parts)
-    probed = _beside(units, hits)
-    later = _back(probed.mapPartitions(_asking(window, anchor, owners)).partitionBy(owners, same).mapPartitions(_earliest), parts)
-    out = _beside(probed, later).mapPartitions(_removing(window, anchor, owners))
+    hits = units.mapPartitions(_probing(anchor, owners)).partitionBy(owners, same).mapPartitions(_anchored)
+    asked = _beside(units, _back(hits, parts)).mapPartitions(_asking(window, anchor, owners))
+    later = asked.partitionBy(owners, same).mapPartitions(_earliest)
+    out = _beside(units, _back(hits.union(later), parts)).mapPartitions(_removing(window, anchor, owners))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("repeats", T.ArrayType(span)), T.StructField("kept", T.StringType())])
     return spark.createDataFrame(out, schema, verifySchema=False)
