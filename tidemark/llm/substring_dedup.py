@@ -17,6 +17,8 @@ from tidemark.llm.common import RUN_BYTES, _plain_scan, mixed, ship, word_hashes
 WINDOW, ANCHOR = 20, 10
 #: Bytes of text of a unit, which is what asks and is answered at a time; bytes of text for which there is one owner of hashes.
 UNIT_BYTES, OWNER_BYTES = 1 << 20, 24 << 20
+#: Keys that an owner sorts at a time.
+SLICE_KEYS = 500_000
 _SEQ_BITS = 24
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NULL = -(1 << 63)
@@ -153,21 +155,47 @@ def _probing(anchor: int, owners: int):
     return run
 
 
+def _slices(keys: list[np.ndarray], bits: int):
+    """Runs of ascending keys, over equal parts of the keys' space that hold some hundred thousand of them: for each part, from where to where in each run."""
+    parts = max(1, -(-sum(map(len, keys)) // SLICE_KEYS))
+    at = [np.searchsorted(k, np.array([(i << bits) // parts for i in range(1, parts)], k.dtype)) for k in keys]
+    at = [np.concatenate([[0], x, [len(k)]]).astype(np.int64) for x, k in zip(at, keys, strict=True)]
+    for i in range(parts):
+        yield [slice(int(x[i]), int(x[i + 1])) for x in at]
+
+
+def _runs_of(ranked: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    new = np.ones(len(ranked) + 1, bool)
+    new[1:-1] = ranked[1:] != ranked[:-1]
+    return np.flatnonzero(new)
+
+
 def _anchored(messages):
     """Of each message, which of its hashes are of a block and are found more than once. (unit, (question, owner, bits))"""
     for owner, group in _by_owner(messages):
         keys = [np.frombuffer(m[1], np.uint32) for m in group]
-        joined = np.concatenate(keys)
-        order = np.sort((joined >> np.uint32(2)).astype(np.uint64) << np.uint64(34) | np.arange(len(joined), dtype=np.uint64)) & np.uint64((1 << 34) - 1)
-        order = order.astype(np.int64)
-        ranked = joined[order]
-        first = np.flatnonzero(np.append(True, (ranked[1:] >> np.uint32(2)) != (ranked[:-1] >> np.uint32(2)))) if len(ranked) else np.zeros(0, np.int64)
-        hit = np.zeros(len(joined), bool)
-        if len(ranked):
-            several = (np.diff(np.append(first, len(ranked))) > 1) | (np.bitwise_or.reduceat(ranked, first) & np.uint32(2)).astype(bool)
-            found = several & (np.bitwise_or.reduceat(ranked, first) & np.uint32(1)).astype(bool)
-            hit[order] = np.repeat(found, np.diff(np.append(first, len(ranked))))
-        yield from _answers(0, owner, group, [len(k) for k in keys], hit)
+        hits = [np.zeros(len(k), bool) for k in keys]
+        for cut in _slices(keys, 32):
+            part = np.concatenate([k[c] for k, c in zip(keys, cut, strict=True)])
+            if not len(part):
+                continue
+            order = np.sort((part >> np.uint32(2)).astype(np.uint64) << np.uint64(34) | np.arange(len(part), dtype=np.uint64)) & np.uint64((1 << 34) - 1)
+            ranked = part[order.astype(np.int64)]
+            runs = _runs_of(ranked >> np.uint32(2))
+            flags = np.bitwise_or.reduceat(ranked, runs[:-1])
+            found = ((np.diff(runs) > 1) | (flags & np.uint32(2)).astype(bool)) & (flags & np.uint32(1)).astype(bool)
+            hit = np.zeros(len(part), bool)
+            hit[order.astype(np.int64)] = np.repeat(found, np.diff(runs))
+            _dealt_back(hits, cut, hit)
+        yield from _answers(0, owner, group, hits)
+
+
+def _dealt_back(bits: list[np.ndarray], cut: list[slice], part: np.ndarray) -> None:
+    at = 0
+    for b, c in zip(bits, cut, strict=True):
+        b[c] = part[at : at + c.stop - c.start]
+        at += c.stop - c.start
 
 
 def _by_owner(messages):
@@ -178,11 +206,9 @@ def _by_owner(messages):
         yield groups.popitem()
 
 
-def _answers(asked, owner, group, sizes, bits):
-    at = 0
-    for message, n in zip(group, sizes, strict=True):
-        yield message[0], (asked, owner, np.packbits(bits[at : at + n]).tobytes())
-        at += n
+def _answers(asked, owner, group, bits):
+    for message, b in zip(group, bits, strict=True):
+        yield message[0], (asked, owner, np.packbits(b).tobytes())
 
 
 def _asking(window: int, anchor: int, owners: int):
@@ -219,20 +245,23 @@ def _windows_of(texts, ids, window, anchor, owners, answers):
     new = np.ones(len(order), bool)
     x, y = a[order], b[order]
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return unit, np.sort(order[new]), a, b, doc
+    return unit, order[new], a, b, doc
 
 
 def _earliest(messages):
     """Of each message, which of its windows are found in an earlier place: a smaller id, or of one id in a unit before."""
     for owner, group in _by_owner(messages):
         group.sort(key=lambda m: m[0])
-        a, b, doc = (np.concatenate([np.frombuffer(m[k], t) for m in group]) for k, t in ((1, np.uint64), (2, np.uint32), (3, np.int64)))
-        sizes = [len(m[1]) // 8 for m in group]
-        order = np.lexsort((np.repeat(np.arange(len(group)), sizes), doc, b, a))
-        x, y = a[order], b[order]
-        later = np.zeros(len(order), bool)
-        later[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-        yield from _answers(1, owner, group, sizes, later)
+        a, b, doc = ([np.frombuffer(m[k], t) for m in group] for k, t in ((1, np.uint64), (2, np.uint32), (3, np.int64)))
+        later = [np.zeros(len(x), bool) for x in a]
+        for cut in _slices(a, 64):
+            x, y, d = (np.concatenate([k[c] for k, c in zip(column, cut, strict=True)]) for column in (a, b, doc))
+            order = np.lexsort((np.repeat(np.arange(len(group)), [c.stop - c.start for c in cut]), d, y, x))
+            x, y = x[order], y[order]
+            again = np.zeros(len(order), bool)
+            again[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+            _dealt_back(later, cut, again)
+        yield from _answers(1, owner, group, later)
 
 
 def _spans(covered: np.ndarray) -> list[tuple[int, int]]:
