@@ -59,8 +59,45 @@ class _Seen:
             self.base, self.levels = merged, []
 
 
+def _is_forest(e: DataFrame) -> bool:
+    """Whether no vertex of distinct edges has two edges into it."""
+    return e.groupBy("trg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def _forest_paths(e: DataFrame, acyclic: bool) -> DataFrame:
+    """(root, id, depth) of a forest by pointer doubling: each round, a vertex looks to the ancestor of its ancestor and adds up the
+    distances, so that a chain of n vertices takes log2(n) rounds. Vertices on or below a cycle have no root; they are left out, or an error."""
+    state = roots_and_leaves(e).join(e.select(F.col("trg").alias("id"), F.col("src").alias("parent")), "id", "left")
+    now = cut(state.select("id", F.coalesce("parent", "id").alias("root"), F.when(F.col("is_root"), 0).otherwise(1).cast("long").alias("depth"), F.col("is_root").alias("done")))
+    ends = now.filter("done").select(F.col("id").alias("root"), F.lit(True).alias("end"))  # read from the first table, which stays
+    first, rounds = now, now.count().bit_length()
+    met = now.filter("not done").join(ends, "root", "left").select("id", "root", "depth", F.coalesce("end", F.lit(False)).alias("done"))
+    done, still = [now.filter("done").select("root", "id", "depth")], cut(met)
+    done.append(still.filter("done").select("root", "id", "depth"))
+    for _ in range(rounds):
+        up = still.select(F.col("id").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        step = cut(still.filter("not done").join(up, "root").select("id", F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done")))
+        if step.isEmpty():
+            break
+        # those that have just ended can still be asked for by others: they stay in the table that is looked into, with their final root
+        kept = still.filter("done").unionByName(step)
+        done.append(step.filter("done").select("root", "id", "depth"))
+        still = cut(kept)
+    else:
+        if acyclic and not still.filter("not done").isEmpty():
+            raise ValueError("the graph has a cycle")
+    out = done[0]
+    for level in done[1:]:
+        out = out.unionByName(level)
+    out = cut(out)
+    forget(first)
+    return out
+
+
 def _walk(edges: DataFrame, longest: bool) -> DataFrame:
     e = cut(edges.select("src", "trg").distinct())
+    if _is_forest(e):
+        return _forest_paths(e, longest).withColumn("depth", F.col("depth").cast("int"))
     front = cut(roots_and_leaves(e).filter("is_root").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
     seen = _Seen(front)
     depth, limit = 0, e.select(F.explode(F.array("src", "trg"))).distinct().count() if longest else None
@@ -104,8 +141,14 @@ def leaf_profiles(edges: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
     return out.withColumn("leaves", F.size("js"))
 
 
+#: Levels that an expansion goes one by one before it asks whether the graph is a forest, of which it takes all levels at once.
+NEAR_LEVELS = 16
+
+
 def expansion(spark: SparkSession, edges: DataFrame, seed) -> DataFrame:
-    """(id, depth) of all that a vertex reaches over (src, trg), each once at its least depth; cycles end."""
+    """(id, depth) of all that a vertex reaches over (src, trg), each once at its least depth; cycles end.
+
+    Level by level; what goes deeper than a few levels in a forest is found by pointer doubling (``_forest_paths``) with the seed as a root."""
     e = cut(edges.select("src", "trg").distinct())
     front = cut(spark.range(1).select(F.lit(seed).cast(edges.schema["src"].dataType).alias("id"), F.lit(0).alias("depth")))
     seen, depth = _Seen(front), 0
@@ -115,6 +158,9 @@ def expansion(spark: SparkSession, edges: DataFrame, seed) -> DataFrame:
         if front.isEmpty():
             return seen.all()
         seen.add(front)
+        if depth == NEAR_LEVELS and _is_forest(e):
+            below = _forest_paths(cut(e.filter(F.col("trg") != F.lit(seed))), False)
+            return below.filter(F.col("root") == F.lit(seed)).select("id", F.col("depth").cast("int").alias("depth"))
 
 
 def message_graphs(posts: DataFrame, edges: DataFrame, community: int) -> tuple[DataFrame, DataFrame]:

@@ -202,16 +202,23 @@ def numbered(df: DataFrame, order: str, name: str, first: int = 0) -> DataFrame:
 
 
 def placed(df: DataFrame, order: Sequence[Column], name: str, weight: str | None = None) -> DataFrame:
-    """Rows with the running sum of a weight (or their number, from 1) in an order that no two rows tie in, or whose ties may stand either way.
+    """Rows with the running sum of a weight (or their number, from 1) in an order that no two rows tie in, or whose ties may stand either way."""
+    return running_sums(df, order, {name: weight})
+
+
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str | None]) -> DataFrame:
+    """Rows with running sums by name, each of a column (None: of 1), in an order that no two rows tie in, or whose ties may stand either way.
 
     Rows are dealt into range partitions and written once, so that both the sums of whole partitions and the sums within
     them see the same partitions, however the two plans are pruned; none is sorted in one task."""
     spread = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
-    each = F.col(weight) if weight else F.lit(1).cast("long")
-    sums = spread.groupBy("__p").agg(F.sum(each).alias("__s"))
-    starts = sums.withColumn("__base", F.coalesce(F.sum("__s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    within = F.sum(each).over(W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return spread.join(F.broadcast(starts.select("__p", "__base")), "__p").withColumn(name, (F.col("__base") + within).cast("long")).drop("__p", "__base")
+    each = {name: F.col(weight) if weight else F.lit(1).cast("long") for name, weight in sums.items()}
+    parts = spread.groupBy("__p").agg(*[F.sum(c).alias(f"__s_{name}") for name, c in each.items()])
+    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select("__p", *[F.coalesce(F.sum(f"__s_{name}").over(before), F.lit(0)).alias(f"__base_{name}") for name in each])
+    upto = W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    met = spread.join(F.broadcast(starts), "__p")
+    return met.select(*df.columns, *[(F.col(f"__base_{name}") + F.sum(c).over(upto)).cast("long").alias(name) for name, c in each.items()])
 
 
 def phrase_pairs(pairs: DataFrame, phrases: DataFrame, texts: DataFrame) -> DataFrame:
