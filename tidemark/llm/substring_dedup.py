@@ -25,17 +25,17 @@ _NULL = -(1 << 63)
 
 
 def rolled(h: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all k consecutive values, a polynomial made of those of two halves, and so on. Entry i is of values i to i + k - 1."""
-    done: dict[int, np.ndarray] = {1: h}
-
-    def of(n: int) -> np.ndarray:
-        if n not in done:
-            a, b = of((n + 1) // 2), of(n // 2)
-            size = max(0, len(h) - n + 1)
-            done[n] = a[:size] * np.uint64(pow(int(_ODD), n // 2, 1 << 64)) + b[(n + 1) // 2 : (n + 1) // 2 + size]
-        return done[n]
-
-    return mixed(of(k) ^ np.uint64(k))
+    """64-bit hashes of all k consecutive values, a polynomial made of those of 1, 2, 4, .. values. Entry i is of values i to i + k - 1."""
+    size, n, power, at = max(0, len(h) - k + 1), 1, int(_ODD), 0
+    out, part = np.zeros(size, np.uint64), h
+    while True:  # part: of n values, power: the multiplier to the n-th; out: of the first ``at`` values
+        if k & n:
+            out = out * np.uint64(power) + part[at : at + size]
+            at += n
+        if n * 2 > k:
+            return mixed(out ^ np.uint64(k))
+        part = part[:-n] * np.uint64(power) + part[n:] if len(part) > n else part[:0]
+        n, power = n * 2, power * power % (1 << 64)
 
 
 def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
