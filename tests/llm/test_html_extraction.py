@@ -138,3 +138,77 @@ def test_templates_of_a_host(spark):
     rows = [(r[1].split("/")[2], r[0], r[2]) for r in (page(k, f"<article><p>{'word ' * 30}{k}</p></article>") for k in range(3))]
     got = templates(spark.createDataFrame(rows, "host string, page long, html string")).collect()
     assert len(got) == 1 and got[0].roots[0].startswith("html>body>article")
+
+
+WORDS = "amber birch cedar delta ember frost grove heron islet jetty knoll larch".split()
+
+
+def bare(k, body, host):
+    return k, f"https://{host}/{k}", f"<html><body>{body}</body></html>"
+
+
+def layout_a(w, n):
+    return f"<div class='top'>Site banner</div><div class='box'><h2>On {w}</h2><p>{f'alpha {w} ' * n}</p></div><div class='end'>End A</div>", f"On {w}\n\n{(f'alpha {w} ' * n).strip()}"
+
+
+def layout_b(w, n):
+    return f"<div class='head-b'>Other banner</div><div class='main-b'><div class='lead'>Lead of {w}</div><div class='rest'><p>{f'beta {w} ' * n}</p></div></div><div class='foot-b'>End B</div>", f"Lead of {w}\n\n{(f'beta {w} ' * n).strip()}"
+
+
+def check_host(spark, layouts, host):
+    rows = [bare(k, html, host) for k, (html, _) in enumerate(layouts)]
+    want = {k: text for k, (_, text) in enumerate(layouts)}
+    assert texts(spark, rows) == want
+    assert texts(spark, rows + rows) == want  # every row twice
+    assert texts(spark, rows + rows[:1] * 4) == want
+
+
+def test_constant_text_of_two_layouts_on_a_host(spark):
+    check_host(spark, [layout_a(w, 20) for w in WORDS[:4]], "one.example.org")
+    check_host(spark, [layout_a(w, 20) for w in WORDS[:4]] + [layout_b(w, 15) for w in WORDS[4:7]], "two.example.org")
+
+
+def test_articles_shorter_than_the_template(spark):
+    long = "Terms and conditions of this site apply. " * 40
+    check_host(spark, [(f"<div class='top'>{long}</div><div class='box'><p>Brief {w}</p></div><div class='end'>{long}</div>", f"Brief {w}") for w in WORDS[:5]], "short.example.org")
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_a_header_that_holds_the_title(spark, tag):
+    pages = [(f"<div class='top'>Site</div><{tag} class='post'><div class='header'><h1>On {w}</h1></div><div class='text'><p>{f'{w} words ' * 12}</p></div></{tag}>", f"On {w}\n\n{(f'{w} words ' * 12).strip()}") for w in WORDS[:5]]
+    check_host(spark, pages, f"header-{tag}.example.org")
+
+
+def test_titles_that_differ_in_a_digit_beside_the_body(spark):
+    pages = [(f"<div class='top'>Site</div><div class='name'>Part {k}</div><div class='text'><p>{f'{w} words ' * 12}</p></div>", f"Part {k}\n\n{(f'{w} words ' * 12).strip()}") for k, w in enumerate(WORDS[:5])]
+    check_host(spark, pages, "parts.example.org")
+
+
+def test_generated_hosts(spark):
+    """Hosts of random templates without article or main: what varies is the article, what doesn't is the template."""
+    import random
+
+    pick, rows, want = random.Random(11), [], {}
+    for h in range(12):
+        layouts = []
+        for t in range(pick.choice([1, 1, 2, 3])):
+            fixed = [f"<div class='f{'abc'[t]}{'pqrs'[j]}'>{' '.join(pick.choices(WORDS, k=pick.randrange(1, 30)))}</div>" for j in range(4)]
+            layouts.append((t, fixed))
+        for t, fixed in layouts:
+            for _ in range(pick.randrange(4, 9)):
+                k = len(rows)
+                said = [" ".join([f"u{k}x{j}", *pick.choices(WORDS, k=pick.randrange(40))]) for j in range(3)]
+                inner = f"<div class='t{'abc'[t]}'><h2>{said[0]}</h2><p>{said[1]}</p><ul class='plain'><li>{said[2]}</li></ul></div>"
+                rows.append(bare(k, f"{fixed[0]}<div class='w{'abc'[t]}'>{fixed[1]}{inner}{fixed[2]}</div>{fixed[3]}", f"h{h}.example.org"))
+                want[k] = "\n\n".join(said)
+    pick.shuffle(rows)
+    assert texts(spark, rows) == want
+
+
+def test_very_long_page_and_extra_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [bare(k, layout_a(w, 60_000 if k == 2 else 9)[0], "long.example.org") for k, w in enumerate(WORDS[:4])]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    got = {r.page_id: r.text for r in main_texts(pages.select("*", *[F.lit("x").alias(c) for c in "host roots fixed page token own size".split()])).collect()}
+    assert got == {k: layout_a(w, 60_000 if k == 2 else 9)[1] for k, w in enumerate(WORDS[:4])}

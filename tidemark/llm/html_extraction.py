@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship, small, written
 
-#: Least share of a template's text that its content slot holds (beside all that varies), and least pages that share an occurrence vector.
-SHARE, SUPPORT = 0.5, 2
-#: Characters from which a path is told by a digest, and up to which bare text (a label, a counter) is told without its digits.
-MAX_PATH, MAX_LABEL = 1000, 40
+#: Least pages that share an occurrence vector, and least different pages on which an element's text must be the same to be the template's.
+SUPPORT, FIXED = 2, 3
+#: Characters from which a path is told by a digest.
+MAX_PATH = 1000
 
 #: What may begin markup; a tag whose quotes are all closed; a tag up to its first ">".
 _BEGIN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
@@ -24,6 +24,7 @@ _CUT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 #: Tags of a page whose quotes are looked for to the page's end in vain; each costs a pass, so that beyond them a tag ends at its first ">".
 VAIN = 20
 _LABEL = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_HEADING = re.compile("h[1-6]")
 _DIGITS = re.compile(r"\d+")
 _NAMES = re.compile(r"[a-z]+")
 
@@ -33,11 +34,15 @@ _BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _DROPPED = set("head nav footer aside form script style title textarea noscript template button select iframe object svg canvas audio video map menu dialog xmp noframes".split())
-#: Names of dropped parts, as whole class tokens (or ids of elements that aren't in an article), alone or as compounds of such names only.
+#: Names of dropped parts, as whole class tokens (or ids of elements that aren't in an article), alone or as compounds of such names and neutral ones.
 _HINTS = set(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal comment comments disqus share sharing social related newsletter subscribe widget".split()
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal comment comments disqus share sharing social related newsletter subscribe teaser widget".split()
 )
-#: Blocks that are prose: links in them are part of the text, and digits tell it.
+#: Names that say nothing of what an element holds: compounds of them and a dropped part's name are its names too.
+_NEUTRAL = set("area bar block box container inner item items list slot unit wrap wrapper".split())
+#: Names of those that may as well be an article's own: what they hold is dropped where no template tells, but for headings.
+_SOFT = {"header", "masthead"}
+#: Blocks that are prose: links in them are part of the text.
 _PROSE = set("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 p pre".split())
 #: Elements that no class or id drops; of a section a class does, and its id is the name of what it is about.
 _KEPT = set("html body article main h1 h2 h3 h4 h5 h6 hgroup p blockquote pre figure".split())
@@ -46,9 +51,11 @@ _ROLES = set("navigation banner contentinfo complementary search form dialog ale
 _ENDS = {"p": ({"p"}, {"table", "button", "td", "div", "section", "article"}), "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
-def _names_part(token: str) -> bool:
-    names = _NAMES.findall(token)
-    return bool(names) and _HINTS.issuperset(names)
+def _named(value: str) -> tuple[bool, bool]:
+    """Whether class tokens (or an id) name a dropped part, and whether only one that an article may have."""
+    found = [set(_NAMES.findall(x)) for x in value.split()]
+    parts = [names - _NEUTRAL for names in found if names - _NEUTRAL and _HINTS >= names - _NEUTRAL]
+    return bool(parts), all(_SOFT.issuperset(names) for names in parts)
 
 
 def _pieces(page: str):
@@ -86,16 +93,18 @@ def _pieces(page: str):
 class Page:
     """A walk over a page. ``paths``: by path of labelled elements, how many there are, characters of kept text in them, depth, and
     a sum of hashes of that text; ``size`` and ``sum``: those of the page, links outside of prose not counted.
-    ``blocks``: texts of the blocks under ``root`` (all, if None), in page order."""
+    ``blocks``: texts of the blocks under the first of the ``roots`` that has any (all, if none), in page order, without elements
+    whose path is ``fixed``."""
 
-    def __init__(self, page: str, root: str | None = None) -> None:
+    def __init__(self, page: str, roots: tuple | list = (), fixed: tuple | list = ()) -> None:
         self.paths: dict[str, list[int]] = {}
-        self.blocks: list[str] = []
         self.size = self.sum = 0
-        self._root, self._buffer = root, []
-        self._stack: list[list] = []  # tag, path, dropped, in root, in a link outside of prose, in prose, characters, sum
+        self._roots, self._fixed = {path: 1 << k for k, path in enumerate(roots)}, frozenset(fixed)
+        self._found: list[tuple[int, bool, str]] = []  # roots that it is in, whether in a soft part, text
+        self._buffer: list[str] = []
+        self._stack: list[list] = []  # tag, path, dropped, roots, in a link outside of prose, in prose, in a soft part, characters, sum
         self._open_tags: Counter[str] = Counter()
-        self._inside = self._dropped = self._link = self._prose = False
+        self._mask, self._dropped, self._link, self._prose, self._soft = 0, False, False, False, False
         for text, closes, tag, rest, after in _pieces(page):
             self._text(text)
             if not tag:
@@ -109,30 +118,29 @@ class Page:
         while self._stack:
             self._pop()
         self._flush()
+        bit = next((b for b in self._roots.values() if any(mask & b for mask, _, _ in self._found)), 0)
+        self.blocks = [text for mask, soft, text in self._found if (mask & bit if bit else not soft)]
 
     def _flush(self) -> None:
         if self._buffer:
             text = " ".join("".join(self._buffer).split())
             self._buffer = []
             if text:
-                self.blocks.append(text)
+                self._found.append((self._mask, self._soft, text))
 
     def _text(self, text: str) -> None:
         if not text or self._dropped or not self._stack and not text.strip():
             return
         if "&" in text:
             text = html.unescape(text)
-        if self._root is None and not self._link and (run := " ".join(text.split())):
-            size = len(run)
-            if not self._prose and size <= MAX_LABEL:
-                run = _DIGITS.sub("0", run)
+        if not self._link and (run := " ".join(text.split())):
+            size = 0 if self._soft else len(run)
             mark = int.from_bytes(hashlib.blake2b(run.encode(errors="replace"), digest_size=8).digest(), "little")
             self.size, self.sum = self.size + size, self.sum + mark
             if self._stack:
-                self._stack[-1][6] += size
-                self._stack[-1][7] += mark
-        if self._root is None or self._inside:
-            self._buffer.append(text)
+                self._stack[-1][7] += size
+                self._stack[-1][8] += mark
+        self._buffer.append(text)
 
     def _open(self, tag: str, rest: str) -> None:
         if tag in _ENDS or tag in _BLOCK:
@@ -151,13 +159,15 @@ class Page:
             self._buffer.append(" ")
         if tag in _VOID:
             return
-        label, drop = tag, tag in _DROPPED
+        label, drop, soft = tag, tag in _DROPPED, False
         if rest and ("=" in rest or "hidden" in rest):
             for name, value in _LABEL.findall(rest):
                 value, name = value.strip("\"'").lower(), name.lower()
                 if name in ("class", "id"):
                     label += ("." if name == "class" else "#") + _DIGITS.sub("0", " ".join(sorted(value.split())))
-                    drop = drop or tag not in _KEPT and (name == "class" or tag != "section" and not self._in_article()) and any(_names_part(x) for x in value.split())
+                    named, mild = _named(value)
+                    if named and tag not in _KEPT and (name == "class" or tag != "section" and not self._in_article()):
+                        soft, drop = soft or mild, drop or not mild
                 elif name == "role":
                     drop = drop or value in _ROLES
                 else:
@@ -167,30 +177,33 @@ class Page:
         path = f"{self._stack[-1][1]}>{label}" if self._stack else label
         if len(path) > MAX_PATH:  # of very deep nesting, or of very long labels
             path = "#" + hashlib.blake2b(path.encode(), digest_size=12).hexdigest()
+        drop = drop or path in self._fixed and tag in _BLOCK
         self._open_tags[tag] += 1
         self._prose = self._prose or tag in _PROSE
         self._dropped, self._link = self._dropped or drop, (self._link or tag == "a") and not self._prose
-        self._inside = self._inside or path == self._root
-        self._stack.append([tag, path, self._dropped, self._inside, self._link, self._prose, 0, 0])
+        self._soft = (self._soft or soft) and not self._in_article() and not _HEADING.fullmatch(tag)
+        self._mask |= self._roots.get(path, 0)
+        self._stack.append([tag, path, self._dropped, self._mask, self._link, self._prose, self._soft, 0, 0])
 
     def _in_article(self) -> bool:
         return self._open_tags["article"] + self._open_tags["main"] > 0
 
     def _pop(self) -> None:
-        tag, path, _, _, _, _, size, mark = self._stack.pop()
-        self._open_tags[tag] -= 1
-        if tag in _BLOCK:
+        if self._stack[-1][0] in _BLOCK:
             self._flush()
+        tag, path, _, _, _, _, _, size, mark = self._stack.pop()
+        self._open_tags[tag] -= 1
         seen = self.paths.setdefault(path, [0, 0, len(self._stack), 0])
         seen[0] += 1
         seen[1] += size
         seen[3] += mark
         if self._stack:
-            self._stack[-1][6] += size
-            self._stack[-1][7] += mark
-            _, _, self._dropped, self._inside, self._link, self._prose, _, _ = self._stack[-1]
+            self._stack[-1][7] += size
+            self._stack[-1][8] += mark
+            _, _, self._dropped, self._mask, self._link, self._prose, self._soft, _, _ = self._stack[-1]
         else:
-            self._dropped = self._inside = self._link = self._prose = False
+            self._dropped = self._link = self._prose = self._soft = False
+            self._mask = 0
 
     def _close(self, tag: str) -> None:
         if tag in _BLOCK:
@@ -217,59 +230,57 @@ def _tokens(batches):
         for host, rid, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             walk = Page(page or "")
             whole = _signed(walk.sum)
-            rows += [(host, rid, path, n, size, depth, walk.size - size, _signed(walk.sum - mark), whole) for path, (n, size, depth, mark) in walk.paths.items()]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["host", "page", "token", "n", "size", "depth", "outside", "rest", "text"]
+            rows += [(host, rid, path, n, size, depth, walk.size - size, _signed(walk.sum - mark), whole, _signed(mark)) for path, (n, size, depth, mark) in walk.paths.items()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["host", "page", "token", "n", "size", "depth", "outside", "rest", "text", "own"]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Content slots by host: host, roots (paths, those with most text first). ``pages``: host, page, html.
+    """Templates by host: host, roots (content slots' paths, those of the classes of fewest pages first), fixed (paths of the templates' own text).
+    ``pages``: host, page, html.
 
     A token is an element with its path of labelled ancestors. Tokens with one occurrence vector over a host's
     pages are an equivalence class; a class is valid if it spans SUPPORT pages (a host of fewer pages: all) and each of
     its tokens occurs once a page, so that its tokens are nested in one order on all of them. A class is
-    a template, and other tokens' classes are nested in the slots between its tokens. A template's content slot is
-    that of its deepest container outside of which all its pages have the same kept text - so it holds all text that
-    isn't the template's, in as many slots as there are - and that holds at least SHARE of the text. Where the pages of a
+    a template, and other tokens' classes are nested in the slots between its tokens: a class of some of another's pages goes first.
+    A template's content slot is that of its deepest container outside of which all its pages have the same kept text - so it
+    holds all text that isn't the template's, in as many slots as there are - or its article's, if it has one. Where the pages of a
     class don't tell (a single one, or all with the same text), it is the deepest container outside of which there is none.
-    Lists of links outside of prose aren't taken for text here; labels of up to MAX_LABEL characters outside of prose
-    are compared without their digits.
-
-    An occurrence vector is summed up in 128 bits of commutative hashes of (page, count), so that neither a host's
-    pages nor a vector are ever gathered."""
-    seen = pages.mapInArrow(_tokens, "host string, page long, token string, n int, size long, depth int, outside long, rest long, text long")
-    vector = [F.bit_xor(F.xxhash64(F.lit(k), "page", "n")).alias(f"v{k}") for k in (1, 2)]
-    varied = [(F.min(c) != F.max(c)).alias(f"{c}_varies") for c in ("rest", "text")]
+    Text that stands in the same words in an element that FIXED pages of different text have once each is the template's, also
+    inside of a slot; articles are taken as they are. Lists of links outside of prose aren't taken for text here.
+
+    An occurrence vector is summed up in four sums of 32 bits of hashes of (page, count), so that neither a host's
+    pages nor a vector are ever gathered, and equal rows count as often as they are there."""
+    seen = pages.mapInArrow(_tokens, "host string, page long, token string, n int, size long, depth int, outside long, rest long, text long, own long")
+    hashes = [F.xxhash64(F.lit(k), "page", "n") for k in (1, 2)]
+    vector = [F.sum(part).alias(f"v{k}{j}") for k, h in enumerate(hashes) for j, part in enumerate((h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)))]
+    vs = ["v00", "v01", "v10", "v11"]
+    varied = [(F.min(c) != F.max(c)).alias(f"{c}_varies") for c in ("rest", "text", "own")]
+    different = F.size(F.collect_set(F.pmod("text", F.lit(64)))).alias("different")  # of 64 kinds of pages' texts: a set of bounded size
     sums = [F.count(F.lit(1)).alias("support"), F.max("n").alias("most"), F.sum("size").alias("size"), F.sum("outside").alias("outside")]
-    tokens = seen.groupBy("host", "token", "depth").agg(*vector, *sums, *varied)
+    tokens = seen.groupBy("host", "token", "depth").agg(*vector, *sums, *varied, different)
     tokens, _ = written(tokens, "html-tokens")
     hosts = tokens.groupBy("host").agg(F.max("support").alias("pages"))
     valid = tokens.filter("most = 1 and size > 0").join(small(hosts), "host").filter((F.col("support") >= SUPPORT) | (F.col("pages") < SUPPORT))
-    classes = valid.groupBy("host", "v1", "v2", "support").agg(F.max("size").alias("whole"))
-    holds = F.when(F.col("text_varies"), ~F.col("rest_varies") & (F.col("size") >= F.col("whole") * SHARE)).otherwise(F.col("outside") == 0)
-    slots = valid.join(small(classes), ["host", "v1", "v2", "support"]).filter(holds)
-    # a slot is a container, and an article is one as a whole
+    # a slot is a container, and an article is one as a whole, whatever varies outside of it
     container = r"(?:^|>)(?:html|body|article|main|section|div|center|table|tbody|tr|td|dl|ul|ol)(?:[.#][^>]*)?$|^#"
     article = F.regexp_extract("token", r"^(?:.*?>)?(?:article|main)(?:[.#][^>]*)?(?=>|$)", 0)
-    slots = slots.filter(F.col("token").rlike(container)).withColumn("token", F.when(article == "", F.col("token")).otherwise(article))
-    roots = slots.groupBy("host", "v1", "v2").agg(F.max_by("token", F.struct("depth", "token")).alias("root"), F.max("whole").alias("whole"))
-    roots = roots.groupBy("host", "root").agg(F.sum("whole").alias("whole"))
-    return roots.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("whole")).alias("order"), "root"))).alias("roots")).select("host", F.col("roots.root").alias("roots"))
+    holds = F.when(F.col("text_varies"), ~F.col("rest_varies")).otherwise(F.col("outside") == 0) | (F.col("token") == article)
+    slots = valid.filter(holds & F.col("token").rlike(container)).withColumn("token", F.when(article == "", F.col("token")).otherwise(article))
+    roots = slots.groupBy("host", *vs, "support").agg(F.max_by("token", F.struct("depth", "token")).alias("root"), F.max("depth").alias("depth"))
+    roots = roots.groupBy("host", "root").agg(F.min("support").alias("support"), F.max("depth").alias("depth"))
+    roots = roots.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("support", (-F.col("depth")).alias("order"), "root"))).alias("roots"))
+    fixed = valid.filter((F.col("different") >= FIXED) & ~F.col("own_varies") & (article == "")).groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    return roots.join(fixed, "host", "full").select("host", F.coalesce(F.col("roots.root"), F.array().cast("array<string>")).alias("roots"), F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"))
 
 
 def _extract(batches):
     import pyarrow as pa
 
     for batch in batches:
-        out = []
-        for page, roots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            blocks: list[str] = []
-            for root in [*(roots or ()), None]:
-                blocks = Page(page or "", root).blocks
-                if blocks:
-                    break
-            out.append("\n\n".join(blocks))
+        pages = zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)], strict=True)
+        out = ["\n\n".join(Page(page or "", roots or (), fixed or ()).blocks) for page, roots, fixed in pages]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -278,7 +289,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Templates are deduced for each host; of a page, the blocks in the content slot of the first of its host's
     templates that gives any are joined in page order, without dropped parts (menus, headers, footers, sidebars,
-    notices, adverts, forms, scripts, styles, comments). A page that no template fits gives all its kept blocks.
+    notices, adverts, forms, scripts, styles, comments) and the templates' own text. A page that no template fits gives all its kept blocks.
+    A part that is only named a header goes where no template tells, but for its headings. Repeated rows change nothing for others.
     Null html is an empty page; pages without a host in their url are one host. Rows are never joined with each
     other, so null and repeated ids each give their own row, and a host of any number of pages is only met as
     aggregates and as one template row."""
@@ -286,7 +298,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
     found, _ = written(templates(rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")), "html-templates")
-    whole = rows.join(small(found), "host", "left").select("page_id", "url", "html", "roots")
+    whole = rows.join(small(found), "host", "left").select("page_id", "url", "html", "roots", "fixed")
     return whole.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
