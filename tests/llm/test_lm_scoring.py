@@ -97,3 +97,16 @@ def test_empty_table(spark, docs_schema):
 def test_weights_sum_to_one():
     w = learned_weights([(3, -10, -40, 5), (3, 9999, -60, 2), (7, -2, -50, 100)], 1000)
     assert np.allclose(w.sum(1), 1) and (w > 0).all() and w[7, 0] > w[3, 0]
+
+
+def test_long_texts_in_one_stretch(spark, frame, tmp_path, monkeypatch):
+    """Blocks are cut by bytes where long texts stand together, in the middle of a file."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 4000)
+    words = [f"w{i % 97}" for i in range(5000)]
+    rows = [(i, f"short {i % 7}") for i in range(900)] + [(1000 + i, " ".join(words[i : i + 900])) for i in range(40)] + [(2000 + i, f"tail {i % 5}") for i in range(900)]
+    frame(rows).coalesce(1).sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    source = docs.select("doc_id", "text", lm_scoring.F.col("_metadata.file_path").alias("f"), lm_scoring.F.col("_metadata.row_index").alias("row"))
+    blocks = lm_scoring._blocked(source, 50).groupBy("f", "b").agg(lm_scoring.F.sum(lm_scoring.F.octet_length("text")).alias("n"), lm_scoring.F.max(lm_scoring.F.octet_length("text")).alias("top")).collect()
+    assert all(b.n <= 4000 + b.top for b in blocks) and len(blocks) > 40
+    assert got(lm_scores(docs)) == brute(rows)

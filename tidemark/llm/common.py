@@ -46,13 +46,25 @@ def shared_dir(spark: SparkSession) -> str:
 WRITTEN_ROWS = 50_000
 
 
-def written(df: DataFrame, tag: str, rows: int | None = None) -> tuple[DataFrame, str]:
+#: Spark's setting that removes a query's shuffle files as soon as it has ended.
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, tag: str, rows: int | None = None, sweep: bool = False) -> tuple[DataFrame, str]:
     """Cut lineage: write ``df`` to the shared folder, and read it back. Returns the table and its path.
 
-    ``rows``: how many narrow rows it has at most, if that is known; few rows are written by few tasks."""
+    ``rows``: how many narrow rows it has at most, if that is known; few rows are written by few tasks.
+    ``sweep``: Spark removes the shuffle files that the write needed when it has ended, not when it collects garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(max(1, -(-rows // WRITTEN_ROWS)))).write.parquet(path)
+    before = spark.conf.get(_SWEEP, None)
+    if sweep:
+        spark.conf.set(_SWEEP, "true")
+    try:
+        (df if rows is None else df.coalesce(max(1, -(-rows // WRITTEN_ROWS)))).write.parquet(path)
+    finally:
+        if sweep:
+            spark.conf.unset(_SWEEP) if before is None else spark.conf.set(_SWEEP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import zlib
 
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tidemark.llm.common import hashed, mixed, remainder, removed, ship, texts_of, written
+from tidemark.llm.common import hashed, mixed, remainder, ship, small, texts_of, written
 
 #: Bytes of text of a block of rows, and entries of an owner's bucket.
 BLOCK_BYTES, BUCKET_ENTRIES = 8 << 20, 2_000_000
@@ -69,7 +69,7 @@ def _counted(h: np.ndarray, train: np.ndarray, deleted: np.ndarray) -> tuple[np.
     return u, np.bincount(at[train], minlength=len(u)), np.bincount(at[deleted], minlength=len(u))
 
 
-def _requests(buckets: list[int], rows: int):
+def _requests(buckets: list[int]):
     """Each block's distinct n-grams, with its own counts of them, packed by owner."""
 
     def run(batches):
@@ -100,13 +100,13 @@ def _requests(buckets: list[int], rows: int):
 
         key, items, r0, r1, size = None, [], 0, 0, 0
         for batch in batches:
-            files, index, held, train = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
-            for text, f, r, d, t in zip(texts_of(batch.column(0)), files, index, held, train, strict=True):
-                if items and (key != (f, r // rows) or size > 2 * BLOCK_BYTES or r < r1):
+            files, index, block, held, train = (batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5))
+            for text, f, r, b, d, t in zip(texts_of(batch.column(0)), files, index, block, held, train, strict=True):
+                if items and (key != (f, b) or r < r1):
                     yield part(key, r0, r1, items)
                     items, size = [], 0
                 if not items:
-                    key, r0 = (f, r // rows), r
+                    key, r0 = (f, b), r
                 items.append((text, d, t))
                 r1, size = r, size + len(text or b"")
         if items:
@@ -253,6 +253,20 @@ def _scores(order: int, weights: list[np.ndarray], tokens: int, types: int):
     return run
 
 
+def _blocked(source: DataFrame, rows: int) -> DataFrame:
+    """Rows with the number of their block: so many consecutive rows of a file, cut further where their texts have more than BLOCK_BYTES.
+
+    Most stretches are one block; where others begin is a narrow table."""
+    stretch = F.floor(F.col("row") / rows)
+    before = F.sum("n").over(W.partitionBy("f", "g").orderBy("row").rowsBetween(W.unboundedPreceding, -1))
+    narrow = source.select("f", "row", stretch.alias("g"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    firsts = narrow.withColumn("piece", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_BYTES)).groupBy("f", "g", "piece").agg(F.min("row").alias("first"))
+    several = firsts.groupBy("f", "g").agg(F.array_sort(F.collect_list("first")).alias("firsts")).filter(F.size("firsts") > 1)
+    several, _ = written(several, "lm-blocks")
+    begun = F.array_max(F.filter("firsts", lambda x: x <= F.col("row")))
+    return source.withColumn("g", stretch).join(small(several), ["f", "g"], "left").withColumn("b", F.coalesce(begun, F.col("g") * rows)).drop("g", "firsts")
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, test_fold: int = 2, deleted_fold: int = 3, order: int = ORDER) -> DataFrame:
     """Scores of all texts by an n-gram model of ``order`` 2 or more: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -267,8 +281,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     costs one entry for each block, not for each occurrence. EM needs the deleted fold only as a histogram over a
     grid of bounded size.
 
-    Rows are blocked by file and row number; a table that isn't read from files is written to the shared folder
-    first. Null texts are empty: one token, the end. A null id counts as a text of fold 0."""
+    Rows are blocked by file and row number, and by bytes where long texts stand together; a table that isn't read from files is written to
+    the shared folder first. Null texts are empty: one token, the end. A null id counts as a text of fold 0."""
     spark = docs.sparkSession
     ship(spark)
     keep = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
@@ -281,17 +295,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     rows = max(1, int(BLOCK_BYTES * size["rows"] / max(size["bytes"] or 0, 1)))
     words = (size["bytes"] or 0) / 6
     buckets = [1 + int(words * part / BUCKET_ENTRIES) for part in (0.25, 0.75, *[1.0] * (order - 2))]
-    source = source.select("doc_id", "text", "f", "row", (fold == deleted_fold).cast("int").alias("held"), (fold != test_fold).alias("train"))
+    source = _blocked(source, rows).select("doc_id", "text", "f", "row", "b", (fold == deleted_fold).cast("int").alias("held"), (fold != test_fold).alias("train"))
 
-    asked = source.select("text", "f", "row", "held", "train").mapInArrow(_requests(buckets, rows), _REQUEST)
-    answers, answers_at = written(asked.groupBy("kind", "bucket").applyInArrow(_answer, _ANSWER), "lm-answers")
-    del asked
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # so that Spark removes the questions' shuffle files now, not at some later collection
+    asked = source.select("text", "f", "row", "b", "held", "train").mapInArrow(_requests(buckets), _REQUEST)
+    # the questions' shuffle files are of no use once the answers are written, and go then
+    answers, _ = written(asked.groupBy("kind", "bucket").applyInArrow(_answer, _ANSWER), "lm-answers", sweep=True)
     total = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "deleted_tokens")]).first()
     answers = answers.drop("tokens", "types", "deleted_tokens")
 
-    blocks = source.select("doc_id", "text", "row", "held", (~F.col("train")).alias("scored"), "f", F.floor(F.col("row") / rows).alias("b"))
+    blocks = source.select("doc_id", "text", "row", "held", (~F.col("train")).alias("scored"), "f", "b")
     held = blocks.filter("held = 1").groupBy("f", "b").cogroup(answers.filter("held = 1").groupBy("f", "b"))
     weights: list[np.ndarray] = []
     for level in range(order - 1):
