@@ -49,3 +49,40 @@ def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     odd = pages.select("*", *[F.lit("x").alias(c) for c in [*CLASH, "roots", "depth", "size", "support", "whole", "text"]])
     assert sorted(map(tuple, main_texts(odd).collect())) == sorted(map(tuple, main_texts(pages).collect()))
+
+
+def test_stages_with_a_column_of_the_row_number_s_name(spark):
+    """Both spellings of the number's own name, and repeated rows: stages drop the right rows and give all columns back."""
+    from tidemark.llm.decontamination import drop_contaminated
+    from tidemark.llm.exact_dedup import drop_exact
+    from tidemark.llm.near_dedup import drop_near
+    from tidemark.llm.toxicity import drop_toxic
+
+    labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    plain = spark.createDataFrame([(1, "A", 7), (2, "B", 7), (3, "A", 7), (4, "B", 7)], "doc_id long, text string, _tidemark_row int")
+    assert sorted(map(tuple, drop_exact(plain).collect())) == [(3, "A", 7), (4, "B", 7)]
+    assert drop_exact(plain.withColumnRenamed("_tidemark_row", "_Tidemark_Row")).columns == ["doc_id", "text", "_Tidemark_Row"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60")
+    odd = docs.select("*", F.lit(7).alias("_tidemark_row"), *[F.lit("x").alias(c) for c in CLASH if c not in ("text", "doc_id")])
+    for stage in (drop_exact, drop_near, lambda d: drop_toxic(d, labels), lambda d: drop_contaminated(d, items)):
+        left, want = stage(odd), stage(docs)
+        assert left.columns == odd.columns and set(left.select("_tidemark_row").distinct().collect()) <= {(7,)}
+        assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in want.collect())
+
+
+def test_sample_takes_the_largest_text_of_an_id(spark):
+    from tidemark.llm.toxicity import sample
+
+    docs = spark.createDataFrame([(1, "z"), (1, "aaaaaaaaaa"), (3, None), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    texts, y = sample(docs, labels, "toxic", 10)
+    assert sorted(zip(texts, y)) == [(b"", 0), (b"aaaaaaaaaa", 1)]
+
+
+def test_scores_at_the_threshold(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for scores in (toxic_scores, quality_scores):
+        row = scores(docs, labels).orderBy(F.desc("score")).first()
+        again = {r.doc_id: r.predicted for r in scores(docs, labels, threshold=row.score).collect()}
+        assert again[row.doc_id] == 1  # a score of just the threshold counts

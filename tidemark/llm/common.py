@@ -108,10 +108,15 @@ def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
 
     Rows of a plain scan of Parquet files are numbered by their file and their place in it, so that nothing is
     written: the names of the files are all that the driver gets, as it does to plan a scan. Rows of any other plan
-    are numbered and written. A table that has been numbered stays as it is."""
-    kept = columns or [F.col(f"`{c}`") for c in docs.columns if c != ROW]
-    if ROW in docs.columns:
-        return docs.select(*kept, ROW)
+    are numbered and written. A column of the number's own name has another one until ``without`` gives it back."""
+    renamed = {c: c + "_" * (1 + max(len(x) for x in docs.columns)) for c in docs.columns if c.lower() == ROW}
+    kept = columns or [F.col(f"`{c}`").alias(renamed.get(c, c)) for c in docs.columns]
+    out = _numbered(docs, kept)
+    out._renamed = {} if columns else {new: c for c, new in renamed.items()}
+    return out
+
+
+def _numbered(docs: DataFrame, kept: list[Column] | tuple) -> DataFrame:
     if not _plain_scan(docs):
         return written(docs.select(*kept, F.monotonically_increasing_id().alias(ROW)), "rows")[0]
     spark = docs.sparkSession
@@ -124,7 +129,8 @@ def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows of a numbered table whose number isn't in ``dropped`` (a written table of one column), without the number."""
-    return rows.join(small(dropped.select(F.col(dropped.columns[0]).alias(ROW)).distinct()), ROW, "left_anti").drop(ROW)
+    left = rows.join(small(dropped.select(F.col(dropped.columns[0]).alias(ROW)).distinct()), ROW, "left_anti").drop(ROW)
+    return left.withColumnsRenamed(rows._renamed)
 
 
 def remainder(id_col: str, n: int) -> Column:

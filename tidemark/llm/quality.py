@@ -12,7 +12,10 @@ from tidemark.llm.toxicity import sample
 #: Bounds on the labelled documents that the field is fitted on and on their bytes, and the score from which a document is good.
 MAX_DOCS, MAX_BYTES, GOOD = 4000, 16 << 20, 0.7
 #: Shares of a text's length that are good, at least in a good document and at most in a bad one, and how fast a document's bias follows.
-GOOD_SHARE, BAD_SHARE, RATE = 0.9, 0.3, 8.0
+#: Chosen on rows that may be learned from: of those of sf0.1, remainders 0 and 1 to fit and 3 to choose by.
+GOOD_SHARE, BAD_SHARE, RATE = 0.9, 0.2, 8.0
+#: Relative change of the weights over ten steps below which the fit ends.
+SETTLED = 0.02
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b".,;:", b"!?", b"|", b"#$%&*~^", b"<>{}[]()=/\\", b"@_-+\"'`"]
 _CLASS = np.full(256, len(_GROUPS), np.int64)  # the last class: bytes of other characters
@@ -69,6 +72,11 @@ def marginals(emission: np.ndarray, move: np.ndarray, at: np.ndarray) -> tuple[n
     """Forward-backward over chains: emission (line, label) and transition log weights. Chains advance together.
 
     Returns log marginals (line, label), each chain's log partition, and expected transitions summed over all chains."""
+    fore, back, total = _passes(emission, move, at)
+    return fore + back - np.repeat(total, np.diff(at))[:, None], total, _transitions(emission, move, at, fore, back, total)
+
+
+def _passes(emission: np.ndarray, move: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, count = len(emission), np.diff(at)
     fore, back = np.zeros((n, 2)), np.zeros((n, 2))
     longest = int(count.max()) if len(count) else 0
@@ -82,15 +90,22 @@ def marginals(emission: np.ndarray, move: np.ndarray, at: np.ndarray) -> tuple[n
             x = fore[k - 1][:, :, None] + move
             fore[k] = np.logaddexp(x[:, 0], x[:, 1])
         fore[k] += emission[k]
-    pairs = np.zeros((2, 2))
     total = np.zeros(len(count))
     total[by_length] = np.logaddexp(*fore[last].T)
     for t in range(1, longest):
         k = last[: live[t]] - t
         x = move + (emission[k + 1] + back[k + 1])[:, None, :]
         back[k] = np.logaddexp(x[:, :, 0], x[:, :, 1])
-        pairs += np.exp(fore[k][:, :, None] + x - total[by_length][: live[t]][:, None, None]).sum(0)
-    return fore + back - np.repeat(total, count)[:, None], total, pairs
+    return fore, back, total
+
+
+def _transitions(emission: np.ndarray, move: np.ndarray, at: np.ndarray, fore: np.ndarray, back: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Expected transitions, summed over all chains."""
+    inner = np.ones(len(emission), bool)
+    inner[at[1:] - 1] = False
+    k = np.flatnonzero(inner)
+    x = fore[k][:, :, None] + move + (emission[k + 1] + back[k + 1])[:, None, :]
+    return np.exp(x - np.repeat(total, np.diff(at))[k][:, None, None]).sum(0)
 
 
 class Field:
@@ -114,7 +129,7 @@ class Field:
         return 1 / (1 + np.exp(-(self.scale * np.log(x / (1 - x)) + self.shift)))
 
 
-def fitted(texts: list[bytes | None], labels: list[int], steps: int = 200, first: int = 20) -> Field:
+def fitted(texts: list[bytes | None], labels: list[int], steps: int = 200, first: int = 20, shares: tuple[float, float] = (GOOD_SHARE, BAD_SHARE), rate: float = RATE) -> Field:
     """A field fitted to labels of documents, its lines' labels being hidden.
 
     A document's label says only what share of its text is good: at least GOOD_SHARE by length in a good one, at most
@@ -141,20 +156,30 @@ def fitted(texts: list[bytes | None], labels: list[int], steps: int = 200, first
         kept[c, c] = sum(k - 1 for k, z in zip(counts, y, strict=True) if z == c)
     theta, bias = np.zeros(width + 4), np.zeros(len(y))
     m = v = np.zeros(width + 4)
-    lines_n = len(x)
+    lines_n, before = len(x), theta
+    twice = np.concatenate([at, at[1:] + at[-1]])
     for t in range(1, steps + 1):
         w, move = theta[:width], theta[width:].reshape(2, 2)
         z = x @ w
-        log_p, _, pairs = marginals(np.column_stack([np.zeros(lines_n), z]), move, at)
         truth, moves = whole, kept
-        if t > first:
-            log_q, _, moves = marginals(np.column_stack([np.zeros(lines_n), z + np.repeat(bias, counts)]), move, at)
-            truth = np.exp(log_q[:, 1])
+        if t <= first:
+            log_p, _, pairs = marginals(np.column_stack([np.zeros(lines_n), z]), move, at)
+        else:  # the field's own distribution and that with the biases, in one walk over both
+            both = np.column_stack([np.zeros(2 * lines_n), np.concatenate([z, z + np.repeat(bias, counts)])])
+            fore, back, total = _passes(both, move, twice)
+            parted = [(both[k], move, at, fore[k], back[k], total[c]) for k, c in ((slice(0, lines_n), slice(0, len(y))), (slice(lines_n, None), slice(len(y), None)))]
+            pairs, moves = (_transitions(*half) for half in parted)
+            log_p, truth = (f + b - np.repeat(u, counts)[:, None] for _, _, _, f, b, u in parted)
+            truth = np.exp(truth[:, 1])
             share = np.add.reduceat(truth * weight, at[:-1])
-            bias = np.where(y > 0, np.maximum(0, bias + RATE * (GOOD_SHARE - share)), np.minimum(0, bias + RATE * (BAD_SHARE - share)))
+            bias = np.where(y > 0, np.maximum(0, bias + rate * (shares[0] - share)), np.minimum(0, bias + rate * (shares[1] - share)))
         g = np.concatenate([x.T @ (np.exp(log_p[:, 1]) - truth), (pairs - moves).ravel()]) / lines_n + 1e-4 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        if t % 10 == 0 and t >= 2 * first:  # Adam's steps stay long; what tells is where they lead to
+            if np.linalg.norm(theta - before) < SETTLED * np.linalg.norm(theta):
+                break
+            before = theta
     field = Field(theta[:width], theta[width:].reshape(2, 2))
     mean = np.concatenate([p[2] for p in field.parts(texts)])
     z = np.log(np.clip(mean, 1e-6, 1 - 1e-6) / np.clip(1 - mean, 1e-6, 1))

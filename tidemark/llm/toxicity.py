@@ -189,7 +189,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, max_by
         if total + r["bytes"] <= max_bytes:
             labels_of[r["doc_id"]], total = int(r["y"]), total + r["bytes"]
     some = docs.sparkSession.createDataFrame([(i,) for i in labels_of], "doc_id long")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max_by("text", F.struct(F.octet_length("text"), "text")).alias("text")).collect()
     texts = {r["doc_id"]: r["text"].encode() for r in rows}
     return [texts[i] for i in labels_of], list(labels_of.values())
 
