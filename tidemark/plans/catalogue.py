@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import vectors as V
 from tidemark.operators import aggregates as A
+from tidemark.operators import communities as C
 from tidemark.operators import graphs as G
 from tidemark.operators import grouped as U
 from tidemark.operators import intervals as I
 from tidemark.operators import joins as J
 from tidemark.operators import models as L
 from tidemark.operators import records as R
+from tidemark.operators import similarity as N
 from tidemark.sources import tables as S
 from tidemark.sources.scratch import scratch
 
@@ -511,10 +513,10 @@ def weekly_user_stats(spark, sf):
     return A.type_counts(w, ["user_id", "win_idx"], "event_type", TYPES, ["value"]).withColumn("avg_value", r6("avg_value"))
 
 
-@query(f"WITH {P} SELECT usr_id, count(*) AS n, count(*) FILTER (tw_type = 't') AS n_t, min(coalesce(tw_src_id::VARCHAR, '') || '|' || tw_id || '|' || tw_datetime) FILTER (r = 1) AS first FROM (SELECT *, row_number() OVER (PARTITION BY usr_id ORDER BY tw_datetime, coalesce(tw_src_id::VARCHAR, '') || '|' || tw_id || '|' || tw_datetime) AS r FROM p) GROUP BY 1")
+@query(f"WITH {P}, x AS (SELECT *, coalesce(tw_src_id::VARCHAR, '') || '|' || tw_id || '|' || tw_datetime AS s FROM p) SELECT usr_id, string_agg(s, ' ' ORDER BY tw_datetime, s) AS all_of, coalesce(string_agg(s, ' ' ORDER BY tw_datetime, s) FILTER (tw_type = 't'), '') AS t_of FROM x GROUP BY 1")
 def activity_lists(spark, sf):
     a = A.activity_lists(post_events(spark, sf))
-    return a.select("usr_id", F.size("all").cast("long").alias("n"), F.size("t").cast("long").alias("n_t"), F.col("all")[0].alias("first"))
+    return a.select("usr_id", F.array_join("all", " ").alias("all_of"), F.array_join("t", " ").alias("t_of"))
 
 
 SHIP = "s AS (SELECT year(l_shipdate) AS yr, l_suppkey AS src, l_partkey AS trg, count(*) FILTER (l_returnflag = 'R') AS R, count(*) FILTER (l_returnflag = 'A') AS A, count(*) AS a_ FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY ALL)"
@@ -543,10 +545,10 @@ def responses_by_source(spark, sf):
     return r.select("tw_id", F.col("total_resp").cast("long").alias("total_resp"), F.size("r").cast("long").alias("n_r"), F.col("salience").cast("long").alias("salience"), *[F.array_join(F.col(t).cast("array<string>"), ",").alias(t) for t in ("r", "q")])
 
 
-@query("SELECT c_nationkey, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last FROM customer GROUP BY 1")
+@query("SELECT c_nationkey, count(*) AS n, string_agg(c_custkey, ' ' ORDER BY c_custkey) AS members FROM customer GROUP BY 1")
 def community_members(spark, sf):
     g = A.groups_of(table(spark, sf, "customer"), "c_nationkey", "c_custkey")
-    return g.select("c_nationkey", "n", F.col("members")[0].alias("first"), F.element_at("members", -1).alias("last"))
+    return g.select("c_nationkey", "n", F.array_join(F.col("members").cast("array<string>"), " ").alias("members"))
 
 
 WORDS = "w AS (SELECT doc_id, lang, source, unnest(regexp_split_to_array(lower(text), '\\s+')) AS token FROM documents)"
@@ -578,11 +580,11 @@ def vocab_ids(spark, sf):
     return A.dictionary(A.phrase_sets(units), "phrases")
 
 
-@query("WITH t AS (SELECT DISTINCT c_custkey, unnest(list_transform(string_split(c_name, '#'), lambda x: lower(trim(x)))) AS phrase FROM customer), d AS (SELECT phrase, row_number() OVER (ORDER BY phrase) - 1 AS phid FROM (SELECT DISTINCT phrase FROM t)) SELECT c_custkey AS tw_id, min(phid)::BIGINT AS first, count(*) AS n FROM t JOIN d USING (phrase) GROUP BY 1")
+@query("WITH t AS (SELECT DISTINCT c_custkey, unnest(list_transform(string_split(c_name, '#'), lambda x: lower(trim(x)))) AS phrase FROM customer), d AS (SELECT phrase, row_number() OVER (ORDER BY phrase) - 1 AS phid FROM (SELECT DISTINCT phrase FROM t)) SELECT c_custkey AS tw_id, string_agg(phid, ' ' ORDER BY phid) AS ids FROM t JOIN d USING (phrase) GROUP BY 1")
 def encoded_phrases(spark, sf):
     units = table(spark, sf, "customer").select(F.col("c_custkey").alias("tw_id"), F.split("c_name", "#").alias("nps"), F.array().cast("array<string>").alias("cls"))
     sets = A.phrase_sets(units)
-    return A.encoded(sets, "tw_id", "phrases", A.dictionary(sets, "phrases")).select("tw_id", F.col("ids")[0].alias("first"), F.size("ids").cast("long").alias("n"))
+    return A.encoded(sets, "tw_id", "phrases", A.dictionary(sets, "phrases")).select("tw_id", F.array_join(F.array_sort("ids").cast("array<string>"), " ").alias("ids"))
 
 
 USER_LABELS = "x AS (SELECT user_id AS tw_id, CAST(json_extract(props, '$.k') AS INT) AS phid FROM events), y AS (SELECT tw_id, label AS cid, count(*) AS n FROM x JOIN embeddings ON vec_id = phid GROUP BY ALL)"
@@ -636,11 +638,12 @@ def topic_cluster_weights(spark, sf):
     return A.topic_cluster_weights(w, m, m, w).withColumn("w", r6("w", 4))
 
 
-@query("SELECT user_id, round(sum(value * embedding[1]::DOUBLE) / n, 5) AS x FROM (SELECT user_id, value, CAST(json_extract(props, '$.k') AS INT) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) LEFT JOIN embeddings ON vec_id = k GROUP BY user_id, n")
+@query("""WITH e AS (SELECT user_id, value, CAST(json_extract(props, '$.k') AS INT) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+x AS (SELECT user_id, n, i, sum(value * embedding[i]::DOUBLE) / n AS x FROM e LEFT JOIN embeddings ON vec_id = k, range(1, 65) t(i) GROUP BY user_id, n, i) SELECT user_id, i::INT AS i, round(x, 5) AS x FROM x""")
 def weighted_topic_vectors(spark, sf):
     rows = table(spark, sf, "events").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("vec_id"), F.col("value").alias("w"))
     v = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    return A.weighted_vectors(rows, v, "user_id", "vec_id", "w").select("user_id", r6(F.col("vec")[0], 5).alias("x"))
+    return A.weighted_vectors(rows, v, "user_id", "vec_id", "w").select("user_id", F.posexplode("vec").alias("i", "x")).select("user_id", (F.col("i") + 1).alias("i"), r6("x", 5).alias("x"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS txt FROM conversations GROUP BY 1")
@@ -648,12 +651,13 @@ def text_by_user(spark, sf):
     return A.texts_of(table(spark, sf, "conversations"), "conv_id", "text", ["turn"])
 
 
-@query("SELECT user_id AS usr_id, min(event_type) AS role, c_nationkey AS com_id, list(DISTINCT CAST(json_extract(props, '$.k') AS INT) % 8)[1] IS NOT NULL AS ok FROM events JOIN customer ON c_custkey = user_id GROUP BY 1, 3 HAVING max(CAST(json_extract(props, '$.k') AS INT) % 8) < 8")
+@query("""WITH x AS (SELECT user_id AS usr_id, min(event_type) AS role, list_sort(list(DISTINCT 'n' || (CAST(json_extract(props, '$.k') AS INT) % 8))) AS names FROM events GROUP BY 1), d AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS code FROM (SELECT DISTINCT unnest(names) AS name FROM x)),
+y AS (SELECT usr_id, role, unnest(names) AS name FROM x) SELECT usr_id, role, c_nationkey AS com_id, string_agg(code, ' ' ORDER BY code) AS codes FROM y JOIN d USING (name) JOIN customer ON c_custkey = usr_id GROUP BY ALL""")
 def training_rows(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int") % 8
     u = table(spark, sf, "events").groupBy(F.col("user_id").alias("usr_id")).agg(F.min("event_type").alias("role"), F.collect_set(F.concat(F.lit("n"), k.cast("string"))).alias("names"))
     u = u.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("usr_id"), F.col("c_nationkey").alias("com_id")), "usr_id", "left")
-    return A.training_rows(u, A.dictionary(u, "names", "name", "code")).select("usr_id", "role", "com_id", (F.size("codes") > 0).alias("ok"))
+    return A.training_rows(u, A.dictionary(u, "names", "name", "code")).select("usr_id", "role", "com_id", F.array_join(F.col("codes").cast("array<string>"), " ").alias("codes"))
 
 
 @query("SELECT turn AS time_int, role AS cascade, count(*) AS n FROM conversations GROUP BY ALL HAVING count(*) >= 10")
@@ -704,9 +708,15 @@ def fixed_windows(spark, sf):
     return I.fixed_windows(table(spark, sf, "events"), "ts", "2024-01-02 00:00:00", "2024-01-28 00:00:00", 5).select("event_id", "win_idx", "win_start", "win_end")
 
 
-@query("SELECT s AS start, s + INTERVAL 36 HOUR AS \"end\" FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 12 HOUR) t(s)")
+@query("""WITH b AS (SELECT date_trunc('day', min(ts))::TIMESTAMP AS a, date_trunc('day', max(ts))::TIMESTAMP AS z FROM events), s AS (SELECT unnest(generate_series(a, z, INTERVAL 12 HOUR)) AS s FROM b)
+SELECT s AS start, s + INTERVAL 36 HOUR AS "end", count(event_id) AS n FROM s LEFT JOIN events ON ts >= s AND ts < s + INTERVAL 36 HOUR GROUP BY s""")
 def time_slots(spark, sf):
-    return I.slots(spark, "2024-01-01 00:00:00", "2024-01-30 00:00:00", "36 hours", "12 hours")
+    """Slots over the days of the events, and the events in each: an event is in the slots that begin in the 36 hours up to it, an equi-join."""
+    e = table(spark, sf, "events")
+    a, z = e.agg(F.date_format(F.date_trunc("day", F.min("ts")), "yyyy-MM-dd HH:mm:ss"), F.date_format(F.date_trunc("day", F.max("ts")), "yyyy-MM-dd HH:mm:ss")).first()
+    half_day = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 43200) * 43200)
+    met = e.select(F.explode(F.array(*[half_day - F.expr(f"interval {h} hours") for h in (0, 12, 24)])).alias("start")).groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+    return I.slots(spark, a, z, "36 hours", "12 hours").join(met, "start", "left").select("start", "end", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH {MIX.format(key='user_id, ts::DATE').replace('ts::DATE,', 'ts::DATE AS day,')}, r AS (SELECT user_id, day, row_number() OVER (PARTITION BY user_id ORDER BY day) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM m) SELECT user_id, len, count(*) AS runs FROM r, (VALUES (2), (3), (4)) l(len) WHERE r + len - 1 <= n GROUP BY ALL")
@@ -834,10 +844,9 @@ def shuffled_tokens(spark, sf):
 # --------------------------------------------------------- V: vectors, scores
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 4) AS n2, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS u FROM embeddings")
+@query("SELECT vec_id, i::INT AS i, round(embedding[i]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) + 0.0::DOUBLE AS u FROM embeddings, range(1, 65) t(i)")
 def unit_vectors(spark, sf):
-    v = F.col("embedding")
-    return table(spark, sf, "embeddings").select("vec_id", r6(V.dot(v, v), 4).alias("n2"), r6(V.unit(v)[0], 5).alias("u"))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(V.unit(F.col("embedding"))).alias("i", "u")).select("vec_id", (F.col("i") + 1).alias("i"), r6("u", 5).alias("u"))
 
 
 PHRASE = "w AS (SELECT conv_id, unnest(string_split(lower(role), 's')) AS token FROM conversations), t AS (SELECT 'u' AS token, 1.0 AS a, 2.0 AS b UNION ALL SELECT 'er', 0.5, 0.0 UNION ALL SELECT 'y', 3.0, 1.0 UNION ALL SELECT 'tem', -1.0, 0.25)"
@@ -902,16 +911,31 @@ def connected_components(spark, sf):
     return G.components(chain(spark, sf))
 
 
-@query("SELECT id, min(id) AS component_probe FROM (SELECT 1 AS id) GROUP BY 1")
+@query()
 def similarity_components(spark, sf):
     """Edges of similar embeddings, components, and their topic clusters."""
     e = table(spark, sf, "embeddings")
-    edges = J.similar_pairs(e, "vec_id", "embedding", least=0.3).select(F.col("a").alias("src"), F.col("b").alias("trg"))
-    rows = G.components(edges).join(e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")), "id")
+    rows = N.similarity_components(e, "vec_id", "embedding", 0.3).join(e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")), "id")
     return U.topic_clusters(rows.select("component", F.col("id").alias("topic"), "vec"), least=0.3)
 
 
-SQL.pop("similarity_components")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3")
+def near_pairs(spark, sf):
+    """Pairs of embeddings whose cosine is at least the threshold, by cells of pivots."""
+    return N.near_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.3).withColumn("similarity", r6("similarity", 5))
+
+
+@query("SELECT a.label::VARCHAR AS label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.25")
+def near_pairs_within(spark, sf):
+    """The same within each label."""
+    return N.near_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.25, "label").withColumn("similarity", r6("similarity", 5))
+
+
+@query("""WITH p AS (SELECT a.vec_id AS id, a.label AS own, b.label AS c, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2) AS d, count(*) AS n FROM embeddings a CROSS JOIN embeddings b GROUP BY ALL),
+s AS (SELECT id, max(CASE WHEN c = own AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN c <> own THEN d / n END) AS b FROM p GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 4) AS silhouette FROM s""")
+def silhouette(spark, sf):
+    """Of the embeddings' labels as clusters, by squared Euclidean distance."""
+    return spark.createDataFrame([(L.silhouette(table(spark, sf, "embeddings"), "embedding", "label"),)], "silhouette double").withColumn("silhouette", r6("silhouette", 4))
 
 
 @query(f"WITH RECURSIVE {CONV}, r AS (SELECT id AS root, id, 0 AS depth FROM c WHERE parent IS NULL AND conv_id IN (SELECT conv_id FROM c WHERE turn > 0) UNION ALL SELECT r.root, c.id, depth + 1 FROM r JOIN c ON c.parent = r.id) SELECT root, id, depth FROM r")
@@ -947,6 +971,7 @@ def message_graphs(spark, sf):
     """G1 of messages: sizes of the valid and invalid parts."""
     p = post_events(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("usr_id"), (F.col("c_nationkey") % 3).alias("com_id")), "usr_id", "left").withColumn("l_nars", F.array(F.col("k") % 8))
     e = p.filter("tw_src_id is not null").select(F.col("tw_src_id").alias("src"), F.col("tw_id").alias("trg"))
+    e = e.unionByName(p.filter("tw_type = 'q'").select((F.col("tw_id") - 2).alias("src"), F.col("tw_id").alias("trg")))  # a second source for some
     good, bad = G.message_graphs(p, e, 1)
     return good.select(F.lit(True).alias("valid"), "id").unionByName(bad.select(F.lit(False).alias("valid"), "id")).groupBy("valid").agg(F.count("id").alias("n"))
 
@@ -957,12 +982,46 @@ SQL.pop("message_graphs")
 @query()
 def louvain_communities(spark, sf):
     """Communities of each year's interactions of suppliers and nations of customers."""
-    return U.communities(nation_edges(spark, sf), "yr")
+    return C.communities(nation_edges(spark, sf), "yr")
+
+
+@query(f"WITH {NE}, v AS (SELECT DISTINCT yr, id FROM (SELECT yr, src AS id FROM ne UNION ALL SELECT yr, trg FROM ne)) SELECT yr, count(*) AS vertices, count(*) AS labelled, true AS numbered, true AS no_worse FROM v GROUP BY 1")
+def louvain_invariants(spark, sf):
+    """Of each year, how many vertices there are, how many have just one community, whether communities are numbered from 0 without gaps, and
+    whether their modularity, from the edges, is at least that of one community for all."""
+    e = nation_edges(spark, sf)
+    com = louvain_communities(spark, sf)
+    ids = e.select("yr", F.explode(F.array("src", "trg")).alias("id")).distinct().groupBy("yr").agg(F.count(F.lit(1)).alias("vertices"))
+    once = com.groupBy("yr", "id").agg(F.count(F.lit(1)).alias("n"), F.min("community").alias("c")).groupBy("yr").agg(F.count_if(F.col("n") == 1).alias("labelled"), (F.max("c") + 1 == F.count_distinct("c")).alias("numbered"))
+    side = lambda c: com.select("yr", F.col("id").alias(c), F.col("community").alias(f"c_{c}"))
+    ends = e.join(side("src"), ["yr", "src"]).join(side("trg"), ["yr", "trg"])
+    inside = ends.groupBy("yr").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("c_src") == F.col("c_trg")).alias("within"))
+    degree = ends.select("yr", F.explode(F.array("c_src", "c_trg")).alias("c")).groupBy("yr", "c").agg(F.count(F.lit(1)).alias("d")).groupBy("yr").agg(F.sum(F.col("d") * F.col("d")).alias("dd"))
+    q = F.col("within") / F.col("m") - F.col("dd") / (4 * F.col("m") * F.col("m"))
+    return ids.join(once, "yr").join(inside, "yr").join(degree, "yr").select("yr", "vertices", "labelled", "numbered", (q >= -1e-9).alias("no_worse"))
 
 
 @query()
 def core_influencers(spark, sf):
-    return U.influencers(nation_edges(spark, sf), "yr")
+    return C.influencers(nation_edges(spark, sf), "yr")
+
+
+@query(f"""WITH {NE}, d AS (SELECT yr, src AS id, count(*) AS o FROM ne GROUP BY ALL), r AS (SELECT *, sum(o) OVER (PARTITION BY yr ORDER BY o DESC, id) - o < 0.5 * sum(o) OVER (PARTITION BY yr) AS top FROM d),
+t AS (SELECT ne.yr, coalesce(a.top, false) AS s, coalesce(b.top, false) AS t FROM ne LEFT JOIN r a ON a.yr = ne.yr AND a.id = src LEFT JOIN r b ON b.yr = ne.yr AND b.id = trg),
+c AS (SELECT yr, count(*) FILTER (s AND NOT t) AS e, (count(*) FILTER (s))::DOUBLE * count(*) FILTER (NOT t) AS x FROM t GROUP BY 1)
+SELECT yr, round(CASE WHEN x = 1 THEN 1 ELSE (e - x) / (1 - x) END, 9) AS first_cut, true AS no_lower FROM c""")
+def core_objective(spark, sf):
+    """Of each year, the objective of the first cut by out-degree, and whether that of the sides that come out is no lower."""
+    e = nation_edges(spark, sf).select("yr", "src", "trg")
+
+    def value(sides, name):
+        at = lambda c: sides.select("yr", F.col("id").alias(c), F.col("influential").alias(f"{c}_top"))
+        met = e.join(at("src"), ["yr", "src"]).join(at("trg"), ["yr", "trg"])
+        ab, a, b = F.count_if(F.col("src_top") & ~F.col("trg_top")), F.count_if(F.col("src_top")), F.count_if(~F.col("trg_top"))
+        return met.groupBy("yr").agg(C._value(ab, a, b).alias(name))
+
+    first = value(C.core_sides(e, "yr", rounds=0), "first")
+    return first.join(value(C.core_sides(e, "yr"), "last"), "yr").select("yr", r6("first", 9).alias("first_cut"), (F.col("last") >= F.col("first") - 1e-12).alias("no_lower"))
 
 
 @query()
@@ -1014,7 +1073,7 @@ def lexicon_sentiment(spark, sf):
 @query()
 def power_iteration(spark, sf):
     """L4."""
-    p = J.similar_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", least=0.2)
+    p = N.near_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.2)
     return L.affinity_clusters(G.affinity(p), 8)
 
 
@@ -1103,11 +1162,13 @@ def stamped_range(spark, sf):
     return S.between_stamps(post_events(spark, sf), "20240110000000", None).select("tw_id")
 
 
-@query(f"WITH {HOPS} SELECT idx::INT AS idx, key, s AS start, e AS \"end\" FROM h")
+@query("""WITH b AS (SELECT date_trunc('day', min(ts))::TIMESTAMP AS a, date_trunc('day', max(ts))::TIMESTAMP AS z FROM events), h AS (SELECT i AS idx, a + INTERVAL 1 DAY * (3 * i) AS s FROM b, range(0, 10000) t(i) WHERE a + INTERVAL 1 DAY * (3 * i + 3) <= z)
+SELECT idx::INT AS idx, strftime(s, '%Y%m%d') || '_' || strftime(s + INTERVAL 6 DAY, '%Y%m%d') AS key, s AS start, s + INTERVAL 6 DAY AS "end" FROM h""")
 def interval_file(spark, sf):
-    """Intervals written as lines and read."""
+    """Hopping intervals over the days of the events, written as lines and read."""
     path = scratch(spark, "intervals")
-    I.hopping(spark, "20240101", "20240130").filter("idx < 9").select(F.regexp_replace("key", "_", ":").alias("value")).write.text(path)
+    a, z = table(spark, sf, "events").agg(F.date_format(F.min("ts"), "yyyyMMdd"), F.date_format(F.max("ts"), "yyyyMMdd")).first()
+    I.hopping(spark, a, z).select(F.regexp_replace("key", "_", ":").alias("value")).write.text(path)
     return S.read_intervals(spark, path).select("idx", "key", "start", "end")
 
 
