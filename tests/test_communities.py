@@ -145,3 +145,29 @@ def test_edit_bounds():
     from itertools import permutations
 
     assert math.isclose(cost[np.arange(7), U.assigned(cost)].sum(), min(sum(cost[i, p[i]] for i in range(7)) for p in permutations(range(7))))
+
+
+def test_factors_of_many_intervals_in_one_plan(spark):
+    """The same updates as numpy's from the same start, interval by interval; it ends by itself."""
+    from tidemark.operators import models as L
+
+    rng = np.random.default_rng(5)
+    tables = {g: rng.random((n, 2)) @ rng.random((2, m)) * (rng.random((n, m)) > 0.3) for g, n, m in (("a", 5, 7), ("b", 9, 4), ("c", 1, 1))}
+    rows = [(g, i, f"t{j}", float(x[i, j])) for g, x in tables.items() for i in range(len(x)) for j in range(x.shape[1]) if x[i, j] > 0]
+    cells = spark.createDataFrame(rows, "g string, u int, term string, w double")
+
+    def dense(rounds):
+        w, h = L.nmf_by(cells, "g", "u", "term", 2, rounds, tolerance=0.0)
+        return {(r.g, r.u): np.array(r.vec) for r in w.collect()}, {(r.g, r.term): np.array(r.vec) for r in h.collect()}
+
+    (w0, h0), (w3, h3) = dense(0), dense(3)
+    for g in tables:
+        us, ts = sorted({r[1] for r in rows if r[0] == g}), sorted({r[2] for r in rows if r[0] == g})
+        x = np.array([[next((r[3] for r in rows if r[:3] == (g, u, t)), 0.0) for t in ts] for u in us])
+        w, h = np.array([w0[g, u] for u in us]), np.array([h0[g, t] for t in ts])
+        for _ in range(3):
+            h = h * (x.T @ w) / np.maximum(h @ (w.T @ w), 1e-12)
+            w = w * (x @ h) / np.maximum(w @ (h.T @ h), 1e-12)
+        assert np.allclose(w, [w3[g, u] for u in us]) and np.allclose(h, [h3[g, t] for t in ts])
+    topics = L.topics_by_interval(cells, "g", "u", 2, top=3, tolerance=0.05).collect()
+    assert len(topics) == 6 and all(len(r.terms) == min(3, len({x[2] for x in rows if x[0] == r.g})) for r in topics)

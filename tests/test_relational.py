@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
 from tidemark.operators import aggregates as A
+from tidemark.operators import communities as C
 from tidemark.operators import graphs as G
 from tidemark.operators import grouped as U
 from tidemark.operators import intervals as I
@@ -155,7 +156,7 @@ def test_other_joins(spark):
 
 def test_communities(spark):
     e = [(0, a, b) for c in (0, 10) for a in range(c, c + 6) for b in range(a + 1, c + 6)] + [(0, 0, 10)]
-    got = {r.id: r.community for r in U.communities(spark.createDataFrame(e, "t int, src int, trg int"), "t").collect()}
+    got = {r.id: r.community for r in C.communities(spark.createDataFrame(e, "t int, src int, trg int"), "t").collect()}
     assert len(got) == 12 and len({got[i] for i in range(6)}) == 1 and len({got[i] for i in range(10, 16)}) == 1 and got[0] != got[10]
     top = U.core_periphery(5, np.array([0, 0, 0, 0, 1]), np.array([1, 2, 3, 4, 2]))
     assert top[0] and top.sum() <= 2

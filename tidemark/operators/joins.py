@@ -167,7 +167,7 @@ def nearest_centre(rows: DataFrame, centres: DataFrame, vec: str = "vec", least:
     table = centres.agg(F.sort_array(F.collect_list(F.struct("cid", V.unit(F.col("cvec")).alias("cvec")))).alias("_centres"))
     best = F.array_max(F.transform("_centres", lambda c: F.struct(F.coalesce(V.dot(F.col(vec), c["cvec"]), F.lit(0.0)).alias("product"), (-c["cid"]).alias("minus"))))
     size = V.norm(F.col(vec))
-    out = rows.join(F.broadcast(table)).withColumn("_best", best).withColumn("similarity", F.when(size > 0, F.col("_best.product") / size).otherwise(F.lit(0.0))).withColumn("cid", -F.col("_best.minus")).drop("_best", "_centres")
+    out = rows.join(bounded(table)).withColumn("_best", best).withColumn("similarity", F.when(size > 0, F.col("_best.product") / size).otherwise(F.lit(0.0))).withColumn("cid", -F.col("_best.minus")).drop("_best", "_centres")
     return out.withColumn("cid", F.when(F.col("similarity") >= least, F.col("cid"))) if least is not None else out
 
 
@@ -176,7 +176,7 @@ def centre_products(rows: DataFrame, centres: DataFrame, key: str, vec: str = "v
     table = centres.agg(F.sort_array(F.collect_list(F.struct("cid", "cvec"))).alias("_centres"))
     product = lambda c: V.dot(F.col(vec), c["cvec"])
     value = product if threshold is None else (lambda c: F.when(product(c) >= threshold, product(c)).otherwise(F.lit(0.0)))
-    return rows.join(F.broadcast(table)).select(key, F.transform("_centres", value).alias("products"))
+    return rows.join(bounded(table)).select(key, F.transform("_centres", value).alias("products"))
 
 
 def propagated_vectors(posts: DataFrame, vectors: DataFrame) -> DataFrame:

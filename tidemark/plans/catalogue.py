@@ -1050,7 +1050,7 @@ def interval_topics(spark, sf):
     """L1: topics of each language's sources."""
     t = table(spark, sf, "documents").select("lang", "source", F.explode(F.split(F.lower("text"), r"\s+")).alias("term")).filter("term <> ''")
     w = L.tf_idf(t.select(F.concat_ws("/", "lang", "source").alias("doc"), "term"), "doc", "term", min_df=2)
-    return L.topics_by_interval(w.withColumn("lang", F.split("doc", "/")[0]), "lang", "doc")
+    return L.topics_by_interval(w.withColumn("lang", F.split("doc", "/")[0]), "lang", "doc", 8, tolerance=0.1)
 
 
 TF = "t AS (SELECT source AS k, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM documents), f AS (SELECT k, term, count(*) AS n FROM t GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1 HAVING count(*) <= 0.8 * (SELECT count(DISTINCT k) FROM t)), w AS (SELECT k, term, n * (ln(((SELECT count(DISTINCT k) FROM t) + 1) / (df + 1)) + 1) AS w FROM f JOIN d USING (term))"
@@ -1077,6 +1077,13 @@ def power_iteration(spark, sf):
     return L.affinity_clusters(G.affinity(p), 8)
 
 
+@query()
+def spectral_sizes(spark, sf):
+    """L4: spectral clusters of the graph of similar embeddings, for 8 to 12 clusters."""
+    p = N.near_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.2)
+    return N.spectral_clusters(G.affinity(p, rescale=False), range(8, 13), tolerance=1e-3)
+
+
 @query()
 def reduced_vectors(spark, sf):
     return L.reduced(table(spark, sf, "embeddings"), "vec_id", "embedding", 8)
