@@ -50,6 +50,14 @@ def test_large_communities_are_looked_into_again(spark):
     assert {r.id: r.community for r in C.communities(edges, "k", largest=4, least=1.0).collect()} == whole
 
 
+def test_keys_and_ids_with_any_characters(spark):
+    rows = [(k, f"{c}/{i}", f"{c}/{j}") for k in ("a", "a/b", "", None) for c in ("x", "/y") for i in range(4) for j in range(i)]
+    got = C.communities(spark.createDataFrame(rows, "k string, src string, trg string"), "k", largest=3, least=0.0).collect()
+    for k in ("a", "a/b", "", None):
+        label = {r.id: r.community for r in got if r.k == k}
+        assert len(label) == 8 and label["x/0"] == label["x/3"] != label["/y/0"] == label["/y/2"] and set(label.values()) == {0, 1}
+
+
 def test_core_and_periphery_is_no_worse_than_moves_one_by_one(spark):
     pick = random.Random(4)
     graphs = {k: [(pick.randrange(m) if pick.random() < 0.6 else pick.randrange(3), pick.randrange(m)) for _ in range(5 * m)] for k, m in ((1, 8), (2, 14), (3, 30))}

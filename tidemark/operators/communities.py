@@ -144,7 +144,7 @@ def communities(edges: DataFrame, key: str, largest: int = 200, least: float = 0
 
     Graphs of any size: see ``louvain``. Parts that are looked into again are graphs of their own in the next pass. Edges with a null end
     are left out."""
-    rows = cut(edges.filter("src is not null and trg is not null").select(F.col(key).alias("_key"), F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("g"), "src", "trg"))
+    rows = cut(edges.filter("src is not null and trg is not null").select(F.col(key).alias("_key"), F.coalesce(F.concat(F.lit("="), F.hex(F.col(key).cast("string"))), F.lit("")).alias("g"), "src", "trg"))
     keys = rows.select("g", "_key").distinct()
     now, settled = rows.select("g", "src", "trg"), []
     trial = None
@@ -157,7 +157,7 @@ def communities(edges: DataFrame, key: str, largest: int = 200, least: float = 0
             good = cut(good.join(several, "g"))
             settled.append(cut(label.join(bounded(good), "g", "left_anti").select("g", "id")))
             label = label.join(bounded(good), "g", "left_semi")
-        label = cut(label.select(F.concat_ws("/", "g", F.col("com").cast("string")).alias("g"), "id", F.col("g").alias("of")))
+        label = cut(label.select(F.concat_ws("/", "g", F.hex(F.col("com").cast("string"))).alias("g"), "id", F.col("g").alias("of")))
         large = cut(label.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > largest).select("g"))
         settled.append(cut(label.join(bounded(large), "g", "left_anti").select("g", "id")))
         if large.isEmpty():
@@ -169,7 +169,7 @@ def communities(edges: DataFrame, key: str, largest: int = 200, least: float = 0
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
-    out = out.withColumn("part", F.col("g")).withColumn("g", F.regexp_extract("g", "^(=[^/]*|)", 1))
+    out = out.withColumn("part", F.col("g")).withColumn("g", F.regexp_extract("g", "^(=[0-9A-F]*|)", 1))
     named = out.groupBy("g", "part").agg(F.min("id").alias("first"))
     order = placed(named, [F.asc("g"), F.asc("first")], "number")
     base = order.groupBy("g").agg(F.min("number").alias("base"))
