@@ -326,7 +326,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are never shuffled: each pass reads the documents anew, and answers are dealt back to the partition that asked. A unit is some MB of
     text or one document; an owner gets the hashes of about 24 MB of text. Hot passages send a hash once for each unit.
 
-    Null texts have no words. A null id comes before all others; rows of one id are taken in the table's order. Repeated rows are documents of
+    Null texts have no words. Ids are integers; a null id comes before all others; rows of one id are taken in the table's order. Repeated rows are documents of
     their own. An empty table gives an empty result; other columns are ignored."""
     if anchor * 2 - 1 > window:
         raise ValueError("a window must hold a whole block")
