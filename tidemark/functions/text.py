@@ -111,6 +111,12 @@ def sentence_words(c: Column, stop_words: Sequence[str] = STOP_WORDS, merged: Ma
     return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"[.!?\n]+"), sentence), lambda s: F.length(s) > 0)
 
 
+def banded_sentences(c: Column, least: int = 5, most: int = 20) -> Column:
+    """A text's sentences of so many words, words joined by a space; a sentence ends at ``. ! ?`` or a line feed. Null has none."""
+    words = F.transform(F.split(F.coalesce(c, F.lit("")), r"[.!?\n]+"), lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != ""))
+    return F.transform(F.filter(words, lambda ws: F.size(ws).between(least, most)), lambda ws: F.array_join(ws, " "))
+
+
 def without_stop_words(tokens: Column, stop_words: Sequence[str] = STOP_WORDS, exempt: Sequence[str] = NEGATIONS) -> Column:
     """Tokens but for stop words; negations are never stop words."""
     drop = [w for w in stop_words if w not in set(exempt)]

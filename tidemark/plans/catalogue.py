@@ -1376,7 +1376,15 @@ def consecutive_summary(spark, sf):
 def nmf_topics(spark, sf):
     """L2: terms' weights in 10 topics of all documents."""
     t = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("term")).filter("term <> ''")
-    return L.nmf(L.tf_idf(t, "doc_id", "term", 0.7, 2), "doc_id", "term", 10, 4)[1]
+    return L.nmf(L.tf_idf(t, "doc_id", "term", 0.7, 2), "doc_id", "term", 10, tolerance=0.05)[1]
+
+
+@query(r"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?\n]+')) AS s FROM documents), w AS (SELECT doc_id, list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '') AS w FROM s)
+SELECT doc_id, array_to_string(w, ' ') AS sentence, count(*) AS n FROM w WHERE len(w) BETWEEN 5 AND 20 GROUP BY ALL""")
+def sentence_band(spark, sf):
+    """Sentences of 5 to 20 words, and how often a document has each."""
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(X.banded_sentences(F.col("text"))).alias("sentence"))
+    return rows.groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
