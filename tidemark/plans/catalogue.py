@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import vectors as V
 from tidemark.operators import aggregates as A
+from tidemark.operators import clauses as K
 from tidemark.operators import communities as C
 from tidemark.operators import graphs as G
 from tidemark.operators import grouped as U
@@ -1393,6 +1394,13 @@ def rule_sentiment(spark, sf):
     return L.rule_sentiment(turns(spark, sf), "id", "text", {"the": 1.5, "and": -0.5, "of": 0.25, "stupid": -2.0} | L.LEXICON)
 
 
+@query()
+def clause_edges(spark, sf):
+    """Edges of the clause graphs of turns, from a table of their tokens."""
+    c = turns(spark, sf).select(F.col("id").alias("tw_id"), "text")
+    return K.clause_tables(K.token_table(c, "tw_id", "text"), "tw_id")[1]
+
+
 @query()
 def graph_distances(spark, sf):
     """Of the clause graphs of turns that follow each other."""
