@@ -1,4 +1,4 @@
-"""Structured Streaming twins of tumbling statistics (W2, A2) and interaction counts (A5)."""
+"""Structured Streaming twins of tumbling statistics (W2, A2), interaction counts (A5), first occurrences (S5) and idempotent inserts."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.sources.tables import append_new
+
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """A folder of Parquet files as a stream."""
@@ -30,6 +32,21 @@ def interaction_counts(stream: DataFrame, at: str, width: str = "7 days", late:
     return rows.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.count(F.lit(1)).alias("a")).select(F.col("window.start").alias("win_start"), "src", "trg", *kinds, "a")
 
 
+def first_occurrences(stream: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
+    """A row of each key, the first that arrives; a key is remembered until the watermark has passed it, so that state is bounded.
+
+    Rows of one key that are further apart than ``late`` are two occurrences."""
+    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
+def appended(stream: DataFrame, out: str, key: str, checkpoint: str) -> StreamingQuery:
+    """Inserts the rows whose key the table doesn't have, one for each key, batch by batch, over what there is.
+
+    A batch that is run again, after a failure or from a new checkpoint, finds its keys in the table and adds nothing."""
+    insert = lambda batch, _: append_new(batch, out, key)
+    return stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def to_parquet(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """An exactly-once sink, run over what there is."""
     return stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
