@@ -1071,6 +1071,17 @@ def lexicon_sentiment(spark, sf):
     return L.sentiment(table(spark, sf, "documents"), "doc_id", "text", {"the": 1.5, "and": -0.5, "of": 0.25, "stupid": -2.0}).withColumn("compound", r6("compound", 5))
 
 
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z'']+'), lambda w: w <> '')) AS word FROM documents), y AS (SELECT doc_id, toxic FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL),
+t AS (SELECT count(*) FILTER (toxic = 0) AS t0, count(*) FILTER (toxic <> 0) AS t1 FROM y), n AS (SELECT word, count(DISTINCT doc_id) FILTER (toxic = 0) AS n0, count(DISTINCT doc_id) FILTER (toxic <> 0) AS n1 FROM w JOIN y USING (doc_id) GROUP BY 1),
+l AS (SELECT word, ln((n0 + 1) / (t0 + 2)) - ln((n1 + 1) / (t1 + 2)) AS value FROM n, t WHERE n0 + n1 >= 5), s AS (SELECT doc_id, sum(value) AS s FROM w JOIN l USING (word) GROUP BY 1)
+SELECT doc_id, round(coalesce(s, 0) / sqrt(coalesce(s, 0) ** 2 + 15), 5) AS compound FROM documents LEFT JOIN s USING (doc_id)""")
+def table_sentiment(spark, sf):
+    """By a lexicon that the labels of toxicity teach."""
+    docs = table(spark, sf, "documents")
+    lexicon = L.learned_lexicon(docs, table(spark, sf, "labels"), "doc_id", "text", "toxic")
+    return L.table_sentiment(docs, "doc_id", "text", lexicon).withColumn("compound", r6("compound", 5))
+
+
 @query()
 def power_iteration(spark, sf):
     """L4."""
