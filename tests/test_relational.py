@@ -136,6 +136,34 @@ def test_similarity_joins(spark):
     assert near[99] == 0 and all(near[i] == (0 if x[i, 0] >= x[i, 1] else 2) for i in range(23))
 
 
+def test_pairs_in_matrix_tiles(spark, monkeypatch):
+    """Tiles of several blocks: no pair is made a row for a sum, groups of one row and missing vectors count, and pairs' means need no shuffle of pairs."""
+    from tidemark.operators import intervals as I
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(40, 3))
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(90, None, 0), (91, [1.0, 2.0], 1), (92, [1.0, 0.0, 0.0], 9), (93, [1.0, 0.0, 0.0], None)], "id int, vec array<double>, g int")
+    monkeypatch.setattr(J, "PAIR_ROWS", 8)
+    for block in (5, 1000):
+        pairs = J.similar_pairs(df, "id", "vec", "g", block=block).collect()
+        assert len(pairs) == (15 * 14 + 14 * 13 + 13 * 12) // 2
+        sums = {s.w: (s.pairs, s.total) for s in J.similarity_sums(df, "id", "vec", "g", block=block).collect()}
+        for g in range(3):
+            mine = [p.similarity for p in pairs if p.g == g]
+            assert sums[g] == (len(mine), pytest.approx(sum(mine)))
+    t = G.affinity_totals(df, "id", "vec", "g").first()
+    assert t.n == 2 * len(pairs) + 44 and t.total == pytest.approx(sum(p.similarity + 1 for p in pairs))
+    mixes = {(u, d): r.integers(0, 3, 4).astype(float).tolist() for u in range(9) for d in range(5) if r.random() < 0.8}
+    days = spark.createDataFrame([(f"u{u}", d, v) for (u, d), v in mixes.items()], "u string, d int, v array<double>")
+    want = A.spread(I.pair_distances(days, "u", "v", "d"), ["i", "j"], "js").filter("mean <= 0.4").collect()
+    for cells in (1 << 20, 0):
+        monkeypatch.setattr(I, "CLASS_CELLS", cells)
+        monkeypatch.setattr(I, "PAIR_ROWS", 4)
+        got = {(p.i, p.j): p for p in I.pair_means(days, "u", "v", "d", 0.4).collect()}
+        assert want and got.keys() == {(p.i, p.j) for p in want}
+        assert all(got[p.i, p.j].mean == pytest.approx(p["mean"]) and got[p.i, p.j].support == p.support for p in want)
+
+
 def test_ids(spark):
     known = spark.createDataFrame([("b", 0), ("d", 1)], "phrase string, phid long")
     new = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "phrase string")
