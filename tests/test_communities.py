@@ -114,6 +114,21 @@ def test_near_pairs_of_clusters(spark, monkeypatch, within):
         N.near_pairs(df, "id", "vec", 0.0)
 
 
+def test_tiles_are_bounded_on_both_sides(spark, monkeypatch):
+    """Of vectors that all stand at right angles, every row visits most cells: blocks of visitors are as small as the others."""
+    monkeypatch.setattr(N, "PIVOT_ROWS", 50)
+    monkeypatch.setattr(N, "TILE_ROWS", 32)
+    monkeypatch.setattr(N, "_STRIP", 100)
+    x = np.random.default_rng(4).normal(size=(400, 40))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+    left, right = N.tiles(df, "id", "vec", 0.2)
+    for side in (left, right):
+        assert side.groupBy("cell", "p", "q").count().selectExpr("max(count)").first()[0] < 64
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = sorted((r.a, r.b) for r in N.near_pairs(df, "id", "vec", 0.2).collect())
+    assert got == sorted(zip(*map(list, (a.tolist() for a in np.nonzero(np.triu(unit @ unit.T >= 0.2, 1))))))
+
+
 def test_eigenvectors_against_numpy(spark):
     rng = np.random.default_rng(3)
     x = np.repeat(rng.normal(size=(4, 6)), 15, 0) + rng.normal(size=(60, 6)) * 0.2
