@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidemark.operators import grouped as U
 from tidemark.operators.clauses import clause_tables, token_table
 
@@ -37,3 +39,34 @@ def test_as_sentence_by_sentence(spark):
     assert got_nodes == want_nodes and got_edges == want_edges and len(want_edges) > 100
     empty = spark.createDataFrame([], "id long, text string")
     assert all(x.collect() == [] for x in clause_tables(token_table(empty, "id", "text"), "id"))
+
+
+def test_leaders_by_blocks(monkeypatch):
+    """The nodes of the plain loop, whatever the blocks."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(30, 8)), 6, 0)[rng.permutation(180)] + rng.normal(size=(180, 8)) * 0.4
+    x[5] = 0
+    nodes, want = [], []
+    for v in x:
+        sim = [v @ n / (max(np.linalg.norm(v), 1e-12) * max(np.linalg.norm(n), 1e-12)) for n in nodes]
+        best = int(np.argmax(sim)) if sim else -1
+        if best >= 0 and sim[best] >= 0.6:
+            nodes[best] = (nodes[best] + v) / 2
+        else:
+            best = len(nodes)
+            nodes.append(v)
+        want.append(best)
+    for block in (1, 7, 500):
+        monkeypatch.setattr(U, "LEADER_BLOCK", block)
+        assert U.leaders(x, 0.6).tolist() == want
+
+
+def test_graphs_are_handed_out_in_pieces(spark, monkeypatch):
+    """Batches that come back have few rows, and the results are those of any size of piece."""
+    texts = spark.createDataFrame([(i, f"The cat {i} saw a bird of prey. Dogs bark {i}.") for i in range(50)], "id long, t string").coalesce(1)
+    words = {"cat": [1.0, 0.0], "dogs": [0.0, 1.0]}
+    whole = [(r.id, r.cls_json) for r in U.semantic_units(texts, "id", "t").collect()]
+    vectors = [(r.id, r.vec) for r in U.clause_vectors(U.semantic_units(texts, "id", "t"), "id", words, 2, "sp_avg_node").collect()]
+    monkeypatch.setattr(U, "PIECE_ROWS", 7)
+    assert [(r.id, r.cls_json) for r in U.semantic_units(texts, "id", "t").collect()] == whole and len(whole) == 50
+    assert [(r.id, r.vec) for r in U.clause_vectors(U.semantic_units(texts, "id", "t"), "id", words, 2, "sp_avg_node").collect()] == vectors
