@@ -70,3 +70,11 @@ def test_graphs_are_handed_out_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(U, "PIECE_ROWS", 7)
     assert [(r.id, r.cls_json) for r in U.semantic_units(texts, "id", "t").collect()] == whole and len(whole) == 50
     assert [(r.id, r.vec) for r in U.clause_vectors(U.semantic_units(texts, "id", "t"), "id", words, 2, "sp_avg_node").collect()] == vectors
+
+
+def test_only_what_the_graph_needs_travels(spark):
+    """Texts of tokens that can't be nodes, and labels' names, are neither shuffled nor written."""
+    c = spark.createDataFrame([(1, "The cat saw a bird.")], "id long, t string")
+    nodes, _ = clause_tables(token_table(c, "id", "t"), "id")
+    written = nodes.sparkSession.read.parquet(nodes.inputFiles()[0].rsplit("/", 1)[0])
+    assert not {"text", "lemma", "dep", "phrase"} & set(written.columns) and written.filter("not kept and txt is not null").isEmpty()

@@ -39,9 +39,13 @@ def clause_tables(tokens: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     that a sentence of n tokens takes log2(n) rounds of one join by (key, s, token). Heads are taken to be trees; a head that isn't
     in the sentence leads nowhere."""
     dep = F.when(F.lower("lemma").isin(*X.NEGATIONS), "neg").otherwise(X.universal_label(F.col("dep")))
-    last = F.max(F.when(F.col("dep") == "ROOT", F.col("i"))).over(W.partitionBy(key, "s"))
-    rows = tokens.select(key, *_TOKEN).withColumn("d", dep).withColumn("is_root", F.coalesce(F.col("i") == last, F.lit(False)))
-    rows = cut(rows.withColumn("kept", ~F.col("trivial") & (F.col("is_root") | F.col("d").isin(*CORE_DEPENDENCIES))))
+    solid = ~F.col("trivial")
+    # what travels is what the graph needs: the texts of tokens that may be nodes, and of labels what is asked of them
+    text = F.when(solid, F.coalesce("phrase", "lemma")).alias("txt"), F.when(solid, F.when(F.col("phrase").isNotNull(), "NOUN").otherwise(F.col("pos"))).alias("pos")
+    rows = tokens.select(key, "s", "i", "head", (F.col("dep") == "ROOT").alias("root"), (dep == "conj").alias("conj"), (solid & dep.isin(*CORE_DEPENDENCIES)).alias("core"), solid.alias("solid"), *text)
+    last = F.max(F.when(F.col("root"), F.col("i"))).over(W.partitionBy(key, "s"))
+    rows = rows.withColumn("is_root", F.coalesce(F.col("i") == last, F.lit(False))).withColumn("kept", F.col("solid") & (F.col("is_root") | F.col("core")))
+    rows = cut(rows.drop("root", "core", "solid"))
     at = cut(rows.select(key, "s", "i", F.when(F.col("kept"), F.col("i")).otherwise(F.col("head")).alias("to"), (F.col("kept") | (F.col("head") == F.col("i"))).alias("done")))
     while not at.filter("not done").isEmpty():
         far = at.select(key, "s", F.col("i").alias("to"), F.col("to").alias("_to"), F.col("done").alias("_done"))
@@ -56,11 +60,11 @@ def clause_tables(tokens: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     heads = rows.select(key, "s", F.col("i").alias("first"), F.col("head").alias("above"))
     nodes = rows.filter("kept")
     hung = nodes.join(up("head", "first"), [key, "s", "head"], "left").join(heads, [key, "s", "first"], "left").join(up("above", "second"), [key, "s", "above"], "left")
-    hung = hung.withColumn("src", F.when(F.col("d") == "conj", F.col("second")).otherwise(F.col("first")))
+    hung = hung.withColumn("src", F.when(F.col("conj"), F.col("second")).otherwise(F.col("first")))
     hung = cut(hung.withColumn("src", F.when(~F.col("is_root") & (F.col("src") != F.col("i")), F.col("src"))).select(key, "s", "i", "src", "is_root"))
     tops = hung.filter("src is null").withColumn("place", F.when(F.col("is_root"), -1).otherwise(F.col("i")))
     side = lambda a, b: tops.select(key, "s", F.col("i").alias(a), F.col("place").alias(b))
     linked = side("src", "p").join(side("trg", "q"), [key, "s"]).filter("p < q").select(key, "s", "src", "trg")
     edges = hung.filter("src is not null").select(key, "s", "src", F.col("i").alias("trg")).unionByName(linked)
-    named = nodes.select(key, "s", "i", F.coalesce("phrase", "lemma").alias("txt"), F.when(F.col("phrase").isNotNull(), "NOUN").otherwise(F.col("pos")).alias("pos"))
+    named = nodes.select(key, "s", "i", "txt", "pos")
     return named, edges
